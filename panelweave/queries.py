@@ -5,6 +5,175 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelweave.functions.columns import content_hash, largest_difference, page_identity
+from panelweave.operators import dialogue, integrity, learning, sequence, tasks
+from panelweave.sources.tables import attempts, story_pages, table, task_events, url_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def registered(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+_STORY = "story as (select source project_id, doc_id page_id, source chapter, lang location, case when n_chars < 1000 then 'day' else 'night' end story_time, cast(doc_id % 3 as varchar) scene_id, n_chars risk, row_number() over (partition by source order by doc_id) - 1 pos, count(*) over (partition by source) total from documents)"
+_FILES = r"files as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) project_id, regexp_extract(url, '([^/]*)$', 1) name from pages)"
+_EVENTS = "ev as (select user_id % 10 project_id, user_id lane, event_id, ts, case event_type when 'signup' then 'add' when 'view' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' when 'click' then 'reopen' end kind, cast(json_extract_string(props, '$.k') as bigint) % 2 code, cast(json_extract_string(props, '$.k') as bigint) cache_key, value from events)"
+_ATTEMPTS = "att as (select l_orderkey page, l_suppkey cluster, l_linestatus \"character\", l_returnflag signature, concat_ws('-', l_orderkey, l_linenumber, l_partkey) failure_id from lineitem where l_quantity > 48 and l_discount >= 0.09)"
+_BLOCKS = "blocks as (select conv_id page, turn block, role speaker, text from conversations)"
+
+
+def _group(pos: str, total: str, most: int) -> str:
+    k, size = f"cast(ceil({total} / {most}.0) as bigint)", f"({total} // cast(ceil({total} / {most}.0) as bigint))"
+    edge = f"(({total} - {k} * {size}) * ({size} + 1))"
+    return f"case when {pos} < {edge} then {pos} // ({size} + 1) else ({total} - {k} * {size}) + ({pos} - {edge}) // {size} end"
+
+
+@registered("w3_batches", f"""with {_STORY}, dealt as (select *, {_group('pos', 'total', 12)} batch from story),
+    ctx as (select *, coalesce(list(page_id) over (partition by project_id order by pos rows between 2 preceding and 1 preceding), []) pre, coalesce(list(page_id) over (partition by project_id order by pos rows between 1 following and 2 following), []) post from dealt),
+    made as (select project_id, batch, count(*) size, string_agg(cast(page_id as varchar), ',' order by pos) members, array_to_string(arg_min(pre, pos), ',') before, array_to_string(arg_max(post, pos), ',') after from ctx group by 1, 2)
+    select *, sha256(project_id || '|' || members) batch_id from made""")
+def w3_batches(spark, sf_dir):
+    return sequence.batches(story_pages(spark, sf_dir))
+
+
+@registered("w1_story_index", rf"""with {_FILES}, k as (select *, lower(regexp_replace(trim(name), '\.[^.]*$', '')) stem from files),
+    keyed as (select *, (case when regexp_matches(stem, '^[0-9]+(\([0-9]+\))?$') then '0' else '1' end) || array_to_string(list_transform(regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 12, '0') else p end), '') nk from k),
+    numbered as (select project_id, page_id, name, row_number() over (partition by project_id order by nk, name, page_id) "index" from keyed)
+    select *, printf('%04d.jpg', "index") output_name from numbered""")
+def w1_story_index(spark, sf_dir):
+    return sequence.story_index(url_pages(spark, sf_dir)).select("project_id", "page_id", "name", "index", "output_name")
+
+
+@registered("p1_page_identity", rf"""with {_FILES} select project_id, page_id, nullif(regexp_extract(translate(regexp_replace(trim(name), '\.[^.]*$', ''), '（）', '()'), '^[A-Za-z0-9]+(\([0-9]+\))?$', 0), '') identity from files""")
+def p1_page_identity(spark, sf_dir):
+    return url_pages(spark, sf_dir).select("project_id", "page_id", page_identity(F.col("name")).alias("identity"))
+
+
+_RUNS = f"{_STORY}, keyed as (select *, concat_ws(chr(31), chapter, location, story_time, scene_id) \"key\" from story), turns as (select *, case when \"key\" is distinct from lag(\"key\") over (partition by project_id order by pos) then 1 else 0 end turn from keyed), runs as (select *, sum(turn) over (partition by project_id order by pos) run from turns)"
+
+
+@registered("w4_scene_runs", f"with {_RUNS} select project_id, run, count(*) size, min(page_id) first_page, max(page_id) last_page from runs group by 1, 2")
+def w4_scene_runs(spark, sf_dir):
+    return sequence.scene_runs(story_pages(spark, sf_dir)).groupBy("project_id", "run").agg(F.count("*").alias("size"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+
+
+@registered("w8_scene_chunks", f"""with {_RUNS}, spots as (select *, row_number() over (partition by project_id, run order by pos) - 1 spot, count(*) over (partition by project_id, run) n from runs), c as (select *, {_group('spot', 'n', 20)} chunk from spots)
+    select project_id, run, chunk, count(*) size, arg_min(page_id, pos) first_page, first(page_id order by risk desc nulls last, pos) canary from c group by 1, 2, 3""")
+def w8_scene_chunks(spark, sf_dir):
+    return sequence.scene_chunks(story_pages(spark, sf_dir))
+
+
+@registered("j11_style_neighbours", f"""with {_STORY} select a.project_id, a.page_id, a.pos from story a where not exists (select 1 from story b where a.project_id = b.project_id and a.location is not distinct from b.location and a.pos <> b.pos and abs(a.pos - b.pos) <= 2)""")
+def j11_style_neighbours(spark, sf_dir):
+    return sequence.style_neighbours(story_pages(spark, sf_dir))
+
+
+@registered("w13_failure_streaks", f"""with {_EVENTS}, moves as (select *, case when kind = 'fail' then code end fc, kind = 'fail' is_fail from ev where kind in ('fail', 'complete', 'reopen')),
+    turns as (select *, case when is_fail and coalesce(lag(is_fail) over w, false) and fc is not distinct from lag(fc) over w then 0 else 1 end turn from moves window w as (partition by lane order by ts, event_id)),
+    runs as (select *, sum(turn) over (partition by lane order by ts, event_id) run from turns)
+    select lane, event_id, code, row_number() over (partition by lane, run order by ts, event_id) streak, row_number() over (partition by lane, run order by ts, event_id) >= 3 paused from runs where is_fail""")
+def w13_failure_streaks(spark, sf_dir):
+    return tasks.failure_streaks(task_events(spark, sf_dir))
+
+
+@registered("w16_latest_states", f"with {_EVENTS} select lane, first(kind order by ts desc, event_id desc) state, max(event_id) last_event, count(*) events from ev group by 1")
+def w16_latest_states(spark, sf_dir):
+    return tasks.latest_states(task_events(spark, sf_dir))
+
+
+@registered("a8_queue_metrics", f"""with {_EVENTS}, c as (select project_id, {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in ('add', 'claim', 'complete', 'fail', 'reopen'))} from ev group by 1),
+    r as (select project_id, sum(n - 1) repeats from (select project_id, lane, code, count(*) n from ev where kind = 'fail' group by 1, 2, 3) group by 1)
+    select c.*, cast(coalesce(repeats, 0) as bigint) repeats, round(case when n_fail = 0 then 0.0 else coalesce(repeats, 0)::double / n_fail end, 6) repeat_rate from c left join r using (project_id)""")
+def a8_queue_metrics(spark, sf_dir):
+    return tasks.queue_metrics(task_events(spark, sf_dir))
+
+
+@registered("a7_failures_by_code", f"with {_EVENTS} select project_id, code, count(*) failures, count(distinct lane) lanes from ev where kind = 'fail' group by 1, 2")
+def a7_failures_by_code(spark, sf_dir):
+    return tasks.failures_by_code(task_events(spark, sf_dir))
+
+
+@registered("a9_cache_use", f"with {_EVENTS}, v as (select cache_key, case when value > 100 then 1 else 0 end hit from ev where kind = 'claim') select cache_key, cast(sum(hit) as bigint) hits, cast(sum(1 - hit) as bigint) misses, round(sum(hit)::double / count(*), 6) hit_rate from v group by rollup (cache_key)")
+def a9_cache_use(spark, sf_dir):
+    return tasks.cache_use(task_events(spark, sf_dir))
+
+
+@registered("j15_overlapping_leases", f"with {_EVENTS}, c as (select *, max(ts + interval 6 hours) over (partition by lane order by ts, event_id rows between unbounded preceding and 1 preceding) held from ev where kind = 'claim') select lane, event_id from c where ts < held")
+def j15_overlapping_leases(spark, sf_dir):
+    return tasks.overlapping_leases(task_events(spark, sf_dir))
+
+
+@registered("a17_promoted_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", min(failure_id) source, arg_min(cluster, failure_id) cluster from att group by 1, 2, 3),
+    c as (select signature, cluster, "character", count(distinct page) pages from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character", count(distinct cluster) clusters from c group by 1, 2 having count(distinct cluster) >= 2)
+    select 'page' "scope", signature, "character", cast(page as varchar) place, 1::bigint sources from p union all select 'cluster', signature, "character", cast(cluster as varchar), pages from c union all select 'project', signature, "character", null, clusters from j union all select 'skill_candidate', signature, "character", null, 1::bigint from j""")
+def a17_promoted_rules(spark, sf_dir):
+    return learning.promoted(attempts(spark, sf_dir))
+
+
+@registered("p14_failure_signatures", "select l_returnflag, l_linestatus, count(*) n, sha256('{\"l_linestatus\":\"' || l_linestatus || '\",\"l_returnflag\":\"' || l_returnflag || '\"}') signature from lineitem group by 1, 2")
+def p14_failure_signatures(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).withColumn("signature", content_hash("l_returnflag", "l_linestatus"))
+
+
+@registered("j1_bijection_faults", """with i as (select o_orderkey k, count(*) n from orders group by 1), o as (select l_orderkey k, count(*) n from lineitem group by 1),
+    b as (select coalesce(i.k, o.k) "key", coalesce(i.n, 0) n_in, coalesce(o.n, 0) n_out from i full join o on i.k = o.k)
+    select *, case when n_out = 0 then 'missing' when n_in = 0 then 'extra' else 'repeated' end fault from b where n_out = 0 or n_in = 0 or n_in > 1 or n_out > 1""")
+def j1_bijection_faults(spark, sf_dir):
+    return integrity.bijection_faults(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), "key")
+
+
+@registered("a1_repeated_rows", "select l_orderkey, l_linenumber, count(*) copies from lineitem group by 1, 2 having count(*) > 1")
+def a1_repeated_rows(spark, sf_dir):
+    return integrity.repeated(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@registered("d3_resolved_facts", """with t as (select o_custkey subject, o_orderstatus value, o_orderpriority priority, rank() over (partition by o_custkey order by o_orderpriority) r from orders)
+    select subject, min(priority) priority, count(distinct value) "values", min(value) value, count(distinct value) > 1 conflict from t where r = 1 group by 1""")
+def d3_resolved_facts(spark, sf_dir):
+    return integrity.resolved(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("value"), F.col("o_orderpriority").alias("priority")))
+
+
+@registered("j18_self_reviews", """select o_orderkey unit, c_nationkey reviewer from orders join customer on o_custkey = c_custkey
+    where exists (select 1 from lineitem join supplier on l_suppkey = s_suppkey where l_orderkey = o_orderkey and s_nationkey = c_nationkey)""")
+def j18_self_reviews(spark, sf_dir):
+    read = lambda name: table(spark, sf_dir, name)
+    made = read("lineitem").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("unit"), F.col("s_nationkey").alias("generator"))
+    reviewed = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("unit"), F.col("c_nationkey").alias("reviewer"))
+    return integrity.self_reviews(made, reviewed)
+
+
+@registered("p27_channel_deltas", """select a.vec_id, round(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::double - z[2]::double))), 6) delta from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def p27_channel_deltas(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    after = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return vectors.join(after, "vec_id").select("vec_id", largest_difference("embedding", "next").alias("delta"))
+
+
+def _blocks(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("block"), F.col("role").alias("speaker"), "text")
+
+
+@registered("a12_dialogue_density", f"""with {_BLOCKS}, v as (select *, length(regexp_replace(text, '\\s', '', 'g')) n from blocks) select page, count(*) blocks, cast(sum(n) as bigint) visible, count(*) filter (n > 25) over_budget, count(distinct speaker) speakers from v group by 1""")
+def a12_dialogue_density(spark, sf_dir):
+    return dialogue.density(_blocks(spark, sf_dir))
+
+
+@registered("d4_unowned_balloons", f"with {_BLOCKS} select page, block, count(distinct speaker) owners from blocks group by 1, 2 having count(distinct speaker) <> 1")
+def d4_unowned_balloons(spark, sf_dir):
+    return dialogue.unowned(_blocks(spark, sf_dir))
+
+
+@registered("r10_source_hashes", "select conv_id, sha256(string_agg(text, chr(10) order by turn, role, text)) source_hash from conversations group by 1")
+def r10_source_hashes(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 256).alias("source_hash"))

@@ -1,0 +1,30 @@
+"""Every query with SQL gives the rows that DuckDB gives on the same tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from panelweave.queries import QUERIES, SQL
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{FOLDER}/{f}'")
+    return con
+
+
+def plain(rows):
+    return sorted(repr(tuple(int(x) if isinstance(x, bool) else x for x in r)) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_as_in_sql(spark, db, name):
+    df = QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    assert plain(df.select(*columns).collect()) == plain(db.execute(f"select {quoted} from ({SQL[name]})").fetchall())
