@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and written as a table in the shared folder; reading it starts a new lineage.
+
+    Unlike a checkpoint, a table does not carry the constraints of the plan behind it, which
+    in loops make planning slower with each round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

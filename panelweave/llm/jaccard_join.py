@@ -1,22 +1,20 @@
 """Exact Jaccard self-join of shingle sets in metric regions.
 
-The Jaccard distance d is a metric, and documents link when d <= 1 - threshold. Far apart
-sets all lie at distance one, where no pivot tells them apart, so space is first cut into
-regions that close sets are sure to share:
-
-* Sets of the same size band are cut into B slices by the shingles' hash. Linked sets differ
-  in at most D shingles, so in at most D slices; among the first D + 1 filled slices of each
-  (in a fixed order) they have one that is equal. Each such slice is a region.
-* In a region the smallest document is the pivot, and all members are measured against it.
-  Members within the link distance are its Voronoi ball, and now connected.
-* If a region still holds several components, those outside the ball are the next round's
-  centres. A pair is only measured if its distances to the earlier pivot differ by no more
-  than the link distance (triangle inequality): members of the ball inside that window are
-  the boundary documents, and are replicated to the next round. Rounds end when no region
-  holds members whose link is undecided. Connected members need no further measuring.
-
-Equal sets are one class from the start. Every link that is used is measured exactly on the
-whole texts' sets.
+The Jaccard distance d is a metric, and documents link when d <= 1 - threshold. Unrelated
+sets all lie at distance one, where no pivot tells them apart, so regions come in two levels:
+
+* Sets of a size band are cut into B slices by the shingles' hash. Linked sets differ in at
+  most D shingles, so in at most D slices; among the first D + k filled slices of each (in a
+  fixed order) they have at least k that are equal. An equal slice is a meeting point. Of its
+  meeting points a set leaves out the k - 1 most crowded: linked sets still share one. The
+  connected groups of meeting sets are the regions; no link crosses two of them.
+* A region's least set is its pivot, and every set in it is measured against the pivot. Sets
+  are ordered by that distance into shells of bounded size. By the triangle inequality two
+  shells can only hold linked sets if their distances lie within 1 - threshold, so each shell
+  is replicated to the shells inside that window, and these pairs are joined exactly, all at
+  once, by a matrix product. A pair of shells yields only the links that span its groups.
+
+Equal sets are one node, named by the digest of the set.
 
 Defined results: null text or text without words has the empty set, linked with nothing; a
 text with fewer words than a shingle has one shingle, its word sequence. Rows that share an
@@ -40,7 +38,10 @@ from ._spark import saved
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
-PIVOTS = 32
+MOST_SHARED = 16
+SHELL_SHINGLES = 32_768
+COLUMNS = 16_384
+FILTER_BITS = 1 << 23
 
 
 def linked(common: np.ndarray, either: np.ndarray) -> np.ndarray:
@@ -56,38 +57,48 @@ def largest_partner(n: int) -> int:
     return n * DENOMINATOR // NUMERATOR
 
 
-def slices_in(band: int) -> int:
-    """How many slices sets of 2**band up to 2**(band + 1) shingles are cut into."""
+def _most_apart_in(band: int) -> int:
     top = 2 ** (band + 1) - 1
-    return math.ceil(1.25 * (most_apart(top, largest_partner(top)) + 1))
+    return most_apart(top, largest_partner(top))
+
+
+def shared_in(band: int) -> int:
+    """k: how many meeting points linked sets of a band share at least."""
+    return 1 + min(MOST_SHARED - 1, _most_apart_in(band) // 4)
+
+
+def slices_in(band: int) -> int:
+    """B: how many slices sets of 2**band up to 2**(band + 1) shingles are cut into."""
+    return math.ceil(1.25 * (_most_apart_in(band) + shared_in(band)))
 
 
-def _regions(shingles: np.ndarray, band: int, apart: int) -> np.ndarray:
-    """Names of the regions that a set is in, in the scheme of one band."""
-    count = slices_in(band)
+def _meetings(shingles: np.ndarray, band: int, apart: int) -> np.ndarray:
+    """Names of the meeting points of a set in the scheme of one band; the band is in the low 6 bits."""
+    count, most = slices_in(band), apart + shared_in(band)
     slot = (shingles % np.uint64(count)).astype(np.int64)
+    held = np.bincount(slot, minlength=count)
     total = np.zeros(count, dtype=np.uint64)
     np.add.at(total, slot, scramble(shingles + np.uint64(band + 1)))
-    filled = np.zeros(count, dtype=bool)
-    filled[slot] = True
     names = scramble(total + np.arange(count, dtype=np.uint64) * np.uint64(2 * band + 3))
-    full = names[filled]
-    if len(full) > apart:
-        # the fixed order is that of the names
-        return np.partition(full, apart)[: apart + 1]
-    blank = scramble(np.arange(count, dtype=np.uint64)[~filled] * np.uint64(1_000_003) + np.uint64(band))
-    return np.concatenate([full, blank])
-
-
-def regions_of(shingles: np.ndarray) -> np.ndarray:
-    """Regions as the smaller of a pair, in the set's own band, and as the larger, also in the band below."""
+    filled = np.flatnonzero(held)
+    if len(filled) >= most:
+        # the fixed order: slices that hold the most come first, as they are shared by chance the least
+        found = names[filled[np.lexsort((names[filled], -held[filled]))[:most]]]
+    else:
+        blank = np.flatnonzero(held == 0).astype(np.uint64)
+        found = np.concatenate([names[filled], scramble(blank * np.uint64(1_000_003) + np.uint64(band))])
+    return (found & ~np.uint64(63)) | np.uint64(band)
+
+
+def meetings_of(shingles: np.ndarray) -> np.ndarray:
+    """Meeting points as the smaller of a pair, in the set's own band, and as the larger, also in the band below."""
     n = len(shingles)
     if most_apart(n, largest_partner(n)) < 1:
-        return np.zeros(0, dtype=np.uint64)  # only an equal set is close enough, and that is in the same class
+        return np.zeros(0, dtype=np.uint64)  # only an equal set is close enough, and that is the same node
     band = n.bit_length() - 1
-    found = [_regions(shingles, band, most_apart(n, largest_partner(n)))]
+    found = [_meetings(shingles, band, most_apart(n, largest_partner(n)))]
     if band and largest_partner(2**band - 1) >= n:
-        found.append(_regions(shingles, band - 1, most_apart(n, n)))
+        found.append(_meetings(shingles, band - 1, most_apart(n, n)))
     return np.unique(np.concatenate(found))
 
 
@@ -108,8 +119,8 @@ def shingle_stats(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> D
     return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n_shingles bigint, digest binary")
 
 
-def region_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """A row (region, key) for each region of each document. Of equal sets that a task meets, only the first is placed: the others are in its class."""
+def meeting_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """A row (meeting, key) for each meeting point of each document. Of equal sets that a task finds, only the first is placed: the others are the same node."""
 
     def work(batches):
         met: set[bytes] = set()
@@ -121,32 +132,91 @@ def region_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Dat
                     if digest is None or digest in met or not part.column(0)[row].is_valid:
                         continue
                     met.add(digest)
-                    found = regions_of(shingles)
+                    found = meetings_of(shingles)
                     names.append(found)
                     rows.append(np.full(len(found), row))
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), part.column(0).take(pa.array(np.concatenate(rows)))], names=["region", key])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), part.column(0).take(pa.array(np.concatenate(rows)))], names=["meeting", key])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"region bigint, {key} {kind}")
+    return docs.select(key, text).mapInArrow(work, f"meeting bigint, {key} {kind}")
 
 
-def measured(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """pairs (a, b) with common and either: sizes of intersection and union of the two documents' sets."""
+def digest_filter(nodes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set at the places of the digests in the column node: a filter of fixed size."""
+    place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint") % F.lit(FILTER_BITS) + 1
+    parts = nodes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros((FILTER_BITS // 32_768, 4_096), dtype=np.uint8)
+    for row in parts:
+        bits[row.part - 1] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+    return bits.ravel()
+
+
+def _passes(digest: bytes, bits: np.ndarray) -> bool:
+    place = int.from_bytes(digest[:4], "big") % FILTER_BITS
+    return bool(bits[place >> 3] >> (place & 7) & 1)
+
+
+def set_rows(docs: DataFrame, text: str, bits: np.ndarray, width: int = WIDTH) -> DataFrame:
+    """digest, n and shingles (the bytes of the sorted hashes) of each row whose set's digest passes the filter."""
 
     def work(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                left, right = ([s for p in text_slices(part.select([c]), c) for s in shingle_sets(p.column(0), width)] for c in ("text_a", "text_b"))
-                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], dtype=np.int64)
-                either = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.int64) - common
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(common), pa.array(either)], names=["a", "b", "common", "either"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("body"))
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, f"a {kind}, b {kind}, common bigint, either bigint")
+            for part in text_slices(batch, text):
+                sets = [(d, x) for x in shingle_sets(part.column(0), width) if len(x) and _passes(d := set_digest(x), bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.binary()), pa.array([len(x) for _, x in sets], pa.int64()), pa.array([x.tobytes() for _, x in sets], pa.binary())], names=["digest", "n", "shingles"])
+
+    return docs.select(text).mapInArrow(work, "digest binary, n bigint, shingles binary")
+
+
+def _from_pivot(batches):
+    """root, digest, n, shingles and the pivot's set -> with the distance from the pivot in its place."""
+    for batch in batches:
+        own, pivot = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(c)] for c in (3, 4))
+        common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, pivot)], dtype=np.int64)
+        either = np.array([len(x) + len(y) for x, y in zip(own, pivot)], dtype=np.int64) - common
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(1 - common / np.maximum(either, 1))], names=["root", "digest", "n", "shingles", "distance"])
+
+
+def _spanning(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links that connect what is linked among the sets, without all the pairs."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = np.bincount(column) > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        block[row[a:b], column[a:b] - start] = 1
+        common += block @ block.T
+    common = common.astype(np.int64)
+    link = linked(common, sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(link, False)
+    found, waiting = [], link.any(1)
+    while waiting.any():
+        seed = int(np.argmax(waiting))
+        reach = link[seed].copy()
+        reach[seed] = True
+        size = 0
+        while size != (size := int(reach.sum())):
+            reach |= link[reach].any(0)
+        waiting &= ~reach
+        found += [(names[seed], names[j]) for j in np.flatnonzero(reach) if j != seed]
+    return found
+
+
+def _shell_links(batches):
+    for batch in batches:
+        out = []
+        for shells in zip(*(c.to_pylist() for c in batch.columns)):
+            held = {s["digest"]: s["shingles"] for shell in shells for s in shell or ()}
+            out += _spanning(list(held), [np.frombuffer(x, dtype=np.uint64) for x in held.values()])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,46 +238,46 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, pivots: int = PIVOTS) -> DataFrame:
+def links(docs: DataFrame, named: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """Links (a, b) between digests that span the components. named: id, digest and several (the id has other digests, too)."""
+    by_meeting = Window.partitionBy("meeting")
+    placed = meeting_rows(docs, key, text, width).withColumn("least", F.min(key).over(by_meeting)).withColumn("most", F.max(key).over(by_meeting))
+    met = placed.filter("least <> most").select("meeting", F.col(key).alias("id")).join(named, "id").groupBy("meeting", "digest").agg(F.max("several").alias("several"))
+    met = met.withColumn("crowd", F.count("*").over(by_meeting)).filter("crowd > 1")
+    band = F.col("meeting").bitwiseAND(F.lit(63)).cast("int")
+    spare = F.element_at(F.array(*(F.lit(shared_in(b)) for b in range(48))), band + 1)
+    rank = F.row_number().over(Window.partitionBy("digest", band).orderBy(F.desc("crowd"), "meeting"))
+    met = met.withColumn("rank", rank).filter((F.col("rank") >= spare) | F.col("several"))
+    met = met.withColumn("a", F.min("digest").over(by_meeting)).filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
+    regions = saved(components(met))
+
+    # sets that meet none stay where they are; only the others are shuffled
+    sets = set_rows(docs, text, digest_filter(regions), width).groupBy("digest").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = saved(sets.join(regions, F.col("digest") == F.col("node")).select("root", "digest", "n", "shingles"))
+    pivots = sets.filter("root = digest").select("root", F.col("shingles").alias("pivot"))
+    shelled = sets.join(pivots, "root").select("root", "digest", "n", "shingles", "pivot").mapInArrow(_from_pivot, "root binary, digest binary, n bigint, shingles binary, distance double")
+    outward = Window.partitionBy("root").orderBy("distance", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    shelled = shelled.withColumn("shell", F.floor(F.coalesce(F.sum("n").over(outward), F.lit(0)) / F.lit(SHELL_SHINGLES)))
+    shelled = shelled.withColumn("last", F.max("shell").over(Window.partitionBy("root")))
+    shells = saved(shelled.groupBy("root", "shell").agg(F.max("last").alias("last"), F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.collect_list(F.struct("digest", "shingles")).alias("sets")))
+    apart = F.lit(1.0 - NUMERATOR / DENOMINATOR + 1e-9)
+    # a shell alone, and with each later shell inside the window
+    within = shells.select(F.col("sets").alias("left"), F.lit(None).cast(shells.schema["sets"].dataType).alias("right"))
+    many = shells.filter("last > 0")
+    near = many.alias("x").join(many.alias("y"), (F.col("x.root") == F.col("y.root")) & (F.col("x.shell") < F.col("y.shell")) & (F.col("y.inner") - F.col("x.outer") <= apart))
+    near = near.select(F.col("x.sets").alias("left"), F.col("y.sets").alias("right"))
+    return within.unionAll(near).mapInArrow(_shell_links, "a binary, b binary")
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles and component_id (the least key reachable by links, its own included) of each row."""
     stats = saved(shingle_stats(docs, key, text, width))
-    # a class of equal sets goes by its least key; a key with several sets ties their classes together
-    named = stats.filter(F.col("digest").isNotNull() & F.col(key).isNotNull())
-    classes = named.groupBy("digest").agg(F.min(key).alias("class"))
-    member = saved(named.select(F.col(key).alias("id"), "digest").join(classes, "digest").select("id", "class").distinct())
-    several = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("a", "b")
-    several = member.join(several.select("a", F.col("b").alias("other")), member["class"] == F.col("other")).select(F.col("a"), F.col("class").alias("b")).union(member.filter("id <> class").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("a", "b"))
-
-    placed = region_rows(docs, key, text, width)
-    by_region = Window.partitionBy("region")
-    shared = placed.withColumn("least", F.min(key).over(by_region)).withColumn("most", F.max(key).over(by_region)).filter("least <> most").select("region", F.col(key).alias("id"))
-    members = shared.join(member, "id").select("region", F.col("class").alias("id")).distinct()
-    members = members.withColumn("pivot", F.min("id").over(by_region)).withColumn("most", F.max("id").over(by_region)).filter("pivot <> most").drop("most")
-    members = saved(members)
-
-    far = F.lit(1.0 - NUMERATOR / DENOMINATOR + 1e-9)
-    pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    known = saved(measured(pairs, docs, key, text, width).groupBy("a", "b").agg(F.max(F.struct((F.col("common") / F.col("either")).alias("near"), "common", "either")).alias("m")).select("a", "b", (1 - F.col("m.near")).alias("distance"), (F.col("m.common") * DENOMINATOR >= F.col("m.either") * NUMERATOR).alias("link")))
-    done = known
-    centres = members.select("region", F.col("pivot").alias("centre")).distinct()
-    while True:
-        roots = components(done.filter("link").select("a", "b").union(several))
-        rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("region", "id", "pivot", F.coalesce("root", "id").alias("root"))
-        by_region_root = Window.partitionBy("region")
-        open_ = rooted.withColumn("low", F.min("root").over(by_region_root)).withColumn("high", F.max("root").over(by_region_root)).filter("low <> high").select("region", "id", "pivot", "root")
-        # distance to the region's first pivot (0 for itself), for the windows
-        open_ = open_.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance"), ["pivot", "id"], "left").withColumn("distance", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
-        fresh = open_.join(centres.withColumnRenamed("centre", "id"), ["region", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("region").orderBy("id"))
-        chosen = saved(fresh.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("region", F.col("id").alias("centre"), F.col("root").alias("centre_root"), F.col("distance").alias("centre_distance")))
-        if chosen.isEmpty():
-            break
-        centres = saved(centres.union(chosen.select("region", "centre")))
-        window = (F.col("root") != F.col("centre_root")) & (F.abs(F.col("distance") - F.col("centre_distance")) <= far)
-        wanted = open_.join(chosen, "region").filter(window).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        wanted = saved(wanted.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        more = measured(wanted, docs, key, text, width).groupBy("a", "b").agg(F.max(F.struct((F.col("common") / F.col("either")).alias("near"), "common", "either")).alias("m")).select("a", "b", (1 - F.col("m.near")).alias("distance"), (F.col("m.common") * DENOMINATOR >= F.col("m.either") * NUMERATOR).alias("link"))
-        done = saved(done.union(more))
-
-    final = member.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").groupBy("id").agg(F.min(F.coalesce("root", "class")).alias("root"))
-    return stats.join(final.withColumnRenamed("id", key), key, "left").select(key, "n_shingles", F.coalesce("root", key).alias("component_id"))
+    by_id = Window.partitionBy("id")
+    named = stats.filter(F.col("digest").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), "digest").distinct()
+    named = saved(named.withColumn("first", F.min("digest").over(by_id)).withColumn("several", F.col("first") != F.max("digest").over(by_id)))
+    tied = named.filter("first <> digest").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    roots = components(links(docs, named, key, text, width).union(tied))
+    rooted = named.join(roots, F.col("digest") == F.col("node"), "left").select("id", F.coalesce("root", "digest").alias("root"))
+    least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
+    found = saved(rooted.join(least, "root").groupBy(F.col("id").alias(key)).agg(F.min("component_id").alias("component_id")))
+    return stats.join(found, key, "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
