@@ -81,7 +81,8 @@ def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMP
                 texts.append(record(page_id, url, payload, sha1_base32(payload), None, False))
         yield pa.RecordBatch.from_arrays([pa.array([dictionary_of(texts)], pa.binary())], names=["content"])
 
-    return sample.coalesce(1).mapInArrow(work, "content binary").first()[0]
+    row = sample.coalesce(1).mapInArrow(work, "content binary").first()
+    return bytes(row[0]) if row else dictionary_of([])
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
