@@ -85,12 +85,10 @@ def fit(docs: DataFrame, key: str, lang: str, text: str, rows: int = SAMPLE_ROWS
 class Scorer:
     def __init__(self, model: dict):
         self.model, self.langs = model, model["langs"]
-        self.known = dict(model["tables"].get(0, {}))
-        self.memo: dict[str, int] = {}
-        self.rows = [self.known[w] for w in self.known]
-        self.memo = {w: i for i, w in enumerate(self.known)}
-        self.base = len(self.memo)
-        self.matrix = np.array(self.rows, dtype=np.float64).reshape(-1, max(1, len(self.langs)))
+        known = model["tables"].get(0, {})
+        self.first = {w: i for i, w in enumerate(known)}
+        self.memo = dict(self.first)
+        self.matrix = np.array(list(known.values()), dtype=np.float64).reshape(-1, max(1, len(self.langs)))
 
     def backoff(self, word: str) -> list[float]:
         """Mean log frequency of the word's n-grams, of the longest length with a known one."""
@@ -98,7 +96,7 @@ class Scorer:
             table = self.model["tables"].get(n, {})
             found = [table[g] for g in grams(word, n) if g in table]
             if found:
-                return np.mean(found, axis=0).tolist()
+                return [sum(x) / len(found) for x in zip(*found)]
         return [0.0] * len(self.langs)
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -106,14 +104,13 @@ class Scorer:
         split = [_WORD.findall(t.lower()) if t else [] for t in texts]
         new = [w for w in set().union(*split) if w not in self.memo] if split else []
         if new:
-            if len(self.memo) > self.base + MEMO_WORDS:
-                self.memo = {w: i for i, w in enumerate(self.known)}
-                self.rows = self.rows[: self.base]
+            if len(self.memo) > len(self.first) + MEMO_WORDS:
+                self.memo = dict(self.first)
+                self.matrix = self.matrix[: len(self.first)]
                 new = [w for w in set().union(*split) if w not in self.memo]
-            for w in new:
-                self.memo[w] = len(self.rows)
-                self.rows.append(self.backoff(w))
-            self.matrix = np.array(self.rows, dtype=np.float64)
+            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
+            rows = np.array([self.backoff(w) for w in new], dtype=np.float64)
+            self.matrix = np.concatenate([self.matrix, rows.reshape(-1, self.matrix.shape[1])])
         out = []
         for words in split:
             out.append(self.matrix[np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))].sum(0) if words else None)
