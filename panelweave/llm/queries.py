@@ -70,4 +70,10 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_piece_encoding, op2_media_sequences, op3_jaccard_join, op4_secret_ledger, op5_language_id, op6_source_mix, op7_warc_dictionary, op8_weak_quality, op9_slot_sharding, op10_pivot_topk)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_pivot_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) v from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) n from s)
+    select query_id, cast(n as int) "rank", vec_id, score from r where n <= 10""",
+}
