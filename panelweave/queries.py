@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import content_hash, largest_difference, page_identity
-from panelweave.operators import dialogue, integrity, learning, sequence, tasks
+from panelweave.operators import clusters, dialogue, integrity, lanes, learning, rules, sequence, tasks
 from panelweave.sources.tables import attempts, story_pages, table, task_events, url_pages
+from panelweave.streaming.events import KINDS, window_metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +178,129 @@ def d4_unowned_balloons(spark, sf_dir):
 def r10_source_hashes(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 256).alias("source_hash"))
+
+
+@registered("w9_scene_clusters")
+def w9_scene_clusters(spark, sf_dir):
+    return clusters.scene_clusters(story_pages(spark, sf_dir))
+
+
+@registered("w10_migration_clusters", f"""with {_STORY}, keyed as (select *, coalesce(risk < 300, true) u, concat_ws(chr(31), {', '.join(f"coalesce(nullif(trim({c}), ''), 'unknown')" for c in clusters.SCENE)}) k from story),
+    turns as (select *, case when u or coalesce(lag(u) over w, true) or k is distinct from lag(k) over w then 1 else 0 end turn from keyed window w as (partition by project_id order by pos)),
+    runs as (select *, cast(sum(turn) over (partition by project_id order by pos) as bigint) run from turns),
+    spots as (select *, (row_number() over (partition by project_id, run order by pos) - 1) // 20 chunk from runs)
+    select project_id, run, chunk, count(*) size, arg_min(page_id, pos) first_page, list(page_id order by pos)[(count(*) - 1) // 2 + 1] canary, case when bool_or(u) then 'unresolved' else 'confirmed' end state from spots group by 1, 2, 3""")
+def w10_migration_clusters(spark, sf_dir):
+    return clusters.migration_clusters(story_pages(spark, sf_dir).withColumn("unresolved", F.coalesce(F.col("risk") < 300, F.lit(True))))
+
+
+@registered("st3_lane_pauses")
+def st3_lane_pauses(spark, sf_dir):
+    return lanes.pauses(task_events(spark, sf_dir))
+
+
+@registered("j14_canary_gates", f"""with {_EVENTS}, l as (select lane, first(event_id order by ts, event_id) canary, first(kind order by ts, event_id) k, bool_or(kind = 'complete') approved, count(*) filter (kind = 'claim') n from ev group by 1)
+    select lane, canary, approved, case when approved then 0 else n - case when k = 'claim' then 1 else 0 end end waiting from l""")
+def j14_canary_gates(spark, sf_dir):
+    return lanes.canary_gates(task_events(spark, sf_dir))
+
+
+@registered("a4_lease_ends", f"""with {_EVENTS}, n as (select *, lead(ts) over (partition by lane order by ts, event_id) nxt from ev)
+    select project_id, count(*) claims, count(*) filter (ts + interval 6 hours <= nxt) expired, count(*) filter (nxt is null) "open" from n where kind = 'claim' group by 1""")
+def a4_lease_ends(spark, sf_dir):
+    return lanes.lease_ends(task_events(spark, sf_dir))
+
+
+_STEPS = f"{_EVENTS}, steps as (select *, lag(kind) over (partition by lane order by ts, event_id) was from ev)"
+
+
+@registered("d1_skipped_states", f"""with {_STEPS}, r as (select *, map {{'add': 1, 'claim': 2, 'complete': 3, 'fail': 3, 'reopen': 4}} m from steps) select lane, event_id, was, kind from r where was is not null and m[kind] > m[was] + 1""")
+def d1_skipped_states(spark, sf_dir):
+    return lanes.skipped_states(task_events(spark, sf_dir))
+
+
+@registered("d2_illegal_moves", f"with {_STEPS} select lane, event_id, was, kind from steps where was is not null and was || '>' || kind not in ('add>claim', 'claim>claim', 'claim>complete', 'claim>fail', 'fail>reopen', 'reopen>claim')")
+def d2_illegal_moves(spark, sf_dir):
+    return lanes.illegal_moves(task_events(spark, sf_dir))
+
+
+@registered("d7_handoffs", f"""with {_EVENTS}, t as (select *, count(*) filter (kind = 'complete') over (partition by lane order by ts, event_id) n from ev),
+    c as (select *, lag(code) over w was_code, lag(n) over w was_n from t where kind = 'claim' window w as (partition by lane order by ts, event_id)) select lane, event_id, was_code, code from c where was_code <> code and was_n = n""")
+def d7_handoffs(spark, sf_dir):
+    return lanes.unexplained_handoffs(task_events(spark, sf_dir))
+
+
+@registered("st1_first_adds", f"with {_EVENTS} select lane, first(event_id order by ts, event_id) event_id, count(*) - 1 repeats from ev where kind = 'add' group by 1")
+def st1_first_adds(spark, sf_dir):
+    return lanes.first_adds(task_events(spark, sf_dir))
+
+
+@registered("st7_daily_metrics", f"""with {_EVENTS} select cast(cast(ts as date) as varchar) "day", {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in KINDS)} from ev group by 1""")
+def st7_daily_metrics(spark, sf_dir):
+    return window_metrics(task_events(spark, sf_dir)).withColumn("day", F.date_format("start", "yyyy-MM-dd")).drop("start")
+
+
+@registered("p20_slice_checks", f"""with {_BLOCKS}, b as (select page, block, speaker, coalesce(text, '') t from blocks),
+    s as (select *, coalesce(sum(length(t) + 1) over (partition by page order by block, speaker, t rows between unbounded preceding and 1 preceding), 0) "start" from b),
+    e as (select *, lag("start" + length(t)) over (partition by page order by block, speaker, t) past from s), n as (select page, string_agg(t, chr(10) order by block, speaker, t) src from b group by 1)
+    select page, count(*) blocks, max(length(src)) length, count(*) filter (substr(src, cast("start" as bigint) + 1, length(t)) = t) equal, count(*) filter ("start" < past) "overlaps" from e join n using (page) group by 1""")
+def p20_slice_checks(spark, sf_dir):
+    return dialogue.slice_checks(_blocks(spark, sf_dir))
+
+
+@registered("r2_text_requests", f"""with {_BLOCKS}, b as (select page, block, coalesce(speaker, '') s, coalesce(text, '') t from blocks),
+    m as (select page, string_agg('[' || block || '] ' || s || ': ' || t, chr(10) order by block, s, t) r, bool_or(length(regexp_replace(t, '\\s', '', 'g')) > 25) needs_reason from b group by 1) select page, length(r) length, sha256(r) request_hash, needs_reason from m""")
+def r2_text_requests(spark, sf_dir):
+    return dialogue.text_requests(_blocks(spark, sf_dir))
+
+
+@registered("g2_revoked_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster, page % 10 = 0 gone from att group by 1, 2, 3),
+    c as (select signature, cluster, "character", bool_or(gone) gone from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character", bool_or(gone) gone from c group by 1, 2 having count(distinct cluster) >= 2)
+    select 'page' "scope", signature, "character", cast(page as varchar) place from p where gone union all select 'cluster', signature, "character", cast(cluster as varchar) from c where gone union all select s, signature, "character", null from j, (values ('project'), ('skill_candidate')) v(s) where gone""")
+def g2_revoked_rules(spark, sf_dir):
+    return learning.revoked(attempts(spark, sf_dir), F.col("page") % 10 == 0)
+
+
+@registered("j13_applicable_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster from att group by 1, 2, 3), c as (select signature, cluster, "character" from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character" from c group by 1, 2 having count(distinct cluster) >= 2),
+    q as (select distinct l_orderkey page, l_suppkey cluster, l_linestatus "character", l_returnflag signature from lineitem where not (l_quantity > 48 and l_discount >= 0.09)),
+    r as (select q.*, p.page is not null a, c.cluster is not null b, j.signature is not null d from q left join p on p.page = q.page and p."character" = q."character" and p.signature = q.signature left join c on c.cluster = q.cluster and c."character" = q."character" and c.signature = q.signature left join j on j."character" = q."character" and j.signature = q.signature)
+    select page, cluster, "character", signature, cast(a as bigint) + cast(b as bigint) + 2 * cast(d as bigint) rules, case when a then 'page' when b then 'cluster' when d then 'project' end "leading" from r""")
+def j13_applicable_rules(spark, sf_dir):
+    return learning.applicable(attempts(spark, sf_dir))
+
+
+@registered("j12_illegal_policies", f"""with r as (select doc_id, case when quality = 1 then 'unchanged_copy' else 'edited' end a, case when quality = 1 then 'unchanged' when toxic = 1 then 'visual' else 'text_only' end s, n_chars > 500 h, ['reliable', 'unreliable', 'not_applicable'][doc_id % 3 + 1] k from documents join labels using (doc_id)),
+    f as (select *, case when s = 'unchanged' then 'none' when s = 'visual' then case when h then 'page' else 'none' end when k = 'reliable' then 'block' else 'page' end m, case when s = 'unchanged' then 'unchanged_page' when s = 'visual' then case when h then 'visual_repair_requires_page_reset' else 'no_ordinary_text' end when k = 'reliable' then 'reliable_block_match' else 'unreliable_text_page_reset' end w from r)
+    select doc_id from f where h is null or not coalesce(({' or '.join(f"(a = '{a}' and s = '{s}' and k = '{k}' and m = '{m}' and w = '{w}'" + ("" if h == "any" else f" and h = {h}") + ")" for a, s, h, k, m, w in rules.POLICIES)}), false)""")
+def j12_illegal_policies(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    scope = F.when(F.col("quality") == 1, "unchanged").when(F.col("toxic") == 1, "visual").otherwise("text_only")
+    rows = joined.select("doc_id", F.when(F.col("quality") == 1, "unchanged_copy").otherwise("edited").alias("action"), scope.alias("repair_scope"), (F.col("n_chars") > 500).alias("had_text"), F.element_at(F.array(*map(F.lit, ("reliable", "unreliable", "not_applicable"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("recognition"))
+    still, seen, sure = F.col("repair_scope") == "unchanged", F.col("repair_scope") == "visual", F.col("recognition") == "reliable"
+    pick = lambda none, page, bare, block, reset: F.when(still, none).when(seen & F.col("had_text"), page).when(seen, bare).when(sure, block).otherwise(reset)
+    rows = rows.withColumn("reset_mode", pick("none", "page", "none", "block", "page")).withColumn("reason", pick("unchanged_page", "visual_repair_requires_page_reset", "no_ordinary_text", "reliable_block_match", "unreliable_text_page_reset"))
+    return rules.illegal_policies(rows, "doc_id")
+
+
+_SPELLED = ("Copy-Original", " no_change", "Text-Repair", "page_reset", "REDRAW", "regenerate", "unknown", "")
+
+
+@registered("p22_task_classes", f"""with r as (select source project_id, lang is null u, replace(lower(trim({list(_SPELLED)}[doc_id % 8 + 1])), '-', '_') a from documents)
+    select project_id, {', '.join("case when u then '" + rules.BLOCKED[i] + "' " + ' '.join(f"when a in {names} then '{kind[i]}'" for kind, names in rules.CLASSES.items()) + f" else '{rules.BLOCKED[i]}' end {column}" for i, column in enumerate(('page_class', 'task_type')))}, count(*) pages from r group by 1, 2, 3""")
+def p22_task_classes(spark, sf_dir):
+    action = F.element_at(F.array(*map(F.lit, _SPELLED)), (F.col("doc_id") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id"), F.col("lang").isNull().alias("unresolved"), action.alias("action"))
+    return rules.with_task_class(rows).groupBy("project_id", "page_class", "task_type").agg(F.count("*").alias("pages"))
+
+
+@registered("j10_snapshot_changes", """select coalesce(s_suppkey, c_custkey) "key", case when s_suppkey is null then 'added' when c_custkey is null then 'removed' else 'changed' end "change" from supplier full join customer on s_suppkey = c_custkey where s_suppkey is null or c_custkey is null or s_nationkey is distinct from c_nationkey""")
+def j10_snapshot_changes(spark, sf_dir):
+    before = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("digest"))
+    return rules.snapshot_changes(before, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("digest")), "key", "digest")
+
+
+@registered("v_row_violations", """select doc_id, 'location_missing' rule_id from documents where lang is null union all select doc_id, 'excerpt_empty' from documents where coalesce(trim(text), '') = ''
+    union all select doc_id, 'offsets_differ' from documents where n_chars is distinct from length(text) union all select doc_id, 'project_missing' from documents where source is null""")
+def v_row_violations(spark, sf_dir):
+    faults = {"location_missing": F.col("lang").isNull(), "excerpt_empty": F.coalesce(F.trim("text"), F.lit("")) == "", "offsets_differ": ~F.col("n_chars").eqNullSafe(F.length("text").cast("bigint")), "project_missing": F.col("source").isNull()}
+    return rules.violations(table(spark, sf_dir, "documents"), faults, "doc_id")
