@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import content_hash, largest_difference, page_identity
 from panelweave.operators import clusters, dialogue, integrity, lanes, learning, rules, sequence, tasks
+from panelweave.registry import ATTEMPTS, BLOCKS, EVENTS, FILES, QUERIES, SQL, STORY, balanced_sql, registered
 from panelweave.sources.tables import attempts, story_pages, table, task_events, url_pages
 from panelweave.streaming.events import KINDS, window_metrics
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-_STORY = "story as (select source project_id, doc_id page_id, source chapter, lang location, case when n_chars < 1000 then 'day' else 'night' end story_time, cast(doc_id % 3 as varchar) scene_id, n_chars risk, row_number() over (partition by source order by doc_id) - 1 pos, count(*) over (partition by source) total from documents)"
-_FILES = r"files as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) project_id, regexp_extract(url, '([^/]*)$', 1) name from pages)"
-_EVENTS = "ev as (select user_id % 10 project_id, user_id lane, event_id, ts, case event_type when 'signup' then 'add' when 'view' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' when 'click' then 'reopen' end kind, cast(json_extract_string(props, '$.k') as bigint) % 2 code, cast(json_extract_string(props, '$.k') as bigint) cache_key, value from events)"
-_ATTEMPTS = "att as (select l_orderkey page, l_suppkey cluster, l_linestatus \"character\", l_returnflag signature, concat_ws('-', l_orderkey, l_linenumber, l_partkey) failure_id from lineitem where l_quantity > 48 and l_discount >= 0.09)"
-_BLOCKS = "blocks as (select conv_id page, turn block, role speaker, text from conversations)"
 
-
-def _group(pos: str, total: str, most: int) -> str:
-    k, size = f"cast(ceil({total} / {most}.0) as bigint)", f"({total} // cast(ceil({total} / {most}.0) as bigint))"
-    edge = f"(({total} - {k} * {size}) * ({size} + 1))"
-    return f"case when {pos} < {edge} then {pos} // ({size} + 1) else ({total} - {k} * {size}) + ({pos} - {edge}) // {size} end"
-
-
-@registered("w3_batches", f"""with {_STORY}, dealt as (select *, {_group('pos', 'total', 12)} batch from story),
+@registered("w3_batches", f"""with {STORY}, dealt as (select *, {balanced_sql('pos', 'total', 12)} batch from story),
     ctx as (select *, coalesce(list(page_id) over (partition by project_id order by pos rows between 2 preceding and 1 preceding), []) pre, coalesce(list(page_id) over (partition by project_id order by pos rows between 1 following and 2 following), []) post from dealt),
     made as (select project_id, batch, count(*) size, string_agg(cast(page_id as varchar), ',' order by pos) members, array_to_string(arg_min(pre, pos), ',') before, array_to_string(arg_max(post, pos), ',') after from ctx group by 1, 2)
     select *, sha256(project_id || '|' || members) batch_id from made""")
@@ -47,7 +19,7 @@ def w3_batches(spark, sf_dir):
     return sequence.batches(story_pages(spark, sf_dir))
 
 
-@registered("w1_story_index", rf"""with {_FILES}, k as (select *, lower(regexp_replace(trim(name), '\.[^.]*$', '')) stem from files),
+@registered("w1_story_index", rf"""with {FILES}, k as (select *, lower(regexp_replace(trim(name), '\.[^.]*$', '')) stem from files),
     keyed as (select *, (case when regexp_matches(stem, '^[0-9]+(\([0-9]+\))?$') then '0' else '1' end) || array_to_string(list_transform(regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 12, '0') else p end), '') nk from k),
     numbered as (select project_id, page_id, name, row_number() over (partition by project_id order by nk, name, page_id) "index" from keyed)
     select *, printf('%04d.jpg', "index") output_name from numbered""")
@@ -55,12 +27,12 @@ def w1_story_index(spark, sf_dir):
     return sequence.story_index(url_pages(spark, sf_dir)).select("project_id", "page_id", "name", "index", "output_name")
 
 
-@registered("p1_page_identity", rf"""with {_FILES} select project_id, page_id, nullif(regexp_extract(translate(regexp_replace(trim(name), '\.[^.]*$', ''), '（）', '()'), '^[A-Za-z0-9]+(\([0-9]+\))?$', 0), '') identity from files""")
+@registered("p1_page_identity", rf"""with {FILES} select project_id, page_id, nullif(regexp_extract(translate(regexp_replace(trim(name), '\.[^.]*$', ''), '（）', '()'), '^[A-Za-z0-9]+(\([0-9]+\))?$', 0), '') identity from files""")
 def p1_page_identity(spark, sf_dir):
     return url_pages(spark, sf_dir).select("project_id", "page_id", page_identity(F.col("name")).alias("identity"))
 
 
-_RUNS = f"{_STORY}, keyed as (select *, concat_ws(chr(31), chapter, location, story_time, scene_id) \"key\" from story), turns as (select *, case when \"key\" is distinct from lag(\"key\") over (partition by project_id order by pos) then 1 else 0 end turn from keyed), runs as (select *, sum(turn) over (partition by project_id order by pos) run from turns)"
+_RUNS = f"{STORY}, keyed as (select *, concat_ws(chr(31), chapter, location, story_time, scene_id) \"key\" from story), turns as (select *, case when \"key\" is distinct from lag(\"key\") over (partition by project_id order by pos) then 1 else 0 end turn from keyed), runs as (select *, sum(turn) over (partition by project_id order by pos) run from turns)"
 
 
 @registered("w4_scene_runs", f"with {_RUNS} select project_id, run, count(*) size, min(page_id) first_page, max(page_id) last_page from runs group by 1, 2")
@@ -68,18 +40,18 @@ def w4_scene_runs(spark, sf_dir):
     return sequence.scene_runs(story_pages(spark, sf_dir)).groupBy("project_id", "run").agg(F.count("*").alias("size"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
 
 
-@registered("w8_scene_chunks", f"""with {_RUNS}, spots as (select *, row_number() over (partition by project_id, run order by pos) - 1 spot, count(*) over (partition by project_id, run) n from runs), c as (select *, {_group('spot', 'n', 20)} chunk from spots)
+@registered("w8_scene_chunks", f"""with {_RUNS}, spots as (select *, row_number() over (partition by project_id, run order by pos) - 1 spot, count(*) over (partition by project_id, run) n from runs), c as (select *, {balanced_sql('spot', 'n', 20)} chunk from spots)
     select project_id, run, chunk, count(*) size, arg_min(page_id, pos) first_page, first(page_id order by risk desc nulls last, pos) canary from c group by 1, 2, 3""")
 def w8_scene_chunks(spark, sf_dir):
     return sequence.scene_chunks(story_pages(spark, sf_dir))
 
 
-@registered("j11_style_neighbours", f"""with {_STORY} select a.project_id, a.page_id, a.pos from story a where not exists (select 1 from story b where a.project_id = b.project_id and a.location is not distinct from b.location and a.pos <> b.pos and abs(a.pos - b.pos) <= 2)""")
+@registered("j11_style_neighbours", f"""with {STORY} select a.project_id, a.page_id, a.pos from story a where not exists (select 1 from story b where a.project_id = b.project_id and a.location is not distinct from b.location and a.pos <> b.pos and abs(a.pos - b.pos) <= 2)""")
 def j11_style_neighbours(spark, sf_dir):
     return sequence.style_neighbours(story_pages(spark, sf_dir))
 
 
-@registered("w13_failure_streaks", f"""with {_EVENTS}, moves as (select *, case when kind = 'fail' then code end fc, kind = 'fail' is_fail from ev where kind in ('fail', 'complete', 'reopen')),
+@registered("w13_failure_streaks", f"""with {EVENTS}, moves as (select *, case when kind = 'fail' then code end fc, kind = 'fail' is_fail from ev where kind in ('fail', 'complete', 'reopen')),
     turns as (select *, case when is_fail and coalesce(lag(is_fail) over w, false) and fc is not distinct from lag(fc) over w then 0 else 1 end turn from moves window w as (partition by lane order by ts, event_id)),
     runs as (select *, sum(turn) over (partition by lane order by ts, event_id) run from turns)
     select lane, event_id, code, row_number() over (partition by lane, run order by ts, event_id) streak, row_number() over (partition by lane, run order by ts, event_id) >= 3 paused from runs where is_fail""")
@@ -87,34 +59,34 @@ def w13_failure_streaks(spark, sf_dir):
     return tasks.failure_streaks(task_events(spark, sf_dir))
 
 
-@registered("w16_latest_states", f"with {_EVENTS} select lane, first(kind order by ts desc, event_id desc) state, max(event_id) last_event, count(*) events from ev group by 1")
+@registered("w16_latest_states", f"with {EVENTS} select lane, first(kind order by ts desc, event_id desc) state, max(event_id) last_event, count(*) events from ev group by 1")
 def w16_latest_states(spark, sf_dir):
     return tasks.latest_states(task_events(spark, sf_dir))
 
 
-@registered("a8_queue_metrics", f"""with {_EVENTS}, c as (select project_id, {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in ('add', 'claim', 'complete', 'fail', 'reopen'))} from ev group by 1),
+@registered("a8_queue_metrics", f"""with {EVENTS}, c as (select project_id, {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in ('add', 'claim', 'complete', 'fail', 'reopen'))} from ev group by 1),
     r as (select project_id, sum(n - 1) repeats from (select project_id, lane, code, count(*) n from ev where kind = 'fail' group by 1, 2, 3) group by 1)
     select c.*, cast(coalesce(repeats, 0) as bigint) repeats, round(case when n_fail = 0 then 0.0 else coalesce(repeats, 0)::double / n_fail end, 6) repeat_rate from c left join r using (project_id)""")
 def a8_queue_metrics(spark, sf_dir):
     return tasks.queue_metrics(task_events(spark, sf_dir))
 
 
-@registered("a7_failures_by_code", f"with {_EVENTS} select project_id, code, count(*) failures, count(distinct lane) lanes from ev where kind = 'fail' group by 1, 2")
+@registered("a7_failures_by_code", f"with {EVENTS} select project_id, code, count(*) failures, count(distinct lane) lanes from ev where kind = 'fail' group by 1, 2")
 def a7_failures_by_code(spark, sf_dir):
     return tasks.failures_by_code(task_events(spark, sf_dir))
 
 
-@registered("a9_cache_use", f"with {_EVENTS}, v as (select cache_key, case when value > 100 then 1 else 0 end hit from ev where kind = 'claim') select cache_key, cast(sum(hit) as bigint) hits, cast(sum(1 - hit) as bigint) misses, round(sum(hit)::double / count(*), 6) hit_rate from v group by rollup (cache_key)")
+@registered("a9_cache_use", f"with {EVENTS}, v as (select cache_key, case when value > 100 then 1 else 0 end hit from ev where kind = 'claim') select cache_key, cast(sum(hit) as bigint) hits, cast(sum(1 - hit) as bigint) misses, round(sum(hit)::double / count(*), 6) hit_rate from v group by rollup (cache_key)")
 def a9_cache_use(spark, sf_dir):
     return tasks.cache_use(task_events(spark, sf_dir))
 
 
-@registered("j15_overlapping_leases", f"with {_EVENTS}, c as (select *, max(ts + interval 6 hours) over (partition by lane order by ts, event_id rows between unbounded preceding and 1 preceding) held from ev where kind = 'claim') select lane, event_id from c where ts < held")
+@registered("j15_overlapping_leases", f"with {EVENTS}, c as (select *, max(ts + interval 6 hours) over (partition by lane order by ts, event_id rows between unbounded preceding and 1 preceding) held from ev where kind = 'claim') select lane, event_id from c where ts < held")
 def j15_overlapping_leases(spark, sf_dir):
     return tasks.overlapping_leases(task_events(spark, sf_dir))
 
 
-@registered("a17_promoted_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", min(failure_id) source, arg_min(cluster, failure_id) cluster from att group by 1, 2, 3),
+@registered("a17_promoted_rules", f"""with {ATTEMPTS}, p as (select signature, page, "character", min(failure_id) source, arg_min(cluster, failure_id) cluster from att group by 1, 2, 3),
     c as (select signature, cluster, "character", count(distinct page) pages from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character", count(distinct cluster) clusters from c group by 1, 2 having count(distinct cluster) >= 2)
     select 'page' "scope", signature, "character", cast(page as varchar) place, 1::bigint sources from p union all select 'cluster', signature, "character", cast(cluster as varchar), pages from c union all select 'project', signature, "character", null, clusters from j union all select 'skill_candidate', signature, "character", null, 1::bigint from j""")
 def a17_promoted_rules(spark, sf_dir):
@@ -164,12 +136,12 @@ def _blocks(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("block"), F.col("role").alias("speaker"), "text")
 
 
-@registered("a12_dialogue_density", f"""with {_BLOCKS}, v as (select *, length(regexp_replace(text, '\\s', '', 'g')) n from blocks) select page, count(*) blocks, cast(sum(n) as bigint) visible, count(*) filter (n > 25) over_budget, count(distinct speaker) speakers from v group by 1""")
+@registered("a12_dialogue_density", f"""with {BLOCKS}, v as (select *, length(regexp_replace(text, '\\s', '', 'g')) n from blocks) select page, count(*) blocks, cast(sum(n) as bigint) visible, count(*) filter (n > 25) over_budget, count(distinct speaker) speakers from v group by 1""")
 def a12_dialogue_density(spark, sf_dir):
     return dialogue.density(_blocks(spark, sf_dir))
 
 
-@registered("d4_unowned_balloons", f"with {_BLOCKS} select page, block, count(distinct speaker) owners from blocks group by 1, 2 having count(distinct speaker) <> 1")
+@registered("d4_unowned_balloons", f"with {BLOCKS} select page, block, count(distinct speaker) owners from blocks group by 1, 2 having count(distinct speaker) <> 1")
 def d4_unowned_balloons(spark, sf_dir):
     return dialogue.unowned(_blocks(spark, sf_dir))
 
@@ -185,7 +157,7 @@ def w9_scene_clusters(spark, sf_dir):
     return clusters.scene_clusters(story_pages(spark, sf_dir))
 
 
-@registered("w10_migration_clusters", f"""with {_STORY}, keyed as (select *, coalesce(risk < 300, true) u, concat_ws(chr(31), {', '.join(f"coalesce(nullif(trim({c}), ''), 'unknown')" for c in clusters.SCENE)}) k from story),
+@registered("w10_migration_clusters", f"""with {STORY}, keyed as (select *, coalesce(risk < 300, true) u, concat_ws(chr(31), {', '.join(f"coalesce(nullif(trim({c}), ''), 'unknown')" for c in clusters.SCENE)}) k from story),
     turns as (select *, case when u or coalesce(lag(u) over w, true) or k is distinct from lag(k) over w then 1 else 0 end turn from keyed window w as (partition by project_id order by pos)),
     runs as (select *, cast(sum(turn) over (partition by project_id order by pos) as bigint) run from turns),
     spots as (select *, (row_number() over (partition by project_id, run order by pos) - 1) // 20 chunk from runs)
@@ -199,19 +171,19 @@ def st3_lane_pauses(spark, sf_dir):
     return lanes.pauses(task_events(spark, sf_dir))
 
 
-@registered("j14_canary_gates", f"""with {_EVENTS}, l as (select lane, first(event_id order by ts, event_id) canary, first(kind order by ts, event_id) k, bool_or(kind = 'complete') approved, count(*) filter (kind = 'claim') n from ev group by 1)
+@registered("j14_canary_gates", f"""with {EVENTS}, l as (select lane, first(event_id order by ts, event_id) canary, first(kind order by ts, event_id) k, bool_or(kind = 'complete') approved, count(*) filter (kind = 'claim') n from ev group by 1)
     select lane, canary, approved, case when approved then 0 else n - case when k = 'claim' then 1 else 0 end end waiting from l""")
 def j14_canary_gates(spark, sf_dir):
     return lanes.canary_gates(task_events(spark, sf_dir))
 
 
-@registered("a4_lease_ends", f"""with {_EVENTS}, n as (select *, lead(ts) over (partition by lane order by ts, event_id) nxt from ev)
+@registered("a4_lease_ends", f"""with {EVENTS}, n as (select *, lead(ts) over (partition by lane order by ts, event_id) nxt from ev)
     select project_id, count(*) claims, count(*) filter (ts + interval 6 hours <= nxt) expired, count(*) filter (nxt is null) "open" from n where kind = 'claim' group by 1""")
 def a4_lease_ends(spark, sf_dir):
     return lanes.lease_ends(task_events(spark, sf_dir))
 
 
-_STEPS = f"{_EVENTS}, steps as (select *, lag(kind) over (partition by lane order by ts, event_id) was from ev)"
+_STEPS = f"{EVENTS}, steps as (select *, lag(kind) over (partition by lane order by ts, event_id) was from ev)"
 
 
 @registered("d1_skipped_states", f"""with {_STEPS}, r as (select *, map {{'add': 1, 'claim': 2, 'complete': 3, 'fail': 3, 'reopen': 4}} m from steps) select lane, event_id, was, kind from r where was is not null and m[kind] > m[was] + 1""")
@@ -224,23 +196,23 @@ def d2_illegal_moves(spark, sf_dir):
     return lanes.illegal_moves(task_events(spark, sf_dir))
 
 
-@registered("d7_handoffs", f"""with {_EVENTS}, t as (select *, count(*) filter (kind = 'complete') over (partition by lane order by ts, event_id) n from ev),
+@registered("d7_handoffs", f"""with {EVENTS}, t as (select *, count(*) filter (kind = 'complete') over (partition by lane order by ts, event_id) n from ev),
     c as (select *, lag(code) over w was_code, lag(n) over w was_n from t where kind = 'claim' window w as (partition by lane order by ts, event_id)) select lane, event_id, was_code, code from c where was_code <> code and was_n = n""")
 def d7_handoffs(spark, sf_dir):
     return lanes.unexplained_handoffs(task_events(spark, sf_dir))
 
 
-@registered("st1_first_adds", f"with {_EVENTS} select lane, first(event_id order by ts, event_id) event_id, count(*) - 1 repeats from ev where kind = 'add' group by 1")
+@registered("st1_first_adds", f"with {EVENTS} select lane, first(event_id order by ts, event_id) event_id, count(*) - 1 repeats from ev where kind = 'add' group by 1")
 def st1_first_adds(spark, sf_dir):
     return lanes.first_adds(task_events(spark, sf_dir))
 
 
-@registered("st7_daily_metrics", f"""with {_EVENTS} select cast(cast(ts as date) as varchar) "day", {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in KINDS)} from ev group by 1""")
+@registered("st7_daily_metrics", f"""with {EVENTS} select cast(cast(ts as date) as varchar) "day", {', '.join(f"count(*) filter (kind = '{k}') n_{k}" for k in KINDS)} from ev group by 1""")
 def st7_daily_metrics(spark, sf_dir):
     return window_metrics(task_events(spark, sf_dir)).withColumn("day", F.date_format("start", "yyyy-MM-dd")).drop("start")
 
 
-@registered("p20_slice_checks", f"""with {_BLOCKS}, b as (select page, block, speaker, coalesce(text, '') t from blocks),
+@registered("p20_slice_checks", f"""with {BLOCKS}, b as (select page, block, speaker, coalesce(text, '') t from blocks),
     s as (select *, coalesce(sum(length(t) + 1) over (partition by page order by block, speaker, t rows between unbounded preceding and 1 preceding), 0) "start" from b),
     e as (select *, lag("start" + length(t)) over (partition by page order by block, speaker, t) past from s), n as (select page, string_agg(t, chr(10) order by block, speaker, t) src from b group by 1)
     select page, count(*) blocks, max(length(src)) length, count(*) filter (substr(src, cast("start" as bigint) + 1, length(t)) = t) equal, count(*) filter ("start" < past) "overlaps" from e join n using (page) group by 1""")
@@ -248,20 +220,20 @@ def p20_slice_checks(spark, sf_dir):
     return dialogue.slice_checks(_blocks(spark, sf_dir))
 
 
-@registered("r2_text_requests", f"""with {_BLOCKS}, b as (select page, block, coalesce(speaker, '') s, coalesce(text, '') t from blocks),
+@registered("r2_text_requests", f"""with {BLOCKS}, b as (select page, block, coalesce(speaker, '') s, coalesce(text, '') t from blocks),
     m as (select page, string_agg('[' || block || '] ' || s || ': ' || t, chr(10) order by block, s, t) r, bool_or(length(regexp_replace(t, '\\s', '', 'g')) > 25) needs_reason from b group by 1) select page, length(r) length, sha256(r) request_hash, needs_reason from m""")
 def r2_text_requests(spark, sf_dir):
     return dialogue.text_requests(_blocks(spark, sf_dir))
 
 
-@registered("g2_revoked_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster, page % 10 = 0 gone from att group by 1, 2, 3),
+@registered("g2_revoked_rules", f"""with {ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster, page % 10 = 0 gone from att group by 1, 2, 3),
     c as (select signature, cluster, "character", bool_or(gone) gone from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character", bool_or(gone) gone from c group by 1, 2 having count(distinct cluster) >= 2)
     select 'page' "scope", signature, "character", cast(page as varchar) place from p where gone union all select 'cluster', signature, "character", cast(cluster as varchar) from c where gone union all select s, signature, "character", null from j, (values ('project'), ('skill_candidate')) v(s) where gone""")
 def g2_revoked_rules(spark, sf_dir):
     return learning.revoked(attempts(spark, sf_dir), F.col("page") % 10 == 0)
 
 
-@registered("j13_applicable_rules", f"""with {_ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster from att group by 1, 2, 3), c as (select signature, cluster, "character" from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character" from c group by 1, 2 having count(distinct cluster) >= 2),
+@registered("j13_applicable_rules", f"""with {ATTEMPTS}, p as (select signature, page, "character", arg_min(cluster, failure_id) cluster from att group by 1, 2, 3), c as (select signature, cluster, "character" from p group by 1, 2, 3 having count(distinct page) >= 2), j as (select signature, "character" from c group by 1, 2 having count(distinct cluster) >= 2),
     q as (select distinct l_orderkey page, l_suppkey cluster, l_linestatus "character", l_returnflag signature from lineitem where not (l_quantity > 48 and l_discount >= 0.09)),
     r as (select q.*, p.page is not null a, c.cluster is not null b, j.signature is not null d from q left join p on p.page = q.page and p."character" = q."character" and p.signature = q.signature left join c on c.cluster = q.cluster and c."character" = q."character" and c.signature = q.signature left join j on j."character" = q."character" and j.signature = q.signature)
     select page, cluster, "character", signature, cast(a as bigint) + cast(b as bigint) + 2 * cast(d as bigint) rules, case when a then 'page' when b then 'cluster' when d then 'project' end "leading" from r""")
@@ -304,3 +276,7 @@ def j10_snapshot_changes(spark, sf_dir):
 def v_row_violations(spark, sf_dir):
     faults = {"location_missing": F.col("lang").isNull(), "excerpt_empty": F.coalesce(F.trim("text"), F.lit("")) == "", "offsets_differ": ~F.col("n_chars").eqNullSafe(F.length("text").cast("bigint")), "project_missing": F.col("source").isNull()}
     return rules.violations(table(spark, sf_dir, "documents"), faults, "doc_id")
+
+
+# the modules of further queries register themselves
+from panelweave.plans import audits, dispatch, evidence, packs  # noqa: E402, F401
