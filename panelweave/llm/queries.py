@@ -70,7 +70,44 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_piece_encoding, op2_media_sequences, op3_jaccard_join, op4_secret_ledger, op5_language_id, op6_source_mix, op7_warc_dictionary, op8_weak_quality, op9_slot_sharding, op10_pivot_topk)}
 
+_BLANK = r"\x20\x09-\x0D"
+_KEYS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_PATTERNS = {"assign": rf"({_KEYS})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+
+
+def _span_sql(rank: int, kind: str) -> str:
+    """Matches and the pieces between them alternate, so positions are running lengths."""
+    pattern, group = _PATTERNS[kind], 2 if kind == "assign" else 0
+    return f"""select blob_id, {rank} r, '{kind}' kind, unnest(list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))) pos, unnest(list_transform(hits, lambda x: length(x))) size, unnest(held) held
+        from (select blob_id, regexp_extract_all(body, '{pattern}') hits, regexp_extract_all(body, '{pattern}', {group}) held, string_split_regex(body, '{pattern}') gaps from blobs)"""
+
+
+def _base32_sql(digest: str) -> str:
+    five = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >> {shift}) & 31 as int) + 1, 1)"
+    return f"array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr({digest}, 5 * i + 1, 5))::bigint), lambda v: {' || '.join(map(five, (15, 10, 5, 0)))}), '')"
+
+
 SQL: dict[str, str] = {
+    "op3_jaccard_join": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_BLANK}]+') w from documents),
+    s as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) g from w where len(w) > 0),
+    n as (select doc_id, count(*) n from s group by 1),
+    c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+    reach as (select a, b from e union select reach.a, e.b from reach join e on e.a = reach.b), least as (select a, min(b) b from reach group by 1)
+    select d.doc_id, coalesce(n, 0) n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) component_id from documents d left join n on n.doc_id = d.doc_id left join least on least.a = d.doc_id""",
+    "op4_secret_ledger": f"""with v as (select doc_id, coalesce(text, '') body, sha256(coalesce(text, '')) blob_id from documents), blobs as (select distinct blob_id, body from v),
+    found as ({' union all '.join(_span_sql(rank, kind) for rank, kind in enumerate(_PATTERNS))}),
+    kept as (select blob_id, count(*) filter (r = 0) a, count(*) filter (r = 1) k, count(*) filter (r = 2) h, string_agg(kind || ':' || pos::bigint || ':' || (pos + size)::bigint, ',' order by pos, r) s from found where kind <> 'assign' or length(held) >= 6 group by 1)
+    select doc_id, coalesce(a, 0) n_assign, coalesce(k, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(s, '')) base_sha256, coalesce(s, '') spans, blob_id from v left join kept using (blob_id)""",
+    "op6_source_mix": f"""with r as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')) size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) draw from documents),
+    s as (select source, sum(size)::bigint source_size from r group by 1), o as (select *, source_size * 2 clamp, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] weight from s),
+    f as (select *, coalesce(sum(clamp) over (w rows between unbounded preceding and 1 preceding), 0) below, sum(weight) over (w rows between current row and unbounded following) above, sum(source_size) over () total from o window w as (order by clamp / weight, source nulls last)),
+    l as (select *, (total * 1.5::double - below) / above level from f), m as (select min(struct_pack(below, level)) filter (level * weight <= clamp) m from l),
+    t as (select source, source_size, case when m is null or m.level * weight > clamp then clamp::double else m.level * weight end target from l, m),
+    q as (select r.*, source_size, target, coalesce(sum(size) over (partition by r.source order by ('0x' || substr(draw, 1, 8))::bigint % 1024, draw, doc_id, size rows between unbounded preceding and 1 preceding), 0) ahead, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end times from r join t on r.source is not distinct from t.source)
+    select doc_id, size, source_size, target, cast(times * size + greatest(0, least(size, floor(target)::bigint - times * source_size - ahead)) as bigint) taken from q""",
+    "op7_warc_dictionary": f"""with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages), o as (select h, max(page_id) original from p group by 1)
+    select page_id, octet_length(encode(html)) payload_bytes, {_base32_sql('h')} payload_digest, case when page_id = original then 'response' else 'revisit' end record_type, case when page_id <> original then original end refers_to from p join o using (h)""",
     "op10_pivot_topk": """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) v from embeddings
         where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) score from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 100 = 0),
