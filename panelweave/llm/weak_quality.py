@@ -169,12 +169,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SA
     posterior = dict(zip(patterns.tolist(), good.tolist()))
     scale = 1 << 20
     most = min(scale, rows * scale // max(1, int(counts.sum())))
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("quality"), F.col(key)), F.lit(scale)) <= F.lit(most)).select(text)
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("quality"), F.col(key)), F.lit(scale)) <= F.lit(most)).select(F.col(text).alias("body"), F.col(key).alias("of"))
 
     def work(batches):
         features, sizes, target = [], [], []
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, "body"):
                 shapes = Shapes(part.column(0))
                 features.append(shapes.features)
                 sizes.append(shapes.count)
@@ -183,7 +183,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SA
             weights, bias = train(list(np.concatenate(features, axis=1)), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.array(target))
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
-    row = sample.coalesce(1).mapInArrow(work, "weights binary, bias double").first()
+    # every task draws its part of the sample; only drawn rows go to the one that trains, in a fixed order
+    drawn = sample.repartition(1).sortWithinPartitions("of", F.xxhash64("body"))
+    row = drawn.mapInArrow(work, "weights binary, bias double").first()
     weights = np.frombuffer(bytes(row[0]), dtype="<f4") if row else np.zeros(2 * BUCKETS, dtype=np.float32)
     return {"weights": weights, "bias": row[1] if row else 0.0, "rates": rates, "prior": prior}
 
