@@ -10,23 +10,24 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Parts of a path that mark it as no reference, once `-` and spaces are `_`.
 CONTAMINATED = ("人物参考图", "人设", "identity_sheet", "identity_reference", "character_sheet", "character_reference", "page_candidates/", "rejected")
 ZONED = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_path(path: pd.Series) -> pd.Series:
     """NFKC, `.` and `..` collapsed as on Windows, forward slashes, case-folded; blank is null."""
 
@@ -47,7 +48,7 @@ def json_hash(document: Column, *dropped: str) -> Column:
         except (ValueError, AttributeError):
             return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def hashed(column: pd.Series) -> pd.Series:
         return column.map(spell, na_action="ignore")
 
