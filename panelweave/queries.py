@@ -279,4 +279,4 @@ def v_row_violations(spark, sf_dir):
 
 
 # the modules of further queries register themselves
-from panelweave.plans import audits, dispatch, evidence, packs  # noqa: E402, F401
+from panelweave.plans import audits, dispatch, evidence, migration, packs  # noqa: E402, F401
