@@ -13,7 +13,7 @@ MOVES = ("add>claim", "claim>claim", "claim>complete", "claim>fail", "fail>reope
 RANKS = {"add": 1, "claim": 2, "complete": 3, "fail": 3, "reopen": 4}
 
 
-class _Project:
+class Breaker:
     """The streaks and paused lanes of one project."""
 
     def __init__(self) -> None:
@@ -42,6 +42,27 @@ class _Project:
         if lane in self.paused:
             self.prompts.pop(self.paused.pop(lane), None)
 
+    def walk(self, moves, break_at: int):
+        """(lane, event, code, reason) of each failure among (lane, event, kind, code, prompt) that pauses its lane."""
+        for lane, event, kind, code, prompt in moves:
+            if kind == "complete":
+                self.completed(lane, prompt)
+            elif kind == "reopen":
+                self.reopened(lane)
+            elif reason := self.failed(lane, prompt, code, break_at):
+                yield lane, event, code, reason
+
+    def kept(self) -> list:
+        """What JSON can hold of it; keys keep their type as parts of pairs."""
+        return [[[lane, *streak] for lane, streak in self.lanes.items()], list(map(list, self.prompts.items())), list(map(list, self.paused.items()))]
+
+    @classmethod
+    def restored(cls, kept: list) -> Breaker:
+        own = cls()
+        own.lanes = {lane: (code, count) for lane, code, count in kept[0]}
+        own.prompts, own.paused = dict(kept[1]), dict(kept[2])
+        return own
+
 
 def pauses(events: DataFrame, break_at: int = BREAK_AT) -> DataFrame:
     """Failures that pause their lane, and why. Lanes of a project are coupled by its prompts.
@@ -52,18 +73,13 @@ def pauses(events: DataFrame, break_at: int = BREAK_AT) -> DataFrame:
     """
 
     def work(frames):
-        name, project = None, _Project()
+        name, project = None, Breaker()
         for frame in frames:
             found = []
-            for owner, lane, event, kind, code, prompt in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+            for owner, *move in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
                 if owner != name:
-                    name, project = owner, _Project()
-                if kind == "complete":
-                    project.completed(lane, prompt)
-                elif kind == "reopen":
-                    project.reopened(lane)
-                elif reason := project.failed(lane, prompt, code, break_at):
-                    found.append((owner, lane, event, code, reason))
+                    name, project = owner, Breaker()
+                found += [(owner, *hit) for hit in project.walk([move], break_at)]
             yield pd.DataFrame(found, columns=["project_id", "lane", "event_id", "code", "reason"])
 
     moves = events.filter(F.col("kind").isin("fail", "complete", "reopen"))
