@@ -58,3 +58,16 @@ def revoked_in_use(uses: DataFrame, rules: DataFrame) -> DataFrame:
 def regression_gate(corpus: DataFrame) -> DataFrame:
     """By signature: corpus rows, failing rows, and whether broad promotion may go on. corpus: signature, failing."""
     return corpus.groupBy("signature").agg(F.count("*").alias("rows"), F.count_if("failing").alias("failing")).withColumn("promotable", F.col("failing") == 0)
+
+
+def failure_faults(failures: DataFrame) -> DataFrame:
+    """(failure_id, fault) of records that break their status: observed with an outcome, reviewed without one or with an unchanged candidate, or codes not known, sorted and unique.
+
+    failures: failure_id, codes, status, before, after, reviewer.
+    """
+    seen, done = F.col("status") == "observed", F.col("status") == "reviewed"
+    rules = {
+        "codes_unknown": F.size(unknown_codes(F.col("codes"))) > 0, "codes_not_canonical": ~F.col("codes").eqNullSafe(sorted_codes(F.col("codes"))), "codes_empty": F.coalesce(F.size("codes"), F.lit(0)) < 1,
+        "observed_with_outcome": seen & (F.col("after").isNotNull() | F.col("reviewer").isNotNull()), "reviewed_without_outcome": done & (F.col("after").isNull() | F.col("reviewer").isNull()), "candidate_unchanged": done & (F.col("after") == F.col("before")), "status_value": ~(seen | done),
+    }
+    return failures.select("failure_id", F.explode(F.array_compact(F.array(*(F.when(fault, F.lit(name)) for name, fault in rules.items())))).alias("fault"))

@@ -105,3 +105,26 @@ def worst(rank: dict[str, int], column: str) -> Column:
     """Aggregate: the value of highest rank in the group."""
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
     return F.max_by(column, ranks[F.col(column)])
+
+
+def verdicts(projects: DataFrame, found: DataFrame) -> DataFrame:
+    """project_id, violations, rules broken and ok of every project, those without violations included. found: project_id, rule_id."""
+    counted = found.groupBy("project_id").agg(F.count("*").alias("violations"), F.countDistinct("rule_id").alias("rules"))
+    each = projects.select("project_id").distinct()
+    told = each.join(counted, each["project_id"].eqNullSafe(counted["project_id"]), "left").select(each["project_id"], *(F.coalesce(c, F.lit(0)).alias(c) for c in ("violations", "rules")))
+    return told.withColumn("ok", F.col("violations") == 0)
+
+
+def task_mismatches(pages: DataFrame, tasks: DataFrame, *fields: str) -> DataFrame:
+    """(page, fault) of pages whose task is missing or differs from the page's trace. pages: page, task_id and fields; tasks: task_id and fields."""
+    done = tasks.select("task_id", F.struct(*fields).alias("held"))
+    apart = F.array(*(F.when(~F.col(f).eqNullSafe(F.col("held")[f]), F.lit(f"{f}_differs")) for f in fields))
+    return pages.join(done, "task_id", "left").select("page", F.explode(F.when(F.col("held").isNull(), F.array(F.lit("task_missing"))).otherwise(F.array_compact(apart))).alias("fault"))
+
+
+def batch_gate(mapping: DataFrame, reports: DataFrame) -> DataFrame:
+    """(name, fault) where ordered reports do not match the mapping by position and name. mapping: position, name. reports: position, name, report_id."""
+    ids = reports.groupBy("report_id").agg(F.count("*").alias("copies"))
+    told = mapping.withColumnRenamed("name", "wanted").join(reports.join(ids, "report_id"), "position", "full_outer")
+    fault = F.when(F.col("name").isNull(), "report_missing").when(F.col("wanted").isNull(), "report_extra").when(F.col("name") != F.col("wanted"), "name_differs").when(F.col("copies") > 1, "report_id_repeated")
+    return told.select(F.coalesce("wanted", "name").alias("name"), "position", fault.alias("fault")).filter("fault is not null")

@@ -52,3 +52,14 @@ def d5_revoked_in_use(spark, sf_dir):
 def d6_regression_gates(spark, sf_dir):
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return audits.regression_gate(joined.select(F.col("p_brand").alias("signature"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49) & (F.col("l_discount") > 0.08)).alias("failing")))
+
+
+@registered("g3_failure_faults", f"""with c as (select o_orderkey failure_id, list_transform([o_custkey % 9, o_orderkey % 9], lambda i: {_NAMES[:8] + ['unlisted']}[i + 1]) codes, case o_orderstatus when 'O' then 'observed' when 'F' then 'reviewed' else 'closed' end status, o_custkey % 3 b, case when o_orderkey % 2 = 0 then o_orderkey % 3 end a, case when o_orderkey % 4 = 0 then 'r' end reviewer from orders)
+    select failure_id, unnest(list_filter([case when list_contains(codes, 'unlisted') then 'codes_unknown' end, case when codes <> list_sort(list_distinct(codes)) then 'codes_not_canonical' end, case when status = 'observed' and (a is not null or reviewer is not null) then 'observed_with_outcome' end, case when status = 'reviewed' and (a is null or reviewer is null) then 'reviewed_without_outcome' end, case when status = 'reviewed' and a = b then 'candidate_unchanged' end, case when status = 'closed' then 'status_value' end], lambda x: x is not null)) fault from c""")
+def g3_failure_faults(spark, sf_dir):
+    names = F.array(*map(F.lit, _NAMES[:8] + ["unlisted"]))
+    code = lambda c: F.element_at(names, (F.col(c) % 9 + 1).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "O", "observed").when(F.col("o_orderstatus") == "F", "reviewed").otherwise("closed")
+    key = F.col("o_orderkey")
+    failures = table(spark, sf_dir, "orders").select(key.alias("failure_id"), F.array(code("o_custkey"), code("o_orderkey")).alias("codes"), status.alias("status"), (F.col("o_custkey") % 3).alias("before"), F.when(key % 2 == 0, key % 3).alias("after"), F.when(key % 4 == 0, "r").alias("reviewer"))
+    return audits.failure_faults(failures)

@@ -176,3 +176,26 @@ def v64_lock_faults(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     locks = joined.selectExpr("o_orderkey lock_id", "c_mktsegment category", "c_name value", "c_acctbal / 5000 confidence", "o_orderstatus <> 'P' confirmed", "o_orderdate created")
     return rules.violations(locks, _faults(_LOCKS), "lock_id")
+
+
+@registered("v_project_verdicts", """with v as (select source p, 'location_missing' r from documents where lang is null union all select source, 'excerpt_short' from documents where n_chars < 120 union all select source, 'excerpt_long' from documents where n_chars > 4000), c as (select p, count(*) n, count(distinct r) k from v group by 1)
+    select project_id, coalesce(n, 0) violations, coalesce(k, 0) rules, coalesce(n, 0) = 0 ok from (select distinct source project_id from documents) d left join c on c.p is not distinct from project_id""")
+def v_project_verdicts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "project_id")
+    faults = {"location_missing": F.col("lang").isNull(), "excerpt_short": F.col("n_chars") < 120, "excerpt_long": F.col("n_chars") > 4000}
+    return evidence.verdicts(docs, rules.violations(docs, faults, "project_id"))
+
+
+@registered("j5_task_mismatches", """select l_orderkey page, unnest(case when o_orderkey is null then ['task_missing'] else list_filter([case when l_linestatus is distinct from o_orderstatus then 'state_differs' end, case when l_suppkey % 50 is distinct from o_custkey % 50 then 'actor_differs' end], lambda x: x is not null) end) fault from lineitem left join (select * from orders where o_orderpriority <> '5-LOW') on o_orderkey = l_orderkey""")
+def j5_task_mismatches(spark, sf_dir):
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_orderkey").alias("task_id"), F.col("l_linestatus").alias("state"), (F.col("l_suppkey") % 50).alias("actor"))
+    tasks = table(spark, sf_dir, "orders").filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("state"), (F.col("o_custkey") % 50).alias("actor"))
+    return evidence.task_mismatches(pages, tasks, "state", "actor")
+
+
+@registered("j22_batch_gates", """with m as (select s_suppkey pos, 'n' || s_nationkey "name" from supplier), r as (select c_custkey pos, 'n' || c_nationkey "name", c_custkey // 2 id, count(*) over (partition by c_custkey // 2) n from customer),
+    j as (select coalesce(m.pos, r.pos) "position", coalesce(m."name", r."name") "name", case when r.pos is null then 'report_missing' when m.pos is null then 'report_extra' when m."name" <> r."name" then 'name_differs' when n > 1 then 'report_id_repeated' end fault from m full join r on m.pos = r.pos) select * from j where fault is not null""")
+def j22_batch_gates(spark, sf_dir):
+    named = lambda key, nation: (F.col(key).alias("position"), F.concat(F.lit("n"), F.col(nation)).alias("name"))
+    reports = table(spark, sf_dir, "customer").select(*named("c_custkey", "c_nationkey"), F.floor(F.col("c_custkey") / 2).alias("report_id"))
+    return evidence.batch_gate(table(spark, sf_dir, "supplier").select(*named("s_suppkey", "s_nationkey")), reports)

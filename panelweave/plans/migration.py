@@ -32,12 +32,12 @@ def a27_plan_summaries(spark, sf_dir):
     return migration.plan_summary(_plan(spark, sf_dir))
 
 
-@registered("w11_membership_faults", f"""with {STORY}, m as (select *, row_number() over (partition by project_id order by case when page_id % 50 = 7 then pos + 3 else pos end, page_id) - 1 at_pos from story where page_id % 90 <> 11) select s.project_id, count(*) filter (m.page_id is null) uncovered, 0::bigint "unknown", count(*) filter (m.at_pos <> s.pos) out_of_order
+@registered("w11_membership_faults", f"""with {STORY}, m as (select *, row_number() over (partition by project_id order by case when page_id % 50 = 7 then pos + 3 else pos end, page_id) - 1 at_pos from story where risk >= 300) select s.project_id, count(*) filter (m.page_id is null) uncovered, 0::bigint "unknown", count(*) filter (m.at_pos <> s.pos) out_of_order
     from story s left join m on m.project_id = s.project_id and m.page_id = s.page_id where s.project_id is not null group by 1 having count(*) filter (m.page_id is null) + count(*) filter (m.at_pos <> s.pos) > 0""")
 def w11_membership_faults(spark, sf_dir):
-    pages = sequence.placed(story_pages(spark, sf_dir).filter("project_id is not null")).select("project_id", "page_id", "pos")
-    told = pages.filter("page_id % 90 <> 11").select("project_id", F.when(F.col("page_id") % 50 == 7, F.col("pos") + 3).otherwise(F.col("pos")).alias("cluster"), F.col("page_id").alias("place"), "page_id")
-    return migration.membership_faults(told, pages)
+    pages = sequence.placed(story_pages(spark, sf_dir).filter("project_id is not null")).select("project_id", "page_id", "pos", "risk")
+    told = pages.filter("risk >= 300").select("project_id", F.when(F.col("page_id") % 50 == 7, F.col("pos") + 3).otherwise(F.col("pos")).alias("cluster"), F.col("page_id").alias("place"), "page_id")
+    return migration.membership_faults(told, pages.drop("risk"))
 
 
 @registered("p24_bound_candidates", rf"""with {FILES}, c as (select page_id, project_id || '/' || stem || case page_id % 3 when 0 then '_candidate_2.png' when 1 then '_1_visual.png' else '/new.png' end path, stem from (select page_id, project_id, regexp_replace(name, '\.[^.]*$', '') stem from files)),
