@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm._spark import shared_folder, table
-from panelweave.llm.jaccard_join import join_components
+from panelweave.llm.jaccard_join import least_rows
 from panelweave.llm.piece_encoding import piece_digests
 from panelweave.llm.queries import model_file
 from panelweave.llm.secret_ledger import redacted, scan
@@ -24,26 +24,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links: that with the component's id."""
-    groups = join_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return first.join(groups, "doc_id").select(*COLUMNS)
+    """One document of each component of linked texts: that with the least id; one with a null id only where none has an id.
+
+    Texts of one id that do not link are different documents, and each is kept. Texts
+    without words link with nothing: one row is kept for each id and text, and every row
+    with a null id.
+    """
+    body, blank = F.coalesce(F.sha2("text", 256), F.lit("")), ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # a null id gets a stand-in of its text; it only has to lead from a row to its set
+    marked = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("id"), body.alias("body")))
+    chosen = least_rows(marked, "row", "id").withColumn("chosen", F.lit(True))
+    nameless = F.col("doc_id").isNull() & blank
+    first = marked.filter(~nameless).groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("kept"), F.first(blank).alias("blank"))
+    first = first.join(chosen, "row", "left").filter("blank or chosen").select("kept.*")
+    return first.unionByName(docs.filter(nameless).select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the ledger has for their blobs redacted."""
-    findings, _ = scan(docs, "doc_id", "text")
-    spans = findings.filter(F.size("spans") > 0).select("doc_id", F.col("blob_id").alias("found_blob"), F.col("spans").alias("found")).distinct()
-    marked = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("d").join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col("blob") == F.col("found_blob")), "left")
-    clean = marked.select("d.doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found"))).alias("text"), "lang", "source", F.col("n_chars").alias("was"), "found")
+    """All documents, with the secrets that the ledger has for their blobs redacted; ids, null or repeated, play no part."""
+    _, ledger = scan(docs, "doc_id", "text")
+    spans = ledger.filter(F.size("spans") > 0).select(F.col("blob_id").alias("blob"), F.array_sort("spans").alias("found"))
+    clean = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(spans, "blob", "left")
+    clean = clean.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found"))).alias("text"), "lang", "source", F.col("n_chars").alias("was"), "found")
     return clean.select("doc_id", "text", "lang", "source", F.when(F.col("found").isNull(), F.col("was")).otherwise(F.length("text").cast("bigint")).alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; a part of a document counts as a whole one from its half on."""
-    taken = mix(docs).filter("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).filter("copies > 0")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each row as many times as the mix takes it, whatever its id; a part of a document counts as a whole one from its half on."""
+    taken = mix(docs, keep=("text", "lang", "n_chars")).filter("taken > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,3 +281,19 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
     found = saved(rooted.join(least, "root").groupBy(F.col("id").alias(key)).agg(F.min("component_id").alias("component_id")))
     return stats.join(found, key, "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+
+
+def least_rows(docs: DataFrame, row: str, key: str, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The least value of the struct `row` in each component of linked sets; rows of an empty set have none.
+
+    Unlike join_components, rows that share an id are not tied: only their sets link them.
+    row holds key, which is not null and leads from a row's meeting points to its set; rows
+    that share it are all measured.
+    """
+    stats = saved(shingle_stats(docs, row, text, width).filter(F.col("digest").isNotNull()))
+    by_id = Window.partitionBy("id")
+    named = stats.select(F.col(row)[key].alias("id"), "digest").distinct()
+    named = saved(named.withColumn("several", F.min("digest").over(by_id) != F.max("digest").over(by_id)))
+    roots = components(links(docs.select(F.col(row)[key].alias(key), text), named, key, text, width))
+    least = stats.groupBy("digest").agg(F.min(row).alias(row)).join(roots, F.col("digest") == F.col("node"), "left")
+    return least.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min(row).alias(row)).select(row)

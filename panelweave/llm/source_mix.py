@@ -56,26 +56,26 @@ def water_fill(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     return ranked.withColumn("water", level).select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """key, source, size, source_size, target, and taken: the words that the mix takes of the row, repeats counted."""
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, buckets: int = BUCKETS, keep: tuple = ()) -> DataFrame:
+    """key, source, size, source_size, target, and taken: the words that the mix takes of the row, repeats counted; and the columns `keep`."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw.alias("draw"))
+    rows = docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw.alias("draw"), *keep)
     rows = saved(rows.withColumn("bucket", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint"), F.lit(buckets))))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = water_fill(parts.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "bucket", "before", "source_size", "target")
-    inside = Window.partitionBy("r.source", "r.bucket").orderBy("draw", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("r.source", "r.bucket").orderBy("draw", key, "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     repeats = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rest = F.col("words") - F.col("repeats") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("ahead")))
     return (
         rows.alias("r")
         .join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bucket") == F.col("p.bucket")))
-        .select(F.col(f"r.{key}"), "r.source", "r.size", "p.source_size", "p.target", "p.before", F.coalesce(F.sum("r.size").over(inside), F.lit(0)).alias("ahead"))
+        .select(F.col(f"r.{key}"), "r.source", "r.size", "p.source_size", "p.target", "p.before", F.coalesce(F.sum("r.size").over(inside), F.lit(0)).alias("ahead"), *keep)
         .withColumn("repeats", repeats)
         .withColumn("words", F.floor(F.col("target")).cast("bigint"))
         .withColumn("rest", rest)
-        .select(key, "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + part).cast("bigint").alias("taken"))
+        .select(key, "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + part).cast("bigint").alias("taken"), *keep)
     )
