@@ -6,8 +6,8 @@ between its own pivot distances and a candidate's is a lower bound of their dist
     2 * score = |q|^2 + |x|^2 - d(q, x)^2 <= |q|^2 + |x|^2 - bound^2
 
 and candidates are evaluated in the order of that upper bound until the k-th best score
-beats the next bound. Queries are worked on in blocks of fixed size against all candidates;
-each task keeps k rows a query, and these are merged.
+beats the next bound. Blocks of queries meet slices of candidates in a shuffle; each pair
+keeps k rows a query, and these are merged.
 
 Defined results: vectors null or with null or non-finite components take no part, nor do
 rows with a null id; only vectors of the same length meet; rows that share the query's id
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 PIVOTS = 32
 BLOCK = 2048
+SLICE = 4
 SCALE = 1024
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
@@ -60,46 +61,49 @@ def search(ids: np.ndarray, rows: np.ndarray, table: np.ndarray, query_id: int,
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for queries and candidates of (vec_id, v).
 
-    The driver holds one block of queries and the pivots, both of fixed size, at a time.
+    The driver holds the pivots and two counts. Queries are dealt into blocks of about `block`
+    rows and candidates into slices of SLICE times as many; every block meets every slice in
+    one group of a shuffle, so each query is copied to all slices and each candidate to all
+    blocks.
     """
-    spark = candidates.sparkSession
     chosen = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    per_block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-2 * queries.count() // block)))).alias("b")
-    numbered = queries.select("vec_id", "v", per_block)
-    found = None
-    for (b,) in sorted(numbered.select("b").distinct().collect()):
-        part = [(r.vec_id, r.v) for r in numbered.filter(F.col("b") == b).toLocalIterator()]
-        for start in range(0, len(part), block):
-            here = candidates.select("vec_id", "v").mapInArrow(_task(part[start : start + block], [r.v for r in chosen], k), RESULT)
-            found = here if found is None else found.unionAll(here)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    blocks, slices = max(1, -(-queries.count() // block)), max(1, -(-candidates.count() // (SLICE * block)))
+    deal = lambda n: F.pmod(F.xxhash64(F.lit("deal"), "vec_id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("vec_id", "v", deal(blocks).alias("b"), every(slices).alias("s"))
+    held = candidates.select("vec_id", "v", deal(slices).alias("s"), every(blocks).alias("b"))
+    pairs = asked.groupBy("b", "s").cogroup(held.groupBy("b", "s"))
+    found = pairs.applyInArrow(_task([r.v for r in chosen], k), RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _task(queries: list, pivots: list, k: int):
-    def work(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(np.asarray(lists.offsets))
-            flat = np.asarray(lists.flatten()).astype(np.float64)
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            ids = np.asarray(batch.column(0))
-            for length in np.unique(sizes):
-                rows = np.flatnonzero(sizes == length)
-                held.setdefault(int(length), []).append((ids[rows], flat[(at[rows][:, None] + np.arange(length)[None, :]).ravel()].reshape(len(rows), length)))
-        out = []
-        for length, parts in held.items():
-            ids, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> ids and vectors of that length."""
+    held = {}
+    rows = rows.combine_chunks()
+    for batch in rows.to_batches():
+        lists = batch.column("v")
+        sizes = np.diff(np.asarray(lists.offsets))
+        flat = np.asarray(lists.flatten()).astype(np.float64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.asarray(batch.column("vec_id"))
+        for length in np.unique(sizes):
+            of = np.flatnonzero(sizes == length)
+            held.setdefault(int(length), []).append((ids[of], flat[(at[of][:, None] + np.arange(length)[None, :]).ravel()].reshape(len(of), length)))
+    return {length: (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) for length, parts in held.items()}
+
+
+def _task(pivots: list, k: int):
+    def work(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out, wanted = [], _by_length(asked)
+        for length, (ids, rows) in _by_length(held).items():
+            if length not in wanted:
+                continue
             points = np.array([p for p in pivots if len(p) == length], dtype=np.float64).reshape(-1, length)
             table = distances(rows, points)
-            for query_id, v in queries:
-                if len(v) == length:
-                    query = np.array(v, dtype=np.float64)
-                    out += [(query_id, i, s) for i, s in search(ids, rows, table, query_id, query, distances(query[None, :], points)[0], k)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
+            for query_id, query, reach in zip(wanted[length][0].tolist(), wanted[length][1], distances(wanted[length][1], points)):
+                out += [(query_id, i, s) for i, s in search(ids, rows, table, query_id, query, reach, k)]
+        return pa.table({name: pa.array([x[i] for x in out], pa.int64()) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
     return work

@@ -187,3 +187,16 @@ def test_top_k(spark):
     want = {(i, r + 1, j, -s) for i, v in exact if i % 100 == 0 for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in exact if j != i)[:10])}
     assert set(map(tuple, top_k(df.filter("vec_id % 100 = 0"), df).collect())) == want
     assert top_k(df.filter("vec_id < 0"), df).count() == 0
+
+
+def test_top_k_of_many_blocks_holds_no_query_on_the_driver(spark, monkeypatch):
+    dice = random.Random(2)
+    vectors = [(i, [dice.gauss(0, 1) for _ in range(8 if i % 7 else 5)]) for i in range(300)] + [(7, [1.0] * 5)]
+    df = integers(spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3))
+    exact = [(r.vec_id, r.v) for r in df.collect()]
+    asked = df.filter("vec_id % 3 = 0")
+    want = {(i, r + 1, j, -s) for i, v in exact if i % 3 == 0 for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in exact if j != i and len(w) == len(v))[:10])}
+    monkeypatch.setattr(type(asked), "toLocalIterator", lambda *_, **__: pytest.fail("queries on the driver"))
+    found = top_k(asked, df, block=16)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert set(map(tuple, found.collect())) == want
