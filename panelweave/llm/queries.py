@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import shared_folder, table
 from .jaccard_join import join_components
 from .language_id import identify
 from .media_sequences import document_media
@@ -59,7 +61,9 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+    # a map for each data folder, which later runs on it edit
+    maps = f"{shared_folder(spark)}/slot-map-{SHARDS}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    rows = shard_rows(table(spark, sf_dir, "documents"), SHARDS, maps=maps)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

@@ -2,8 +2,8 @@
 
 A record's id hashes it into one of SLOTS slots. Bytes are summed by slot, and a versioned
 map says which shard a slot belongs to. Version 0 deals slots out in turn; each later
-version is an edit of the one before, in which slots move off shards that would hold more
-than an even share of the bytes. All of it is DataFrame functions; only the map, whose size
+version is an edit of the one before, in which slots move off shards that hold more than an
+even share of the bytes, and is stored beside it. All of it is DataFrame functions; only the map, whose size
 is fixed, is ever in one row.
 
 Defined results: null text has 0 bytes of text; a null id hashes like any other; repeated
@@ -12,10 +12,14 @@ rows get positions of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 SLOTS = 4096
+SLACK = 0.005
 OVERHEAD = 16
 
 
@@ -29,9 +33,14 @@ def first_map(slot_bytes: DataFrame, shards: int) -> DataFrame:
 
 
 def rebalanced(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The map's next version: heaviest slots first, a slot stays where it is while that shard is within an even share, and else goes to the lightest shard."""
-    heavy = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "virtual_slot", "shard", "rows", "version")))
-    packed = slot_map.groupBy().agg(heavy.alias("slots"), (F.sum("bytes") / F.lit(shards)).alias("even"))
+    """The map's next version: a shard within an even share (and SLACK) keeps all its slots; others keep their heaviest while these fit, and the rest goes, heaviest first, to the lightest shard."""
+    held = Window.partitionBy("shard")
+    whole = Window.partitionBy()
+    even = F.sum("bytes").over(whole) / F.lit(shards)
+    marked = slot_map.withColumn("even", even).withColumn("total", F.sum("bytes").over(held)).withColumn("ahead", F.sum("bytes").over(held.orderBy(F.desc("bytes"), "virtual_slot")))
+    leaves = (F.col("total") > F.col("even") * F.lit(1 + SLACK)) & (F.col("ahead") > F.col("even")) & (F.col("bytes") > 0)
+    heavy = F.array_sort(F.collect_list(F.struct("leaves", (-F.col("bytes")).alias("minus"), "virtual_slot", "shard", "rows", "version")))
+    packed = marked.withColumn("leaves", leaves).groupBy().agg(heavy.alias("slots"))
     kind = "struct<virtual_slot:int,bytes:bigint,rows:bigint,shard:int,version:int>"
     start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), shards).alias("loads"), F.expr(f"cast(array() as array<{kind}>)").alias("dealt"))
 
@@ -39,20 +48,51 @@ def rebalanced(slot_map: DataFrame, shards: int) -> DataFrame:
         size = -s["minus"]
         loads = acc["loads"]
         lightest = (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
-        stays = (F.element_at(loads, s["shard"] + 1) + size) <= F.col("even")
-        to = F.when(stays, s["shard"]).otherwise(lightest)
+        to = F.when(s["leaves"], lightest).otherwise(s["shard"])
         row = F.struct(s["virtual_slot"].alias("virtual_slot"), size.alias("bytes"), s["rows"].alias("rows"), to.alias("shard"), (s["version"] + 1).alias("version"))
         return F.struct(F.transform(loads, lambda x, i: F.when(i == to, x + size).otherwise(x)).alias("loads"), F.concat(acc["dealt"], F.array(row)).alias("dealt"))
 
     return packed.select(F.explode(F.aggregate("slots", start, step, lambda acc: acc["dealt"])).alias("s")).select("s.*")
 
 
-def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """key, size, text_crc32, virtual_slot, shard, and slot: the row's place in its shard, without gaps."""
+def last_map(spark: SparkSession, maps: str) -> DataFrame | None:
+    """virtual_slot, shard and version of the last version stored in the folder, if there is one."""
+    try:
+        stored = spark.read.parquet(maps)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return stored.filter(F.col("version") == stored.agg(F.max("version")).first()[0])
+
+
+def next_map(slot_bytes: DataFrame, shards: int, maps: str, slots: int = SLOTS) -> DataFrame:
+    """The last stored map, edited to the bytes of now and stored as its next version where a slot moves; the first is version 1.
+
+    The map holds every slot, those without rows, too. A slot on a shard that is no more is dealt anew.
+    """
+    spark = slot_bytes.sparkSession
+    sums = spark.range(slots).select(F.col("id").cast("int").alias("virtual_slot")).join(slot_bytes, "virtual_slot", "left").fillna(0)
+    was, last = first_map(sums, shards), last_map(spark, maps)
+    if last is not None:
+        old = last.filter(F.col("shard") < shards).select("virtual_slot", F.col("shard").alias("kept"))
+        was = was.join(old, "virtual_slot", "left").withColumn("shard", F.coalesce("kept", "shard")).drop("kept").withColumn("version", F.lit(last.first()["version"]))
+    new = saved(rebalanced(was, shards))
+    if last is not None and new.join(last.select("virtual_slot", F.col("shard").alias("kept")), "virtual_slot").filter("shard <> kept").isEmpty():
+        return new.withColumn("version", F.col("version") - 1)
+    new.select("virtual_slot", "shard", "version").write.mode("append").parquet(maps)
+    return new
+
+
+def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """key, size, text_crc32, virtual_slot, shard, and slot: the row's place in its shard, without gaps.
+
+    maps: the folder of the stored map, which is read and edited; without one, the map starts from version 0 and is not kept.
+    """
     said = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(said) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(said.cast("binary")).alias("text_crc32"), virtual_slot(F.col(key), slots).alias("virtual_slot"))
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    slot_map = rebalanced(first_map(sums, shards), shards)
+    slot_map = rebalanced(first_map(sums, shards), shards) if maps is None else next_map(sums, shards, maps, slots)
     ahead = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     slot_map = slot_map.withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
     inside = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")

@@ -200,3 +200,21 @@ def test_top_k_of_many_blocks_holds_no_query_on_the_driver(spark, monkeypatch):
     found = top_k(asked, df, block=16)
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert set(map(tuple, found.collect())) == want
+
+
+def test_a_grown_table_edits_the_stored_map(spark, tmp_path):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(600)]
+    more = rows + [(i, "y" * 300) for i in range(600, 640)]
+    maps = f"{tmp_path}/maps"
+
+    def sharded(data):
+        found = shard_rows(spark.createDataFrame(data, "doc_id long, text string"), 4, slots=64, maps=maps).collect()
+        return {r.virtual_slot: r.shard for r in found}, {r.map_version for r in found}, found
+
+    first, version, _ = sharded(rows)
+    assert version == {1} and sharded(rows)[:2] == (first, {1})
+    second, version, found = sharded(more)
+    assert version == {2} and {r.version for r in spark.read.parquet(maps).collect()} == {1, 2}
+    loads = {s: sum(r["size"] for r in found if first[r.virtual_slot] == s) for s in range(4)}
+    moved = {v for v in first if first[v] != second[v]}
+    assert moved and all(loads[first[v]] > sum(loads.values()) / 4 for v in moved)
