@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +99,40 @@ def coverage_faults(coverage: DataFrame, locks: DataFrame, categories: tuple) ->
 
 
 def digest_of_set(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """key and SHA-256 of the JSON list of the distinct rows of the columns, sorted; a bounded set per key."""
-    spelled = F.to_json(F.array_sort(F.collect_set(F.struct(*columns))))
-    return rows.groupBy(key).agg(F.sha2(spelled, 256).alias("set_hash"))
+    """key and SHA-256 of the JSON list of the distinct rows of the columns, sorted.
+
+    A digest is a chain, so one task hashes all rows of a key; it takes them sorted, one after
+    another, and holds none, so a set may be of any size.
+    """
+    ordered = rows.select(key, *columns).distinct().repartition(key).sortWithinPartitions(key, *columns)
+    kind = rows.schema[key].dataType.simpleString()
+    return ordered.select(key, F.to_json(F.struct(*columns)).alias("spelled")).mapInArrow(_chained(key), f"{key} {kind}, set_hash string")
+
+
+def _chained(key: str):
+    def work(batches):
+        chain, at = None, None
+        for batch in batches:
+            keys, done = batch.column(0), []
+            for i, (now, spelled) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist())):
+                if chain is None or now != at[0].as_py():
+                    if chain is not None:
+                        done.append((at, chain))
+                    chain, at = hashlib.sha256(b"["), keys.slice(i, 1)
+                else:
+                    chain.update(b",")
+                chain.update(spelled.encode())
+            yield from _closed(done, key)
+        if chain is not None:
+            yield from _closed([(at, chain)], key)
+
+    return work
+
+
+def _closed(done: list, key: str):
+    for at, chain in done:
+        chain.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([at]), pa.array([chain.hexdigest()])], names=[key, "set_hash"])
 
 
 def worst(rank: dict[str, int], column: str) -> Column:
