@@ -39,6 +39,24 @@ class _Sequence(HTMLParser):
         self.silent = 0
         self.caption: list[str] | None = None
         self.figure: list[dict] = []
+        self.inside = False
+        self.held: str | None = None
+
+    def _caption_ends(self) -> None:
+        if self.caption is not None:
+            self.held, self.caption = " ".join("".join(self.caption).split()), None
+            if not self.inside:
+                self._figure_ends()
+
+    def _figure_ends(self) -> None:
+        """The held caption goes to all media of the figure; without media it is text."""
+        self._caption_ends()
+        if self.held is not None:
+            for item in self.figure:
+                item["caption"] = self.held
+            if not self.figure:
+                self.parts.append(f" {self.held} ")
+        self.figure, self.held, self.inside = [], None, False
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -50,7 +68,8 @@ class _Sequence(HTMLParser):
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figure":
-            self.figure = []
+            self._figure_ends()
+            self.inside = True
         elif tag == "figcaption":
             self.caption = []
         elif tag in ("img", "audio", "video", "source"):
@@ -66,13 +85,10 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.figure:
-                item["caption"] = said
+        elif tag == "figcaption":
+            self._caption_ends()
         elif tag == "figure":
-            self.figure = []
+            self._figure_ends()
 
     def handle_data(self, data):
         if self.caption is not None:
@@ -82,6 +98,7 @@ class _Sequence(HTMLParser):
 
     def done(self) -> list[dict]:
         self.close()
+        self._figure_ends()
         self._flush()
         return self.items
 

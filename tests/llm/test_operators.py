@@ -218,3 +218,11 @@ def test_a_grown_table_edits_the_stored_map(spark, tmp_path):
     loads = {s: sum(r["size"] for r in found if first[r.virtual_slot] == s) for s in range(4)}
     moved = {v for v in first if first[v] != second[v]}
     assert moved and all(loads[first[v]] > sum(loads.values()) / 4 for v in moved)
+
+
+def test_captions_before_and_between_media():
+    said = lambda html: [(x["kind"], x["text"], x["caption"]) for x in sequence_of(html)]
+    assert said("<figure><figcaption>cap</figcaption><img src='a'></figure><img src='b' alt='q'>") == [("media", "a", "cap"), ("media", "b", "q")]
+    assert said("<figure><img src='a'><figcaption>cap</figcaption><img src='b'></figure>") == [("media", "a", "cap"), ("media", "b", "cap")]
+    assert said("<figure><figcaption>cap</figcaption><img src='a'>") == [("media", "a", "cap")]
+    assert said("<figure><figcaption>cap</figcaption></figure>end") == [("text", "cap end", None)]
