@@ -13,9 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session, where driver and tasks share a disk, gets a temporary one of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not named and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return named or spark.sparkContext.getCheckpointDir()
 
@@ -29,3 +35,12 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/table-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,25 +1,31 @@
-"""Exact Jaccard self-join of shingle sets in metric regions.
-
-The Jaccard distance d is a metric, and documents link when d <= 1 - threshold. Unrelated
-sets all lie at distance one, where no pivot tells them apart, so regions come in two levels:
-
-* Sets of a size band are cut into B slices by the shingles' hash. Linked sets differ in at
-  most D shingles, so in at most D slices; among the first D + k filled slices of each (in a
-  fixed order) they have at least k that are equal. An equal slice is a meeting point. Of its
-  meeting points a set leaves out the k - 1 most crowded: linked sets still share one. The
-  connected groups of meeting sets are the regions; no link crosses two of them.
-* A region's least set is its pivot, and every set in it is measured against the pivot. Sets
-  are ordered by that distance into shells of bounded size. By the triangle inequality two
-  shells can only hold linked sets if their distances lie within 1 - threshold, so each shell
-  is replicated to the shells inside that window, and these pairs are joined exactly, all at
-  once, by a matrix product. A pair of shells yields only the links that span its groups.
+"""Exact Jaccard self-join of shingle sets in Voronoi cells of pivots.
 
+The Jaccard distance d is a metric, and documents link when d <= EPSILON = 1 - threshold.
 Equal sets are one node, named by the digest of the set.
 
+* Meeting points say which sets can link at all. Sets of SMALL shingles and more are cut into
+  slices by the shingles' hash: linked sets differ in so few shingles that, among the first
+  slices of each (in a fixed order), at least k are equal, and an equal slice is a meeting
+  point. Of its meeting points a set leaves out the k - 1 most crowded; by one order for all
+  sets, so linked sets still share one. Smaller sets meet in their rarest shingles, of which
+  the smaller of two linked sets needs fewer than the larger.
+* Of the sets at a meeting point, that which shares the most points is its pivot. Every set is
+  measured against its pivots. Sets within EPSILON of one link with it. What is then left to
+  join in the cell of a pivot are sets with different roots; by the triangle inequality they
+  can only link if their distances to the pivot lie within EPSILON of each other.
+* A cell that is too large for one task takes new pivots from its own sets. Each set goes to
+  the Voronoi cell of the nearest, and as a boundary set into each cell whose pivot is at most
+  2 * EPSILON farther, as any set that links with it has its home there or meets it there.
+  These cells are joined in the same way, and so on. A cell that pivots do not make smaller is
+  joined in pairs of blocks.
+
+Only links that connect different roots are made, never all pairs of a group.
+
 Defined results: null text or text without words has the empty set, linked with nothing; a
 text with fewer words than a shingle has one shingle, its word sequence. Rows that share an
 id count as one document, which has the links of each of them; rows with a null id have a
-null component. Ties do not matter, as components do not depend on pivots.
+null component and link nothing. Ties do not matter, as components do not depend on pivots.
+Extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +40,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ._arrow import scramble, shingle_sets, text_slices
-from ._spark import saved
+from ._spark import discard, saved
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
+EPSILON = 1.0 - NUMERATOR / DENOMINATOR
+ROUNDING = 1e-9
+SMALL = 64
 MOST_SHARED = 16
-SHELL_SHINGLES = 32_768
+FANOUT = 8
+LEAF_SETS, LEAF_SHINGLES = 256, 131_072
+SALTS = 16
 COLUMNS = 16_384
 FILTER_BITS = 1 << 23
 
@@ -57,6 +68,9 @@ def largest_partner(n: int) -> int:
     return n * DENOMINATOR // NUMERATOR
 
 
+MOST_RARE = largest_partner(SMALL - 1)
+
+
 def _most_apart_in(band: int) -> int:
     top = 2 ** (band + 1) - 1
     return most_apart(top, largest_partner(top))
@@ -68,12 +82,16 @@ def shared_in(band: int) -> int:
 
 
 def slices_in(band: int) -> int:
-    """B: how many slices sets of 2**band up to 2**(band + 1) shingles are cut into."""
+    """How many slices sets of 2**band up to 2**(band + 1) shingles are cut into."""
     return math.ceil(1.25 * (_most_apart_in(band) + shared_in(band)))
 
 
-def _meetings(shingles: np.ndarray, band: int, apart: int) -> np.ndarray:
-    """Names of the meeting points of a set in the scheme of one band; the band is in the low 6 bits."""
+def _slices(shingles: np.ndarray, band: int, apart: int) -> np.ndarray:
+    """Names of the meeting points of a set in the scheme of one band; the band is in the low 6 bits.
+
+    An empty slice is one only where a set of SMALL shingles fills too few, which chance makes
+    about as rare as one set in a million.
+    """
     count, most = slices_in(band), apart + shared_in(band)
     slot = (shingles % np.uint64(count)).astype(np.int64)
     held = np.bincount(slot, minlength=count)
@@ -90,15 +108,16 @@ def _meetings(shingles: np.ndarray, band: int, apart: int) -> np.ndarray:
     return (found & ~np.uint64(63)) | np.uint64(band)
 
 
-def meetings_of(shingles: np.ndarray) -> np.ndarray:
-    """Meeting points as the smaller of a pair, in the set's own band, and as the larger, also in the band below."""
+def slices_of(shingles: np.ndarray) -> np.ndarray:
+    """Meeting points of a set of SMALL shingles at least: as the smaller of a pair, in its own band, and as the larger, also in the band below."""
     n = len(shingles)
-    if most_apart(n, largest_partner(n)) < 1:
-        return np.zeros(0, dtype=np.uint64)  # only an equal set is close enough, and that is the same node
+    if n < SMALL:
+        return np.zeros(0, dtype=np.uint64)
     band = n.bit_length() - 1
-    found = [_meetings(shingles, band, most_apart(n, largest_partner(n)))]
-    if band and largest_partner(2**band - 1) >= n:
-        found.append(_meetings(shingles, band - 1, most_apart(n, n)))
+    found = [_slices(shingles, band, most_apart(n, largest_partner(n)))]
+    below = 2**band - 1
+    if below >= SMALL and largest_partner(below) >= n:
+        found.append(_slices(shingles, band - 1, most_apart(n, n)))
     return np.unique(np.concatenate(found))
 
 
@@ -107,20 +126,24 @@ def set_digest(shingles: np.ndarray) -> bytes | None:
 
 
 def shingle_stats(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """key, n_shingles and a digest of the set (null if empty)."""
+    """key, n_shingles, a digest of the set (null if empty), and the set itself where it is of MOST_RARE shingles at most and another can be close to it."""
 
     def work(batches):
         for batch in batches:
             for part in text_slices(batch, text):
                 sets = shingle_sets(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], names=[key, "n_shingles", "digest"])
+                few = [s.view(np.int64) if len(s) <= MOST_RARE and most_apart(len(s), largest_partner(len(s))) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=[key, "n_shingles", "digest", "few"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n_shingles bigint, digest binary")
+    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, n_shingles bigint, digest binary, few array<bigint>")
+
 
+def slice_rows(docs: DataFrame, key: str, text: str, bits: np.ndarray | None = None, width: int = WIDTH) -> DataFrame:
+    """A row (meeting, key) for each slice that is a meeting point (and passes the filter) of each document.
 
-def meeting_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """A row (meeting, key) for each meeting point of each document. Of equal sets that a task finds, only the first is placed: the others are the same node."""
+    Of equal sets that a task finds, only the first is placed: the others are the same node.
+    """
 
     def work(batches):
         met: set[bytes] = set()
@@ -128,11 +151,12 @@ def meeting_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
             for part in text_slices(batch, text):
                 names, rows = [], []
                 for row, shingles in enumerate(shingle_sets(part.column(1), width)):
-                    digest = set_digest(shingles)
-                    if digest is None or digest in met or not part.column(0)[row].is_valid:
+                    if len(shingles) < SMALL or not part.column(0)[row].is_valid or (digest := set_digest(shingles)) in met:
                         continue
                     met.add(digest)
-                    found = meetings_of(shingles)
+                    found = slices_of(shingles)
+                    if bits is not None:
+                        found = found[_passing(found, bits)]
                     names.append(found)
                     rows.append(np.full(len(found), row))
                 if names:
@@ -142,44 +166,54 @@ def meeting_rows(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Da
     return docs.select(key, text).mapInArrow(work, f"meeting bigint, {key} {kind}")
 
 
-def digest_filter(nodes: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set at the places of the digests in the column node: a filter of fixed size."""
-    place = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint") % F.lit(FILTER_BITS) + 1
-    parts = nodes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+def bit_filter(places: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set at the column place modulo their number. It only spares rows: a full one lets all pass to the joins."""
+    place = F.pmod("place", F.lit(FILTER_BITS)) + 1
+    parts = places.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     bits = np.zeros((FILTER_BITS // 32_768, 4_096), dtype=np.uint8)
     for row in parts:
         bits[row.part - 1] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
     return bits.ravel()
 
 
+def _passing(meetings: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = (meetings >> np.uint64(6)) % np.uint64(FILTER_BITS)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _passes(digest: bytes, bits: np.ndarray) -> bool:
     place = int.from_bytes(digest[:4], "big") % FILTER_BITS
     return bool(bits[place >> 3] >> (place & 7) & 1)
 
 
 def set_rows(docs: DataFrame, text: str, bits: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """digest, n and shingles (the bytes of the sorted hashes) of each row whose set's digest passes the filter."""
+    """digest, n and shingles (the bytes of the sorted hashes) of each row whose set's digest passes the filter; once for equal sets that a task finds."""
 
     def work(batches):
+        met: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch, text):
-                sets = [(d, x) for x in shingle_sets(part.column(0), width) if len(x) and _passes(d := set_digest(x), bits)]
+                sets = []
+                for x in shingle_sets(part.column(0), width):
+                    if len(x) and (d := set_digest(x)) not in met and _passes(d, bits):
+                        met.add(d)
+                        sets.append((d, x))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.binary()), pa.array([len(x) for _, x in sets], pa.int64()), pa.array([x.tobytes() for _, x in sets], pa.binary())], names=["digest", "n", "shingles"])
 
     return docs.select(text).mapInArrow(work, "digest binary, n bigint, shingles binary")
 
 
 def _from_pivot(batches):
-    """root, digest, n, shingles and the pivot's set -> with the distance from the pivot in its place."""
+    """cell, digest, n, pivot, and both sets -> cell, digest, n, pivot, distance and whether they link."""
     for batch in batches:
-        own, pivot = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(c)] for c in (3, 4))
+        own, pivot = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(c)] for c in (4, 5))
         common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, pivot)], dtype=np.int64)
         either = np.array([len(x) + len(y) for x, y in zip(own, pivot)], dtype=np.int64) - common
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(1 - common / np.maximum(either, 1))], names=["root", "digest", "n", "shingles", "distance"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(1 - common / np.maximum(either, 1)), pa.array(linked(common, either))], names=["cell", "digest", "n", "pivot", "distance", "link"])
 
 
 def _spanning(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """Links that connect what is linked among the sets, without all the pairs."""
+    """Links that connect what is linked among the sets of a bounded cell, without all the pairs."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -191,7 +225,7 @@ def _spanning(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, b
     row, column = row[order], column[order]
     for start in range(0, int(often.sum()), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
-        block = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        block = np.zeros((len(sets), min(COLUMNS, int(often.sum()) - start)), dtype=np.float32)
         block[row[a:b], column[a:b] - start] = 1
         common += block @ block.T
     common = common.astype(np.int64)
@@ -210,11 +244,11 @@ def _spanning(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, b
     return found
 
 
-def _shell_links(batches):
+def _cell_links(batches):
     for batch in batches:
         out = []
-        for shells in zip(*(c.to_pylist() for c in batch.columns)):
-            held = {s["digest"]: s["shingles"] for shell in shells for s in shell or ()}
+        for cell in batch.column(0).to_pylist():
+            held = {s["digest"]: s["shingles"] for s in cell}
             out += _spanning(list(held), [np.frombuffer(x, dtype=np.uint64) for x in held.values()])
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
@@ -223,64 +257,175 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that edges (a, b) reach from it) of every node that has an edge.
 
     Each round takes the least root among a node and its neighbours, and then that root's
-    root, so rounds grow with the logarithm of the longest path.
+    root, so rounds grow with the logarithm of the longest path. Many nodes have one root:
+    they look it up in salted copies.
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
     while True:
         near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        better = roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jump = better.select(F.col("node").alias("at"), F.col("root").alias("far"))
-        better = better.join(jump, F.col("root") == F.col("at")).select("node", F.least("root", "far").alias("root"), "was")
-        better = saved(better)
-        roots = better.select("node", "root")
-        if better.filter(F.col("root") != F.col("was")).isEmpty():
+        better = saved(roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"), salt))
+        led = better.groupBy("root").agg(F.lit(1).alias("one")).select(F.col("root").alias("at"))
+        jump = better.join(led, F.col("node") == F.col("at")).select("at", F.col("root").alias("far"))
+        jump = jump.filter("at <> far").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        jumped = better.join(jump, (better["root"] == jump["at"]) & (better["salt"] == jump["salt"]), "left")
+        jumped = saved(jumped.select("node", F.coalesce("far", "root").alias("root"), "was"))
+        discard(roots, better)
+        roots = jumped.select("node", "root")
+        if jumped.filter(F.col("root") != F.col("was")).isEmpty():
+            discard(both)
             return roots
 
 
-def links(docs: DataFrame, named: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """Links (a, b) between digests that span the components. named: id, digest and several (the id has other digests, too)."""
-    by_meeting = Window.partitionBy("meeting")
-    placed = meeting_rows(docs, key, text, width).withColumn("least", F.min(key).over(by_meeting)).withColumn("most", F.max(key).over(by_meeting))
-    met = placed.filter("least <> most").select("meeting", F.col(key).alias("id")).join(named, "id").groupBy("meeting", "digest").agg(F.max("several").alias("several"))
-    met = met.withColumn("crowd", F.count("*").over(by_meeting)).filter("crowd > 1")
+def rare_places(stats: DataFrame) -> DataFrame:
+    """meeting, digest and anchor of each set of MOST_RARE shingles at most: its rarest shingles, and whether they are among those of the smaller of a pair.
+
+    Linked sets of a <= b shingles share 8a/9 and 4b/5 of them at least, so some shingle is
+    among the first of both when each has all but that many, and one more. Where shingles
+    are ordered by how many sets hold them, common lines come last.
+    """
+    rows = stats.filter(F.col("few").isNotNull()).groupBy("digest").agg(F.first("few").alias("few"))
+    rows = saved(rows.select("digest", F.size("few").alias("n"), F.explode("few").alias("meeting")))
+    counts = rows.groupBy("meeting").agg(F.count("*").alias("holders"))
+    ranked = rows.join(counts, "meeting").withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy("holders", "meeting")))
+    fewest = F.ceil(F.col("n") * F.lit(2 * NUMERATOR) / F.lit(DENOMINATOR + NUMERATOR) - F.lit(ROUNDING))
+    most = F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR) - F.lit(ROUNDING))
+    return ranked.filter(F.col("rank") <= F.col("n") - most + 1).select("meeting", "digest", (F.col("rank") <= F.col("n") - fewest + 1).alias("anchor"))
+
+
+def meeting_places(docs: DataFrame, stats: DataFrame, named: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """meeting, digest: the meeting points that two sets at least may share, less those that a set leaves out. named: id, digest and several (the id has other digests, too)."""
+    # which points have two ids: of each point a task sends one row, however many sets meet there
+    spread = slice_rows(docs, key, text, None, width).groupBy("meeting").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    shared = saved(spread.filter("low <> high").select("meeting"))
+    bits = bit_filter(shared.select(F.shiftrightunsigned("meeting", 6).alias("place")))
+    met = slice_rows(docs, key, text, bits, width).join(shared, "meeting").select("meeting", F.col(key).alias("id"))
+    met = saved(met.join(named, "id").groupBy("meeting", "digest").agg(F.max("several").alias("several")))
+    crowds = met.groupBy("meeting").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     band = F.col("meeting").bitwiseAND(F.lit(63)).cast("int")
     spare = F.element_at(F.array(*(F.lit(shared_in(b)) for b in range(48))), band + 1)
     rank = F.row_number().over(Window.partitionBy("digest", band).orderBy(F.desc("crowd"), "meeting"))
-    met = met.withColumn("rank", rank).filter((F.col("rank") >= spare) | F.col("several"))
-    met = met.withColumn("a", F.min("digest").over(by_meeting)).filter("a <> digest").select("a", F.col("digest").alias("b")).distinct()
-    regions = saved(components(met))
-
+    kept = met.join(crowds, "meeting").withColumn("rank", rank).filter((F.col("rank") >= spare) | F.col("several"))
+    return kept.select("meeting", "digest", F.lit(True).alias("anchor")).unionAll(rare_places(stats))
+
+
+def pivot_cells(places: DataFrame) -> DataFrame:
+    """cell (its pivot's digest) and digest: the sets that share a meeting point with a pivot, the pivots included."""
+    score = F.count("*").over(Window.partitionBy("digest"))
+    places = saved(places.withColumn("score", score))
+    best = F.max(F.struct("score", "digest"))
+    points = places.groupBy("meeting").agg(best.alias("best"), F.count("*").alias("crowd"), F.max("anchor").alias("anchor")).filter("crowd > 1 and anchor")
+    cells = places.join(points.select("meeting", F.col("best.digest").alias("cell")), "meeting").filter("cell <> digest").select("cell", "digest").distinct()
+    cells = saved(cells)
+    return cells.union(cells.select("cell", F.col("cell").alias("digest")).distinct())
+
+
+def measured(rows: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (cell, digest) and pivots (cell, pivot) -> cell, digest, n, pivot, distance, link for each set and pivot of a cell."""
+    held = rows.join(sets, "digest")
+    fixed = pivots.join(sets.select(F.col("digest").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+    both = held.join(fixed, "cell").select("cell", "digest", "n", "pivot", "shingles", "pivot_shingles")
+    return both.mapInArrow(_from_pivot, "cell binary, digest binary, n bigint, pivot binary, distance double, link boolean")
+
+
+def open_rows(region: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (cell, digest, n, pivot, distance, link) that may still link with another root of their cell, inside the window of distances; foreign: not of the pivot's root."""
+    rows = region.join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest")).drop("node")
+    # each cell's roots, with the nearest and the farthest of each: few rows a cell and task
+    spans = rows.groupBy("cell", "root").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max(F.col("digest") == F.col("pivot")).alias("main"))
+    mains = spans.filter("main").select("cell", F.col("root").alias("main_root"))
+    foreign = spans.filter("not main").groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    cells = foreign.join(mains, "cell")
+    inside = F.col("distance").between(F.col("near") - EPSILON - ROUNDING, F.col("far") + EPSILON + ROUNDING)
+    rows = rows.join(cells, "cell").withColumn("foreign", F.col("root") != F.col("main_root"))
+    return rows.filter(F.col("foreign") | inside).select("cell", "digest", "n", "distance", "foreign")
+
+
+def block_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of each cell by pairs of its blocks, of which one at least is of foreign sets; a small cell is one block."""
+    blocks = lambda sets_, shingles: F.greatest(F.lit(1), F.ceil(F.col(sets_) / LEAF_SETS), F.ceil(F.col(shingles) / LEAF_SHINGLES))
+    whole = blocks("sets", "shingles") <= 1
+    sizes = sizes.select("cell", F.when(whole, 0).otherwise(blocks("foreign_sets", "foreign_shingles")).alias("fs"), F.when(whole, 0).otherwise(blocks("main_sets", "main_shingles")).alias("ms"))
+    deal = lambda n: F.pmod(F.xxhash64(F.lit("block"), "digest"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    own = F.when(F.col("foreign"), deal("fs")).otherwise(deal("ms"))
+    with_foreign = F.transform(F.sequence(F.lit(0), F.greatest(F.col("fs"), F.lit(1)).cast("int") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"), F.lit(False).alias("across")))
+    with_main = F.transform(F.sequence(F.lit(0), F.greatest(F.col("ms"), F.lit(1)).cast("int") - 1), lambda i: F.struct(F.col("own").alias("i"), i.alias("j"), F.lit(True).alias("across")))
+    from_main = F.transform(F.sequence(F.lit(0), F.greatest(F.col("fs"), F.lit(1)).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("across")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("across")))
+    pairs = F.when(F.col("fs") == 0, alone).when(F.col("foreign"), F.concat(with_foreign, with_main)).otherwise(from_main)
+    dealt = rows.join(sizes, "cell").withColumn("own", own).withColumn("pair", F.explode(pairs))
+    groups = dealt.select("cell", "digest", "pair").join(sets, "digest").groupBy("cell", "pair").agg(F.collect_list(F.struct("digest", "shingles")).alias("sets"))
+    return groups.select("sets").mapInArrow(_cell_links, "a binary, b binary")
+
+
+def voronoi(rows: DataFrame, sizes: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Each large cell divided by new pivots of its own, about FANOUT of them: a row for the home cell and for each whose window holds the set."""
+    draw = F.xxhash64(F.lit(f"pivot {level}"), "digest")
+    drawn = rows.join(sizes.select("cell", "sets"), "cell").withColumn("draw", draw)
+    least = drawn.groupBy("cell").agg(F.min_by("digest", "draw").alias("pivot"))
+    chosen = drawn.filter(F.pmod("draw", F.lit(1 << 20)) * F.col("sets") < F.lit(FANOUT << 20)).select("cell", F.col("digest").alias("pivot"))
+    pairs = saved(measured(rows.select("cell", "digest"), least.union(chosen).distinct(), sets))
+    home = pairs.groupBy("cell", "digest").agg(F.min("distance").alias("home"))
+    near = pairs.join(home, ["cell", "digest"]).filter(F.col("distance") <= F.col("home") + 2 * EPSILON + ROUNDING)
+    return near.select(F.unhex(F.md5(F.concat("cell", "pivot"))).alias("cell"), "digest", "n", "pivot", "distance", "link", F.col("cell").alias("parent"))
+
+
+def links(docs: DataFrame, stats: DataFrame, named: DataFrame, tied: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
+    """node and root of the sets that links reach. named: id, digest and several (the id has other digests, too); tied: (a, b) that count as linked."""
+    members = saved(pivot_cells(meeting_places(docs, stats, named, key, text, width)))
+    bits = bit_filter(members.select(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint").alias("place")))
     # sets that meet none stay where they are; only the others are shuffled
-    sets = set_rows(docs, text, digest_filter(regions), width).groupBy("digest").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    sets = saved(sets.join(regions, F.col("digest") == F.col("node")).select("root", "digest", "n", "shingles"))
-    pivots = sets.filter("root = digest").select("root", F.col("shingles").alias("pivot"))
-    shelled = sets.join(pivots, "root").select("root", "digest", "n", "shingles", "pivot").mapInArrow(_from_pivot, "root binary, digest binary, n bigint, shingles binary, distance double")
-    outward = Window.partitionBy("root").orderBy("distance", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    shelled = shelled.withColumn("shell", F.floor(F.coalesce(F.sum("n").over(outward), F.lit(0)) / F.lit(SHELL_SHINGLES)))
-    shelled = shelled.withColumn("last", F.max("shell").over(Window.partitionBy("root")))
-    shells = saved(shelled.groupBy("root", "shell").agg(F.max("last").alias("last"), F.min("distance").alias("inner"), F.max("distance").alias("outer"), F.collect_list(F.struct("digest", "shingles")).alias("sets")))
-    apart = F.lit(1.0 - NUMERATOR / DENOMINATOR + 1e-9)
-    # a shell alone, and with each later shell inside the window
-    within = shells.select(F.col("sets").alias("left"), F.lit(None).cast(shells.schema["sets"].dataType).alias("right"))
-    many = shells.filter("last > 0")
-    near = many.alias("x").join(many.alias("y"), (F.col("x.root") == F.col("y.root")) & (F.col("x.shell") < F.col("y.shell")) & (F.col("y.inner") - F.col("x.outer") <= apart))
-    near = near.select(F.col("x.sets").alias("left"), F.col("y.sets").alias("right"))
-    return within.unionAll(near).mapInArrow(_shell_links, "a binary, b binary")
+    wanted = members.select("digest").distinct()
+    sets = saved(set_rows(docs, text, bits, width).groupBy("digest").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).join(wanted, "digest"))
+    pivots = members.select("cell", F.col("cell").alias("pivot")).distinct()
+    region = saved(measured(members, pivots, sets))
+    edges = tied.union(region.filter(F.col("link") & (F.col("pivot") != F.col("digest"))).select("pivot", "digest"))
+    roots, level = components(edges), 0
+    while True:
+        rows = saved(open_rows(region, roots))
+        if rows.isEmpty():
+            return roots
+        level += 1
+        held = lambda flag, what: F.coalesce(F.sum(F.when(flag, what)), F.lit(0))
+        foreign = F.col("foreign")
+        sizes = saved(rows.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), held(foreign, 1).alias("foreign_sets"), held(foreign, F.col("n")).alias("foreign_shingles"), held(~foreign, 1).alias("main_sets"), held(~foreign, F.col("n")).alias("main_shingles")))
+        large = (F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES)
+        if level > 1:
+            # a cell that kept nearly all of its parent's sets is not made smaller by pivots
+            parents = region.select("cell", "parent").distinct().join(was.select(F.col("cell").alias("parent"), F.col("sets").alias("before")), "parent")
+            sizes = sizes.join(parents, "cell").withColumn("divide", large & (F.col("sets") < F.lit(0.7) * F.col("before"))).drop("parent", "before")
+        else:
+            sizes = sizes.withColumn("divide", large)
+        was = sizes = saved(sizes)
+        ends, deep = sizes.filter("not divide"), sizes.filter("divide")
+        made = block_links(rows.join(ends.select("cell"), "cell"), ends, sets)
+        if not deep.isEmpty():
+            region = saved(voronoi(rows.join(deep.select("cell"), "cell"), deep, sets, level))
+            made = made.union(region.filter(F.col("link") & (F.col("pivot") != F.col("digest"))).select("pivot", "digest"))
+            roots = components(made.union(roots.filter("node <> root").select("node", "root")))
+            continue
+        return components(made.union(roots.filter("node <> root").select("node", "root")))
+
+
+def _nodes(stats: DataFrame, key) -> DataFrame:
+    """id, digest, the least digest of the id, and several: the id has other digests, too."""
+    named = stats.filter(F.col("digest").isNotNull() & key.isNotNull()).select(key.alias("id"), "digest").distinct()
+    ids = named.groupBy("id").agg(F.min("digest").alias("first"), (F.count("*") > 1).alias("several"))
+    return saved(named.join(ids, "id"))
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_shingles and component_id (the least key reachable by links, its own included) of each row."""
     stats = saved(shingle_stats(docs, key, text, width))
-    by_id = Window.partitionBy("id")
-    named = stats.filter(F.col("digest").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), "digest").distinct()
-    named = saved(named.withColumn("first", F.min("digest").over(by_id)).withColumn("several", F.col("first") != F.max("digest").over(by_id)))
+    named = _nodes(stats, F.col(key))
     tied = named.filter("first <> digest").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    roots = components(links(docs, named, key, text, width).union(tied))
-    rooted = named.join(roots, F.col("digest") == F.col("node"), "left").select("id", F.coalesce("root", "digest").alias("root"))
-    least = saved(rooted.groupBy("root").agg(F.min("id").alias("component_id")))
-    found = saved(rooted.join(least, "root").groupBy(F.col("id").alias(key)).agg(F.min("component_id").alias("component_id")))
-    return stats.join(found, key, "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    roots = links(docs, stats, named, tied, key, text, width)
+    least = named.groupBy("digest").agg(F.min("id").alias("id")).join(roots, F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("root", "digest"))
+    least = saved(least.select("digest", "root", "id"))
+    found = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("digest", "component_id")
+    # a null id links nothing
+    return stats.join(found, "digest", "left").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
 def least_rows(docs: DataFrame, row: str, key: str, text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -291,9 +436,8 @@ def least_rows(docs: DataFrame, row: str, key: str, text: str = "text", width: i
     that share it are all measured.
     """
     stats = saved(shingle_stats(docs, row, text, width).filter(F.col("digest").isNotNull()))
-    by_id = Window.partitionBy("id")
-    named = stats.select(F.col(row)[key].alias("id"), "digest").distinct()
-    named = saved(named.withColumn("several", F.min("digest").over(by_id) != F.max("digest").over(by_id)))
-    roots = components(links(docs.select(F.col(row)[key].alias(key), text), named, key, text, width))
+    named = _nodes(stats, F.col(row)[key])
+    tied = named.filter("false").select(F.col("first").alias("a"), F.col("digest").alias("b"))
+    roots = links(docs.select(F.col(row)[key].alias(key), text), stats, named, tied, key, text, width)
     least = stats.groupBy("digest").agg(F.min(row).alias(row)).join(roots, F.col("digest") == F.col("node"), "left")
     return least.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min(row).alias(row)).select(row)
