@@ -4,13 +4,18 @@ A word that training knows is scored in each language by the logarithm of its fr
 there. A word that it does not know falls back to its character n-grams of the longest
 length of which any is known, and from that to shorter ones. Scores add up over the text.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS expected, drawn by a
-hash of the id) and keeps a bounded number of words and n-grams, so it has the
-same size for any input. Its counts are made in Spark.
+The model is fitted on a bounded sample of labelled rows: SAMPLE_BYTES of text are expected,
+the same share of them for each language, and each language has one row at least, so no
+language is lost however rare it is. Rows are drawn by a hash of id and text. All words and
+n-grams of the sample are learned; they are counted in Spark, and workers get them as sorted
+64-bit hashes with a row of log frequencies. The sample bounds the size of the model for any
+input; it has a column for each language, of which there should be few.
 
 Defined results: null text or text without a letter is "und" with score 0. Rows with null
 language are not learned from. Ties go to the language first in code-point order. With no
-labelled rows every prediction is "und". Very long texts are scored whole.
+labelled rows every prediction is "und". Very long texts are scored whole. Repeated rows
+score alike; rows with a null id are not held out. Extra columns do not matter; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,18 +25,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import discard, saved
 
-SAMPLE_ROWS = 10_000
-WORDS = 20_000
-GRAMS = 20_000
+SAMPLE_BYTES = 24 << 20
 LONGEST = 4
 FLOOR = 0.5
 MEMO_WORDS = 150_000
 NOWHERE = "und"
+# fixed value: the seed with which Spark's xxhash64 starts
+HASH_SEED = 42
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,66 +68,96 @@ def gram_counts(words: DataFrame, longest: int = LONGEST) -> DataFrame:
     return parts.groupBy("lang", "n", F.substring("word", F.col("at"), F.col("n")).alias("item")).agg(F.sum("count").alias("count"))
 
 
-def fit(docs: DataFrame, key: str, lang: str, text: str, rows: int = SAMPLE_ROWS) -> dict:
-    """The model: languages, and a table of log frequencies by item for words (0) and each n-gram length."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = max(1, labelled.count())
-    scale = 1 << 20
-    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(scale)) < F.lit(min(scale, rows * scale // total)))
-    words = saved(word_counts(sample, lang, text))
+def drawn(docs: DataFrame, key: str, lang: str, text: str, most: int = SAMPLE_BYTES) -> DataFrame:
+    """The training sample of rows with a language and a text: about `most` bytes, as many of each language, and one row of each at least."""
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("draw"))
+    tongues = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"), F.min("draw").alias("least")).collect()
+    if not tongues:
+        return labelled
+    share = most / len(tongues)
+    # a draw is uniform in 64 bits; the threshold is the expected part of the language
+    until = {r.lang: min(2**63 - 1, -(2**63) + int(min(1.0, share / max(1, r.bytes)) * 2**64)) for r in tongues}
+    limits = F.create_map(*(F.lit(x) for r in tongues for x in (r.lang, max(until[r.lang], r.least))))
+    return labelled.filter(F.col("draw") <= F.element_at(limits, F.col("lang")))
+
+
+def fit(docs: DataFrame, key: str, lang: str, text: str, most: int = SAMPLE_BYTES) -> dict:
+    """The model: languages, sorted hashes of items (words and n-grams by length), and each item's log frequency in each language."""
+    words = saved(word_counts(drawn(docs, key, lang, text, most), "lang", "text"))
     items = saved(words.select("lang", F.lit(0).alias("n"), "item", "count").unionAll(gram_counts(words)))
-    sums = {(r.lang, r.n): r.total for r in items.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()}
-    tongues = sorted({k[0] for k in sums})
-    model = {"langs": tongues, "tables": {}, "floor": {}}
-    share = F.col("count") / F.element_at(F.create_map(*(F.lit(x) for (t, n), total in sums.items() for x in (f"{n} {t}", float(total)))), F.concat_ws(" ", "n", "lang")) if sums else None
-    for n in range(LONGEST + 1) if sums else ():
-        most = WORDS if n == 0 else GRAMS
-        top = items.filter((F.col("n") == n) & (F.col("count") > 1)).groupBy("item").agg(F.sum(share).alias("weight"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts"))
-        floors = [float(np.log(FLOOR / (sums.get((t, n), 0) + 1))) for t in tongues]
-        model["tables"][n] = {r.item: [float(np.log(r.counts[t] / sums[t, n])) if t in r.counts else low for t, low in zip(tongues, floors)] for r in top.orderBy(F.desc("weight"), "item").limit(most).collect()}
-    return model
+    sums = items.groupBy("lang", "n").agg(F.sum("count").alias("total"))
+    totals = {(r.lang, r.n): r.total for r in sums.collect()}
+    tongues = sorted({t for t, _ in totals})
+    floors = np.array([[np.log(FLOOR / (totals.get((t, n), 0) + 1)) for t in tongues] for n in range(LONGEST + 1)]).reshape(LONGEST + 1, len(tongues))
+    if not tongues:
+        return {"langs": [], "items": np.zeros(0, dtype=np.int64), "logs": np.zeros((0, 1))}
+    place = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(tongues) for x in (t, i))), F.col("lang"))
+    hashed = F.xxhash64(F.concat_ws(":", "n", "item"))
+    table = items.join(sums, ["lang", "n"]).select(hashed.alias("item"), "n", place.alias("tongue"), F.log(F.col("count") / F.col("total")).alias("log")).toArrow()
+    known, row = np.unique(np.asarray(table["item"].combine_chunks()), return_inverse=True)
+    logs = np.zeros((len(known), len(tongues)))
+    logs[row] = floors[np.asarray(table["n"].combine_chunks())]
+    logs[row, np.asarray(table["tongue"].combine_chunks())] = np.asarray(table["log"].combine_chunks())
+    discard(words, items)
+    return {"langs": tongues, "items": known, "logs": logs}
+
+
+def item_hash(n: int, item: str) -> int:
+    return xxhash.xxh64_intdigest(f"{n}:{item}", HASH_SEED)
 
 
 class Scorer:
     def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
-        known = model["tables"].get(0, {})
-        self.first = {w: i for i, w in enumerate(known)}
-        self.memo = dict(self.first)
-        self.matrix = np.array(list(known.values()), dtype=np.float64).reshape(-1, max(1, len(self.langs)))
-
-    def backoff(self, word: str) -> list[float]:
-        """Mean log frequency of the word's n-grams, of the longest length with a known one."""
+        self.langs, self.items, self.logs = model["langs"], model["items"], model["logs"]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.matrix = np.zeros((0, self.logs.shape[1]))
+
+    def _rows(self, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Which items the model knows, and the rows of those."""
+        wanted = np.array(hashes, dtype=np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.items, wanted), max(0, len(self.items) - 1))
+        known = self.items[at] == wanted if len(self.items) else np.zeros(len(wanted), dtype=bool)
+        return known, at[known]
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word: its own, or the mean over its n-grams of the longest length with a known one."""
+        out = np.zeros((len(words), self.logs.shape[1]))
+        known, rows = self._rows([item_hash(0, w) for w in words])
+        out[known] = self.logs[rows]
+        left = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
-            table = self.model["tables"].get(n, {})
-            found = [table[g] for g in grams(word, n) if g in table]
-            if found:
-                return [sum(x) / len(found) for x in zip(*found)]
-        return [0.0] * len(self.langs)
+            parts = [grams(words[i], n) for i in left]
+            owner = np.repeat(np.arange(len(left)), [len(p) for p in parts])
+            if len(owner):
+                known, rows = self._rows([item_hash(n, g) for p in parts for g in p])
+                count = np.bincount(owner[known], minlength=len(left))
+                total = np.zeros((len(left), self.logs.shape[1]))
+                np.add.at(total, owner[known], self.logs[rows])
+                out[left[count > 0]] = total[count > 0] / count[count > 0, None]
+                left = left[count == 0]
+        return out
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Sums of log frequencies by language and the number of words; None without a letter."""
+        """Sums of log frequencies by language; None without a letter."""
         split = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        if len(self.memo) > MEMO_WORDS:
+            self._forget()
         new = [w for w in set().union(*split) if w not in self.memo] if split else []
         if new:
-            if len(self.memo) > len(self.first) + MEMO_WORDS:
-                self.memo = dict(self.first)
-                self.matrix = self.matrix[: len(self.first)]
-                new = [w for w in set().union(*split) if w not in self.memo]
             self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-            rows = np.array([self.backoff(w) for w in new], dtype=np.float64)
-            self.matrix = np.concatenate([self.matrix, rows.reshape(-1, self.matrix.shape[1])])
-        out = []
-        for words in split:
-            out.append(self.matrix[np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))].sum(0) if words else None)
-        return out
+            self.matrix = np.concatenate([self.matrix, self.learn(new)])
+        return [self.matrix[np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))].sum(0) if words else None for words in split]
 
 
 def predict(docs: DataFrame, model: dict, key: str, text: str) -> DataFrame:
     """key, lang_pred, score: the most likely language and its probability."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        scorer = Scorer(model)
+        scorer = Scorer(sent.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
