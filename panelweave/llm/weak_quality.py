@@ -1,14 +1,16 @@
 """A quality classifier from weak labels.
 
 Heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation
-over the counts of vote patterns estimates, for each labeller, how it votes on good and on
-bad documents, and with that the posterior of each pattern. The posteriors of a bounded
-sample (SAMPLE_ROWS expected, drawn by a hash of the id) train a linear scorer over hashed
-word and word-shape features, which then scores every document.
+over the counts of vote patterns of all documents estimates, for each labeller, how it votes
+on good and on bad documents, and with that the posterior of each pattern. The posteriors of
+a bounded sample train a linear scorer over hashed word and word-shape features, which then
+scores every document. The sample is of about SAMPLE_BYTES of text: each row is drawn with
+the same chance by a hash of id and text, and only the drawn rows go to the task that trains.
 
 Defined results: null text or text without words gets the share of good documents as its
-score. Repeated rows score alike. Very long texts are scored whole. An empty table gives no
-rows.
+score. Repeated rows, and rows that share a text, score alike; a null id is an id like any
+other. Very long texts are scored whole, and trained on whole where they are drawn. Extra
+columns do not matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import Words, text_slices
 
-SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 20 << 20
 BUCKETS = 1 << 15
 ROUNDS, STEPS, RATE, GAIN, SHRINK = 60, 200, 0.05, 8.0, 1e-4
 CALM = 8
@@ -128,13 +130,16 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def vote_patterns(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pattern of votes, and bytes of each document."""
+
     def work(batches):
         for batch in batches:
             for part in text_slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns_of(Shapes(part.column(1)).votes()), pa.int64())], names=[key, "pattern"])
+                shapes = Shapes(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(patterns_of(shapes.votes()), pa.int64()), pa.array(np.diff(shapes.words.rows), pa.int64())], names=[key, "pattern", "bytes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, pattern bigint")
+    return docs.select(key, text).mapInArrow(work, f"{key} {kind}, pattern bigint, bytes bigint")
 
 
 def train(features: list[np.ndarray], bounds: np.ndarray, target: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -159,17 +164,17 @@ def train(features: list[np.ndarray], bounds: np.ndarray, target: np.ndarray, st
     return weights, float(bias)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> dict:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_BYTES) -> dict:
     """The scorer (weights, bias), the labellers' estimated rates, and the share of good documents."""
-    seen = vote_patterns(docs, key, text).groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
-    patterns, counts = np.array([r[0] for r in seen], dtype=np.int64), np.array([r[1] for r in seen], dtype=np.int64)
+    seen = vote_patterns(docs, key, text).groupBy("pattern").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).orderBy("pattern").collect()  # at most 3 ** labellers rows
+    patterns, counts = np.array([r.pattern for r in seen], dtype=np.int64), np.array([r.rows for r in seen], dtype=np.int64)
     if not len(patterns):
         return {"weights": np.zeros(2 * BUCKETS, dtype=np.float32), "bias": 0.0, "rates": None, "prior": 0.5}
     good, rates, prior = estimate(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist()))
-    scale = 1 << 20
-    most = min(scale, rows * scale // max(1, int(counts.sum())))
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("quality"), F.col(key)), F.lit(scale)) <= F.lit(most)).select(F.col(text).alias("body"), F.col(key).alias("of"))
+    chance = min(1.0, most / max(1, sum(r.bytes for r in seen)))
+    until = min(2**63 - 1, -(2**63) + int(chance * 2**64))
+    sample = docs.filter(F.xxhash64(F.lit("quality"), key, text) <= F.lit(until)).select(F.col(text).alias("body"), F.col(key).alias("of"))
 
     def work(batches):
         features, sizes, target = [], [], []
@@ -184,7 +189,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SA
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["weights", "bias"])
 
     # every task draws its part of the sample; only drawn rows go to the one that trains, in a fixed order
-    drawn = sample.repartition(1).sortWithinPartitions("of", F.xxhash64("body"))
+    drawn = sample.repartition(1).sortWithinPartitions("of", F.xxhash64("body"))  # bounded by SAMPLE_BYTES
     row = drawn.mapInArrow(work, "weights binary, bias double").first()
     weights = np.frombuffer(bytes(row[0]), dtype="<f4") if row else np.zeros(2 * BUCKETS, dtype=np.float32)
     return {"weights": weights, "bias": row[1] if row else 0.0, "rates": rates, "prior": prior}
