@@ -6,9 +6,11 @@ writer stores them, so any store that Spark writes to will do and a lost task is
 Its separator after each record is itself an empty skippable frame, which readers pass over.
 
 Of pages with equal payloads of at least `least` bytes, the one with the largest page_id is a
-response and the others revisit it. Defined results: null html is the empty payload; pages
-that share the largest page_id are responses; pages with a null page_id are responses unless
-another page has their payload; extra columns do not matter.
+response and the others revisit it; smaller payloads are all responses. Defined results: null
+html is the empty payload; pages that share the largest page_id are responses; pages with a
+null page_id are responses unless another page has their payload, and pages that are all
+without one are responses; repeated rows each have a record; very long payloads are records
+like any other; extra columns do not matter; an empty table has no archive and no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from ._spark import saved, shared_folder
 # fixed values: magic numbers of the dictionary frame and of the separator frame
 DICTIONARY_MAGIC, SEPARATOR = b"\x5d\x2a\x4d\x18", "P*M\x18\x00\x00\x00\x00"
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE_ROWS = 1_000
-SAMPLE_MOST = 32 * 1024
+SAMPLE_BYTES = 8 << 20
+CHUNK = 4 * 1024
 LEVEL = 5
 LEAST = 0
 RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -55,23 +57,27 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def dictionary_of(samples: list[bytes]) -> bytes:
-    """A Zstandard dictionary built from records; where they are too few for one, their bytes serve as a plain dictionary."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
+def dictionary_of(records: list[bytes]) -> bytes:
+    """A Zstandard dictionary trained on records, in pieces of CHUNK bytes; where they are too few to train on, they are the dictionary themselves."""
+    pieces = [r[a : a + CHUNK] for r in records for a in range(0, len(r), CHUNK)]
+    size = min(DICTIONARY_BYTES, sum(map(len, pieces)) // 4)
+    if len(pieces) >= 8 and size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, pieces).as_bytes()
+        except zstandard.ZstdError:  # the pieces have too little in common
+            pass
+    return b"".join(records) or b"WARC/1.1\r\n"
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(content)
 
 
-def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_MOST) -> bytes:
-    """From a sample of at most `rows` records whose payloads have at most `most` bytes, drawn by a hash."""
-    short = pages.filter(F.octet_length(F.coalesce("html", F.lit(""))) <= most)
-    total = max(1, short.count())
-    sample = short.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) <= F.lit(min(1 << 20, rows * (1 << 20) // total))).select("page_id", "url", "html").limit(rows)
+def build_dictionary(pages: DataFrame, most: int = SAMPLE_BYTES) -> bytes:
+    """From a sample of about `most` bytes of records: each row is drawn with the same chance by a hash."""
+    total = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint") + F.lit(400))).first()[0]
+    until = min(2**63 - 1, -(2**63) + int(min(1.0, most / max(1, total or 0)) * 2**64))
+    sample = pages.filter(F.xxhash64(F.lit("dictionary"), "page_id", "url") <= F.lit(until)).select("page_id", "url", "html")
 
     def work(batches):
         texts = []
@@ -81,16 +87,26 @@ def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMP
                 texts.append(record(page_id, url, payload, sha1_base32(payload), None, False))
         yield pa.RecordBatch.from_arrays([pa.array([dictionary_of(texts)], pa.binary())], names=["content"])
 
-    row = sample.coalesce(1).mapInArrow(work, "content binary").first()
+    # every task draws its part; the drawn rows, bounded by `most`, go to the one that trains, in a fixed order
+    row = sample.repartition(1).sortWithinPartitions("page_id", "url", "html").mapInArrow(work, "content binary").first()
     return bytes(row[0]) if row else dictionary_of([])
 
 
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, and original: the page that the row revisits (null for a response)."""
+    """page_id, url, html, and original: the page that the row revisits (null for a response).
+
+    Which page revisits which is found on ids and digests alone. A payload that a large share
+    of all pages has meets its group in a join that Spark can split, and payloads are joined
+    to the revisits by page, never by digest.
+    """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = saved(rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "original"))
-    return rows.join(groups, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("original"))
+    narrow = saved(rows.filter(F.octet_length("html") >= least).select("page_id", "digest"))
+    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).filter("copies > 1 and original is not null").select("digest", "original")
+    revisits = narrow.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("original"))).distinct()
+    revisits = saved(revisits.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "original"))
+    found = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    return found.select("page_id", "url", "html", "original")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, level: int = LEVEL) -> None:
