@@ -53,6 +53,7 @@ LEAF_SETS, LEAF_SHINGLES = 256, 131_072
 SALTS = 16
 COLUMNS = 16_384
 FILTER_BITS = 1 << 23
+RUN_ROWS = 1 << 20
 
 
 def linked(common: np.ndarray, either: np.ndarray) -> np.ndarray:
@@ -140,12 +141,14 @@ def shingle_stats(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> D
 
 
 def slice_rows(docs: DataFrame, key: str, text: str, bits: np.ndarray | None = None, width: int = WIDTH) -> DataFrame:
-    """A row (meeting, key) for each slice that is a meeting point (and passes the filter) of each document.
+    """A row (meeting, key) for each slice that is a meeting point of each document.
 
     Of equal sets that a task finds, only the first is placed: the others are the same node.
+    Without a filter (bits), the rows only have to tell which points have two keys: of each
+    run of rows, a point gets two at most, however many sets meet there.
     """
 
-    def work(batches):
+    def rows_of(batches):
         met: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch, text):
@@ -160,12 +163,41 @@ def slice_rows(docs: DataFrame, key: str, text: str, bits: np.ndarray | None = N
                     names.append(found)
                     rows.append(np.full(len(found), row))
                 if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), part.column(0).take(pa.array(np.concatenate(rows)))], names=["meeting", key])
+                    yield np.concatenate(names), part.column(0), np.concatenate(rows)
+
+    def work(batches):
+        held: list = []
+        for found in rows_of(batches):
+            if bits is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), found[1].take(pa.array(found[2]))], names=["meeting", key])
+                continue
+            held.append(found)
+            if sum(len(x[0]) for x in held) > RUN_ROWS:
+                yield _two_of_each(held, key)
+                held = []
+        if held:
+            yield _two_of_each(held, key)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(work, f"meeting bigint, {key} {kind}")
 
 
+def _two_of_each(found: list, key: str) -> pa.RecordBatch:
+    """Rows (meeting, key) with one key of each meeting point, or two different ones where it has them."""
+    keys = pa.concat_arrays([x[1] for x in found])
+    start = np.cumsum([0, *(len(x[1]) for x in found)])
+    codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    names = np.concatenate([x[0] for x in found])
+    rows = np.concatenate([x[2] + a for x, a in zip(found, start)])
+    order = np.lexsort((codes[rows], names))
+    names, rows = names[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], len(names)) - 1
+    last = last[codes[rows[last]] != codes[rows[first]]]
+    take = np.concatenate([first, last])
+    return pa.RecordBatch.from_arrays([pa.array(names[take].view(np.int64)), keys.take(pa.array(rows[take]))], names=["meeting", key])
+
+
 def bit_filter(places: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, set at the column place modulo their number. It only spares rows: a full one lets all pass to the joins."""
     place = F.pmod("place", F.lit(FILTER_BITS)) + 1
@@ -296,8 +328,8 @@ def rare_places(stats: DataFrame) -> DataFrame:
 
 def meeting_places(docs: DataFrame, stats: DataFrame, named: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """meeting, digest: the meeting points that two sets at least may share, less those that a set leaves out. named: id, digest and several (the id has other digests, too)."""
-    # which points have two ids: of each point a task sends one row, however many sets meet there
-    spread = slice_rows(docs, key, text, None, width).groupBy("meeting").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    # which points have two ids: nearly all have one, so they are combined in the tasks by runs and not once more before the shuffle
+    spread = slice_rows(docs, key, text, None, width).repartition("meeting").groupBy("meeting").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     shared = saved(spread.filter("low <> high").select("meeting"))
     bits = bit_filter(shared.select(F.shiftrightunsigned("meeting", 6).alias("place")))
     met = slice_rows(docs, key, text, bits, width).join(shared, "meeting").select("meeting", F.col(key).alias("id"))

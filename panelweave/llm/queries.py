@@ -28,6 +28,11 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def kept_folder(spark: SparkSession, name: str, sf_dir: str) -> str:
+    """What later runs on the same data folder find again."""
+    return f"{shared_folder(spark)}/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
 def op1_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), model_file())
 
@@ -41,7 +46,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_report(table(spark, sf_dir, "documents"))
+    return secret_report(table(spark, sf_dir, "documents"), kept_folder(spark, "secret-ledger", sf_dir))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +66,7 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a map for each data folder, which later runs on it edit
-    maps = f"{shared_folder(spark)}/slot-map-{SHARDS}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    rows = shard_rows(table(spark, sf_dir, "documents"), SHARDS, maps=maps)
+    rows = shard_rows(table(spark, sf_dir, "documents"), SHARDS, maps=kept_folder(spark, f"slot-map-{SHARDS}", sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

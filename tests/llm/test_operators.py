@@ -9,7 +9,7 @@ import brute
 import pytest
 
 from panelweave.llm import queries as q
-from panelweave.llm import secret_ledger, source_mix, weak_quality
+from panelweave.llm import source_mix, weak_quality
 from panelweave.llm.jaccard_join import join_components
 from panelweave.llm.language_id import identify
 from panelweave.llm.media_sequences import document_media, sequence_of
@@ -109,21 +109,6 @@ def test_component_of_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard_components(rows)
 
 
-def test_secrets(odd, none):
-    for r in secret_ledger.secret_report(odd).collect():
-        assert r.spans == brute.secrets(TEXTS[r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
-    assert secret_ledger.secret_report(none).count() == 0
-
-
-def test_ledger_scans_only_what_is_new(spark, odd):
-    first = odd.filter("doc_id < 12")
-    _, ledger = secret_ledger.scan(first, "doc_id", "text")
-    findings, grown = secret_ledger.scan(odd, "doc_id", "text", ledger)
-    assert grown.count() == len({t or "" for t in TEXTS})
-    assert {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans) for r in findings.collect()} == {i: brute.secrets(t) for i, t in enumerate(TEXTS)}
-
-
 def test_language(spark, none, docs):
     rows = identify(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()
     held = [r for r in rows if r.held_out]
