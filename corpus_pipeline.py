@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from panelweave.llm._spark import shared_folder, table
 from panelweave.llm.jaccard_join import least_rows
 from panelweave.llm.piece_encoding import piece_digests
-from panelweave.llm.queries import model_file
-from panelweave.llm.secret_ledger import redacted, scan
+from panelweave.llm.queries import kept_folder, model_file
+from panelweave.llm.secret_ledger import clear_stretches, current, redacted, scan
 from panelweave.llm.source_mix import mix
 from panelweave.llm.weak_quality import fit, score
 
@@ -42,11 +42,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that the ledger has for their blobs redacted; ids, null or repeated, play no part."""
-    _, ledger = scan(docs, "doc_id", "text")
-    spans = ledger.filter(F.size("spans") > 0).select(F.col("blob_id").alias("blob"), F.array_sort("spans").alias("found"))
-    clean = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(spans, "blob", "left")
-    clean = clean.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("found"))).alias("text"), "lang", "source", F.col("n_chars").alias("was"), "found")
-    return clean.select("doc_id", "text", "lang", "source", F.when(F.col("found").isNull(), F.col("was")).otherwise(F.length("text").cast("bigint")).alias("n_chars"))
+    folder = kept_folder(spark, "pipeline-ledger", sf_dir)
+    scan(docs, "doc_id", "text", folder)
+    found = clear_stretches(current(spark, folder)).select(F.col("blob_id").alias("blob"), "clear")
+    clean = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "blob", "left")
+    clean = clean.select("doc_id", F.when(F.col("clear").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("clear"))).alias("text"), "lang", "source", F.col("n_chars").alias("was"), "clear")
+    return clean.select("doc_id", "text", "lang", "source", F.when(F.col("clear").isNull(), F.col("was")).otherwise(F.length("text").cast("bigint")).alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
