@@ -2,13 +2,18 @@
 
 HTML is parsed into an ordered sequence of text and media-reference items. A media item
 carries the digest that its address names, its position and its caption. Media live in a
-column of bytes keyed by that digest; joining on it resolves each reference while the
+stored table of bytes keyed by that digest; joining on it resolves each reference while the
 position and the caption stay beside it. The media form here is a binary grey map (PGM,
 "P5"), 64 samples to a row, 8 bits a sample, so any payload can be kept losslessly.
 
+Media are written where their documents are, each digest once by a task, and never shuffled:
+what a read of the stored bytes gives is joined by digest.
+
 Defined results: null text is the empty payload; that is padded like any other, to one row
-of zeros. Repeated rows give equal values. A reference whose digest names no medium is
-kept with null media columns.
+of zeros. Repeated rows, and rows with equal texts, give equal values, whatever their ids,
+which may be null. Very long texts are one medium. A reference whose digest names no medium
+is kept with null media columns; one whose address is no digest has a null digest and
+resolves to nothing. Extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 ROW = 64
 SCHEME = "media:"
-REPLICAS = 64
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
+FEATURES = "media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
 _SILENT = ("script", "style", "template")
 
 
@@ -145,55 +151,74 @@ def samples(medium: bytes) -> bytes:
     return rest
 
 
+def medium_of(text: str | None) -> bytes:
+    """The stored form of a text: its UTF-8 bytes, padded, as the samples of a grey map."""
+    payload = (text or "").encode()
+    rows = max(1, -(-len(payload) // ROW))
+    return b"P5\n%d %d\n255\n" % (ROW, rows) + payload.ljust(rows * ROW, b"\x00")
+
+
+def store_media(docs: DataFrame, text: str) -> DataFrame:
+    """digest and medium of each text, written as a table; equal media are written once by a task."""
+
+    def work(batches):
+        met: set[str] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                media = {}
+                for body in batch.column(0).slice(start, 64).to_pylist():
+                    medium = medium_of(body)
+                    digest = hashlib.sha256(medium).hexdigest()
+                    if digest not in met:
+                        met.add(digest)
+                        media[digest] = medium
+                if media:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(media)), pa.array(list(media.values()), pa.binary())], names=["digest", "medium"])
+
+    return saved(docs.select(text).mapInArrow(work, "digest string, medium binary"))
+
+
 def read_back(media: pd.Series) -> pd.DataFrame:
-    """What the stored bytes of a medium hold: payload size and digests, and a feature of 16 sample bands and the mean."""
+    """What the stored bytes of a medium hold: their size and digest, the payload's, and a feature of 16 sample bands and the mean."""
     rows = []
     for medium in media:
         payload = samples(medium)
         count = np.bincount(np.frombuffer(payload, dtype=np.uint8), minlength=256)
         mean = round(float(count @ np.arange(256)) / len(payload), 4)
         feature = f"{ROW}x{len(payload) // ROW};mean={mean};bands=" + ",".join(map(str, count.reshape(16, 16).sum(1)))
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature))
-    return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        rows.append((len(medium), hashlib.sha256(medium).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature))
+    return pd.DataFrame(rows, columns=["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
 
-def replica(key: str, replicas: int = REPLICAS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(replicas)).cast("int")
+def features_of(store: DataFrame) -> DataFrame:
+    """digest and what a read of the stored bytes gives, once a digest."""
+    read = F.pandas_udf(read_back, FEATURES)
+    return store.select("digest", read("medium").alias("read")).groupBy("digest").agg(F.min("read").alias("read")).select("digest", "read.*")
 
 
 def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
-    """References (digest, replica, ...) with the columns of media (digest, replica, ...).
+    """References (digest, ...) with the columns of media (digest once, ...); a reference without a medium has nulls."""
+    return references.join(media, "digest", "left")
 
-    media holds a digest at most once in each replica, so a medium that a large share of
-    all documents refers to is met in many tasks and not in one.
-    """
-    return references.join(media, ["digest", "replica"], "left")
+
+def html_of(text: Column, digest: Column, n_bytes: Column) -> Column:
+    """A text as a page: its first line, a figure whose caption tells the size of its medium, and the other lines."""
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    first = F.substring_index(text, "\n", 1)
+    figure = F.concat(F.lit(f'</p><figure><img src="{SCHEME}'), digest, F.lit('" alt=""><figcaption>'), n_bytes.cast("string"), F.lit(" bytes of text</figcaption></figure><p>"))
+    return F.concat(F.lit("<article><p>"), first, figure, F.substring(text, F.length(first) + 1, F.length(text)), F.lit("</p></article>"))
 
 
 def document_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document as an interleaved sequence of its text and one medium that holds its bytes; the medium is resolved by digest."""
-    payload = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    stored = (
-        docs.select(F.col(key), F.col(text), payload.alias("payload"))
-        .select(key, text, F.octet_length("payload").cast("bigint").alias("n_bytes"), grey_map(padded(F.col("payload"))).alias("medium"))
-        .withColumn("digest", F.sha2("medium", 256))
-    )
-    read = F.pandas_udf(read_back, FEATURES)
-    # the store: one row a digest and replica, and the columns that a read of its bytes gives
-    media = (
-        stored.select("digest", replica(key).alias("replica"), F.octet_length("medium").cast("bigint").alias("media_bytes"), read("medium").alias("read"))
-        .groupBy("digest", "replica")
-        .agg(F.min(F.struct("media_bytes", "read")).alias("m"))
-        .select("digest", "replica", "m.media_bytes", "m.read.*")
-    )
-    escaped = F.coalesce(F.col(text), F.lit(""))
-    for plain, safe in (("&", "&amp;"), ("<", "&lt;")):
-        escaped = F.replace(escaped, F.lit(plain), F.lit(safe))
-    html = F.concat(F.lit("<article><p>"), escaped, F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('" alt=""><figcaption>bytes of document '), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
-    pages = stored.select(html.alias("html"), key, "n_bytes")
-    references = (
-        parse_sequences(pages, "html", [key, "n_bytes"])
-        .select(key, "n_bytes", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
-        .select(key, "n_bytes", "item.position", "item.caption", "item.digest", replica(key).alias("replica"))
-    )
-    return resolve(references, media).select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
+    """Each document as an interleaved sequence of its lines and one medium that holds its bytes; the medium is resolved by digest."""
+    said = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("said"))
+    said = said.withColumn("payload", F.encode("said", "UTF-8")).withColumn("n_bytes", F.octet_length("payload").cast("bigint"))
+    said = said.withColumn("digest", F.sha2(grey_map(padded(F.col("payload"))), 256))
+    pages = said.select(html_of(F.col("said"), F.col("digest"), F.col("n_bytes")).alias("html"), key, "n_bytes")
+    items = parse_sequences(pages, "html", [key, "n_bytes"])
+    words = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), " ")
+    references = items.select(key, "n_bytes", F.size("items").alias("n_items"), F.sha2(words, 256).alias("words_sha256"), F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    references = references.select(key, "n_bytes", "n_items", "words_sha256", "item.position", "item.caption", "item.digest")
+    found = resolve(references, features_of(store_media(docs, text)))
+    return found.select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "words_sha256")

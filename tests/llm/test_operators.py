@@ -12,7 +12,7 @@ from panelweave.llm import queries as q
 from panelweave.llm import source_mix, weak_quality
 from panelweave.llm.jaccard_join import join_components
 from panelweave.llm.language_id import identify
-from panelweave.llm.media_sequences import document_media, sequence_of
+from panelweave.llm.media_sequences import sequence_of
 from panelweave.llm.piece_encoding import Normalizer, PieceEncoder, decode_pieces, encode_pieces, piece_digests
 from panelweave.llm.pivot_topk import integers, top_k
 from panelweave.llm.slot_sharding import shard_rows
@@ -80,15 +80,6 @@ def test_normalisation_through_the_character_map():
         assert said.decode() == library.normalize(text) and len(back) == len(said) + 1
 
 
-def test_media(odd, none):
-    for r in document_media(odd).collect():
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == brute.media_row(TEXTS[r.doc_id])
-        assert r.caption == f"bytes of document {r.doc_id}"
-    assert document_media(none).count() == 0
-    items = sequence_of("<p>a &amp; b<img src='media:x' alt='q'>c</p><script>no</script><figure><img src='u'><figcaption>cap</figcaption></figure>")
-    assert [(x["position"], x["kind"], x["digest"], x["caption"]) for x in items] == [(0, "text", None, None), (1, "media", "x", "q"), (2, "text", None, None), (3, "media", None, "cap")]
-
-
 def test_components(spark, odd, none, docs):
     found = join_components(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()
     want = brute.jaccard_components([(r.doc_id, r.text) for r in docs.values()])
