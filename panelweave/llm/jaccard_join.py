@@ -13,11 +13,13 @@ Equal sets are one node, named by the digest of the set.
   measured against its pivots. Sets within EPSILON of one link with it. What is then left to
   join in the cell of a pivot are sets with different roots; by the triangle inequality they
   can only link if their distances to the pivot lie within EPSILON of each other.
-* A cell that is too large for one task takes new pivots from its own sets. Each set goes to
-  the Voronoi cell of the nearest, and as a boundary set into each cell whose pivot is at most
-  2 * EPSILON farther, as any set that links with it has its home there or meets it there.
-  These cells are joined in the same way, and so on. A cell that pivots do not make smaller is
-  joined in pairs of blocks.
+* A cell of bounded size is joined in one task. Of a larger one, sets that share no rare
+  shingle with another root of the cell, and so link with none, are done. If it still is too
+  large, it takes new pivots from its own sets. Each set goes to the Voronoi cell of the
+  nearest, and as a boundary set into each cell whose pivot is at most 2 * EPSILON farther:
+  any set that links with it has its home there or meets it there. These cells are joined in
+  the same way, and so on. A cell that pivots do not make smaller is joined in pairs of
+  blocks.
 
 Only links that connect different roots are made, never all pairs of a group.
 
@@ -49,9 +51,8 @@ ROUNDING = 1e-9
 SMALL = 64
 MOST_SHARED = 16
 FANOUT = 8
-LEAF_SETS, LEAF_SHINGLES = 256, 131_072
+LEAF_SETS, LEAF_SHINGLES = 16_384, 1 << 22
 SALTS = 16
-COLUMNS = 16_384
 FILTER_BITS = 1 << 23
 RUN_ROWS = 1 << 20
 
@@ -244,47 +245,74 @@ def _from_pivot(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(1 - common / np.maximum(either, 1)), pa.array(linked(common, either))], names=["cell", "digest", "n", "pivot", "distance", "link"])
 
 
-def _spanning(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """Links that connect what is linked among the sets of a bounded cell, without all the pairs."""
+def _first(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of how many shingles, in an order for all sets, linked sets share one: those of the smaller, and those of the larger."""
+    smaller = sizes + (2 * NUMERATOR * sizes) // -(DENOMINATOR + NUMERATOR) + 1
+    larger = sizes + (NUMERATOR * sizes) // -DENOMINATOR + 1
+    return smaller, larger
+
+
+def _spanning(names: list[bytes], sets: list[np.ndarray], roots: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Links that connect different roots among the sets of a bounded cell, without all the pairs.
+
+    Shingles are ordered by how many of the sets hold them, the rarest first. A set is compared
+    with the sets of at least its size that hold one of its first ones among their own.
+    """
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    often = np.bincount(column) > 1
-    place = np.cumsum(often) - 1
-    row, column = row[often[column]], place[column[often[column]]]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, int(often.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [start, start + COLUMNS])
-        block = np.zeros((len(sets), min(COLUMNS, int(often.sum()) - start)), dtype=np.float32)
-        block[row[a:b], column[a:b] - start] = 1
-        common += block @ block.T
-    common = common.astype(np.int64)
-    link = linked(common, sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(link, False)
-    found, waiting = [], link.any(1)
-    while waiting.any():
-        seed = int(np.argmax(waiting))
-        reach = link[seed].copy()
-        reach[seed] = True
-        size = 0
-        while size != (size := int(reach.sum())):
-            reach |= link[reach].any(0)
-        waiting &= ~reach
-        found += [(names[seed], names[j]) for j in np.flatnonzero(reach) if j != seed]
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(held), dtype=np.int64)
+    place[np.argsort(held, kind="stable")] = np.arange(len(held))
+    row, token = np.repeat(np.arange(len(sets)), sizes), place[token]
+    order = np.lexsort((token, row))
+    token, start = token[order], np.concatenate([[0], np.cumsum(sizes)])
+    smaller, larger = _first(sizes)
+    at = np.arange(len(token)) - start[row]
+    among = np.flatnonzero(at < larger[row])
+    among = among[np.argsort(token[among], kind="stable")]
+    holders, of = row[among], np.searchsorted(token[among], np.arange(len(held) + 1))
+    root = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+    mark, found = np.zeros(len(held), dtype=bool), []
+    for x in range(len(sets)):
+        first = token[start[x] : start[x] + smaller[x]]
+        near = np.unique(np.concatenate([holders[of[t] : of[t + 1]] for t in first]))
+        near = near[(root[near] != root[x]) & (sizes[near] >= sizes[x]) & (DENOMINATOR * sizes[x] >= NUMERATOR * sizes[near])]
+        if len(near):
+            own = token[start[x] : start[x + 1]]
+            mark[own] = True
+            both = np.concatenate([token[start[y] : start[y + 1]] for y in near])
+            common = np.add.reduceat(mark[both].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+            mark[own] = False
+            for y in near[linked(common, sizes[x] + sizes[near] - common)]:
+                if root[y] != root[x]:
+                    found.append((names[x], names[y]))
+                    root[root == root[y]] = root[x]
     return found
 
 
 def _cell_links(batches):
     for batch in batches:
         out = []
-        for cell in batch.column(0).to_pylist():
-            held = {s["digest"]: s["shingles"] for s in cell}
-            out += _spanning(list(held), [np.frombuffer(x, dtype=np.uint64) for x in held.values()])
+        for cell in batch.column(0):
+            held = {s["digest"].as_py(): (np.frombuffer(s["shingles"].as_buffer(), dtype=np.uint64), s["root"].as_py()) for s in cell}
+            out += _spanning(list(held), [x for x, _ in held.values()], [r for _, r in held.values()])
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
+def _first_apart(batches):
+    """cell, digest, root and both the set and its pivot's -> the set's first shingles, those that the pivot has not before the others, and whether they are of the smaller's."""
+    for batch in batches:
+        out, rows = [], []
+        for i, (own, pivot) in enumerate(zip(batch.column(3), batch.column(4))):
+            own, pivot = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (own, pivot))
+            own = own[np.lexsort((own, np.isin(own, pivot, assume_unique=True)))]
+            smaller, larger = _first(np.int64(len(own)))
+            out.append((own[:larger], np.arange(larger) < smaller))
+            rows.append(np.full(larger, i))
+        if out:
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(np.concatenate([x for x, _ in out]).view(np.int64)), pa.array(np.concatenate([x for _, x in out]))], names=["cell", "digest", "root", "meeting", "anchor"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that edges (a, b) reach from it) of every node that has an edge.
 
@@ -371,23 +399,38 @@ def open_rows(region: DataFrame, roots: DataFrame) -> DataFrame:
     cells = foreign.join(mains, "cell")
     inside = F.col("distance").between(F.col("near") - EPSILON - ROUNDING, F.col("far") + EPSILON + ROUNDING)
     rows = rows.join(cells, "cell").withColumn("foreign", F.col("root") != F.col("main_root"))
-    return rows.filter(F.col("foreign") | inside).select("cell", "digest", "n", "distance", "foreign")
+    return rows.filter(F.col("foreign") | inside).select("cell", "digest", "n", "root", "pivot", "foreign")
+
+
+def cell_sizes(rows: DataFrame) -> DataFrame:
+    """cell, the number and the shingles of its sets, of its foreign and of its other sets, and whether it is too large for one task."""
+    foreign = F.col("foreign")
+    held = lambda flag, what: F.coalesce(F.sum(F.when(flag, what)), F.lit(0))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), held(foreign, 1).alias("foreign_sets"), held(foreign, F.col("n")).alias("foreign_shingles"), held(~foreign, 1).alias("main_sets"), held(~foreign, F.col("n")).alias("main_shingles"))
+    return sizes.withColumn("large", (F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES))
+
+
+def apart(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of large cells that share one of their first shingles with another root of their cell; the others link with none."""
+    pivots = rows.select("cell", "pivot").distinct().join(sets.select(F.col("digest").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot").drop("pivot")
+    both = rows.select("cell", "digest", "root").join(sets, "digest").join(pivots, "cell").select("cell", "digest", "root", "shingles", "pivot_shingles")
+    first = saved(both.mapInArrow(_first_apart, "cell binary, digest binary, root binary, meeting bigint, anchor boolean"))
+    points = first.groupBy("cell", "meeting").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("anchor").alias("anchor")).filter("low <> high and anchor")
+    left = first.join(points.select("cell", "meeting"), ["cell", "meeting"]).select("cell", "digest").distinct()
+    return rows.join(left, ["cell", "digest"])
 
 
 def block_links(rows: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of each cell by pairs of its blocks, of which one at least is of foreign sets; a small cell is one block."""
-    blocks = lambda sets_, shingles: F.greatest(F.lit(1), F.ceil(F.col(sets_) / LEAF_SETS), F.ceil(F.col(shingles) / LEAF_SHINGLES))
-    whole = blocks("sets", "shingles") <= 1
-    sizes = sizes.select("cell", F.when(whole, 0).otherwise(blocks("foreign_sets", "foreign_shingles")).alias("fs"), F.when(whole, 0).otherwise(blocks("main_sets", "main_shingles")).alias("ms"))
-    deal = lambda n: F.pmod(F.xxhash64(F.lit("block"), "digest"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    own = F.when(F.col("foreign"), deal("fs")).otherwise(deal("ms"))
-    with_foreign = F.transform(F.sequence(F.lit(0), F.greatest(F.col("fs"), F.lit(1)).cast("int") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j"), F.lit(False).alias("across")))
-    with_main = F.transform(F.sequence(F.lit(0), F.greatest(F.col("ms"), F.lit(1)).cast("int") - 1), lambda i: F.struct(F.col("own").alias("i"), i.alias("j"), F.lit(True).alias("across")))
-    from_main = F.transform(F.sequence(F.lit(0), F.greatest(F.col("fs"), F.lit(1)).cast("int") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(True).alias("across")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("across")))
-    pairs = F.when(F.col("fs") == 0, alone).when(F.col("foreign"), F.concat(with_foreign, with_main)).otherwise(from_main)
-    dealt = rows.join(sizes, "cell").withColumn("own", own).withColumn("pair", F.explode(pairs))
-    groups = dealt.select("cell", "digest", "pair").join(sets, "digest").groupBy("cell", "pair").agg(F.collect_list(F.struct("digest", "shingles")).alias("sets"))
+    """Links of each cell by pairs of its blocks, of which one at least is of foreign sets; a cell that fits in a task is one block."""
+    blocks = lambda sets_, shingles: F.greatest(F.lit(1), F.ceil(F.col(sets_) / (LEAF_SETS / 2)), F.ceil(F.col(shingles) / (LEAF_SHINGLES / 2))).cast("int")
+    sizes = sizes.select("cell", "large", blocks("foreign_sets", "foreign_shingles").alias("fs"), blocks("main_sets", "main_shingles").alias("ms"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "digest"), F.when(F.col("foreign"), F.col("fs")).otherwise(F.col("ms"))).cast("int")
+    pair = lambda i, j, across: F.struct(i.alias("i"), j.alias("j"), F.lit(across).alias("across"))
+    among = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    foreign = F.concat(among("fs", lambda i: pair(F.least(i, F.col("own")), F.greatest(i, F.col("own")), False)), among("ms", lambda j: pair(F.col("own"), j, True)))
+    pairs = F.when(~F.col("large"), F.array(pair(F.lit(0), F.lit(0), True))).when(F.col("foreign"), foreign).otherwise(among("fs", lambda i: pair(i, F.col("own"), True)))
+    dealt = rows.join(sizes, "cell").withColumn("own", own).select("cell", "digest", "root", F.explode(pairs).alias("pair"))
+    groups = dealt.join(sets, "digest").groupBy("cell", "pair").agg(F.collect_list(F.struct("digest", "root", "shingles")).alias("sets"))
     return groups.select("sets").mapInArrow(_cell_links, "a binary, b binary")
 
 
@@ -403,6 +446,10 @@ def voronoi(rows: DataFrame, sizes: DataFrame, sets: DataFrame, level: int) -> D
     return near.select(F.unhex(F.md5(F.concat("cell", "pivot"))).alias("cell"), "digest", "n", "pivot", "distance", "link", F.col("cell").alias("parent"))
 
 
+def of_pivots(region: DataFrame) -> DataFrame:
+    return region.filter(F.col("link") & (F.col("pivot") != F.col("digest"))).select(F.col("pivot").alias("a"), F.col("digest").alias("b"))
+
+
 def links(docs: DataFrame, stats: DataFrame, named: DataFrame, tied: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """node and root of the sets that links reach. named: id, digest and several (the id has other digests, too); tied: (a, b) that count as linked."""
     members = saved(pivot_cells(meeting_places(docs, stats, named, key, text, width)))
@@ -410,34 +457,35 @@ def links(docs: DataFrame, stats: DataFrame, named: DataFrame, tied: DataFrame,
     # sets that meet none stay where they are; only the others are shuffled
     wanted = members.select("digest").distinct()
     sets = saved(set_rows(docs, text, bits, width).groupBy("digest").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).join(wanted, "digest"))
-    pivots = members.select("cell", F.col("cell").alias("pivot")).distinct()
-    region = saved(measured(members, pivots, sets))
-    edges = tied.union(region.filter(F.col("link") & (F.col("pivot") != F.col("digest"))).select("pivot", "digest"))
-    roots, level = components(edges), 0
+    region = saved(measured(members, members.select("cell", F.col("cell").alias("pivot")).distinct(), sets)).withColumn("parent", F.lit(None).cast("binary"))
+    roots, level, before = components(tied.union(of_pivots(region))), 0, None
     while True:
         rows = saved(open_rows(region, roots))
         if rows.isEmpty():
             return roots
         level += 1
-        held = lambda flag, what: F.coalesce(F.sum(F.when(flag, what)), F.lit(0))
-        foreign = F.col("foreign")
-        sizes = saved(rows.groupBy("cell").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), held(foreign, 1).alias("foreign_sets"), held(foreign, F.col("n")).alias("foreign_shingles"), held(~foreign, 1).alias("main_sets"), held(~foreign, F.col("n")).alias("main_shingles")))
-        large = (F.col("sets") > LEAF_SETS) | (F.col("shingles") > LEAF_SHINGLES)
-        if level > 1:
-            # a cell that kept nearly all of its parent's sets is not made smaller by pivots
-            parents = region.select("cell", "parent").distinct().join(was.select(F.col("cell").alias("parent"), F.col("sets").alias("before")), "parent")
-            sizes = sizes.join(parents, "cell").withColumn("divide", large & (F.col("sets") < F.lit(0.7) * F.col("before"))).drop("parent", "before")
-        else:
-            sizes = sizes.withColumn("divide", large)
-        was = sizes = saved(sizes)
-        ends, deep = sizes.filter("not divide"), sizes.filter("divide")
-        made = block_links(rows.join(ends.select("cell"), "cell"), ends, sets)
-        if not deep.isEmpty():
-            region = saved(voronoi(rows.join(deep.select("cell"), "cell"), deep, sets, level))
-            made = made.union(region.filter(F.col("link") & (F.col("pivot") != F.col("digest"))).select("pivot", "digest"))
-            roots = components(made.union(roots.filter("node <> root").select("node", "root")))
-            continue
-        return components(made.union(roots.filter("node <> root").select("node", "root")))
+        sizes = saved(cell_sizes(rows))
+        made = block_links(rows.join(sizes.filter("not large").select("cell"), "cell"), sizes, sets)
+        deep = rows.join(sizes.filter("large").select("cell"), "cell")
+        done = deep.isEmpty()
+        if not done:
+            deep = saved(apart(deep, sets))
+            sizes = cell_sizes(deep)
+            if before is None:
+                sizes = saved(sizes.withColumn("divide", F.col("large")))
+            else:
+                # a cell that kept nearly all of its parent's sets is not made smaller by pivots
+                parents = region.select("cell", "parent").distinct().join(before.select(F.col("cell").alias("parent"), F.col("sets").alias("were")), "parent")
+                sizes = saved(sizes.join(parents, "cell").withColumn("divide", F.col("large") & (F.col("sets") < F.lit(0.7) * F.col("were"))))
+            made = made.union(block_links(deep.join(sizes.filter("not divide").select("cell"), "cell"), sizes, sets))
+            divided = deep.join(sizes.filter("divide").select("cell"), "cell")
+            done = divided.isEmpty()
+        if not done:
+            region, before = saved(voronoi(divided, sizes, sets, level)), sizes
+            made = made.union(of_pivots(region))
+        roots = components(made.union(roots.filter("node <> root").select("node", "root")))
+        if done:
+            return roots
 
 
 def _nodes(stats: DataFrame, key) -> DataFrame:
