@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,13 @@ def story_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as pages of finished projects: a project is a source and a block of 500 ids, pos the place from 1 and n the number of pages in it."""
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 500)).alias("project_id"), "doc_id", "lang", "n_chars", "text")
+    whole = Window.partitionBy("project_id")
+    return pages.withColumn("pos", F.row_number().over(whole.orderBy("doc_id"))).withColumn("n", F.count("*").over(whole))
+
+
 def url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as page files: a project is a host, a file name the last part of the path."""
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("project_id"), F.regexp_extract("url", "([^/]*)$", 1).alias("name"))
