@@ -20,8 +20,13 @@ def natural_key(name: Column) -> Column:
     """A string that sorts numeric pages first and digit runs by value."""
     stem = F.lower(page_stem(name))
     parts = F.regexp_extract_all(stem, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    spelled = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
-    return F.concat(F.when(stem.rlike("^[0-9]+(\\([0-9]+\\))?$"), "0").otherwise("1"), spelled)
+    return F.concat(F.when(stem.rlike("^[0-9]+(\\([0-9]+\\))?$"), "0").otherwise("1"), F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(p)).otherwise(p)), ""))
+
+
+def by_value(digits: Column) -> Column:
+    """A string that sorts runs of digits of any length by value: their number of digits comes first."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)
 
 
 def content_hash(*columns: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import ntpath
+import re
 import unicodedata
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 #: Parts of a path that mark it as no reference, once `-` and spaces are `_`.
 CONTAMINATED = ("人物参考图", "人设", "identity_sheet", "identity_reference", "character_sheet", "character_reference", "page_candidates/", "rejected")
+_HEAD = re.compile("(?:[A-Za-z]:/?|/)?")
 ZONED = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"
 
 
@@ -27,13 +28,32 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 
 
+def page_id(name: Column) -> Column:
+    """The page that a file name or path speaks of: NFKC, the last part without its extension, if that is letters and digits with an optional (n); else null."""
+    last = F.regexp_extract(nfkc(name), r"([^/\\\\]*)$", 1)
+    stem = F.regexp_replace(F.regexp_replace(last, r"\.[^.]*$", ""), r"(?U)^\s+|\s+$", "")
+    return F.nullif(F.regexp_extract(stem, r"^[A-Za-z0-9]+(\([0-9]+\))?$", 0), F.lit(""))
+
+
 @F.pandas_udf(StringType())
 def normal_path(path: pd.Series) -> pd.Series:
-    """NFKC, `.` and `..` collapsed as on Windows, forward slashes, case-folded; blank is null."""
+    """NFKC, forward slashes, `.` and `..` collapsed as on Windows, case-folded; blank is null.
+
+    A drive or a leading slash stays, and `..` climbs no higher than that; without one it stays.
+    """
 
     def spell(x: str) -> str | None:
-        x = unicodedata.normalize("NFKC", x).strip()
-        return ntpath.normpath(x).replace("\\", "/").casefold() if x else None
+        said = unicodedata.normalize("NFKC", x).strip().replace("\\", "/")
+        head = _HEAD.match(said)[0]
+        held: list[str] = []
+        for step in said[len(head) :].split("/"):
+            if step == ".." and held and held[-1] != "..":
+                held.pop()
+            elif step == ".." and head.endswith("/") or step in ("", "."):
+                continue
+            else:
+                held.append(step)
+        return ((head + "/".join(held)) or ".").casefold() if said else None
 
     return path.map(spell, na_action="ignore")
 

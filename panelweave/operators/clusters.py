@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group
+from panelweave.functions.text import nfkc, trimmed
 from panelweave.operators.sequence import CHUNK, RADIUS, placed, scene_runs, with_context
 
 LEAST = 8
@@ -20,8 +21,13 @@ UNKNOWN = "unknown"
 SCENE = ("chapter", "location", "story_time", "scene_id")
 
 
+def scene_keyed(pages: DataFrame) -> DataFrame:
+    """The parts of the scene key in NFKC, without white space at their ends; blank or missing ones become `unknown`."""
+    return pages.withColumns({c: F.coalesce(trimmed(nfkc(c)), F.lit(UNKNOWN)) for c in SCENE})
+
+
 def keyed(pages: DataFrame) -> DataFrame:
-    """Blank or missing parts of the scene key become `unknown`."""
+    """As in migration, without NFKC: blank or missing parts of the scene key become `unknown`."""
     return pages.withColumns({c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(UNKNOWN)) for c in SCENE})
 
 
@@ -72,7 +78,7 @@ def scene_clusters(pages: DataFrame, least: int = LEAST, most: int = CHUNK, radi
     """
     project = "coalesce(project_id, '')"
     run = Window.partitionBy("project_id", "run")
-    paged = scene_runs(keyed(pages)).withColumn("at", F.row_number().over(run.orderBy("pos")) - 1).withColumn("n", F.count("*").over(run))
+    paged = scene_runs(scene_keyed(pages)).withColumn("at", F.row_number().over(run.orderBy("pos")) - 1).withColumn("n", F.count("*").over(run))
     paged = paged.withColumn("chunk", balanced_group(F.col("at"), F.col("n"), most)).withColumn("project_id", F.expr(project))
     chunks = paged.groupBy("project_id", "run", "chunk", "chapter", "location").agg(F.count("*").alias("n"))
     told = chunks.repartition("project_id").sortWithinPartitions("project_id", "run", "chunk")

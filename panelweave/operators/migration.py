@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group, content_hash
+from panelweave.functions.text import nfkc, trimmed
 from panelweave.operators.rules import with_task_class
 from panelweave.operators.sequence import BATCH, placed
 
@@ -18,12 +19,22 @@ def alignment_state(status: Column) -> Column:
     return F.when(said.isin("confirmed", "provisional"), said).otherwise("unresolved")
 
 
+#: Patterns of candidate names: what follows the page, a page and its variant, a leading page.
+TAIL, VARIANT, LEADING = "(?i)_(repaired|candidate|visual).*$", r"^(\d+)_(\d+)(_|$)", r"^(\d+(\(\d+\))?)"
+PAGES = 9_999
+
+
 def candidate_page(name: Column) -> Column:
-    """The page that a file or folder name speaks of: suffixes such as _repaired off, 12_1 as 12(1), else the leading number, else the name."""
-    bare = F.regexp_replace(F.trim(name), "(?i)_(repaired|candidate|visual).*$", "")
-    variant = F.regexp_extract(bare, r"^(\d+)_(\d+)(_|$)", 1)
-    number = F.regexp_extract(bare, r"^(\d+(\(\d+\))?)", 1)
-    return F.when(variant != "", F.concat(variant, F.lit("("), F.regexp_extract(bare, r"^(\d+)_(\d+)(_|$)", 2), F.lit(")"))).when(number != "", number).otherwise(bare)
+    """The page that a file or folder name speaks of, in NFKC: suffixes such as _repaired off, 12_1 as 12(1), else the leading number, else the name."""
+    bare = F.regexp_replace(trimmed(nfkc(name)), TAIL, "")
+    variant, number = F.regexp_extract(bare, VARIANT, 1), F.regexp_extract(bare, LEADING, 1)
+    return F.when(variant != "", F.concat(variant, F.lit("("), F.regexp_extract(bare, VARIANT, 2), F.lit(")"))).when(number != "", number).otherwise(bare)
+
+
+def page_in_range(name: Column, most: int = PAGES) -> Column:
+    """Whether a page number with an optional variant lies in 1 to `most`; numbers may have any number of digits, and other names have no number."""
+    digits = F.regexp_replace(F.regexp_extract(name, r"^([0-9]+)(\([0-9]+\))?$", 1), "^0+", "")
+    return (digits != "") & (F.length(digits) <= len(str(most))) & (F.substring(digits, 1, len(str(most))).try_cast("int") <= most)
 
 
 def bound_candidates(candidates: DataFrame, pages: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group
 from panelweave.functions.text import json_hash
-from panelweave.operators import evidence, rules
+from panelweave.operators import evidence, migration, rules
 from panelweave.operators.sequence import placed
 from panelweave.registry import STORY, balanced_sql, registered
 from panelweave.sources.tables import story_pages, table
@@ -122,11 +122,9 @@ def u2_field_differences(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("props is not null").select("event_id", F.array_join(F.array_sort(F.array_except(keys, wanted)), ",").alias("unknown"), F.array_join(F.array_except(wanted, keys), ",").alias("missing"))
 
 
-@registered("p25_page_ranges", r"""with f as (select page_id, regexp_extract(url, '([^/]*)$', 1) name from pages) select page_id, name from f where regexp_matches(name, '^[0-9]+(\([0-9]+\))?$') and cast(regexp_extract(name, '^([0-9]+)', 1) as decimal(38, 0)) not between 1 and 500""")
+@registered("p25_page_ranges", r"""with f as (select page_id, regexp_extract(url, '([^/]*)$', 1) name from pages) select page_id, name from f where regexp_matches(name, '^[0-9]+(\([0-9]+\))?$') and cast(regexp_extract(name, '^([0-9]+)', 1) as decimal(38, 0)) not between 1 and 9999""")
 def p25_page_ranges(spark, sf_dir):
-    name = F.regexp_extract("url", "([^/]*)$", 1)
-    number = F.regexp_extract("name", r"^([0-9]+)(\([0-9]+\))?$", 1)
-    return table(spark, sf_dir, "pages").select("page_id", name.alias("name")).withColumn("n", F.expr(r"try_cast(nullif(regexp_extract(name, r'^([0-9]+)(\([0-9]+\))?$', 1), '') as decimal(38, 0))")).filter((number != "") & ~F.col("n").between(1, 500)).select("page_id", "name")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("name")).filter(F.col("name").rlike(r"^[0-9]+(\([0-9]+\))?$") & ~migration.page_in_range(F.col("name")))
 
 
 # the catalogue over rows: a rule is the condition of its fault, in Spark and in SQL

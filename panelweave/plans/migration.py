@@ -33,22 +33,24 @@ def a27_plan_summaries(spark, sf_dir):
 
 
 @registered("w11_membership_faults", f"""with {STORY}, m as (select *, row_number() over (partition by project_id order by case when page_id % 50 = 7 then pos + 3 else pos end, page_id) - 1 at_pos from story where risk >= 300) select s.project_id, count(*) filter (m.page_id is null) uncovered, 0::bigint "unknown", count(*) filter (m.at_pos <> s.pos) out_of_order
-    from story s left join m on m.project_id = s.project_id and m.page_id = s.page_id where s.project_id is not null group by 1 having count(*) filter (m.page_id is null) + count(*) filter (m.at_pos <> s.pos) > 0""")
+    from story s left join m on m.project_id = s.project_id and m.page_id = s.page_id group by 1 having count(*) filter (m.page_id is null) + count(*) filter (m.at_pos <> s.pos) > 0""")
 def w11_membership_faults(spark, sf_dir):
-    pages = sequence.placed(story_pages(spark, sf_dir).filter("project_id is not null")).select("project_id", "page_id", "pos", "risk")
+    pages = sequence.placed(story_pages(spark, sf_dir)).select("project_id", "page_id", "pos", "risk")
     told = pages.filter("risk >= 300").select("project_id", F.when(F.col("page_id") % 50 == 7, F.col("pos") + 3).otherwise(F.col("pos")).alias("cluster"), F.col("page_id").alias("place"), "page_id")
     return migration.membership_faults(told, pages.drop("risk"))
 
 
-@registered("p24_bound_candidates", rf"""with {FILES}, c as (select page_id, project_id || '/' || stem || case page_id % 3 when 0 then '_candidate_2.png' when 1 then '_1_visual.png' else '/new.png' end path, stem from (select page_id, project_id, regexp_replace(name, '\.[^.]*$', '') stem from files)),
-    p as (select distinct stem page from c where regexp_matches(stem, '^[0-9]+$') union select distinct stem || '(1)' from c where regexp_matches(stem, '^[0-9]+$') and cast(stem as bigint) % 2 = 0)
-    select page_id, case when page_id % 3 = 1 and regexp_matches(stem, '^[0-9]+$') then case when cast(stem as bigint) % 2 = 0 then stem || '(1)' end when regexp_matches(stem, '^[0-9]+$') then stem else null end page from c where regexp_matches(stem, '^[0-9]+$')""")
+@registered("p24_bound_candidates", rf"""with {FILES}, c as (select page_id, project_id || '/' || stem || case page_id % 3 when 0 then '_candidate_2.png' when 1 then '_1_visual.png' else '/new.png' end path, stem, regexp_matches(stem, '^[0-9]+$') num, page_id % 3 k from (select page_id, project_id, regexp_replace(name, '\.[^.]*$', '') stem from files)),
+    p as (select distinct stem page from c union select distinct stem || '(1)' from c where num and cast(stem as hugeint) % 2 = 0),
+    f as (select *, case when k = 0 then case when num then stem else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem) end when k = 1 and num then stem || '(1)' when k = 1 then coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem || '_1') else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), nullif(stem, '')) end near from c)
+    select page_id, p.page from f left join p on p.page = f.near""")
 def p24_bound_candidates(spark, sf_dir):
     name = F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), r"\.[^.]*$", "")
-    told = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), name.alias("stem")).filter(F.col("stem").rlike("^[0-9]+$"))
+    told = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), name.alias("stem"))
     tail = F.when(F.col("page_id") % 3 == 0, "_candidate_2.png").when(F.col("page_id") % 3 == 1, "_1_visual.png").otherwise("/new.png")
     candidates = told.select("page_id", F.concat("host", F.lit("/"), "stem", tail).alias("path"))
-    pages = told.select(F.col("stem").alias("page")).union(told.filter(F.col("stem").cast("bigint") % 2 == 0).select(F.concat("stem", F.lit("(1)"))))
+    even = told.filter(F.col("stem").rlike("^[0-9]+$") & F.substring("stem", -1, 1).isin("0", "2", "4", "6", "8"))
+    pages = told.select(F.col("stem").alias("page")).union(even.select(F.concat("stem", F.lit("(1)"))))
     return migration.bound_candidates(candidates, pages, "page_id")
 
 

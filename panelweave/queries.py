@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import content_hash, largest_difference, page_identity
+from panelweave.functions.columns import content_hash, largest_difference
+from panelweave.functions.text import page_id
 from panelweave.operators import clusters, dialogue, integrity, lanes, learning, rules, sequence, tasks
 from panelweave.registry import ATTEMPTS, BLOCKS, EVENTS, FILES, QUERIES, SQL, STORY, balanced_sql, registered
 from panelweave.sources.tables import attempts, story_pages, table, task_events, url_pages
@@ -20,7 +21,7 @@ def w3_batches(spark, sf_dir):
 
 
 @registered("w1_story_index", rf"""with {FILES}, k as (select *, lower(regexp_replace(trim(name), '\.[^.]*$', '')) stem from files),
-    keyed as (select *, (case when regexp_matches(stem, '^[0-9]+(\([0-9]+\))?$') then '0' else '1' end) || array_to_string(list_transform(regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 12, '0') else p end), '') nk from k),
+    keyed as (select *, (case when regexp_matches(stem, '^[0-9]+(\([0-9]+\))?$') then '0' else '1' end) || array_to_string(list_transform(regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(cast(length(regexp_replace(p, '^0+(.)', '\1')) as varchar), 10, '0') || regexp_replace(p, '^0+(.)', '\1') else p end), '') nk from k),
     numbered as (select project_id, page_id, name, row_number() over (partition by project_id order by nk, name, page_id) "index" from keyed)
     select *, printf('%04d.jpg', "index") output_name from numbered""")
 def w1_story_index(spark, sf_dir):
@@ -29,7 +30,7 @@ def w1_story_index(spark, sf_dir):
 
 @registered("p1_page_identity", rf"""with {FILES} select project_id, page_id, nullif(regexp_extract(translate(regexp_replace(trim(name), '\.[^.]*$', ''), '（）', '()'), '^[A-Za-z0-9]+(\([0-9]+\))?$', 0), '') identity from files""")
 def p1_page_identity(spark, sf_dir):
-    return url_pages(spark, sf_dir).select("project_id", "page_id", page_identity(F.col("name")).alias("identity"))
+    return url_pages(spark, sf_dir).select("project_id", "page_id", page_id(F.col("name")).alias("identity"))
 
 
 _RUNS = f"{STORY}, keyed as (select *, concat_ws(chr(31), chapter, location, story_time, scene_id) \"key\" from story), turns as (select *, case when \"key\" is distinct from lag(\"key\") over (partition by project_id order by pos) then 1 else 0 end turn from keyed), runs as (select *, sum(turn) over (partition by project_id order by pos) run from turns)"

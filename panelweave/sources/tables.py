@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def story_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages in story order: a project is a source."""
+    """documents as pages in story order: a project is a source and a block of 500 ids, so projects grow in number and not in size."""
     return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("project_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("chapter"), F.col("lang").alias("location"),
+        F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 500)).alias("project_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("chapter"), F.col("lang").alias("location"),
         F.when(F.col("n_chars") < 1000, "day").otherwise("night").alias("story_time"), (F.col("doc_id") % 3).cast("string").alias("scene_id"), F.col("n_chars").alias("risk"),
     )
 
@@ -31,10 +31,10 @@ def url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as task events: a lane is a user, ordered by time and id."""
+    """events as task events: a lane is a user, ordered by time and id; a project is ten users."""
     kinds = F.create_map(*(F.lit(x) for pair in (("signup", "add"), ("view", "claim"), ("purchase", "complete"), ("error", "fail"), ("click", "reopen")) for x in pair))
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("project_id"), F.col("user_id").alias("lane"), "event_id", "ts", kinds[F.col("event_type")].alias("kind"), (k % 2).alias("code"), (k % 7).alias("prompt"), k.alias("cache_key"), "value")
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).alias("project_id"), F.col("user_id").alias("lane"), "event_id", "ts", kinds[F.col("event_type")].alias("kind"), (k % 2).alias("code"), (k % 7).alias("prompt"), k.alias("cache_key"), "value")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LATE = "1 day"
+FOR_EVER = "36500 days"
 WINDOW = "1 day"
 KINDS = ("add", "claim", "complete", "fail", "reopen")
 
 
-def unique_adds(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Streaming adds, each lane's once while its watermark lasts; ts is a timestamp."""
+def unique_adds(events: DataFrame, late: str = FOR_EVER) -> DataFrame:
+    """Streaming adds, each lane's once; ts is a timestamp.
+
+    An add may be repeated at any time, so by default a lane is never forgotten: state grows
+    with the number of lanes. A shorter `late` bounds it, and lets a later repeat through.
+    """
     return events.filter("kind = 'add'").withWatermark("ts", late).dropDuplicatesWithinWatermark(["lane"])
 
 
