@@ -106,12 +106,12 @@ SQL: dict[str, str] = {
     found as ({' union all '.join(_span_sql(rank, kind) for rank, kind in enumerate(_PATTERNS))}),
     kept as (select blob_id, count(*) filter (r = 0) a, count(*) filter (r = 1) k, count(*) filter (r = 2) h, string_agg(kind || ':' || pos::bigint || ':' || (pos + size)::bigint, ',' order by pos, r) s from found where kind <> 'assign' or length(held) >= 6 group by 1)
     select doc_id, coalesce(a, 0) n_assign, coalesce(k, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(s, '')) base_sha256, coalesce(s, '') spans, blob_id from v left join kept using (blob_id)""",
-    "op6_source_mix": f"""with r as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')) size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) draw from documents),
+    "op6_source_mix": f"""with r as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+')) size, md5('mix-1:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) draw from documents),
     s as (select source, sum(size)::bigint source_size from r group by 1), o as (select *, source_size * 2 clamp, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] weight from s),
     f as (select *, coalesce(sum(clamp) over (w rows between unbounded preceding and 1 preceding), 0) below, sum(weight) over (w rows between current row and unbounded following) above, sum(source_size) over () total from o window w as (order by clamp / weight, source nulls last)),
     l as (select *, (total * 1.5::double - below) / above level from f), m as (select min(struct_pack(below, level)) filter (level * weight <= clamp) m from l),
     t as (select source, source_size, case when m is null or m.level * weight > clamp then clamp::double else m.level * weight end target from l, m),
-    q as (select r.*, source_size, target, coalesce(sum(size) over (partition by r.source order by ('0x' || substr(draw, 1, 8))::bigint % 1024, draw, doc_id, size rows between unbounded preceding and 1 preceding), 0) ahead, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end times from r join t on r.source is not distinct from t.source)
+    q as (select r.*, source_size, target, coalesce(sum(size) over (partition by r.source order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0) ahead, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end times from r join t on r.source is not distinct from t.source)
     select doc_id, size, source_size, target, cast(times * size + greatest(0, least(size, floor(target)::bigint - times * source_size - ahead)) as bigint) taken from q""",
     "op7_warc_dictionary": f"""with p as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages), o as (select h, max(page_id) original from p group by 1)
     select page_id, octet_length(encode(html)) payload_bytes, {_base32_sql('h')} payload_digest, case when page_id = original then 'response' else 'revisit' end record_type, case when page_id <> original then original end refers_to from p join o using (h)""",

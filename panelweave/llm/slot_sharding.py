@@ -1,13 +1,15 @@
 """Sharding through a fixed number of virtual slots.
 
-A record's id hashes it into one of SLOTS slots. Bytes are summed by slot, and a versioned
+A record's id and text hash it into one of SLOTS slots. Bytes are summed by slot, and a versioned
 map says which shard a slot belongs to. Version 0 deals slots out in turn; each later
 version is an edit of the one before, in which slots move off shards that hold more than an
 even share of the bytes, and is stored beside it. All of it is DataFrame functions; only the map, whose size
 is fixed, is ever in one row.
 
-Defined results: null text has 0 bytes of text; a null id hashes like any other; repeated
-rows get positions of their own; an empty table gives no rows.
+Defined results: null text has 0 bytes of text; rows with null or repeated ids spread by
+their texts; repeated rows share a virtual slot and get positions of their own; a record of
+more than an even share is alone over it, and its shard gets nothing else that can move;
+extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ SLACK = 0.005
 OVERHEAD = 16
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(*identity: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*identity), F.lit(slots)).cast("int")
 
 
 def first_map(slot_bytes: DataFrame, shards: int) -> DataFrame:
@@ -90,7 +92,8 @@ def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     maps: the folder of the stored map, which is read and edited; without one, the map starts from version 0 and is not kept.
     """
     said = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), (F.octet_length(said) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(said.cast("binary")).alias("text_crc32"), virtual_slot(F.col(key), slots).alias("virtual_slot"))
+    rows = docs.select(F.col(key), (F.octet_length(said) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(said.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("virtual_slot", virtual_slot(F.col(key), F.col("text_crc32"), F.col("size"), slots=slots))
     sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     slot_map = rebalanced(first_map(sums, shards), shards) if maps is None else next_map(sums, shards, maps, slots)
     ahead = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,12 +6,14 @@ clamp. A source is then repeated wholly as often as its target holds it, and the
 filled with documents in seeded order, the last of them in part. All of it is DataFrame
 functions.
 
-Order within a source goes by a hash, in BUCKETS buckets: bucket totals are summed first,
-so a source with a third of all rows is never ordered in one task.
+Order within a source goes by a hash of id and text. Its leading bits make buckets, as many
+as the rows need: bucket totals are summed first, so a source with a third of all rows is
+never ordered in one task, and the order does not depend on the number of buckets.
 
 Defined results: null text or text without words has size 0 and is taken 0 times; null
-source is a source of its own, last in order; repeated rows count each; an empty table
-gives no rows.
+source is a source of its own, last in order; rows with null or repeated ids are drawn by
+their texts; repeated rows count each, and ties among them do not matter; very long texts
+count all their words; extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from ._spark import saved
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
-BUCKETS = 1024
+BUCKET_ROWS = 100_000
+LEAST_BITS, MOST_BITS = 10, 24
 SEED = "mix-1"
 
 
@@ -56,11 +59,13 @@ def water_fill(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     return ranked.withColumn("water", level).select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, buckets: int = BUCKETS, keep: tuple = ()) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, keep: tuple = ()) -> DataFrame:
     """key, source, size, source_size, target, and taken: the words that the mix takes of the row, repeats counted; and the columns `keep`."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw.alias("draw"), *keep)
-    rows = saved(rows.withColumn("bucket", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint"), F.lit(buckets))))
+    rows = saved(rows)
+    bits = min(MOST_BITS, max(LEAST_BITS, (rows.count() // BUCKET_ROWS).bit_length()))
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("draw", 1, 8), 16, 10).cast("bigint"), 32 - bits))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = water_fill(parts.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
