@@ -280,4 +280,4 @@ def v_row_violations(spark, sf_dir):
 
 
 # the modules of further queries register themselves
-from panelweave.plans import audits, catalogue, dispatch, evidence, migration, packs  # noqa: E402, F401
+from panelweave.plans import audits, bundle, catalogue, compiled, dispatch, evidence, migration, packs, store  # noqa: E402, F401
