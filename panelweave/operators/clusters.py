@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group
@@ -31,6 +31,11 @@ def keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumns({c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(UNKNOWN)) for c in SCENE})
 
 
+def cluster_id(**payload: Column) -> Column:
+    """The content id of a cluster: the first 16 digits of the hash of the canonical JSON of its ordered members and scene key (and state, in migration)."""
+    return F.concat(F.lit("cluster-"), F.substring(F.sha2(F.to_json(F.struct(*(value.alias(name) for name, value in sorted(payload.items())))), 256), 1, 16))
+
+
 def merged_groups(sizes: list[int], least: int, most: int) -> list[int]:
     """The group of each chunk: a chunk below `least` joins the group before it, else the chunk after it, where both fit into `most`."""
     done: list[tuple[int, int]] = []
@@ -83,7 +88,8 @@ def scene_clusters(pages: DataFrame, least: int = LEAST, most: int = CHUNK, radi
     chunks = paged.groupBy("project_id", "run", "chunk", "chapter", "location").agg(F.count("*").alias("n"))
     told = chunks.repartition("project_id").sortWithinPartitions("project_id", "run", "chunk")
     groups = told.mapInPandas(_fold(least, most), "project_id string, run bigint, chunk bigint, first_run bigint, group bigint")
-    named = paged.join(groups, ["project_id", "run", "chunk"]).withColumn("cluster", F.struct("first_run", "group"))
+    # both the context and the facts of a cluster read these narrow rows
+    named = paged.join(groups, ["project_id", "run", "chunk"]).withColumn("cluster", F.struct("first_run", "group")).persist()
     made = with_context(named, "cluster", radius)
     one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise("mixed")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "page_id")))
@@ -100,7 +106,7 @@ def scene_clusters(pages: DataFrame, least: int = LEAST, most: int = CHUNK, radi
     whole = small & (F.col("total") == F.col("size"))
     return joined.select(
         "project_id", F.col("number").alias("cluster"), "size", "members", "before", "after", *SCENE, "canary",
-        F.substring(F.sha2(F.concat_ws("|", "project_id", "members", *SCENE), 256), 1, 16).alias("cluster_id"),
+        cluster_id(member_pages=F.split("members", ","), scene_key=F.array(*SCENE)).alias("cluster_id"),
         F.when(whole, "project_total_below_min").when(small, "scene_fragment_below_min").alias("undersized_reason"), (small & ~whole).alias("blocked"),
     )
 
@@ -114,7 +120,9 @@ def migration_clusters(pages: DataFrame, most: int = CHUNK) -> DataFrame:
     runs = turned.withColumn("run", F.sum("turn").over(order))
     spots = runs.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("project_id", "run").orderBy("pos")) - 1) / most))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "page_id")))
+    state = F.when(F.max("unresolved"), "unresolved").otherwise("confirmed")
+    named = cluster_id(alignment_state=state, member_pages=F.transform(ordered, lambda x: x["page_id"].cast("string")), scene_key=F.array(*(F.first(c) for c in SCENE)))
     return spots.groupBy("project_id", "run", "chunk").agg(
-        F.count("*").alias("size"), F.min_by("page_id", "pos").alias("first_page"), F.element_at(ordered, F.floor((F.count("*") - 1) / 2).cast("int") + 1)["page_id"].alias("canary"),
-        F.when(F.max("unresolved"), "unresolved").otherwise("confirmed").alias("state"),
+        F.count("*").alias("size"), named.alias("cluster_id"), F.min_by("page_id", "pos").alias("first_page"), F.element_at(ordered, F.floor((F.count("*") - 1) / 2).cast("int") + 1)["page_id"].alias("canary"),
+        state.alias("state"),
     )

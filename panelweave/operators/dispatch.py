@@ -40,6 +40,31 @@ def next_tasks(events: DataFrame, workers: int = WORKERS, hours: int = LEASE_HOU
     return queued.join(busy, "project_id", "left").filter(F.col("place") <= workers - F.coalesce("busy", F.lit(0))).select("project_id", "lane", "place")
 
 
+def eligible_tasks(tasks: DataFrame, paused: DataFrame, canaries: DataFrame, workers: int = WORKERS) -> DataFrame:
+    """The queued tasks that free workers of each project take next, in queue order: of no paused lane, not waiting for a canary of their cluster, on a page that nobody works on.
+
+    tasks: project_id, task_id, seq, page_id, cluster_id, lane, expensive, state, live (its lease runs). paused: project_id, lane. canaries: project_id, cluster_id, task_id, approved.
+    """
+    leased = tasks.filter("state = 'leased' and live")
+    busy = leased.groupBy("project_id").agg(F.count("*").alias("busy"))
+    queued = tasks.filter("state = 'queued'").join(paused, ["project_id", "lane"], "left_anti").join(leased.select("project_id", "page_id").distinct(), ["project_id", "page_id"], "left_anti")
+    gates = canaries.select("project_id", "cluster_id", F.col("task_id").alias("canary"), "approved")
+    gated = queued.join(gates, ["project_id", "cluster_id"], "left").filter(~F.col("expensive") | F.coalesce("approved", F.lit(False)) | F.col("canary").eqNullSafe(F.col("task_id")))
+    # of two tasks on one page the first in the queue goes
+    first = gated.withColumn("on_page", F.row_number().over(Window.partitionBy("project_id", "page_id").orderBy("seq"))).filter("on_page = 1")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("seq")).cast("bigint")).filter(F.col("place") <= workers)
+    return placed.join(busy, "project_id", "left").filter(F.col("place") <= workers - F.coalesce("busy", F.lit(0))).select("project_id", "task_id", "place")
+
+
+def retries_by_code(events: DataFrame) -> DataFrame:
+    """By project and code: failures, and the claims beyond the first that each failure took since its lane last ended a task."""
+    lane = Window.partitionBy("lane").orderBy("ts", "event_id")
+    ended = F.coalesce(F.sum(F.col("kind").isin("complete", "fail").cast("int")).over(lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    claims = F.count_if(F.col("kind") == "claim").over(Window.partitionBy("lane", "turn"))
+    failed = events.withColumn("turn", ended).withColumn("claims", claims).filter("kind = 'fail'")
+    return failed.groupBy("project_id", "code").agg(F.count("*").alias("failures"), F.sum(F.greatest(F.col("claims") - 1, F.lit(0))).alias("retries"))
+
+
 def attempt_metrics(events: DataFrame) -> DataFrame:
     """By project: share of finished tasks that were completed on the first attempt, and retries."""
     rate = F.coalesce(F.try_divide(F.count_if((F.col("state") == "completed") & (F.col("attempts") <= 1)), F.count_if(F.col("state").isin("completed", "failed"))), F.lit(0.0))

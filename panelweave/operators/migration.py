@@ -64,6 +64,12 @@ def plan_summary(tasks: DataFrame) -> DataFrame:
     return told.withColumn("ready", F.col("n_evidence_blocked") == 0)
 
 
+def page_lists(pages: DataFrame) -> DataFrame:
+    """By project: its unresolved and its unconfirmed pages, in order. pages: project_id, page_id, state."""
+    listed = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("page_id"))))
+    return pages.groupBy("project_id").agg(F.count("*").alias("pages"), listed(F.col("state") == "unresolved").alias("unresolved_pages"), listed(F.col("state") != "confirmed").alias("unconfirmed_pages"))
+
+
 def membership_faults(clusters: DataFrame, pages: DataFrame) -> DataFrame:
     """project_id and fault where the members of all clusters, in cluster order, are not the pages in story order. clusters: project_id, cluster, place, page_id. pages: project_id, page_id, pos."""
     order = Window.partitionBy("project_id").orderBy("cluster", "place")

@@ -32,6 +32,13 @@ def a27_plan_summaries(spark, sf_dir):
     return migration.plan_summary(_plan(spark, sf_dir))
 
 
+@registered("a27_page_lists", f"""with {STORY}, s as (select *, case when location is null then 'unresolved' when risk < 300 then 'provisional' else 'confirmed' end st from story) select project_id, count(*) pages, coalesce(string_agg(page_id, ',' order by page_id) filter (st = 'unresolved'), '') unresolved_pages, coalesce(string_agg(page_id, ',' order by page_id) filter (st <> 'confirmed'), '') unconfirmed_pages from s group by 1""")
+def a27_page_lists(spark, sf_dir):
+    state = F.when(F.col("location").isNull(), "unresolved").when(F.col("risk") < 300, "provisional").otherwise("confirmed")
+    made = migration.page_lists(story_pages(spark, sf_dir).withColumn("state", state))
+    return made.select("project_id", "pages", F.array_join("unresolved_pages", ",").alias("unresolved_pages"), F.array_join("unconfirmed_pages", ",").alias("unconfirmed_pages"))
+
+
 @registered("w11_membership_faults", f"""with {STORY}, m as (select *, row_number() over (partition by project_id order by case when page_id % 50 = 7 then pos + 3 else pos end, page_id) - 1 at_pos from story where risk >= 300) select s.project_id, count(*) filter (m.page_id is null) uncovered, 0::bigint "unknown", count(*) filter (m.at_pos <> s.pos) out_of_order
     from story s left join m on m.project_id = s.project_id and m.page_id = s.page_id group by 1 having count(*) filter (m.page_id is null) + count(*) filter (m.at_pos <> s.pos) > 0""")
 def w11_membership_faults(spark, sf_dir):

@@ -162,7 +162,7 @@ def w9_scene_clusters(spark, sf_dir):
     turns as (select *, case when u or coalesce(lag(u) over w, true) or k is distinct from lag(k) over w then 1 else 0 end turn from keyed window w as (partition by project_id order by pos)),
     runs as (select *, cast(sum(turn) over (partition by project_id order by pos) as bigint) run from turns),
     spots as (select *, (row_number() over (partition by project_id, run order by pos) - 1) // 20 chunk from runs)
-    select project_id, run, chunk, count(*) size, arg_min(page_id, pos) first_page, list(page_id order by pos)[(count(*) - 1) // 2 + 1] canary, case when bool_or(u) then 'unresolved' else 'confirmed' end state from spots group by 1, 2, 3""")
+    select project_id, run, chunk, count(*) size, arg_min(page_id, pos) first_page, list(page_id order by pos)[(count(*) - 1) // 2 + 1] canary, case when bool_or(u) then 'unresolved' else 'confirmed' end state, 'cluster-' || substr(sha256('{{"alignment_state":"' || case when bool_or(u) then 'unresolved' else 'confirmed' end || '","member_pages":["' || string_agg(cast(page_id as varchar), '","' order by pos) || '"],"scene_key":["' || replace(any_value(k), chr(31), '","') || '"]}}'), 1, 16) cluster_id from spots group by 1, 2, 3""")
 def w10_migration_clusters(spark, sf_dir):
     return clusters.migration_clusters(story_pages(spark, sf_dir).withColumn("unresolved", F.coalesce(F.col("risk") < 300, F.lit(True))))
 
