@@ -85,7 +85,7 @@ class Normalizer:
             return head + source.replace(b" ", self.space), np.concatenate([np.zeros(len(head), dtype=np.int64), back, [len(codes)]])
         out, back, at = bytearray(), [], 0
         if self.trim:
-            while at < len(source) and (piece := self._piece(source, at))[0] in (b" ", b""):
+            while at < len(source) and (piece := self._piece(source, at))[0] == b" ":
                 at += piece[1]
             if at == len(source):
                 return b"", np.array([at])
