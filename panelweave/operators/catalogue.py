@@ -44,7 +44,6 @@ EVIDENCE_FILES = (
 )
 REPORT_TITLE = "# FINAL QA REPORT"
 REPORT_KEYS = ("status", "reviewer", "reviewed_at", "input_count", "output_count", "page_qa_passed", "batch_count", "batch_qa_passed", "blocking_issues", "unresolved_issues")
-EXTERNAL_RUNS = ("D:/漫画文字修复/输出/", r"repair-comic-continuity_[0-9]{8}_[0-9]{6}")
 DONE, MODE, SCHEMA, LEGACY = "batch_qa_passed", "scene_cluster_v1", "3.0", "2.0"
 BATCH, CLUSTER_LEAST, CLUSTER_MOST, RADIUS, PAGES = 12, 8, 20, 2, 9_999
 
@@ -238,11 +237,15 @@ def snapshot_rules(repair: DataFrame, files: DataFrame) -> DataFrame:
     return union(*(file_rules(repair, files, F.col(f"{k}_path"), F.col(f"{k}_sha256"), ("V34", "V35", "V36")) for k in ("candidate", "text_snapshot")))
 
 
-def external_rules(repair: DataFrame, files: DataFrame) -> DataFrame:
+#: where external candidates come from, and how the folder of a run is named there; a site may have others
+EXTERNAL_RUNS = ("D:/runs/", r"[a-z][a-z-]*_[0-9]{8}_[0-9]{6}")
+
+
+def external_rules(repair: DataFrame, files: DataFrame, runs: tuple[str, str] = EXTERNAL_RUNS) -> DataFrame:
     """An external candidate is null where none was used; else it has its six fields, lies in a run folder of the right name, and its hash chain holds."""
     c = F.col("external_candidate")
     of = lambda name: F.element_at(c, name)
-    root, name = EXTERNAL_RUNS
+    root, name = runs
     spelled = F.translate(of("run_dir"), "\\", "/")
     inside = F.startswith(F.translate(of("source_path"), "\\", "/"), F.concat(spelled, F.lit("/final/"))) & ~F.translate(of("source_path"), "\\", "/").contains("/../")
     held = files.groupBy(P, F.col("path").alias("external_path")).agg(F.first("sha256").alias("real"))

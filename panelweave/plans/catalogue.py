@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave.functions.columns import balanced_group
 from panelweave.operators import catalogue as c
 from panelweave.registry import PAGES, registered
 from panelweave.sources.tables import evidence_pages, table
@@ -119,7 +120,7 @@ def v34_snapshot_files(spark, sf_dir):
     ("m", "e", {"V37": "case k when 0 then doc_id % 8 <> 0 when 1 then false else doc_id % 5 <> 0 and doc_id % 6 <> 0 and lang is not null and n_chars >= 150 and doc_id % 9 <> 0 end"})))
 def v37_external_candidates(spark, sf_dir):
     pages = evidence_pages(spark, sf_dir)
-    run = "if(doc_id % 5 = 0, 'D:/漫画文字修复/输出/other', 'D:/漫画文字修复/输出/repair-comic-continuity_20260713_080000')"
+    run = "if(doc_id % 5 = 0, 'D:/runs/other', 'D:/runs/mend_20260713_080000')"
     source = f"concat({run}, if(doc_id % 6 = 0, '/draft/', '/final/'), doc_id, '.jpg')"
     held = f"map('run_dir', {run}, 'source_path', {source}, 'source_sha256', sha2(cast(doc_id as string), 256), 'imported_at', if(doc_id % 9 = 0, '2026-07-13', '2026-07-13T08:00:00Z'), 'imported_by', coalesce(lang, ' '), 'status', 'supervised_import')"
     repair = _documents(pages, "case doc_id % 4 when 0 then false when 1 then null else true end used_external", f"if(doc_id % 4 = 0 and doc_id % 8 <> 0, null, {held}) external_candidate", "if(coalesce(n_chars, 0) < 150, 'x', sha2(cast(doc_id as string), 256)) candidate_sha256")
@@ -149,8 +150,6 @@ def v38_page_reviews(spark, sf_dir):
     ("num", "project_id", {"V47": "found = k"}), ("i", "id", {"V48": "not named or twice = 1", "V49": "size <= 12 and size = n // k + if(b + 1 <= n % k, 1, 0)", "V50": "cur = a - 1", "V51": "cur = a - 1 and m % 3 <> 0", "V53": "m % 5 <> 0", "V54": "not timed or late < 8"}),
     ("f", "e", {"V52": "id is not null", "V55": "id is not distinct from 'b' || b"})))
 def v47_batch_contract(spark, sf_dir):
-    from panelweave.functions.columns import balanced_group
-
     pages = evidence_pages(spark, sf_dir).withColumn("b", balanced_group(F.col("pos") - 1, F.col("n"), c.BATCH))
     repair = _documents(pages, "concat('b', b) batch_id", "struct(if(doc_id % 10 = 0, null, concat('2026-07-13T08:0', doc_id % 9, ':00Z')) reviewed_at) page_qa")
     made = pages.groupBy("project_id", "b").agg(F.max("n").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("z"), F.max("doc_id").alias("m")).filter("m % 31 <> 0")
@@ -158,7 +157,6 @@ def v47_batch_contract(spark, sf_dir):
     before = F.when(F.col("m") % 3 == 0, F.array(F.lit("x"))).otherwise(part("a - 2", "a - 1"))
     qa = F.expr(f"struct('passed' status, concat('p', b) pass_id, 'r' reviewer, '2026-07-13T08:08:00Z' reviewed_at, {_map(c.BATCH_CHECKS, 'm % 5 = 0')} checks)")
     batches = made.select("project_id", (F.col("b") + 1).cast("int").alias("position"), F.expr("if(m % 7 = 0, 'twice', concat('b', b))").alias("batch_id"), part("a", "z").alias("member_pages"), before.alias("context_before"), part("z + 1", "z + 2").alias("context_after"), qa.alias("batch_qa"))
-    batches = batches.withColumn("batch_qa", F.col("batch_qa"))
     return c.batch_rules(_projects(pages), batches, repair).select(*_KEPT)
 
 
@@ -193,7 +191,7 @@ def v59_continuity_bible(spark, sf_dir):
     return c.bible_rules(held.select("project_id", "expected_count"), bible, coverage, locks).select(*_KEPT)
 
 
-@registered("v73_style_contract", _sql(f"""m as (select *, {_OUT} e from pg), q as (select * from m where doc_id % 3 <> 0), v as (select *, doc_id // 3 k, least(pos + 1 + doc_id // 3 % 4, n) rp from m where doc_id % 3 = 0), w as (select *, k % 2 = 0 part, k % 7 <> 0 ismode, least(n_chars, 5000) / 5000.0 ratio, least(n_chars, 5000) / 5000.0 + if(k % 10 = 0, 0.05, 0) meas from v), s as (select *, 'a.png' x from w where k % 5 = 0)""",
+@registered("v73_style_contract", _sql(f"""m as (select *, {_OUT} e from pg), q as (select * from m where doc_id % 3 <> 0), v as (select *, doc_id // 3 k, least(pos + 1 + doc_id // 3 % 4, n) rp from m where doc_id % 3 = 0), w as (select *, k % 2 = 0 part, k % 7 <> 0 ismode, least(n_chars, 5000) / 5000.0 ratio, least(n_chars, 5000) / 5000.0 + if(k % 10 = 0, 0.05, 0) meas from v), s as (select *, 'a' || doc_id || '.png' x from w where k % 5 = 0)""",
     ("q", "e", {"V73": "doc_id % 8 <> 0"}), ("w", "e", {"V74": "ismode", "V75": "k % 9 <> 0", "V76": "true", "V77": "n <= 1 or abs(rp - pos) between 1 and 2", "V78": "k % 5 <> 0 or k % 3 <> 0", "V80": "ratio > 0 and ratio <= 1", "V81": "abs(meas - ratio) <= 0.01", "V82": "lang is not null", "V83": "k % 4 <> 0",
      "V85": "case when not ismode then true when part then k % 9 <> 0 and meas <> 1 and k % 8 <> 0 else false end"}),
     ("s", "x", {"V78": "k % 2 = 1"}), ("w", "'work/mask' || doc_id", {"V79": "k % 6 <> 0"}), ("w", "'work/compare'", {"V84": "k % 11 <> 0"})))
@@ -206,17 +204,14 @@ def v73_style_contract(spark, sf_dir):
         struct('not_applicable' status, doc_id % 8 = 0 full_size, cast(null as string) reviewer, cast(null as string) reviewed_at, cast(null as string) comparison_path, cast(null as string) comparison_sha256, false full_page_exception_approved, map({', '.join(f"'{x}', false" for x in c.STYLE_CHECKS)}) checks)) style_review"""
     repair = _documents(
         pages, "if(visual, 'visual', if(doc_id % 2 = 0, 'unchanged', 'text_only')) repair_scope", "case when not visual then 'not_applicable' when k % 7 = 0 then 'other' when k % 2 = 0 then 'localized_inpaint' else 'full_page_regeneration' end visual_edit_mode", "case when not visual then 'not_applicable' when k % 9 = 0 then 'other' else 'localized' end visual_issue_extent",
-        f"if(visual, array({near}), {none}) style_reference_pages", f"if(visual and k % 5 = 0, array('a.png'), {none}) identity_reference_files", "if(visual and k % 5 = 0 and k % 3 <> 0, 'identity_only', 'not_applicable') character_reference_role",
+        f"if(visual, array({near}), {none}) style_reference_pages", f"if(visual and k % 5 = 0, array(concat('a', doc_id, '.png')), {none}) identity_reference_files", "if(visual and k % 5 = 0 and k % 3 <> 0, 'identity_only', 'not_applicable') character_reference_role",
         "if(visual, concat('work/mask', doc_id), null) visual_mask_path", "if(visual, if(k % 6 = 0, 'x', 'h'), null) visual_mask_sha256", f"if(visual, {ratio}, 0D) changed_region_ratio", "cast(null as string) full_page_regeneration_reason", review,
     )
     masks = pages.filter("visual").selectExpr("project_id", "concat('work/mask', doc_id) path", f"{ratio} + if(k % 10 = 0, 0.05D, 0D) coverage", "true same_size")
     files = masks.selectExpr("project_id", "path", "'h' sha256").unionAll(pages.filter("visual").selectExpr("project_id", "'work/compare'", "'h'").distinct())
-    # the sheet is there for projects by page: even pages name a sheet that is not
-    repair = repair.withColumn("identity_reference_files", F.expr("transform(identity_reference_files, x -> x)"))
+    # every other sheet that a page names is there
     sheets = pages.filter("visual and k % 5 = 0 and k % 2 = 1").selectExpr("project_id", "concat('人物参考图/a', doc_id, '.png') path", "'s' sha256")
-    repair = repair.join(pages.selectExpr("project_id", "cast(pos as int) position", "doc_id"), ["project_id", "position"]).withColumn("identity_reference_files", F.expr("transform(identity_reference_files, x -> concat('a', doc_id, '.png'))")).drop("doc_id")
-    found = c.style_rules(_projects(pages), repair, files.unionAll(sheets), masks).select(*_KEPT)
-    return found.withColumn("entity", F.regexp_replace("entity", r"^a[0-9]+\.png$", "a.png"))
+    return c.style_rules(_projects(pages), repair, files.unionAll(sheets), masks).select(*_KEPT)
 
 
 @registered("v86_schema_faults", _sql("""k as (select project_id, n, max(doc_id) m from pg group by 1, 2), h as (select *, case m % 5 when 0 then '2.0' when 1 then '9' else '3.0' end a, case when m % 5 = 0 then '2.0' when m % 5 = 1 then '9' when m % 7 = 0 then '2.0' else '3.0' end b, m % 5 = 0 legacy, m % 5 > 1 and m % 7 <> 0 new, m % 3 <> 0 moded, m % 4 <> 0 declared from k), x as (select h.* from h where new and moded), y as (select x.*, (select bool_and(lang is not null) from pg where pg.project_id = x.project_id) ok from x)""",
@@ -287,14 +282,13 @@ def v105_pack_contract(spark, sf_dir):
 
 
 @registered("v113_page_traces", _sql(f"""m as (select *, {_OUT} e, doc_id % 10 k from pg)""",
-    ("m", "e", {"V113": "k <> 0", "V114": "k <> 0 and k <> 1", "V115": "lang is not null and k <> 2", "V116": "n_chars < 500 or lang is null or k <> 3", "V117": "k <> 3 and k <> 4 and (lang is not null or k = 5 or true)", "V118": "lang is not null and k <> 5 and k <> 6 and k <> 0", "V119": "doc_id % 7 <> 0 or (lang is not null and k <> 3 and k <> 8)"})))
+    ("m", "e", {"V113": "k <> 0", "V114": "k <> 0 and k <> 1", "V115": "lang is not null and k <> 2", "V116": "n_chars < 500 or lang is null or k <> 3", "V117": "k <> 3 and k <> 4", "V118": "lang is not null and k <> 5 and k <> 6 and k <> 0", "V119": "doc_id % 7 <> 0 or (lang is not null and k <> 3 and k <> 8)"})))
 def v113_page_traces(spark, sf_dir):
     pages = evidence_pages(spark, sf_dir).withColumn("k", F.col("doc_id") % 10).withColumn("reviewer", F.expr("if(k = 3, coalesce(lang, 'nobody'), 'reader')"))
     packs = c.pack_ids(pages.select("project_id", F.lit("c").alias("cluster_id")).distinct().withColumn("references", F.array(F.struct(F.lit("a").alias("path"), F.lit("primary_style").alias("role"), F.lit("s").alias("sha256")))))
     packs = packs.selectExpr("project_id", "'p' reference_pack_id", "cluster_id", "`references`", "content_binding")
-    manifest = _documents(pages, "'o' output_sha256", "'c' cluster_id", "'p' reference_pack_id", "concat('t', doc_id) task_id", "if(k = 2, 'other', lang) generated_by", "reviewer reviewed_by")
+    manifest = _documents(pages, "'o' output_sha256", "'c' cluster_id", "if(k = 1, 'q', 'p') reference_pack_id", "concat('t', doc_id) task_id", "if(k = 2, 'other', lang) generated_by", "reviewer reviewed_by")
     repair = _documents(pages, "if(k = 0, 'z', 'c') cluster_id", "if(k = 1, 'q', 'p') reference_pack_id", "concat('t', doc_id) task_id", "lang generated_by", "reviewer reviewed_by", "if(n_chars < 500, 'unchanged', 'visual') repair_scope", "if(doc_id % 7 = 0, 'full_page_regeneration', 'localized_inpaint') visual_edit_mode", "struct(if(k = 4 or k = 3, 'x', 'reader') reviewer) page_qa", "struct(if(k = 8, lang, 'styler') reviewer) style_review", "struct('looker' reviewer) visual_review")
-    manifest = manifest.withColumn("reference_pack_id", F.col("reference_pack_id")).join(pages.selectExpr("project_id", "cast(pos as int) position", "k"), ["project_id", "position"]).withColumn("reference_pack_id", F.expr("if(k = 1, 'q', 'p')")).drop("k")
     clusters = pages.groupBy("project_id").agg(F.lit("c").alias("cluster_id"), F.lit("p").alias("reference_pack_id"), F.collect_list(F.expr(_OUTPUT)).alias("member_pages"))
     tasks = pages.join(packs.select("project_id", "content_binding"), "project_id").selectExpr("project_id", "concat('t', doc_id) task_id", "format_string('%04d', if(k = 5, pos + 1, pos)) page_id", "'completed' state", "'c' cluster_id", "if(k = 6, 'x', 'o') candidate_hash", "coalesce(lang, 'somebody') completed_by", "content_binding prompt_reference_hash")
     return c.trace_rules(manifest, repair, clusters, packs.drop("content_binding"), tasks).select(*_KEPT)

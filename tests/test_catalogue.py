@@ -61,7 +61,7 @@ def passing():
         else:
             row |= {"action": "unchanged_copy", "repair_scope": "unchanged", "had_ordinary_text": True, "text_recognition": "not_applicable", "text_reset_mode": "none", "text_reset_reason": "unchanged_page"} | plain
         if i == 7:
-            row |= {"used_external": True, "external_candidate": {"run_dir": "D:\\漫画文字修复\\输出\\repair-comic-continuity_20260713_080000", "source_path": "D:/漫画文字修复/输出/repair-comic-continuity_20260713_080000/final/7.jpg", "source_sha256": sha("cand7"), "imported_at": TIME, "imported_by": "me", "status": "supervised_import"}}
+            row |= {"used_external": True, "external_candidate": {"run_dir": "D:\\runs\\mend_20260713_080000", "source_path": "D:/runs/mend_20260713_080000/final/7.jpg", "source_sha256": sha("cand7"), "imported_at": TIME, "imported_by": "me", "status": "supervised_import"}}
         repair.append(row)
         tasks.append({"task_id": f"t{i}", "page_id": f"{i:04d}", "state": "completed", "cluster_id": groups[k][0], "candidate_hash": sha(f"out{i}"), "completed_by": "maker", "prompt_reference_hash": packs[k]["reference_binding_hash"]})
     for position, (a, b) in enumerate(((1, 9), (10, 17), (18, 25)), 1):
@@ -114,7 +114,7 @@ MUTATIONS = [
     (put("alignment", 0, end_offset=10_000), "V22"), (put("alignment", 0, source_excerpt="zz"), "V23"), (put("alignment", 0, confidence=1.5), "V24"), (put("repair", 0, output_name="x"), "V25 V89"), (put("repair", 0, continuity_lock_ids=["l1", "l1"]), "V26"),
     (put("repair", 0, action="redrawn"), "V28 V33"), (put("repair", 0, text_reset_mode="x"), "V29 V33"), (put("repair", 0, repair_scope="x"), "V30 V33"), (put("repair", 0, text_recognition="x"), "V31 V33"), (put("repair", 0, text_reset_reason=" "), "V32 V33"), (put("repair", 5, had_ordinary_text=False), "V33"),
     (put("repair", 0, candidate_path="../x.jpg"), "V34"), (put("repair", 0, candidate_path="a/../../x.jpg"), "V34"), (put("repair", 0, candidate_path="work/none.jpg"), "V35"), (put("repair", 0, text_snapshot_sha256="x"), "V36"),
-    (put("repair", 0, used_external=True), "V37"), (put("repair", 6, used_external=False), "V37"), (put("repair", 6, external_candidate__status="x"), "V37"), (put("repair", 6, external_candidate__run_dir="D:/漫画文字修复/输出/other"), "V37"),
+    (put("repair", 0, used_external=True), "V37"), (put("repair", 6, used_external=False), "V37"), (put("repair", 6, external_candidate__status="x"), "V37"), (put("repair", 6, external_candidate__run_dir="D:/runs/other"), "V37"),
     (put("repair", 0, visual_review__status="x"), "V38"), (put("repair", 0, visual_review__reviewer=""), "V39"), (put("repair", 0, visual_review__reviewed_at="2026-07-13T08:00:00"), "V40"), (put("repair", 0, visual_review__checks={}), "V41"),
     (put("repair", 0, page_qa__status="x"), "V42"), (put("repair", 0, page_qa__pass_id="bq1"), "V43"), (put("repair", 0, page_qa__reviewer=" "), "V44 V117"), (put("repair", 0, page_qa__reviewed_at="soon"), "V45"), (put("repair", 0, page_qa__checks={"sfx": True}), "V46"),
     (drop("batches", 2), "V47 V52 V55"), (put("batches", 1, batch_id="b1"), "V48 V55"), (put("batches", 1, member_pages=[name(i) for i in (10, 12, 11, 13, 14, 15, 16, 17)]), "V50"), (put("batches", 1, context_before=[name(9)]), "V51"), (put("batches", 1, batch_qa__checks={}), "V53"), (put("batches", 1, batch_qa__reviewed_at=TIME), "V54"),

@@ -16,7 +16,12 @@ def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     for name in os.listdir(FOLDER):
         spark.read.parquet(f"{FOLDER}/{name}").limit(0).write.parquet(f"{folder}/{name}")
-    return str(folder)
+    # no rows are worth no compiled code
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield str(folder)
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

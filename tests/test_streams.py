@@ -46,3 +46,22 @@ def test_expired_leases(spark, parts):
     still = {(r.lane, r.event_id) for r in told.filter("next is null and ts + interval 8 hours < now").collect()}
     assert ran_out and ran_out | still <= found
     assert found <= ran_out | {(r.lane, r.event_id) for r in told.filter("next is null and ts + interval 6 hours <= now").collect()}
+
+
+def test_late_events_are_dropped_and_repeated_adds_are_not(spark, tmp_path):
+    """An event older than the watermark counts in no window; an add is repeated at any time without a second row."""
+    from datetime import datetime, timedelta
+
+    from panelweave.streaming.events import unique_adds, window_metrics
+
+    day = lambda n: datetime(2026, 1, 1, 12) + timedelta(days=n)
+    schema = "lane long, ts timestamp, kind string, event_id long"
+    # one file a batch: time moves to day 10, then an event of day 1 comes late, then time moves on
+    for n, rows in enumerate(([(1, day(1), "add", 1), (1, day(10), "fail", 2)], [(2, day(1), "fail", 3), (1, day(9), "add", 4), (3, day(10), "add", 5)], [(1, day(30), "add", 6)], [(9, day(60), "fail", 7)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/events")
+        for name, made, mode in (("late_metrics", window_metrics(stream), "append"), ("late_adds", unique_adds(stream), "append")):
+            made.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+    counts = {r.start.date().day: (r.n_add, r.n_fail) for r in spark.read.parquet(f"{tmp_path}/late_metrics").filter("start < '2026-01-20'").collect()}
+    assert counts == {2: (1, 0), 10: (1, 0), 11: (1, 1)}
+    assert sorted(r.lane for r in spark.read.parquet(f"{tmp_path}/late_adds").collect()) == [1, 3]
