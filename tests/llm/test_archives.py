@@ -6,7 +6,6 @@ import brute
 import zstandard
 
 from panelweave.llm import warc
-from panelweave.llm._spark import shared_folder
 
 SCHEMA = "page_id long, url string, html string, digest string, original long, frame string"
 
@@ -54,9 +53,9 @@ def test_empty_table(spark):
     assert warc.archived(table(spark, [])).count() == 0
 
 
-def test_the_stream_is_a_dictionary_frame_and_a_frame_a_record(spark):
+def test_the_stream_is_a_dictionary_frame_and_a_frame_a_record(spark, tmp_path):
     pages = [(i, f"u{i}", f"<html><body><h1>Title {i}</h1>" + "<p>Some words that recur on every page of the site.</p>" * 20 + f"{i * 7919}</body></html>") for i in range(300)]
-    path = f"{shared_folder(spark)}/archive-test"
+    path = f"file://{tmp_path}/archive"
     warc.write_archives(table(spark, pages).coalesce(1), path)
     stream = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).first()["content"])
     assert stream.startswith(warc.DICTIONARY_MAGIC)

@@ -50,7 +50,7 @@ def test_groups_passages_and_short_texts(spark):
     assert said(j.join_components(table(spark, rows))) == brute.jaccard_components(rows)
 
 
-@pytest.mark.parametrize("sets, fanout", [(8, 3), (40, 4)])
+@pytest.mark.parametrize("sets, fanout", [(12, 3)])
 def test_large_cells_are_divided(spark, monkeypatch, sets, fanout):
     """Bounds so small that cells are thinned, divided by Voronoi cells of new pivots, and joined in blocks."""
     monkeypatch.setattr(j, "LEAF_SETS", sets)
@@ -60,10 +60,10 @@ def test_large_cells_are_divided(spark, monkeypatch, sets, fanout):
     dice = random.Random(sets)
     # steps of few edits, so that links chain through many sets at growing distance
     rows, text = [], words(dice, 90)
-    for _ in range(160):
+    for _ in range(110):
         text = edited(dice, text, 2)
         rows.append(" ".join(text))
-    rows = list(enumerate(rows + near_copies(dice, 120, 100, 8)))
+    rows = list(enumerate(rows + near_copies(dice, 70, 100, 8)))
     assert said(j.join_components(table(spark, rows))) == brute.jaccard_components(rows)
     assert divided
 
