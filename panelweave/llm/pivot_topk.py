@@ -84,7 +84,11 @@ def search(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, table: np.ndarr
         at += len(take)
         step *= 2
         take = take[most[take] > -np.inf]
-        best = sorted(best + [(-s, i) for s, i in zip(products(rows[take], query).tolist(), ids[take].tolist())])[:k]
+        scores, names = products(rows[take], query), ids[take]
+        if scores.dtype != object:
+            top = np.lexsort((names, -scores))[:k]
+            scores, names = scores[top], names[top]
+        best = sorted(best + [(-s, i) for s, i in zip(scores.tolist(), names.tolist())])[:k]
     return [(i, -s) for s, i in best]
 
 
