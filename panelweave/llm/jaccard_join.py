@@ -508,16 +508,17 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return stats.join(found, "digest", "left").select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
-def least_rows(docs: DataFrame, row: str, key: str, text: str = "text", width: int = WIDTH) -> DataFrame:
+def least_rows(docs: DataFrame, row: str, text: str = "text", width: int = WIDTH) -> DataFrame:
     """The least value of the struct `row` in each component of linked sets; rows of an empty set have none.
 
-    Unlike join_components, rows that share an id are not tied: only their sets link them.
-    row holds key, which is not null and leads from a row's meeting points to its set; rows
-    that share it are all measured.
+    Unlike join_components, rows that share an id are not tied: only their sets link them. A
+    row is led from its meeting points to its set by a hash of its text, so near copies meet
+    whatever their ids are.
     """
-    stats = saved(shingle_stats(docs, row, text, width).filter(F.col("digest").isNotNull()))
-    named = _nodes(stats, F.col(row)[key])
+    held = docs.select(F.struct(F.col(row).alias("row"), F.xxhash64(text).alias("of")).alias("held"), F.col(text).alias("body"))
+    stats = saved(shingle_stats(held, "held", "body", width).filter(F.col("digest").isNotNull()))
+    named = _nodes(stats, F.col("held")["of"])
     tied = named.filter("false").select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    roots = links(docs.select(F.col(row)[key].alias(key), text), stats, named, tied, key, text, width)
-    least = stats.groupBy("digest").agg(F.min(row).alias(row)).join(roots, F.col("digest") == F.col("node"), "left")
-    return least.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min(row).alias(row)).select(row)
+    roots = links(held.select(F.col("held")["of"].alias("of"), "body"), stats, named, tied, "of", "body", width)
+    least = stats.groupBy("digest").agg(F.min("held").alias("held")).join(roots, F.col("digest") == F.col("node"), "left")
+    return least.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("held").alias("held")).select(F.col("held")["row"].alias(row))

@@ -11,7 +11,7 @@ n-grams of the sample are learned; they are counted in Spark, and workers get th
 64-bit hashes with a row of log frequencies. The sample bounds the size of the model for any
 input; it has a column for each language, of which there should be few.
 
-Defined results: null text or text without a letter is "und" with score 0. Rows with null
+Defined results: null text or text without a letter (Unicode category L) is "und" with score 0. Rows with null
 language are not learned from. Ties go to the language first in code-point order. With no
 labelled rows every prediction is "und". Very long texts are scored whole. Repeated rows
 score alike; rows with a null id are not held out. Extra columns do not matter; an empty
@@ -21,6 +21,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -38,7 +39,9 @@ MEMO_WORDS = 150_000
 NOWHERE = "und"
 # fixed value: the seed with which Spark's xxhash64 starts
 HASH_SEED = 42
-_WORD = re.compile(r"[^\W\d_]+")
+#: what `re` takes for part of a word though it is neither a letter nor a decimal digit: fractions, raised and enclosed numbers and the like
+_NUMBERS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(sys.maxunicode + 1)))) if not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:

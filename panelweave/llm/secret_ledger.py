@@ -12,6 +12,8 @@ Texts move only where their blob has something to scan. Positions are sums over
 of one blob, so a text with very many hits takes time in proportion to them, and a blob on
 very many paths meets them in a join that Spark can split.
 
+Runs at once, or one that is repeated, may scan a pair twice; its findings count once.
+
 Defined results: null text is the empty blob, without findings. Repeated rows each get the
 findings of their blob; paths may be null or repeated. Spans are in code points, end
 exclusive, over the whole match. Extra columns do not matter; an empty table gives no rows.
@@ -40,11 +42,11 @@ def rule_key(kind: str, version: int) -> str:
 
 
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """A table of the folder, if there is one."""
+    """A table of the folder, if there is one. A folder without files, as a first write that failed leaves it, is none."""
     try:
         return spark.read.parquet(f"{folder}/{name}")
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
@@ -97,9 +99,10 @@ def scan(versions: DataFrame, path: str, text: str, folder: str, rules: tuple =
 
 
 def current(spark: SparkSession, folder: str, rules: tuple = RULES) -> DataFrame:
-    """blob_id and spans (sorted) of each blob in which a rule of now has found something."""
+    """blob_id and spans (sorted) of each blob in which a rule of now has found something; a pair that two runs have scanned counts once."""
     ledger = stored(spark, folder, "ledger").filter(F.col("rule").isin(*(rule_key(kind, version) for kind, version, *_ in rules)) & (F.size("spans") > 0))
-    return ledger.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    once = F.transform(F.collect_set(F.struct("rule", "spans")), lambda r: r["spans"])
+    return ledger.groupBy("blob_id").agg(F.array_sort(F.flatten(once)).alias("spans"))
 
 
 def exposed(spark: SparkSession, folder: str, rules: tuple = RULES) -> DataFrame:

@@ -1,13 +1,15 @@
 """Sharding through a fixed number of virtual slots.
 
-A record's id and text hash it into one of SLOTS slots. Bytes are summed by slot, and a versioned
+A record's id, text and number among its equals hash it into one of SLOTS slots. Equal
+records are interchangeable, so they are counted and numbered anew, in at most PARTS blocks
+that share a slot each: a record that repeats without end spreads as others do. Bytes are summed by slot, and a versioned
 map says which shard a slot belongs to. Version 0 deals slots out in turn; each later
 version is an edit of the one before, in which slots move off shards that hold more than an
 even share of the bytes, and is stored beside it. All of it is DataFrame functions; only the map, whose size
 is fixed, is ever in one row.
 
 Defined results: null text has 0 bytes of text; rows with null or repeated ids spread by
-their texts; repeated rows share a virtual slot and get positions of their own; a record of
+their texts; repeated rows spread by their number and get positions of their own; a record of
 more than an even share is alone over it, and its shard gets nothing else that can move;
 extra columns do not matter; an empty table gives no rows.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._spark import saved
 
-SLOTS = 4096
+SLOTS, PARTS = 4096, 16384
 SLACK = 0.005
 OVERHEAD = 16
 
@@ -58,11 +60,11 @@ def rebalanced(slot_map: DataFrame, shards: int) -> DataFrame:
 
 
 def last_map(spark: SparkSession, maps: str) -> DataFrame | None:
-    """virtual_slot, shard and version of the last version stored in the folder, if there is one."""
+    """virtual_slot, shard and version of the last version stored in the folder, if there is one; a folder without files holds none."""
     try:
         stored = spark.read.parquet(maps)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
     return stored.filter(F.col("version") == stored.agg(F.max("version")).first()[0])
@@ -93,10 +95,16 @@ def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     """
     said = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), (F.octet_length(said) + F.lit(OVERHEAD)).cast("bigint").alias("size"), F.crc32(said.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", virtual_slot(F.col(key), F.col("text_crc32"), F.col("size"), slots=slots))
-    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    equal = rows.groupBy(key, "size", "text_crc32").agg(F.count("*").alias("n"))
+    each = F.ceil(F.col("n") / PARTS)
+    blocks = equal.withColumn("each", each).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / F.col("each")))))
+    blocks = blocks.withColumn("rows", F.least(F.col("each"), F.col("n") - F.col("block") * F.col("each")))
+    blocks = blocks.withColumn("virtual_slot", virtual_slot(F.col(key), F.col("text_crc32"), F.col("size"), F.col("block"), slots=slots))
+    blocks = saved(blocks.select(key, "size", "text_crc32", "block", "rows", "virtual_slot"))
+    sums = blocks.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("rows")).alias("bytes"), F.sum("rows").alias("rows"))
     slot_map = rebalanced(first_map(sums, shards), shards) if maps is None else next_map(sums, shards, maps, slots)
-    ahead = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slot_map = slot_map.withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
-    inside = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")
-    return rows.join(slot_map.select("virtual_slot", "shard", "ahead", "version"), "virtual_slot").select(key, "size", "text_crc32", "shard", (F.col("ahead") + F.row_number().over(inside) - 1).cast("bigint").alias("slot"), "virtual_slot", F.col("version").alias("map_version"))
+    before = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slot_map = slot_map.withColumn("ahead", before(Window.partitionBy("shard").orderBy("virtual_slot")))
+    inside = blocks.withColumn("inside", before(Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size", "block")))
+    placed = inside.join(slot_map.select("virtual_slot", "shard", "ahead", "version"), "virtual_slot").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
+    return placed.select(key, "size", "text_crc32", "shard", (F.col("ahead") + F.col("inside") + F.col("nth")).alias("slot"), "virtual_slot", F.col("version").alias("map_version"))

@@ -104,3 +104,13 @@ def test_the_sample_is_bounded_and_holds_every_language(spark):
     counts = Counter(r.lang for r in drawn(df, "doc_id", "lang", "text", most=3 * 100 * len(EN)).collect())
     assert 60 < counts["en"] < 140 and counts["fr"] == 1 and counts["de"] == 40
     assert set(Counter(r.lang for r in drawn(df, "doc_id", "lang", "text", most=1).collect()).values()) == {1}
+
+
+def test_what_is_no_letter_is_no_language(spark):
+    rows = [(i, "the house on the hill" if i % 2 else "das haus am berg", "en" if i % 2 else "de") for i in range(20)]
+    none = {100: "½ ² ③ Ⅷ", 101: "１２ 3_4", 102: "́̀", 103: "① ⑵ ㉈"}
+    some = {200: "house½", 201: "一", 202: "ʰ", 203: "é"}
+    rows += [(i, t, None) for i, t in (none | some).items()]
+    found = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert all((found[i].lang_pred, found[i].score) == ("und", 0.0) for i in none)
+    assert all(found[i].lang_pred != "und" for i in some)

@@ -109,3 +109,21 @@ def test_one_record_above_an_even_share(spark):
     others = [sum(r["size"] for r in found if r.shard == s) for s in range(4) if s != own]
     assert max(others) - min(others) <= 3 * 26
     assert sh.shard_rows(table(spark, []), 4).count() == 0
+
+
+def test_equal_rows_spread_over_all_shards(spark, monkeypatch):
+    rows = [(5, "same text", "a")] * 4000 + [(None, None, "a")] * 1000 + [(i, "x" * i, "a") for i in range(50)]
+    for parts in (sh.PARTS, 300):
+        monkeypatch.setattr(sh, "PARTS", parts)
+        found = sh.shard_rows(table(spark, rows), 4).collect()
+        assert sorted(map(repr, ((r.doc_id, r["size"]) for r in found))) == sorted(repr((i, len(t or "") + 16)) for i, t, _ in rows)
+        loads = [sum(r["size"] for r in found if r.shard == s) for s in range(4)]
+        assert max(loads) < 1.05 * min(loads)
+        for s in range(4):
+            assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_a_first_write_that_failed_leaves_no_map(spark, tmp_path):
+    (tmp_path / "maps" / "_temporary").mkdir(parents=True)
+    assert sh.last_map(spark, f"{tmp_path}/maps") is None
+    assert {r.map_version for r in sh.shard_rows(table(spark, rows_of(30, 1)), 4, maps=f"{tmp_path}/maps").collect()} == {1}

@@ -128,3 +128,11 @@ def test_run(spark, docs, tmp_path):
     check_mixed(stage, out[2], Counter(out[3]))
     want = Counter(map(tuple, piece_digests(stage, model_file()).collect()))
     assert Counter(map(tuple, cp.run(spark, str(tmp_path)).collect())) == want
+
+
+def test_long_near_copies_of_one_id_leave_one_row(spark):
+    long = [f"x{i}" for i in range(300)]
+    near = [*long[:150], "changed", *long[151:]]
+    rows = [(7, " ".join(long), "en", "s", 1), (7, " ".join(near), "en", "s", 1), (7, " ".join(f"y{i}" for i in range(300)), "en", "s", 1)]
+    assert cp.distinct(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").count() == 2
+    assert cp.distinct(spark, spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA), "").count() == 2

@@ -95,3 +95,19 @@ def test_redaction_merges_overlaps(spark):
                 want += TEXTS[r.doc_id][at:start] + "[REDACTED]"
             at = max(at, end)
         assert r.text == want + TEXTS[r.doc_id][at:]
+
+
+def test_a_first_write_that_failed_leaves_no_ledger(spark, tmp_path):
+    for name in ("versions", "ledger"):
+        (tmp_path / name / "_temporary").mkdir(parents=True)
+    rows = list(TEXTS.items())
+    for _ in range(2):
+        assert said(s.scan(table(spark, rows), "doc_id", "text", f"{tmp_path}")) == plain(rows)
+
+
+def test_a_pair_that_stands_twice_in_the_ledger_counts_once(spark):
+    folder, rows = new_folder(spark), list(TEXTS.items())
+    s.scan(table(spark, rows), "doc_id", "text", folder).count()
+    spark.createDataFrame(s.stored(spark, folder, "ledger").collect(), s.stored(spark, folder, "ledger").schema).write.mode("append").parquet(f"{folder}/ledger")
+    assert said(s.scan(table(spark, rows), "doc_id", "text", folder)) == plain(rows)
+    assert said(s.exposed(spark, folder), "path") == [x for x in plain(rows) if x[1]]
