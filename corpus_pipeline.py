@@ -33,7 +33,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     body, blank = F.coalesce(F.sha2("text", 256), F.lit("")), ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # a null id gets a stand-in of its text; it only has to lead from a row to its set
     marked = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("id"), body.alias("body")))
-    chosen = least_rows(marked, "row", "id").withColumn("chosen", F.lit(True))
+    chosen = least_rows(marked, "row").withColumn("chosen", F.lit(True))
     nameless = F.col("doc_id").isNull() & blank
     first = marked.filter(~nameless).groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("kept"), F.first(blank).alias("blank"))
     first = first.join(chosen, "row", "left").filter("blank or chosen").select("kept.*")
