@@ -14,33 +14,40 @@ RANKS = {"add": 1, "claim": 2, "complete": 3, "fail": 3, "reopen": 4}
 
 
 class Breaker:
-    """The streaks and paused lanes of one project."""
+    """The streaks and paused lanes of one project, in three maps: lane -> (code, count), prompt -> (count,), lane -> (prompt it was paused under,).
 
-    def __init__(self) -> None:
-        self.lanes: dict = {}
-        self.prompts: dict = {}
-        self.paused: dict = {}
+    What completes or reopens leaves the maps, so they hold open lanes and prompts only. A
+    stream passes maps that are its state.
+    """
+
+    def __init__(self, lanes=None, prompts=None, paused=None) -> None:
+        self.lanes, self.prompts, self.paused = ({} if held is None else held for held in (lanes, prompts, paused))
 
     def failed(self, lane, prompt, code, break_at: int) -> str | None:
         """Counts a failure; the reason if it pauses the lane, which a paused lane does not do again."""
         last, count = self.lanes.get(lane, (None, 0))
-        self.lanes[lane] = (code, count + 1 if last == code else 1)
+        count = count + 1 if count and last == code else 1
+        self.lanes[lane] = (code, count)
+        of_prompt = 0
         if prompt is not None:
-            self.prompts[prompt] = self.prompts.get(prompt, 0) + 1
-        by_lane = self.lanes[lane][1] >= break_at
-        if lane in self.paused or not (by_lane or self.prompts.get(prompt, 0) >= break_at):
+            (of_prompt,) = self.prompts.get(prompt, (0,))
+            of_prompt += 1
+            self.prompts[prompt] = (of_prompt,)
+        if max(count, of_prompt) < break_at or lane in self.paused:
             return None
-        self.paused[lane] = prompt
-        return "lane_failure_streak" if by_lane else "prompt_failure_streak"
+        self.paused[lane] = (prompt,)
+        return "lane_failure_streak" if count >= break_at else "prompt_failure_streak"
 
     def completed(self, lane, prompt) -> None:
         self.lanes.pop(lane, None)
-        self.prompts.pop(prompt, None)
+        if prompt is not None:
+            self.prompts.pop(prompt, None)
 
     def reopened(self, lane) -> None:
         self.lanes.pop(lane, None)
-        if lane in self.paused:
-            self.prompts.pop(self.paused.pop(lane), None)
+        (prompt,) = self.paused.pop(lane, (None,))
+        if prompt is not None:
+            self.prompts.pop(prompt, None)
 
     def walk(self, moves, break_at: int):
         """(lane, event, code, reason) of each failure among (lane, event, kind, code, prompt) that pauses its lane."""
@@ -52,17 +59,6 @@ class Breaker:
             elif reason := self.failed(lane, prompt, code, break_at):
                 yield lane, event, code, reason
 
-    def kept(self) -> list:
-        """What JSON can hold of it; keys keep their type as parts of pairs."""
-        return [[[lane, *streak] for lane, streak in self.lanes.items()], list(map(list, self.prompts.items())), list(map(list, self.paused.items()))]
-
-    @classmethod
-    def restored(cls, kept: list) -> Breaker:
-        own = cls()
-        own.lanes = {lane: (code, count) for lane, code, count in kept[0]}
-        own.prompts, own.paused = dict(kept[1]), dict(kept[2])
-        return own
-
 
 def pauses(events: DataFrame, break_at: int = BREAK_AT) -> DataFrame:
     """Failures that pause their lane, and why. Lanes of a project are coupled by its prompts.
