@@ -141,11 +141,23 @@ def twins(texts: list[str], terms: tuple = IDENTITY_TERMS, most: int = TWINS) ->
     return whose, copies
 
 
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the distinct features of each text, made in slices of a few MB."""
+    rows, buckets, values, at = [], [], [], 0
+    for part in text_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["body"]), "body"):
+        f = Features(part.column(0))
+        row, bucket = f.pairs()
+        seen, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+        rows.append((seen // BUCKETS + at).astype(np.int32))
+        buckets.append((seen % BUCKETS).astype(np.int32))
+        values.append((f.scale[seen // BUCKETS] * count).astype(np.float32))
+        at += part.num_rows
+    return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((rows, np.int32), (buckets, np.int32), (values, np.float32)))
+
+
 def clear_features(rows: np.ndarray, buckets: np.ndarray, target: np.ndarray, least: float = CLEAR) -> np.ndarray:
-    """Whether the presence of each bucket differs between the labels by `least` standard errors."""
-    seen = np.unique(rows * BUCKETS + buckets)
-    row, bucket = seen // BUCKETS, seen % BUCKETS
-    with_, n = np.bincount(bucket, target[row], BUCKETS), np.bincount(bucket, minlength=BUCKETS)
+    """Whether the presence of each bucket differs between the labels by `least` standard errors; rows and buckets are distinct pairs."""
+    with_, n = np.bincount(buckets, target[rows], BUCKETS), np.bincount(buckets, minlength=BUCKETS)
     pos, all_ = target.sum(), len(target)
     share = (n + 1) / (all_ + 2)
     error = np.sqrt(share * (1 - share) * (1 / max(pos, 1) + 1 / max(all_ - pos, 1)))
@@ -156,16 +168,14 @@ def train(texts: list[str], target: np.ndarray, terms: tuple = IDENTITY_TERMS, s
     """Weights by bucket and intercept: logistic loss, ridge, and `same` times the mean squared change of the score between a text and its twins."""
     weights = np.zeros(BUCKETS)
     whose, copies = twins(texts, terms)
-    f = Features(pa.array(texts + copies, pa.string()))
-    row, bucket = f.pairs()
+    row, bucket, value = bags(texts + copies)
     real = row < len(texts)
     keep = clear_features(row[real], bucket[real], target)
-    of_terms = [word_key(w) for kind in terms for w in kind]
-    keep[of_terms] |= bool(copies)
+    keep[[word_key(w) for kind in terms for w in kind]] |= bool(copies)
     on = keep[bucket]
-    row, bucket = row[on], bucket[on]
+    row, bucket, value = row[on], bucket[on], value[on].astype(np.float64)
     columns, at = np.unique(bucket, return_inverse=True)
-    value = f.scale[row]
+    rows = len(texts) + len(copies)
     n, d = len(texts), len(columns)
     w, b = np.zeros(d), math.log((target.sum() + 1) / (len(target) - target.sum() + 1))
     m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
@@ -173,8 +183,8 @@ def train(texts: list[str], target: np.ndarray, terms: tuple = IDENTITY_TERMS, s
     # either label weighs the same
     weight = np.where(target > 0, 0.5 / max(target.sum(), 1), 0.5 / max(n - target.sum(), 1))
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[at] * value, len(f.scale))
-        slope = np.zeros(len(f.scale))
+        z = np.bincount(row, w[at] * value, rows)
+        slope = np.zeros(rows)
         slope[:n] = weight * (1 / (1 + np.exp(-np.clip(b + z[:n], -50, 50))) - target)
         gb = slope.sum()
         if len(whose):
