@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.columns import balanced_group
 from panelweave.functions.text import nfkc, trimmed
 from panelweave.operators.sequence import CHUNK, RADIUS, placed, scene_runs, with_context
+from panelweave.sources.shared import written
 
 LEAST = 8
 UNKNOWN = "unknown"
@@ -89,7 +90,7 @@ def scene_clusters(pages: DataFrame, least: int = LEAST, most: int = CHUNK, radi
     told = chunks.repartition("project_id").sortWithinPartitions("project_id", "run", "chunk")
     groups = told.mapInPandas(_fold(least, most), "project_id string, run bigint, chunk bigint, first_run bigint, group bigint")
     # both the context and the facts of a cluster read these narrow rows
-    named = paged.join(groups, ["project_id", "run", "chunk"]).withColumn("cluster", F.struct("first_run", "group")).persist()
+    named = written(paged.join(groups, ["project_id", "run", "chunk"]).withColumn("cluster", F.struct("first_run", "group")))
     made = with_context(named, "cluster", radius)
     one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise("mixed")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "page_id")))

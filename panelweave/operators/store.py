@@ -108,17 +108,106 @@ def promotion_events(rules: DataFrame) -> DataFrame:
     return made.withColumn("event_id", event_id())
 
 
+def recorded_outcomes(failures: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The failures with the outcomes that were reviewed for them, each with its outcome_id, and (project_id, failure_id, fault) of outcomes that are refused.
+
+    An outcome is recorded once: given again alike it changes nothing, given otherwise it is
+    refused. failures: failure_id, before_candidate, after_candidate, effective, status,
+    outcome_id, reviewed_by, reviewed_at; outcomes: project_id, failure_id, after_candidate
+    (path, hash), effective, reviewed_by, reviewed_at, one for each failure.
+    """
+    given = ("after_candidate", "effective", "reviewed_by", "reviewed_at")
+    asked = outcomes.select(P, "failure_id", *(F.col(c).alias(f"new_{c}") for c in given), F.lit(True).alias("asked"))
+    told = lambda c: trimmed(c).isNotNull()
+    done = F.col("status") == "reviewed"
+    other = done & ~reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in given])
+    new = F.col("new_after_candidate")
+    faults = {
+        "failure_unknown": F.col("status").isNull(), "candidate_unnamed": ~told(new["path"]) | ~F.coalesce(new["hash"].rlike("^[0-9a-f]{64}$"), F.lit(False)), "candidate_unchanged": new["hash"] == F.col("before_candidate.hash"),
+        "verdict_missing": F.col("new_effective").isNull(), "review_unsigned": ~told(F.col("new_reviewed_by")) | ~told(F.col("new_reviewed_at")), "already_recorded": other,
+    }
+    fault = F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in faults.items()))
+    refused = asked.join(failures, [P, "failure_id"], "left").select(P, "failure_id", fault.alias("fault")).filter("fault is not null")
+    held = failures.join(asked, [P, "failure_id"], "left")
+    takes = F.col("asked") & ~done & fault.isNull()
+    made = held.withColumn("takes", F.coalesce(takes, F.lit(False)))
+    for c in given:
+        made = made.withColumn(c, F.when(F.col("takes"), F.col(f"new_{c}")).otherwise(F.col(c)))
+    made = made.withColumn("status", F.when(F.col("takes"), "reviewed").otherwise(F.col("status"))).withColumn("outcome_id", F.when(F.col("takes"), outcome_id()).otherwise(F.col("outcome_id")))
+    return made.select(*failures.columns), refused
+
+
+def revoked(rules: DataFrame, withdrawals: DataFrame) -> DataFrame:
+    """The records that withdrawals change: the rules withdrawn, and all effective rules that rest on them by their recorded sources.
+
+    A rule that several withdrawals reach falls by the first of them, in order of time and id.
+    Sources lie one scope below, so three joins along source_rule_ids go all the way up. rules:
+    also effective, revoked, revocation_reason, revoked_by, revoked_at; withdrawals:
+    project_id, rule_id, reason, reviewed_by, reviewed_at, one for each rule. Withdrawals of
+    rules that are unknown or already revoked change nothing; `refused_withdrawals` names them.
+    """
+    by = F.struct(F.col("reviewed_at").alias("revoked_at"), F.col("rule_id").alias("root"), F.col("reviewed_by").alias("revoked_by"), F.col("reason").alias("revocation_reason"))
+    asked = withdrawals.select(P, "rule_id", by.alias("by"))
+    # ids alone go through the joins
+    standing = rules.filter("effective and not revoked").select(P, "rule_id", "scope", "source_rule_ids")
+    edges = standing.select(P, "rule_id", "scope", F.explode("source_rule_ids").alias("source"))
+    direct = standing.select(P, "rule_id", "scope").join(asked, [P, "rule_id"])
+    fallen = direct.filter(F.col("scope") == SCOPES[0])
+    hits = [fallen]
+    for scope in SCOPES[1:]:
+        below = fallen.select(P, F.col("rule_id").alias("source"), "by")
+        led = edges.filter(F.col("scope") == scope).join(below, [P, "source"]).select(P, "rule_id", "scope", "by")
+        fallen = led.unionByName(direct.filter(F.col("scope") == scope)).groupBy(P, "rule_id", "scope").agg(F.min("by").alias("by"))
+        hits.append(fallen)
+    found = reduce(DataFrame.unionByName, hits).select(P, "rule_id", "by")
+    state = {"effective": F.lit(False), "revoked": F.lit(True), **{c: F.col(f"by.{c}") for c in ("revocation_reason", "revoked_by", "revoked_at")}}
+    return rules.join(found, [P, "rule_id"]).select(*(state[c].alias(c) if c in state else F.col(c) for c in rules.columns))
+
+
+def refused_withdrawals(rules: DataFrame, withdrawals: DataFrame) -> DataFrame:
+    """(project_id, rule_id, fault) of withdrawals that change nothing though they should: of no rule, unsigned, or of a rule that was revoked otherwise."""
+    told = lambda c: trimmed(F.col(c)).isNotNull()
+    held = rules.select(P, "rule_id", "revoked", "revocation_reason", "revoked_by", "revoked_at")
+    other = F.col("revoked") & ~(F.col("revocation_reason").eqNullSafe(F.col("reason")) & F.col("revoked_by").eqNullSafe(F.col("reviewed_by")) & F.col("revoked_at").eqNullSafe(F.col("reviewed_at")))
+    fault = F.when(F.col("revoked").isNull(), "rule_unknown").when(~told("reason") | ~told("reviewed_by") | ~told("reviewed_at"), "withdrawal_unsigned").when(other, "already_revoked")
+    return withdrawals.join(held, [P, "rule_id"], "left").select(P, "rule_id", fault.alias("fault")).filter("fault is not null")
+
+
+def revocation_events(changed: DataFrame) -> DataFrame:
+    """The one event of each revoked record."""
+    made = changed.select(
+        P, "rule_id", F.lit("revoked").alias("event_type"), F.col("scope").alias("from"), F.lit("revoked").alias("to"), F.col("scope").alias("from_scope"), F.lit("revoked").alias("to_scope"),
+        F.array("rule_id").alias("evidence_ids"), F.col("revoked_by").alias("reviewer"), F.col("revoked_at").alias("timestamp"), F.col("revocation_reason").alias("reason"),
+    )
+    return made.withColumn("event_id", event_id())
+
+
+def with_changes(rules: DataFrame, events: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store's rules and events after a delta of records; the same delta again changes nothing."""
+    kept = rules.join(changed.select(P, "rule_id"), [P, "rule_id"], "left_anti").select(*rules.columns)
+    new = revocation_events(changed).join(events.select(P, "event_id"), [P, "event_id"], "left_anti")
+    return kept.unionByName(changed.select(*rules.columns)), events.unionByName(new.select(*events.columns))
+
+
 def applicable_rules(rules: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """key, rule_id, scope and place of each active rule that a request may use: of its page, its cluster or of all, for its character or all, sharing a code; by scope and then id.
 
-    rules: project_id, rule_id, scope, page_id, cluster_id, character, codes, revoked. requests: project_id, key, page_id, cluster_id, character, codes.
+    Rules of all places are found by an inverted index of their codes: requests meet a rule on
+    project and code, so the join grows with the matches. rules: project_id, rule_id, scope,
+    page_id, cluster_id, character, codes, revoked. requests: project_id, key, page_id, cluster_id, character, codes.
     """
     active = rules.filter("not revoked").select(P, "rule_id", "scope", *(F.col(c).alias(f"of_{c}") for c in ("page_id", "cluster_id", "character", "codes")))
     of = lambda *scopes: active.filter(F.col("scope").isin(*scopes))
-    # three equi-joins, one a kind of place, in place of one join on a disjunction
-    by = [requests.join(of("page").withColumnRenamed("of_page_id", "page_id"), [P, "page_id"]), requests.join(of("cluster").withColumnRenamed("of_cluster_id", "cluster_id"), [P, "cluster_id"]), requests.join(of("project", "skill_candidate"), P)]
-    fits = (F.col("of_character").isNull() | F.col("of_character").eqNullSafe(F.col("character"))) & F.arrays_overlap("of_codes", "codes")
-    met = reduce(DataFrame.unionByName, (x.filter(fits).select(P, key, "rule_id", "scope") for x in by))
+    fits = F.col("of_character").isNull() | F.col("of_character").eqNullSafe(F.col("character"))
+    shares = F.arrays_overlap("of_codes", "codes")
+    # equi-joins, one a kind of place, in place of one join on a disjunction
+    here = [requests.join(of("page").withColumnRenamed("of_page_id", "page_id"), [P, "page_id"]), requests.join(of("cluster").withColumnRenamed("of_cluster_id", "cluster_id"), [P, "cluster_id"])]
+    whole = of("project", "skill_candidate").select(P, "rule_id", "scope", "of_character", F.explode(F.array_distinct("of_codes")).alias("code"))
+    asked = requests.select(P, key, "character", F.explode(F.array_distinct("codes")).alias("code"))
+    named = asked.join(whole.filter("of_character is not null"), (asked[P] == whole[P]) & (asked["code"] == whole["code"]) & (asked["character"] == whole["of_character"]))
+    any_ = asked.join(whole.filter("of_character is null"), (asked[P] == whole[P]) & (asked["code"] == whole["code"]))
+    by_code = named.unionAll(any_).select(asked[P], key, "rule_id", "scope").distinct()
+    met = reduce(DataFrame.unionByName, [*(x.filter(fits & shares).select(P, key, "rule_id", "scope") for x in here), by_code])
     rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
     return met.withColumn("place", F.row_number().over(Window.partitionBy(P, key).orderBy(rank, "rule_id")))
 
