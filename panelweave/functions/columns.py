@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelweave.functions.text import casefold
+
 
 def page_stem(name: Column) -> Column:
     """The name without its last extension."""
@@ -16,11 +18,39 @@ def page_identity(name: Column) -> Column:
     return F.nullif(F.regexp_extract(F.translate(page_stem(name), "（）", "()"), "^[A-Za-z0-9]+(\\([0-9]+\\))?$", 0), F.lit(""))
 
 
+#: A page number with an optional insert number in parentheses, and what may stand between them.
+PAGE = r"(?U)^(\d+)\s*(?:\(\s*(\d+)\s*\))?$"
+WIDE = ("（）０１２３４５６７８９", "()0123456789")
+
+
+def _normal_stem(name: Column) -> Column:
+    """The name without its extension (a leading dot is none), with ASCII parentheses and digits, trimmed."""
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    return F.regexp_replace(F.translate(stem, *WIDE), r"(?U)^\s+|\s+$", "")
+
+
+def _page_parts(name: Column) -> tuple[Column, Column, Column, Column]:
+    """The normal stem, whether it is a page number, and page and insert number as strings that sort by value (0 without an insert)."""
+    stem = _normal_stem(name)
+    variant = F.coalesce(F.nullif(F.regexp_extract(stem, PAGE, 2), F.lit("")), F.lit("0"))
+    return stem, stem.rlike(PAGE), by_value(F.regexp_extract(stem, PAGE, 1)), by_value(variant)
+
+
+def page_key(name: Column) -> Column:
+    """What makes two page files the same page: (numeric, number, variant) of a numbered page, else the case-folded name without white space; extensions do not count."""
+    stem, numeric, number, variant = _page_parts(name)
+    none = F.lit(None).cast("string")
+    return F.struct(numeric.alias("numeric"), F.when(numeric, number).otherwise(none).alias("number"), F.when(numeric, variant).otherwise(none).alias("variant"), F.when(numeric, none).otherwise(casefold(F.regexp_replace(stem, r"(?U)\s+", ""))).alias("name"))
+
+
 def natural_key(name: Column) -> Column:
-    """A string that sorts numeric pages first and digit runs by value."""
-    stem = F.lower(page_stem(name))
-    parts = F.regexp_extract_all(stem, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.concat(F.when(stem.rlike("^[0-9]+(\\([0-9]+\\))?$"), "0").otherwise("1"), F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), by_value(p)).otherwise(p)), ""))
+    """A struct in whose order pages stand: numbered ones first, by number and insert; then others by runs of digits (by value) and text, then by extension and name."""
+    stem, numeric, number, variant = _page_parts(name)
+    digits = lambda p: p.rlike("^[0-9]")
+    # a run of digits stands before text, whatever either is
+    tokens = F.transform(F.regexp_extract_all(casefold(stem), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.struct((~digits(p)).alias("text"), F.when(digits(p), by_value(p)).otherwise(p).alias("said")))
+    suffix = F.regexp_extract(name, r".(\.[^.]+)$", 1)
+    return F.struct((~numeric).alias("named"), F.when(numeric, number).alias("number"), F.when(numeric, variant).alias("variant"), F.when(~numeric, tokens).alias("tokens"), F.when(~numeric, casefold(suffix)).alias("suffix"), casefold(name).alias("name"))
 
 
 def by_value(digits: Column) -> Column:

@@ -18,14 +18,35 @@ _HEAD = re.compile("(?:[A-Za-z]:/?|/)?")
 ZONED = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)$"
 
 
+def _by_value(text: pd.Series, spell) -> pd.Series:
+    """spell of each value, once for each distinct one."""
+    spelled = {x: spell(x) for x in text.dropna().unique()}
+    return pd.Series([spelled.get(x) for x in text], dtype=object)
+
+
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _nfkc(text: pd.Series) -> pd.Series:
+    return _by_value(text, lambda x: unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(str.casefold, na_action="ignore")
+def _casefold(text: pd.Series) -> pd.Series:
+    return _by_value(text, str.casefold)
+
+
+def _beyond_ascii(text: Column) -> Column:
+    """The text where it has other characters than ASCII, so that nothing else goes to Python; else null."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text)
+
+
+def nfkc(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_nfkc(_beyond_ascii(text)), text)
+
+
+def casefold(text: Column | str) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_casefold(_beyond_ascii(text)), F.lower(text))
 
 
 def page_id(name: Column) -> Column:
@@ -55,7 +76,7 @@ def normal_path(path: pd.Series) -> pd.Series:
                 held.append(step)
         return ((head + "/".join(held)) or ".").casefold() if said else None
 
-    return path.map(spell, na_action="ignore")
+    return _by_value(path, spell)
 
 
 def json_hash(document: Column, *dropped: str) -> Column:
@@ -70,7 +91,7 @@ def json_hash(document: Column, *dropped: str) -> Column:
 
     @F.pandas_udf(StringType())
     def hashed(column: pd.Series) -> pd.Series:
-        return column.map(spell, na_action="ignore")
+        return _by_value(column, spell)
 
     return hashed(document)
 

@@ -56,10 +56,10 @@ def id_differences(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 
 def style_faults(packs: DataFrame, stable: DataFrame) -> DataFrame:
-    """(reference_pack_id, path, fault) of primary styles that are no stable page or are contaminated. packs: reference_pack_id, path, role. stable: path."""
+    """(project_id, reference_pack_id, path, fault) of primary styles that are no stable page of their project or are contaminated. packs: project_id, reference_pack_id, path, role. stable: project_id, path."""
     at = packs.filter("role = 'primary_style'").withColumn("spelled", normal_path("path"))
-    known = stable.select(normal_path("path").alias("spelled")).distinct().withColumn("stable", F.lit(True))
-    return faults(at.join(known, "spelled", "left"), "reference_pack_id", "path", not_stable=F.col("stable"), style_contaminated=~contaminated(F.col("spelled")))
+    known = stable.select(P, normal_path("path").alias("spelled")).distinct().withColumn("stable", F.lit(True))
+    return faults(at.join(known, [P, "spelled"], "left"), P, "reference_pack_id", "path", not_stable=F.col("stable"), style_contaminated=~contaminated(F.col("spelled")))
 
 
 def class_faults(pages: DataFrame, *keys: str) -> DataFrame:
@@ -110,7 +110,7 @@ def review_faults(found: DataFrame, reports: DataFrame) -> DataFrame:
 
 def rejected_failures(candidates: DataFrame, pages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(failures, blockers): rejected candidates (project_id, key, path, sha256) as observed failures of the page that their path names, and those that name none."""
-    found = candidates.join(bound_candidates(candidates, pages, key), key)
+    found = candidates.join(bound_candidates(candidates, pages, key), [P, key])
     seen = found.filter("page is not null").select(P, key, "page", F.lit("observed").alias("status"), F.struct("path", F.col("sha256").alias("hash")).alias("before_candidate"))
     lost = found.filter("page is null").select(P, blocker("REJECTED_EVIDENCE_UNBOUND", path=F.col("path")).alias("blocker"))
     return seen, lost

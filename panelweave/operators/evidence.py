@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group
 from panelweave.functions.text import trimmed
+from panelweave.sources.shared import written
+
+P = "project_id"
+CHUNK = 1000
 
 
 def first_by_priority(pages: DataFrame, rows: DataFrame, keys: list[tuple[str, str]], value: str) -> DataFrame:
-    """pages with the value of the row that the first of the keys (page column, row column) finds, and which key that was. A key that several rows share is ambiguous."""
+    """pages with the value of the row of their project that the first of the keys (page column, row column) finds, and which key that was. A key that several rows of a project share is ambiguous."""
     found, taken = pages, []
     for rank, (own, other) in enumerate(keys):
-        index = rows.filter(F.col(other).isNotNull()).groupBy(F.col(other).alias(own)).agg(F.min(value).alias(f"value_{rank}"), F.count("*").alias(f"count_{rank}"))
-        found = found.join(index, own, "left")
+        index = rows.filter(F.col(other).isNotNull()).groupBy(P, F.col(other).alias(own)).agg(F.min(value).alias(f"value_{rank}"), F.count("*").alias(f"count_{rank}"))
+        found = found.join(index, [P, own], "left")
         taken.append(F.when(F.col(f"count_{rank}").isNotNull(), F.struct(F.lit(other).alias("by"), F.when(F.col(f"count_{rank}") == 1, F.col(f"value_{rank}")).alias("value"), (F.col(f"count_{rank}") > 1).alias("ambiguous"))))
     return found.withColumn("hit", F.coalesce(*taken)).select(*pages.columns, F.col("hit.by").alias("by"), F.col("hit.value").alias(value), F.col("hit.ambiguous").alias("ambiguous"))
 
@@ -39,19 +40,20 @@ def not_exactly_one(units: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 
 
 def lock_faults(uses: DataFrame, locks: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page, lock_id) uses of an unknown lock or of one that does not apply to the page. locks: lock_id; pages: lock_id, page."""
-    known = locks.select("lock_id").distinct().withColumn("known", F.lit(True))
-    applies = pages.select("lock_id", "page").distinct().withColumn("applies", F.lit(True))
-    told = uses.select("page", "lock_id").distinct().join(known, "lock_id", "left").join(applies, ["lock_id", "page"], "left")
+    """(project_id, page, lock_id) uses of a lock that the project does not know or that does not apply to the page. locks: project_id, lock_id; pages: project_id, lock_id, page."""
+    known = locks.select(P, "lock_id").distinct().withColumn("known", F.lit(True))
+    applies = pages.select(P, "lock_id", "page").distinct().withColumn("applies", F.lit(True))
+    told = uses.select(P, "page", "lock_id").distinct().join(known, [P, "lock_id"], "left").join(applies, [P, "lock_id", "page"], "left")
     fault = F.when(F.col("known").isNull(), "lock_unknown").when(F.col("applies").isNull(), "lock_not_applicable")
-    return told.select("page", "lock_id", fault.alias("fault")).filter("fault is not null")
+    return told.select(P, "page", "lock_id", fault.alias("fault")).filter("fault is not null")
 
 
 def hash_chain_faults(references: DataFrame, approved: DataFrame, files: DataFrame) -> DataFrame:
-    """Paths whose recorded hash is not the approved one or not that of the file; each has path and sha."""
-    joined = references.select("path", "sha").join(approved.select("path", F.col("sha").alias("was_approved")), "path", "left").join(files.select("path", F.col("sha").alias("of_file")), "path", "left")
+    """Paths of a project whose recorded hash is not the approved one or not that of the file; each has project_id, path and sha."""
+    at = [P, "path"]
+    joined = references.select(*at, "sha").join(approved.select(*at, F.col("sha").alias("was_approved")), at, "left").join(files.select(*at, F.col("sha").alias("of_file")), at, "left")
     fault = F.when(F.col("of_file").isNull(), "file_missing").when(~F.col("sha").eqNullSafe(F.col("was_approved")), "approval_differs").when(F.col("sha") != F.col("of_file"), "file_differs")
-    return joined.select("path", fault.alias("fault")).filter("fault is not null")
+    return joined.select(P, "path", fault.alias("fault")).filter("fault is not null")
 
 
 def set_differences(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:
@@ -99,40 +101,30 @@ def coverage_faults(coverage: DataFrame, locks: DataFrame, categories: tuple) ->
 
 
 def digest_of_set(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """key and SHA-256 of the JSON list of the distinct rows of the columns, sorted.
+    """key and a digest of the distinct rows of the columns, in order: SHA-256 of the JSON list of up to CHUNK rows, else that of the list of the digests of its chunks, and so on.
 
-    A digest is a chain, so one task hashes all rows of a key; it takes them sorted, one after
-    another, and holds none, so a set may be of any size.
+    Rows are put in order by ranges, so a key of any size is spread over tasks, and what is
+    hashed in one place is a chunk. A set of one chunk has the digest of its JSON list.
     """
-    ordered = rows.select(key, *columns).distinct().repartition(key).sortWithinPartitions(key, *columns)
-    kind = rows.schema[key].dataType.simpleString()
-    return ordered.select(key, F.to_json(F.struct(*columns)).alias("spelled")).mapInArrow(_chained(key), f"{key} {kind}, set_hash string")
-
-
-def _chained(key: str):
-    def work(batches):
-        chain, at = None, None
-        for batch in batches:
-            keys, done = batch.column(0), []
-            for i, (now, spelled) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist())):
-                if chain is None or now != at[0].as_py():
-                    if chain is not None:
-                        done.append((at, chain))
-                    chain, at = hashlib.sha256(b"["), keys.slice(i, 1)
-                else:
-                    chain.update(b",")
-                chain.update(spelled.encode())
-            yield from _closed(done, key)
-        if chain is not None:
-            yield from _closed([(at, chain)], key)
-
-    return work
-
-
-def _closed(done: list, key: str):
-    for at, chain in done:
-        chain.update(b"]")
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([at]), pa.array([chain.hexdigest()])], names=[key, "set_hash"])
+    spelled = rows.select(F.struct(key).alias("of"), *columns).distinct()
+    # a null sorts as a value of its own; the spelling of a row is in the order of its columns
+    sorted_ = spelled.select("of", F.struct(*columns).alias("row")).repartitionByRange("of", "row").sortWithinPartitions("of", "row")
+    placed = written(sorted_.select("of", F.to_json("row").alias("said"), F.monotonically_increasing_id().alias("at")).withColumn("run", F.shiftright("at", 33)))
+    runs = placed.groupBy("of", "run").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    whole = Window.partitionBy("of")
+    ahead = F.coalesce(F.sum("n").over(whole.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("of", "run", "first", ahead.alias("ahead"), F.sum("n").over(whole).alias("total"))
+    level = placed.join(runs, ["of", "run"]).select("of", "said", "total", (F.col("ahead") + F.col("at") - F.col("first")).alias("pos"))
+    done = None
+    while True:
+        chunks = level.groupBy("of", "total", F.floor(F.col("pos") / CHUNK).alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("held"))  # CHUNK rows at most
+        listed = F.concat(F.lit("["), F.array_join(F.transform("held", lambda x: x["said"]), ","), F.lit("]"))
+        chunks = written(chunks.select("of", "pos", F.ceil(F.col("total") / CHUNK).alias("total"), F.sha2(listed, 256).alias("digest")))
+        ends = chunks.filter("total = 1").select(F.col(f"of.{key}").alias(key), F.col("digest").alias("set_hash"))
+        done = ends if done is None else done.unionAll(ends)
+        level = chunks.filter("total > 1").select("of", F.concat(F.lit('"'), "digest", F.lit('"')).alias("said"), "total", "pos")
+        if level.isEmpty():
+            return done
 
 
 def worst(rank: dict[str, int], column: str) -> Column:
@@ -157,8 +149,8 @@ def task_mismatches(pages: DataFrame, tasks: DataFrame, *fields: str) -> DataFra
 
 
 def batch_gate(mapping: DataFrame, reports: DataFrame) -> DataFrame:
-    """(name, fault) where ordered reports do not match the mapping by position and name. mapping: position, name. reports: position, name, report_id."""
-    ids = reports.groupBy("report_id").agg(F.count("*").alias("copies"))
-    told = mapping.withColumnRenamed("name", "wanted").join(reports.join(ids, "report_id"), "position", "full_outer")
+    """(project_id, name, position, fault) where a project's ordered reports do not match its mapping by position and name. mapping: project_id, position, name. reports: project_id, position, name, report_id."""
+    ids = reports.groupBy(P, "report_id").agg(F.count("*").alias("copies"))
+    told = mapping.withColumnRenamed("name", "wanted").join(reports.join(ids, [P, "report_id"]), [P, "position"], "full_outer")
     fault = F.when(F.col("name").isNull(), "report_missing").when(F.col("wanted").isNull(), "report_extra").when(F.col("name") != F.col("wanted"), "name_differs").when(F.col("copies") > 1, "report_id_repeated")
-    return told.select(F.coalesce("wanted", "name").alias("name"), "position", fault.alias("fault")).filter("fault is not null")
+    return told.select(P, F.coalesce("wanted", "name").alias("name"), "position", fault.alias("fault")).filter("fault is not null")

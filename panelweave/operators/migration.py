@@ -38,12 +38,12 @@ def page_in_range(name: Column, most: int = PAGES) -> Column:
 
 
 def bound_candidates(candidates: DataFrame, pages: DataFrame, key: str) -> DataFrame:
-    """key and page: the nearest name on the path, from the file upward, that is a known page; null where none is. candidates: key, path. pages: page."""
+    """project_id, key and page: the nearest name on the path, from the file upward, that is a page of the project; null where none is. candidates: project_id, key, path. pages: project_id, page."""
     parts = F.reverse(F.filter(F.split("path", "/"), lambda x: x != ""))
     stems = F.transform(parts, lambda x, i: F.when(i == 0, F.regexp_replace(x, r"\.[^.]*$", "")).otherwise(x))
-    named = candidates.select(key, F.posexplode(stems).alias("depth", "name")).withColumn("page", candidate_page(F.col("name")))
-    met = named.join(pages.select("page").distinct(), "page").groupBy(key).agg(F.min_by("page", "depth").alias("page"))
-    return candidates.select(key).join(met, key, "left")
+    named = candidates.select("project_id", key, F.posexplode(stems).alias("depth", "name")).withColumn("page", candidate_page(F.col("name")))
+    met = named.join(pages.select("project_id", "page").distinct(), ["project_id", "page"]).groupBy("project_id", key).agg(F.min_by("page", "depth").alias("page"))
+    return candidates.select("project_id", key).join(met, ["project_id", key], "left")
 
 
 def planned_tasks(pages: DataFrame, most: int = BATCH) -> DataFrame:

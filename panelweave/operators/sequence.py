@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.columns import balanced_group, natural_key
+from panelweave.functions.columns import balanced_group, natural_key, page_key
 
 BATCH = 12
 RADIUS = 2
@@ -22,6 +22,12 @@ def story_index(pages: DataFrame) -> DataFrame:
     return pages.withColumn("index", F.row_number().over(order).cast("bigint")).withColumn("output_name", F.format_string("%04d.jpg", "index"))
 
 
+def repeated_pages(pages: DataFrame) -> DataFrame:
+    """project_id, page_id, name and copies of page files that are one page with another file of their project."""
+    same = pages.withColumn("key", page_key(F.col("name")))
+    return same.withColumn("copies", F.count("*").over(Window.partitionBy("project_id", "key"))).filter("copies > 1").select("project_id", "page_id", "name", "copies")
+
+
 def placed(pages: DataFrame, order: str = "page_id") -> DataFrame:
     """Adds pos (from 0) and total in the project."""
     whole = Window.partitionBy("project_id")

@@ -34,13 +34,13 @@ def u6_id_differences(spark, sf_dir):
     return b.id_differences(table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_suppkey").alias("id")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
-@registered("j9_pack_styles", rf"""with {FILES}, k as (select *, page_id % 5 k from files), p as (select page_id, 'x/' || case k when 0 then 'Rejected/' when 1 then 'a/../' when 2 then 'Character-Sheet ' else '' end || name path, k, page_id % 2 = 0 stable from k)
-    select page_id reference_pack_id, path, unnest(list_filter([case when not stable then 'not_stable' end, case when k in (0, 2) then 'style_contaminated' end], lambda f: f is not null)) fault from p""")
+@registered("j9_pack_styles", rf"""with {FILES}, k as (select *, page_id % 5 k from files), p as (select project_id, page_id, 'x/' || case k when 0 then 'Rejected/' when 1 then 'a/../' when 2 then 'Character-Sheet ' else '' end || name path, k, page_id % 2 = 0 stable from k)
+    select project_id, page_id reference_pack_id, path, unnest(list_filter([case when not stable then 'not_stable' end, case when k in (0, 2) then 'style_contaminated' end], lambda f: f is not null)) fault from p""")
 def j9_pack_styles(spark, sf_dir):
-    packs = url_pages(spark, sf_dir).selectExpr("page_id reference_pack_id", "concat('x/', case page_id % 5 when 0 then 'Rejected/' when 1 then 'a/../' when 2 then 'Character-Sheet ' else '' end, name) path", "'primary_style' role", "name")
+    packs = url_pages(spark, sf_dir).selectExpr("project_id", "page_id reference_pack_id", "concat('x/', case page_id % 5 when 0 then 'Rejected/' when 1 then 'a/../' when 2 then 'Character-Sheet ' else '' end, name) path", "'primary_style' role", "name")
     packs = packs.withColumn("own", F.concat("path", F.lit("#"), "reference_pack_id"))
-    stable = packs.filter("reference_pack_id % 2 = 0").select(F.col("own").alias("path"))
-    found = b.style_faults(packs.select("reference_pack_id", F.col("own").alias("path"), "role"), stable)
+    stable = packs.filter("reference_pack_id % 2 = 0").select("project_id", F.col("own").alias("path"))
+    found = b.style_faults(packs.select("project_id", "reference_pack_id", F.col("own").alias("path"), "role"), stable)
     return found.withColumn("path", F.regexp_replace("path", "#[0-9]+$", ""))
 
 
@@ -86,12 +86,12 @@ def m7_report_hashes(spark, sf_dir):
     return b.report_faults(events.select("event_id", whole.alias("body")), "event_id")
 
 
-@registered("m8_rejected_candidates", rf"""with {FILES}, c as (select page_id, coalesce(project_id, '') project_id, regexp_replace(name, '\.[^.]*$', '') stem from files), n as (select *, case when regexp_matches(stem, '^[0-9]+_[0-9]+(_|$)') then regexp_replace(stem, '^([0-9]+)_([0-9]+).*$', '\1(\2)') else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem) end near from c), k as (select distinct stem from c where regexp_matches(stem, '^[0-9]*[02468]$'))
-    select project_id, page_id, k.stem page, k.stem is not null bound from n left join k on k.stem = n.near""")
+@registered("m8_rejected_candidates", rf"""with {FILES}, c as (select page_id, coalesce(project_id, '') project_id, regexp_replace(name, '\.[^.]*$', '') stem from files), n as (select *, case when regexp_matches(stem, '^[0-9]+_[0-9]+(_|$)') then regexp_replace(stem, '^([0-9]+)_([0-9]+).*$', '\1(\2)') else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem) end near from c), k as (select distinct project_id, stem from c where regexp_matches(stem, '^[0-9]*[02468]$'))
+    select n.project_id, page_id, k.stem page, k.stem is not null bound from n left join k on k.stem = n.near and k.project_id = n.project_id""")
 def m8_rejected_candidates(spark, sf_dir):
     told = url_pages(spark, sf_dir).select("page_id", F.coalesce("project_id", F.lit("")).alias("project_id"), F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"))
     candidates = told.select("project_id", "page_id", F.concat(F.lit("rejected/of-"), F.col("page_id").cast("string"), F.lit("/"), "stem", F.lit("_candidate.png")).alias("path"), F.lit("s").alias("sha256"))
-    pages = told.filter(F.col("stem").rlike("^[0-9]+$") & F.substring("stem", -1, 1).isin("0", "2", "4", "6", "8")).select(F.col("stem").alias("page"))
+    pages = told.filter(F.col("stem").rlike("^[0-9]+$") & F.substring("stem", -1, 1).isin("0", "2", "4", "6", "8")).select("project_id", F.col("stem").alias("page"))
     seen, lost = b.rejected_failures(candidates, pages, "page_id")
     lost = candidates.join(lost.select("project_id", F.get_json_object("blocker", "$.path").alias("path")).distinct(), ["project_id", "path"])
     return seen.select("project_id", "page_id", "page", F.lit(True).alias("bound")).unionAll(lost.select("project_id", "page_id", F.lit(None).cast("string"), F.lit(False)))

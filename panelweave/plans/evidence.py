@@ -13,12 +13,11 @@ from panelweave.registry import STORY, balanced_sql, registered
 from panelweave.sources.tables import story_pages, table
 
 
-@registered("j2_row_lookups", """with n as (select n_name k, min(n_regionkey) v, count(*) c from nation group by 1), r as (select r_regionkey k, min(r_regionkey) v, count(*) c from region group by 1)
-    select c_custkey, case when c.cnt is not null then 'supplier_key' when n.c is not null then 'nation_key' end "by", case when c.cnt = 1 then c.v when c.cnt is null and n.c = 1 then n.v end "value", case when c.cnt is not null then c.cnt > 1 when n.c is not null then n.c > 1 end ambiguous
-    from customer left join (select s_suppkey k, min(s_nationkey) v, count(*) cnt from supplier group by 1) c on c.k = c_custkey left join (select s_nationkey k, min(s_nationkey) v, count(*) c from supplier group by 1) n on n.k = c_nationkey""")
+@registered("j2_row_lookups", """select c_nationkey % 5 project_id, c_custkey, case when c.cnt is not null then 'supplier_key' when n.c is not null then 'nation_key' end "by", case when c.cnt = 1 then c.v when c.cnt is null and n.c = 1 then n.v end "value", case when c.cnt is not null then c.cnt > 1 when n.c is not null then n.c > 1 end ambiguous
+    from customer left join (select s_nationkey % 5 p, s_suppkey k, min(s_nationkey) v, count(*) cnt from supplier group by 1, 2) c on c.k = c_custkey and c.p = c_nationkey % 5 left join (select s_nationkey % 5 p, s_nationkey k, min(s_nationkey) v, count(*) c from supplier group by 1, 2) n on n.k = c_nationkey and n.p = c_nationkey % 5""")
 def j2_row_lookups(spark, sf_dir):
-    pages = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_key"), F.col("s_nationkey").alias("nation_key"), F.col("s_nationkey").alias("value"))
+    pages = table(spark, sf_dir, "customer").selectExpr("c_nationkey % 5 project_id", "c_custkey", "c_nationkey")
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("project_id"), F.col("s_suppkey").alias("supplier_key"), F.col("s_nationkey").alias("nation_key"), F.col("s_nationkey").alias("value"))
     return evidence.first_by_priority(pages, rows, [("c_custkey", "supplier_key"), ("c_nationkey", "nation_key")], "value").drop("c_nationkey")
 
 
@@ -30,27 +29,27 @@ def j3_trace_differences(spark, sf_dir):
     return evidence.trace_differences(left, right, "page", "status", "part")
 
 
-@registered("j6_not_exactly_one", "with u as (select distinct c_custkey k from customer), h as (select o_custkey k, count(*) n from orders where o_orderstatus = 'P' group by 1) select coalesce(u.k, h.k) page, u.k is not null known, coalesce(n, 0) hits from u full join h on u.k = h.k where u.k is null or n is null or n <> 1")
+@registered("j6_not_exactly_one", "with u as (select distinct c_custkey k from customer), h as (select o_custkey k, count(*) filter (o_orderstatus = 'P') n from orders group by 1 having count(*) filter (o_orderstatus = 'P') > 0) select coalesce(u.k, h.k) page, u.k is not null known, coalesce(n, 0) hits from u full join h on u.k = h.k where u.k is null or n is null or n <> 1")
 def j6_not_exactly_one(spark, sf_dir):
     done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("page"))
     return evidence.not_exactly_one(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page")), done, "page")
 
 
-@registered("j7_lock_faults", """with u as (select distinct l_orderkey page, l_partkey lock_id from lineitem), k as (select distinct p_partkey lock_id from part where p_size > 5), a as (select distinct l_partkey lock_id, l_orderkey page from lineitem where l_quantity <= 45)
-    select u.page, u.lock_id, case when k.lock_id is null then 'lock_unknown' else 'lock_not_applicable' end fault from u left join k on k.lock_id = u.lock_id left join a on a.lock_id = u.lock_id and a.page = u.page where k.lock_id is null or a.lock_id is null""")
+@registered("j7_lock_faults", """with u as (select distinct l_orderkey % 3 project_id, l_orderkey page, l_partkey lock_id from lineitem), k as (select distinct p_size % 4 project_id, p_partkey lock_id from part), a as (select distinct l_linenumber % 3 project_id, l_partkey lock_id, l_orderkey page from lineitem)
+    select u.project_id, u.page, u.lock_id, case when k.lock_id is null then 'lock_unknown' else 'lock_not_applicable' end fault from u left join k on k.lock_id = u.lock_id and k.project_id = u.project_id left join a on a.lock_id = u.lock_id and a.page = u.page and a.project_id = u.project_id where k.lock_id is null or a.lock_id is null""")
 def j7_lock_faults(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("lock_id"), "l_quantity")
-    locks = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("lock_id"))
-    return evidence.lock_faults(lines, locks, lines.filter("l_quantity <= 45"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 3 project_id", "l_linenumber % 3 other", "l_orderkey page", "l_partkey lock_id")
+    locks = table(spark, sf_dir, "part").selectExpr("p_size % 4 project_id", "p_partkey lock_id")
+    return evidence.lock_faults(lines, locks, lines.drop("project_id").withColumnRenamed("other", "project_id"))
 
 
-@registered("j8_hash_chains", """select doc_id path, case when l.doc_id is null then 'file_missing' when sha is distinct from b.approved then 'approval_differs' else 'file_differs' end fault from (select doc_id, sha256(coalesce(text, '')) sha from documents) d
+@registered("j8_hash_chains", """select coalesce(source, 'none') project_id, doc_id path, case when l.doc_id is null then 'file_missing' when sha is distinct from b.approved then 'approval_differs' else 'file_differs' end fault from (select source, doc_id, sha256(coalesce(text, '')) sha from documents) d
     left join (select doc_id, case when n_chars % 5 = 0 then sha256('x') else sha256(coalesce(text, '')) end approved from documents) b using (doc_id) left join (select labels.doc_id, case when toxic = 1 then sha256('y') else sha256(coalesce(text, '')) end of_file from labels join documents using (doc_id)) l using (doc_id)
     where l.doc_id is null or sha is distinct from b.approved or sha <> l.of_file""")
 def j8_hash_chains(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "n_chars")
-    approved = docs.select("path", F.when(F.col("n_chars") % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha")).alias("sha"))
-    files = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), "toxic"), "path").select("path", F.when(F.col("toxic") == 1, F.sha2(F.lit("y"), 256)).otherwise(F.col("sha")).alias("sha"))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("project_id"), F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "n_chars")
+    approved = docs.select("project_id", "path", F.when(F.col("n_chars") % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha")).alias("sha"))
+    files = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), "toxic"), "path").select("project_id", "path", F.when(F.col("toxic") == 1, F.sha2(F.lit("y"), 256)).otherwise(F.col("sha")).alias("sha"))
     return evidence.hash_chain_faults(docs, approved, files)
 
 
@@ -95,9 +94,10 @@ def a23_coverage_faults(spark, sf_dir):
     return evidence.coverage_faults(stated, customers.filter("c_acctbal > 9000"), _SEGMENTS)
 
 
-@registered("a20_snapshot_digests", """with r as (select distinct source, '{"doc_id":' || doc_id || ',"sha":"' || sha256(coalesce(text, '')) || '"}' j, doc_id, sha256(coalesce(text, '')) sha from documents where source is not null) select source, sha256('[' || string_agg(j, ',' order by doc_id, sha) || ']') set_hash from r group by 1""")
+@registered("a20_snapshot_digests", """with recursive r as (select distinct source, '{"doc_id":' || doc_id || ',"sha":"' || sha256(coalesce(text, '')) || '"}' j, doc_id, sha256(coalesce(text, '')) sha from documents), p as (select source, j, row_number() over (partition by source order by doc_id, sha) - 1 pos, count(*) over (partition by source) total from r),
+    t as (select source, pos // 1000 pos, (total + 999) // 1000 total, sha256('[' || string_agg(j, ',' order by pos) || ']') d from p group by source, pos // 1000, total union all select source, pos // 1000, (total + 999) // 1000, sha256('[' || string_agg('"' || d || '"', ',' order by pos) || ']') from t where total > 1 group by source, pos // 1000, total) select source, d set_hash from t where total = 1""")
 def a20_snapshot_digests(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("source is not null").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return evidence.digest_of_set(docs, "source", "doc_id", "sha")
 
 
@@ -191,9 +191,9 @@ def j5_task_mismatches(spark, sf_dir):
     return evidence.task_mismatches(pages, tasks, "state", "actor")
 
 
-@registered("j22_batch_gates", """with m as (select s_suppkey pos, 'n' || s_nationkey "name" from supplier), r as (select c_custkey pos, 'n' || c_nationkey "name", c_custkey // 2 id, count(*) over (partition by c_custkey // 2) n from customer),
-    j as (select coalesce(m.pos, r.pos) "position", coalesce(m."name", r."name") "name", case when r.pos is null then 'report_missing' when m.pos is null then 'report_extra' when m."name" <> r."name" then 'name_differs' when n > 1 then 'report_id_repeated' end fault from m full join r on m.pos = r.pos) select * from j where fault is not null""")
+@registered("j22_batch_gates", """with m as (select s_nationkey % 4 p, s_suppkey pos, 'n' || s_nationkey "name" from supplier), r as (select c_nationkey % 4 p, c_custkey pos, 'n' || c_nationkey "name", c_custkey // 2 id, count(*) over (partition by c_nationkey % 4, c_custkey // 2) n from customer),
+    j as (select coalesce(m.p, r.p) project_id, coalesce(m.pos, r.pos) "position", coalesce(m."name", r."name") "name", case when r.pos is null then 'report_missing' when m.pos is null then 'report_extra' when m."name" <> r."name" then 'name_differs' when n > 1 then 'report_id_repeated' end fault from m full join r on m.pos = r.pos and m.p = r.p) select * from j where fault is not null""")
 def j22_batch_gates(spark, sf_dir):
-    named = lambda key, nation: (F.col(key).alias("position"), F.concat(F.lit("n"), F.col(nation)).alias("name"))
+    named = lambda key, nation: ((F.col(nation) % 4).alias("project_id"), F.col(key).alias("position"), F.concat(F.lit("n"), F.col(nation)).alias("name"))
     reports = table(spark, sf_dir, "customer").select(*named("c_custkey", "c_nationkey"), F.floor(F.col("c_custkey") / 2).alias("report_id"))
     return evidence.batch_gate(table(spark, sf_dir, "supplier").select(*named("s_suppkey", "s_nationkey")), reports)

@@ -47,17 +47,17 @@ def w11_membership_faults(spark, sf_dir):
     return migration.membership_faults(told, pages.drop("risk"))
 
 
-@registered("p24_bound_candidates", rf"""with {FILES}, c as (select page_id, project_id || '/' || stem || case page_id % 3 when 0 then '_candidate_2.png' when 1 then '_1_visual.png' else '/new.png' end path, stem, regexp_matches(stem, '^[0-9]+$') num, page_id % 3 k from (select page_id, project_id, regexp_replace(name, '\.[^.]*$', '') stem from files)),
-    p as (select distinct stem page from c union select distinct stem || '(1)' from c where num and cast(stem as hugeint) % 2 = 0),
+@registered("p24_bound_candidates", rf"""with {FILES}, c as (select page_id, project_id, project_id || '/' || stem || case page_id % 3 when 0 then '_candidate_2.png' when 1 then '_1_visual.png' else '/new.png' end path, stem, regexp_matches(stem, '^[0-9]+$') num, page_id % 3 k from (select page_id, project_id, regexp_replace(name, '\.[^.]*$', '') stem from files)),
+    p as (select distinct project_id, stem page from c union select distinct project_id, stem || '(1)' from c where num and cast(stem as hugeint) % 2 = 0),
     f as (select *, case when k = 0 then case when num then stem else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem) end when k = 1 and num then stem || '(1)' when k = 1 then coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), stem || '_1') else coalesce(nullif(regexp_extract(stem, '^([0-9]+(\([0-9]+\))?)', 1), ''), nullif(stem, '')) end near from c)
-    select page_id, p.page from f left join p on p.page = f.near""")
+    select f.project_id, page_id, p.page from f left join p on p.page = f.near and p.project_id = f.project_id""")
 def p24_bound_candidates(spark, sf_dir):
     name = F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), r"\.[^.]*$", "")
-    told = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), name.alias("stem"))
+    told = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("project_id"), name.alias("stem"))
     tail = F.when(F.col("page_id") % 3 == 0, "_candidate_2.png").when(F.col("page_id") % 3 == 1, "_1_visual.png").otherwise("/new.png")
-    candidates = told.select("page_id", F.concat("host", F.lit("/"), "stem", tail).alias("path"))
+    candidates = told.select("project_id", "page_id", F.concat("project_id", F.lit("/"), "stem", tail).alias("path"))
     even = told.filter(F.col("stem").rlike("^[0-9]+$") & F.substring("stem", -1, 1).isin("0", "2", "4", "6", "8"))
-    pages = told.select(F.col("stem").alias("page")).union(even.select(F.concat("stem", F.lit("(1)"))))
+    pages = told.select("project_id", F.col("stem").alias("page")).union(even.select("project_id", F.concat("stem", F.lit("(1)"))))
     return migration.bound_candidates(candidates, pages, "page_id")
 
 

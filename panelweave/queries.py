@@ -20,14 +20,23 @@ def w3_batches(spark, sf_dir):
     return sequence.batches(story_pages(spark, sf_dir))
 
 
-@registered("w1_story_index", rf"""with {FILES}, k as (select *, lower(regexp_replace(trim(name), '\.[^.]*$', '')) stem from files),
-    keyed as (select *, (case when regexp_matches(stem, '^[0-9]+(\([0-9]+\))?$') then '0' else '1' end) || array_to_string(list_transform(regexp_extract_all(stem, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(cast(length(regexp_replace(p, '^0+(.)', '\1')) as varchar), 10, '0') || regexp_replace(p, '^0+(.)', '\1') else p end), '') nk from k),
-    numbered as (select project_id, page_id, name, row_number() over (partition by project_id order by nk, name, page_id) "index" from keyed)
+_PAGE_FILES = rf"""{FILES}, stems as (select *, regexp_replace(regexp_replace(translate(regexp_replace(name, '^(.+)\.[^.]+$', '\1'), '（）', '()'), '^\s+', ''), '\s+$', '') stem, lower(regexp_extract(name, '.(\.[^.]+)$', 1)) suffix from files),
+    told as (select *, regexp_full_match(stem, '\d+\s*(\(\s*\d+\s*\))?') numeric_ from stems),
+    keyed as (select *, case when numeric_ then cast(regexp_extract(stem, '^(\d+)', 1) as hugeint) end num, case when numeric_ then cast(coalesce(nullif(regexp_extract(stem, '\(\s*(\d+)\s*\)$', 1), ''), '0') as hugeint) end variant,
+        case when not numeric_ then list_transform(regexp_extract_all(lower(stem), '\d+|\D+'), lambda p: case when regexp_matches(p, '^\d') then {{'k': 0, 'n': cast(p as hugeint), 't': ''}} else {{'k': 1, 'n': cast(0 as hugeint), 't': p}} end) end tokens from told)"""
+
+
+@registered("w1_story_index", rf"""with {_PAGE_FILES}, numbered as (select project_id, page_id, name, row_number() over (partition by project_id order by case when numeric_ then 0 else 1 end, num, variant, tokens, case when not numeric_ then suffix end, lower(name), name, page_id) "index" from keyed)
     select *, printf('%04d.jpg', "index") output_name from numbered""")
 def w1_story_index(spark, sf_dir):
     return sequence.story_index(url_pages(spark, sf_dir)).select("project_id", "page_id", "name", "index", "output_name")
 
 
+@registered("s2_repeated_pages", rf"""with {_PAGE_FILES}, c as (select project_id, page_id, name, count(*) over (partition by project_id, numeric_, num, variant, case when not numeric_ then lower(regexp_replace(stem, '\s+', '', 'g')) end) copies from keyed) select * from c where copies > 1""")
+def s2_repeated_pages(spark, sf_dir):
+    return sequence.repeated_pages(url_pages(spark, sf_dir))
+
+
 @registered("p1_page_identity", rf"""with {FILES} select project_id, page_id, nullif(regexp_extract(translate(regexp_replace(trim(name), '\.[^.]*$', ''), '（）', '()'), '^[A-Za-z0-9]+(\([0-9]+\))?$', 0), '') identity from files""")
 def p1_page_identity(spark, sf_dir):
     return url_pages(spark, sf_dir).select("project_id", "page_id", page_id(F.col("name")).alias("identity"))

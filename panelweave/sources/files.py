@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from panelweave.functions.text import casefold
-from panelweave.operators.sequence import story_index
+from panelweave.operators.sequence import repeated_pages, story_index
 
 #: Image suffixes, those that pages may have, and the report's title.
 IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "gif", "tif", "tiff")
@@ -35,6 +35,11 @@ def inventory(found: DataFrame) -> DataFrame:
     return story_index(pages).select("project_id", "index", "name", "output_name", "sha256")
 
 
+def repeated(found: DataFrame) -> DataFrame:
+    """Page images that are one page with another of their project, whatever their extension or spelling."""
+    return repeated_pages(found.filter(F.col("suffix").isin(*PAGES)).withColumnRenamed("path", "page_id")).select("project_id", "name", "copies")
+
+
 def unexpected(found: DataFrame) -> DataFrame:
     """Images of a suffix that pages may not have."""
     return found.filter(F.col("suffix").isin(*IMAGES) & ~F.col("suffix").isin(*PAGES)).select("project_id", "name")

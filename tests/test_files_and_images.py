@@ -115,10 +115,10 @@ def test_packs_find_their_faults(spark):
 
 
 def test_lookups_and_sets(spark):
-    pages = spark.createDataFrame([(1, "a"), (2, "x"), (3, "z")], "i long, name string")
-    rows = spark.createDataFrame([(9, "a", "v1"), (2, "q", "v2"), (5, "z", "v3"), (6, "z", "v4")], "i2 long, n2 string, value string")
+    pages = spark.createDataFrame([("p", 1, "a"), ("p", 2, "x"), ("p", 3, "z"), ("o", 9, "a")], "project_id string, i long, name string")
+    rows = spark.createDataFrame([("p", 9, "a", "v1"), ("p", 2, "q", "v2"), ("p", 5, "z", "v3"), ("p", 6, "z", "v4")], "project_id string, i2 long, n2 string, value string")
     found = {r.i: (r.by, r.value, r.ambiguous) for r in evidence.first_by_priority(pages, rows, [("name", "n2"), ("i", "i2")], "value").collect()}
-    assert found == {1: ("n2", "v1", False), 2: ("i2", "v2", False), 3: ("n2", None, True)}
+    assert found == {1: ("n2", "v1", False), 2: ("i2", "v2", False), 3: ("n2", None, True), 9: (None, None, None)}
     a, b = (spark.createDataFrame(x, "k long, m string") for x in ([(1, "x"), (1, "y"), (2, "x")], [(1, "y"), (1, "x"), (3, "z")]))
     assert sorted(map(tuple, evidence.set_differences(a, b, "k", "m").collect())) == [(2, 1, 0), (3, 0, 1)]
 
