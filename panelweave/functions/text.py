@@ -10,7 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Parts of a path that mark it as no reference, once `-` and spaces are `_`.
 CONTAMINATED = ("人物参考图", "人设", "identity_sheet", "identity_reference", "character_sheet", "character_reference", "page_candidates/", "rejected")
@@ -56,27 +56,50 @@ def page_id(name: Column) -> Column:
     return F.nullif(F.regexp_extract(stem, r"^[A-Za-z0-9]+(\([0-9]+\))?$", 0), F.lit(""))
 
 
+def _normal(x: str) -> str | None:
+    said = unicodedata.normalize("NFKC", x).strip().replace("\\", "/")
+    head = _HEAD.match(said)[0]
+    held: list[str] = []
+    for step in said[len(head) :].split("/"):
+        if step == ".." and held and held[-1] != "..":
+            held.pop()
+        elif step == ".." and head.endswith("/") or step in ("", "."):
+            continue
+        else:
+            held.append(step)
+    return ((head + "/".join(held)) or ".").casefold() if said else None
+
+
 @F.pandas_udf(StringType())
 def normal_path(path: pd.Series) -> pd.Series:
     """NFKC, forward slashes, `.` and `..` collapsed as on Windows, case-folded; blank is null.
 
     A drive or a leading slash stays, and `..` climbs no higher than that; without one it stays.
     """
+    return _by_value(path, _normal)
 
-    def spell(x: str) -> str | None:
-        said = unicodedata.normalize("NFKC", x).strip().replace("\\", "/")
-        head = _HEAD.match(said)[0]
-        held: list[str] = []
-        for step in said[len(head) :].split("/"):
-            if step == ".." and held and held[-1] != "..":
-                held.pop()
-            elif step == ".." and head.endswith("/") or step in ("", "."):
-                continue
-            else:
-                held.append(step)
-        return ((head + "/".join(held)) or ".").casefold() if said else None
 
-    return _by_value(path, spell)
+@F.pandas_udf(ArrayType(StringType()))
+def normal_paths(paths: pd.Series) -> pd.Series:
+    """The normal path of each member of a list."""
+    return pd.Series([None if row is None else [None if x is None else _normal(x) for x in row] for row in paths], dtype=object)
+
+
+def _canonical(document) -> str:
+    return json.dumps(document, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+@F.pandas_udf(StringType())
+def edited_json(document: pd.Series, fields: pd.Series) -> pd.Series:
+    """The JSON object with the members of another set in it, spelled canonically; null if either is none."""
+
+    def spell(x: str, y: str) -> str | None:
+        try:
+            return _canonical({**json.loads(x), **json.loads(y)})
+        except (ValueError, TypeError):
+            return None
+
+    return pd.Series([None if x is None or y is None else spell(x, y) for x, y in zip(document, fields)], dtype=object)
 
 
 def json_hash(document: Column, *dropped: str) -> Column:
@@ -85,7 +108,7 @@ def json_hash(document: Column, *dropped: str) -> Column:
     def spell(x: str) -> str | None:
         try:
             held = {k: v for k, v in json.loads(x).items() if k not in dropped}
-            return hashlib.sha256(json.dumps(held, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+            return hashlib.sha256(_canonical(held).encode()).hexdigest()
         except (ValueError, AttributeError):
             return None
 

@@ -144,15 +144,6 @@ def drift(planned: dict[str, DataFrame], current: dict[str, DataFrame], key: str
     return reduce(DataFrame.unionAll, changes).groupBy("kind").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed")))
 
 
-def applied(documents: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, bundles): proposals flipped to applied with their new hashes, and each project's id from its source id and all hashes. documents: project_id, name, body (canonical JSON with proposal_only). sources: project_id, source_id."""
-    flipped = documents.withColumn("body", F.replace("body", F.lit('"proposal_only":true'), F.lit('"proposal_only":false'))).withColumn("hash", F.sha2("body", 256))
-    listed = F.array_sort(F.collect_list(F.struct("name", "hash")))
-    bundles = flipped.groupBy(P).agg(F.map_from_entries(listed).alias("applied_hashes")).join(sources, P)
-    named = F.sha2(F.to_json(F.struct("applied_hashes", F.col("source_id").alias("source_migration_id"))), 256)
-    return flipped, bundles.select(P, "applied_hashes", "source_id", named.alias("migration_id"))
-
-
 def cache_key(prompt: str, references: str, generation: str) -> Column:
     """What makes two calls the same: the hashes of prompt, references and generation settings."""
     return F.sha2(F.to_json(F.struct(F.col(generation).alias("generation_hash"), F.col(prompt).alias("prompt_hash"), F.col(references).alias("reference_hash"))), 256)

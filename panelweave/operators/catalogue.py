@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.text import contaminated, json_hash, trimmed, zoned_time
+from panelweave.functions.text import contaminated, json_hash, normal_path, normal_paths, trimmed, zoned_time
 from panelweave.operators.rules import POLICIES
 
 #: Names that evidence documents use, in their order.
@@ -456,28 +456,37 @@ def rule_use_rules(manifest: DataFrame, repair: DataFrame, rules: DataFrame, sto
     return union(store, broken(both, page_name("position"), F.col("position"), V104=fine), broken(uses, F.col("rule_id"), F.col("position"), V104=F.col("there")))
 
 
+#: What a reference may serve for.
+ROLES = ("target_original", "adjacent_style", "identity_only", "composition_only", "primary_style")
+
+
 def pack_ids(packs: DataFrame) -> DataFrame:
-    """Adds canonical (the references by path and role), content_id and content_binding, rebuilt from the cluster and the references."""
-    order = F.array_sort("references")
-    made = packs.withColumn("canonical", order)
-    content = F.concat(F.lit("pack-"), F.substring(F.sha2(F.to_json(F.struct("cluster_id", F.col("canonical").alias("references"))), 256), 1, 16))
-    made = made.withColumn("content_id", content)
+    """Adds canonical (the references with normal paths and hashes in lower case, by path and role), content_id and content_binding, rebuilt from the cluster and the references."""
+    paths = normal_paths(F.transform("references", lambda r: r["path"]))
+    spelled = F.zip_with("references", "paths", lambda r, p: F.struct(p.alias("path"), r["role"].alias("role"), F.lower(r["sha256"]).alias("sha256")))
+    made = packs.withColumn("paths", paths).withColumn("canonical", F.array_sort(spelled)).drop("paths")
+    made = made.withColumn("content_id", F.sha2(F.to_json(F.struct("cluster_id", F.col("canonical").alias("references"))), 256))
     return made.withColumn("content_binding", F.sha2(F.to_json(F.struct(F.col("content_id").alias("reference_pack_id"), F.col("canonical").alias("references"))), 256))
 
 
+def sound_references(stable: Column) -> Column:
+    """Whether the canonical references of a pack are some, of known roles, each once, and its primary styles are stable pages and no contaminated ones. stable: normal paths."""
+    styles = F.filter("canonical", lambda r: r["role"] == "primary_style")
+    marked = F.transform("canonical", lambda r: F.struct(r["path"], r["role"]))
+    return (F.size("canonical") > 0) & F.forall("canonical", lambda r: r["path"].isNotNull() & r["role"].isin(*ROLES)) & once(marked) & F.forall(styles, lambda r: F.array_contains(stable, r["path"]) & ~contaminated(r["path"]))
+
+
 def pack_rules(packs: DataFrame, stable: DataFrame, approved: DataFrame, files: DataFrame, clusters: DataFrame) -> DataFrame:
     """V105-V112: stable pages are listed once, packs are named once by their content, and each reference has its approved hash, which is the file's."""
     listed_ = stable.groupBy(P, "path").agg(F.count("*").alias("n"))
     of_list = broken(listed_, F.coalesce("path", F.lit("")), None, V105=told("path") & (F.col("n") == 1))
     hashes = broken(approved, F.coalesce("path", F.lit("")), None, V106=told("path") & told("sha256"))
     rows = pack_ids(packs.withColumn("first", repeats(packs, P, "reference_pack_id")))
-    primary = F.filter("references", lambda r: r["role"] == "primary_style")
-    pages = listed_.filter(told("path")).groupBy(P).agg(F.collect_set("path").alias("stable_paths"))
+    pages = listed_.filter(told("path")).groupBy(P).agg(F.collect_set(normal_path("path")).alias("stable_paths"))
     rows = rows.join(pages, P, "left").withColumn("stable_paths", F.coalesce("stable_paths", F.array().cast(_LIST)))
-    styles = F.forall(primary, lambda r: F.array_contains("stable_paths", r["path"]) & ~contaminated(F.lower(r["path"])))
     traced = F.forall("references", lambda r: told(r["path"]) & told(r["role"]) & r["sha256"].rlike("^[0-9a-fA-F]{64}$"))
     each = broken(
-        rows, F.coalesce("reference_pack_id", F.lit("")), None, V107=told("reference_pack_id") & told("cluster_id") & F.col("first"), V108=(F.size("references") > 0) & traced & styles & (F.col("references") == F.col("canonical")),
+        rows, F.coalesce("reference_pack_id", F.lit("")), None, V107=told("reference_pack_id") & told("cluster_id") & F.col("first"), V108=traced & sound_references(F.col("stable_paths")) & (F.col("references") == F.col("canonical")),
         V109=F.col("reference_pack_id") == F.col("content_id"), V110=F.col("reference_binding_hash") == F.col("content_binding"),
     )
     refs = packs.select(P, "reference_pack_id", F.explode("references").alias("r")).select(P, "reference_pack_id", "r.*")

@@ -11,7 +11,7 @@ from panelweave.operators.rules import with_task_class
 from panelweave.operators.sequence import BATCH, placed
 
 #: The action of each page class.
-ACTIONS = {"unchanged": "unchanged_copy", "text_only": "text_repair", "full_page_redraw": "full_page_regeneration", "evidence_blocked": "evidence_blocked"}
+ACTIONS = {"unchanged": "unchanged", "text_only": "text_only", "full_page_redraw": "full_page_regeneration", "evidence_blocked": "evidence_blocked"}
 
 
 def alignment_state(status: Column) -> Column:

@@ -10,7 +10,7 @@ from panelweave.registry import FILES, PAGES, balanced_sql, registered
 from panelweave.sources.tables import evidence_pages, table, url_pages
 
 _CLASSES = ("unchanged", "text_only", "full_page_redraw", "evidence_blocked")
-_ACTS = ("unchanged_copy", "text_repair", "full_page_regeneration", "evidence_blocked")
+_ACTS = ("unchanged", "text_only", "full_page_regeneration", "evidence_blocked")
 
 
 def _inputs(spark, sf_dir):
@@ -58,7 +58,7 @@ def m2_recomputed_preflights(spark, sf_dir):
 def m5_class_faults(spark, sf_dir):
     pick = lambda values: f"element_at(array({', '.join(f"'{c}'" for c in values)}), cast(doc_id % 4 + 1 as int))"
     own = "if(lang is null, 'unchanged', " + pick(_CLASSES) + ")"
-    acts = "if(lang is null, 'unchanged_copy', " + pick(_ACTS) + ")"
+    acts = "if(lang is null, 'unchanged', " + pick(_ACTS) + ")"
     pages = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{pick(_CLASSES)} manifest_class", f"{own} repair_class", f"if(doc_id % 10 = 0, 'x', {pick(_CLASSES)}) task_class", f"if(doc_id % 9 = 0, 'x', {acts}) action", "n_chars < 150 blocked", "doc_id % 3 = 0 released")
     return b.class_faults(pages, "doc_id")
 
@@ -104,15 +104,6 @@ def m9_snapshot_drift(spark, sf_dir):
     return b.drift({"suppliers": of("supplier", "s_suppkey", "s_nationkey"), "orders": of("orders", "o_orderkey", "1")}, {"suppliers": of("customer", "c_custkey", "c_nationkey"), "orders": of("lineitem", "l_orderkey", "1")}, "key", "value")
 
 
-@registered("m10_applied_bundles", f"""with {PAGES}, d as (select project_id, printf('%04d', pos) "name", sha256('{{"doc":' || doc_id || ',"proposal_only":false}}') h from pg), g as (select project_id, '{{' || string_agg('"' || "name" || '":"' || h || '"', ',' order by "name") || '}}' j from d group by 1)
-    select project_id, sha256('{{"applied_hashes":' || j || ',"source_migration_id":"' || sha256(project_id) || '"}}') migration_id from g""")
-def m10_applied_bundles(spark, sf_dir):
-    pages = evidence_pages(spark, sf_dir)
-    documents = pages.selectExpr("project_id", "format_string('%04d', pos) name", "concat('{\"doc\":', doc_id, ',\"proposal_only\":true}') body")
-    _, bundles = b.applied(documents, pages.selectExpr("project_id", "sha2(project_id, 256) source_id").distinct())
-    return bundles.select("project_id", "migration_id")
-
-
 @registered("a26_migration_gates", f"""with {PAGES}, s as (select *, printf('%04d', pos) page, case when lang is null then 'unresolved' when n_chars < 150 then 'provisional' else 'confirmed' end st, max(case when lang is null then 2 when n_chars < 150 then 1 else 0 end) over (partition by project_id, (pos - 1) // 10) w from pg), t as (select *, ['confirmed', 'provisional', 'unresolved'][w + 1] cs, doc_id % 4 <> 0 blk from s),
     x as (select project_id, '{{"code":"UNCONFIRMED_ALIGNMENT_PAGES","pages":["' || string_agg(page, '","' order by page) || '"]}}' bl from t where st <> 'confirmed' or cs <> 'confirmed' group by 1 union all select project_id, '{{"code":"CLUSTER_ALIGNMENT_CONTROL_MISMATCH","page":"' || page || '"}}' from t where cs <> st or (st = 'unresolved' and not blk)
         union all select project_id, '{{"code":"EXACT_BIJECTION_INVALID"}}' from pg group by 1 having max(doc_id) % 3 = 0)

@@ -266,7 +266,7 @@ def v103_rule_uses(spark, sf_dir):
 _REFS = """'[{"path":"' || case when doc_id % 6 = 0 then 'pages/rejected' else 'pages/' || doc_id end || '","role":"primary_style","sha256":"' || sha256(doc_id || '') || '"}]'"""
 
 
-@registered("v105_pack_contract", _sql(f"""m as (select *, 'c' || pos cid, {_REFS} refs, if(doc_id % 6 = 0, 'pages/rejected', 'pages/' || doc_id) p from pg), i as (select *, 'pack-' || substr(sha256('{{"cluster_id":"' || cid || '","references":' || refs || '}}'), 1, 16) made from m), b as (select *, if(doc_id % 8 = 0, 'pack-x', made) id, sha256('{{"reference_pack_id":"' || made || '","references":' || refs || '}}') bind from i), u as (select *, count(*) over (partition by project_id, id) c from b),
+@registered("v105_pack_contract", _sql(f"""m as (select *, 'c' || pos cid, {_REFS} refs, if(doc_id % 6 = 0, 'pages/rejected', 'pages/' || doc_id) p from pg), i as (select *, sha256('{{"cluster_id":"' || cid || '","references":' || refs || '}}') made from m), b as (select *, if(doc_id % 8 = 0, 'pack-x', made) id, sha256('{{"reference_pack_id":"' || made || '","references":' || refs || '}}') bind from i), u as (select *, count(*) over (partition by project_id, id) c from b),
     st as (select project_id, p, count(*) c from m where doc_id % 5 <> 0 group by 1, 2), ap as (select project_id, p, if(doc_id % 12 = 0, ' ', sha256(doc_id || '')) h from m where doc_id % 6 <> 0), w as (select u.*, st.p is not null stable from u left join st on st.project_id = u.project_id and st.p = u.p)""",
     ("st", "p", {"V105": "c = 1"}), ("ap", "p", {"V106": "h <> ' '"}), ("w", "id", {"V107": "c = 1", "V108": "stable and doc_id % 6 <> 0", "V109": "id = made", "V110": "lang is not null"}), ("w", "id || ' ' || p", {"V111": "doc_id % 6 <> 0 and doc_id % 7 <> 0 and doc_id % 12 <> 0"}), ("w", "cid", {"V112": "id <> 'pack-x' or (c = 1 and doc_id % 8 = 0)"})))
 def v105_pack_contract(spark, sf_dir):

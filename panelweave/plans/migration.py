@@ -22,7 +22,7 @@ def _plan(spark, sf_dir):
     return migration.planned_tasks(story_pages(spark, sf_dir).withColumn("unresolved", F.coalesce(F.col("risk") < 300, F.lit(True))).withColumn("action", action))
 
 
-@registered("m4_migration_plan", f"""with {_PLAN} select project_id, page_id, "cluster", page_class, case page_class when 'unchanged' then 'unchanged_copy' when 'text_only' then 'text_repair' when 'full_page_redraw' then 'full_page_regeneration' else 'evidence_blocked' end planned_action, is_canary, task_id, task_order from plan""")
+@registered("m4_migration_plan", f"""with {_PLAN} select project_id, page_id, "cluster", page_class, case page_class when 'unchanged' then 'unchanged' when 'text_only' then 'text_only' when 'full_page_redraw' then 'full_page_regeneration' else 'evidence_blocked' end planned_action, is_canary, task_id, task_order from plan""")
 def m4_migration_plan(spark, sf_dir):
     return _plan(spark, sf_dir).select("project_id", "page_id", "cluster", "page_class", "planned_action", "is_canary", "task_id", "task_order")
 

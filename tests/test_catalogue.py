@@ -27,7 +27,7 @@ def compact(x):
 
 def pack(cluster, canary):
     refs = sorted([{"path": f"pages/{name(canary)}", "role": "primary_style", "sha256": sha(f"ref{canary}")}, {"path": "pages/0001.jpg", "role": "adjacent_style", "sha256": sha("ref1")}], key=lambda r: (r["path"], r["role"]))
-    made = "pack-" + sha(compact({"cluster_id": cluster, "references": refs}))[:16]
+    made = sha(compact({"cluster_id": cluster, "references": refs}))
     return {"reference_pack_id": made, "cluster_id": cluster, "references": refs, "reference_binding_hash": sha(compact({"reference_pack_id": made, "references": refs}))}
 
 
