@@ -434,16 +434,17 @@ def cluster_rules(projects: DataFrame, clusters: DataFrame) -> DataFrame:
     return union(broken(rows, F.coalesce("cluster_id", F.col("position").cast("string")), None, V90=named), broken(first, F.col("cluster_id"), None, V91=listed_), each, covered)
 
 
-def task_rules(projects: DataFrame, manifest: DataFrame, repair: DataFrame, tasks: DataFrame) -> DataFrame:
-    """V99-V102: tasks are named once, completed, in a known state, and there is exactly one for each page, the one that manifest and repair log name."""
+def task_rules(projects: DataFrame, manifest: DataFrame, repair: DataFrame, tasks: DataFrame, task_faults: DataFrame) -> DataFrame:
+    """V99-V102: tasks are named once and completed, the queue is valid (task_faults: project_id, entity, as task_rules.queue_faults finds them), and there is exactly one for each page, the one that manifest and repair log name."""
     rows = tasks.withColumn("alone", repeats(tasks, P, "task_id"))
-    each = broken(rows, F.col("task_id"), None, V99=told("task_id") & F.col("alone"), V100=F.col("state") == "completed", V101=F.col("state").isin("queued", "leased", "completed", "failed"))
+    each = broken(rows, F.col("task_id"), None, V99=told("task_id") & F.col("alone"), V100=F.col("state") == "completed")
+    queue = task_faults.select(P, F.lit("V101").alias("rule_id"), F.col("entity").cast("string").alias("entity"), F.lit(None).cast("int").alias("page_index"))
     wanted = manifest.select(P, "position", F.col("task_id").alias("a")).join(repair.select(P, "position", F.col("task_id").alias("b")), [P, "position"], "left")
     pages = projects.select(P, F.explode(F.sequence(F.lit(1), F.col("expected_count"))).alias("position")).join(wanted, [P, "position"], "left").withColumn("page_id", F.format_string("%04d", "position"))
     of_page = tasks.groupBy(P, "page_id").agg(F.count("*").alias("n"), F.first("task_id").alias("task_id"), F.first("state").alias("state"))
     both = pages.join(of_page, [P, "page_id"], "full_outer")
     one = told("a") & (F.col("a") == F.col("b")) & (F.col("n") == 1) & (F.col("task_id") == F.col("a")) & (F.col("state") == "completed") & F.col("position").isNotNull()
-    return union(each, broken(both, F.coalesce("page_id", F.lit("")), F.col("position"), V102=one))
+    return union(each, queue, broken(both, F.coalesce("page_id", F.lit("")), F.col("position"), V102=one))
 
 
 def rule_use_rules(manifest: DataFrame, repair: DataFrame, rules: DataFrame, store_faults: DataFrame) -> DataFrame:
@@ -549,11 +550,11 @@ GROUPS = {
     output_rules: ("projects", "outputs"), count_rules: ("projects", "manifest", "alignment", "repair"), header_rules: ("projects", "headers"), manifest_rules: ("inputs", "manifest", "outputs"),
     lock_reference_rules: ("manifest", "repair", "locks"), alignment_rules: ("projects", "alignment"), policy_rules: ("repair",), snapshot_rules: ("repair", "files"), external_rules: ("repair", "files"),
     page_review_rules: ("repair", "batches"), batch_rules: ("projects", "batches", "repair"), report_rules: ("projects", "inputs", "outputs", "report"), bible_rules: ("projects", "bible", "coverage", "locks"),
-    style_rules: ("projects", "repair", "files", "masks"), schema_rules: ("headers", "manifest", "repair", "inputs", "projects"), cluster_rules: ("projects", "clusters"), task_rules: ("projects", "manifest", "repair", "tasks"),
+    style_rules: ("projects", "repair", "files", "masks"), schema_rules: ("headers", "manifest", "repair", "inputs", "projects"), cluster_rules: ("projects", "clusters"), task_rules: ("projects", "manifest", "repair", "tasks", "task_faults"),
     rule_use_rules: ("manifest", "repair", "rules", "store_faults"), pack_rules: ("packs", "stable", "approved", "files", "clusters"), trace_rules: ("manifest", "repair", "clusters", "packs", "tasks"),
     cluster_qa_rules: ("clusters", "cluster_qa", "repair"), registry_rules: ("registries",),
 }
-EVIDENCE["store_faults"] = "project_id string, entity string"
+EVIDENCE["store_faults"] = EVIDENCE["task_faults"] = "project_id string, entity string"
 
 
 def violations(evidence: dict[str, DataFrame]) -> DataFrame:

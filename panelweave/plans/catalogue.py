@@ -5,10 +5,13 @@ The SQL restates each rule by itself; the Spark side only binds columns and call
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelweave.functions.columns import balanced_group
 from panelweave.operators import catalogue as c
+from panelweave.operators import task_rules
 from panelweave.registry import PAGES, registered
 from panelweave.sources.tables import evidence_pages, table
 
@@ -242,13 +245,20 @@ def v90_cluster_contract(spark, sf_dir):
     return c.cluster_rules(_projects(pages), clusters).select(*_KEPT)
 
 
+#: name and type of each column of a task record
+_TASK_COLUMNS = [tuple(part.strip().split(" ", 1)) for part in re.split(r",\s*(?![^<]*>)", task_rules.TASKS)]
+
+
 @registered("v99_task_contract", _sql("""t as (select project_id, pos, doc_id, if(doc_id % 22 = 0, 'same', 't' || doc_id) id, ['completed', 'completed', 'queued', 'lost'][doc_id % 4 + 1] s, printf('%04d', if(doc_id % 19 = 0, pos + 1, pos)) p from pg where doc_id % 17 <> 0), u as (select *, count(*) over (partition by project_id, id) c from t),
     o as (select project_id, p, count(*) c, any_value(id) id, any_value(s) s from t group by 1, 2), w as (select project_id, pos, printf('%04d', pos) p, 't' || doc_id a, if(doc_id % 23 = 0, 'x', 't' || doc_id) b from pg), j as (select coalesce(w.project_id, o.project_id) project_id, coalesce(w.p, o.p) p, a, b, c, id, s from w full join o on o.project_id = w.project_id and o.p = w.p)""",
     ("u", "id", {"V99": "c = 1", "V100": "s = 'completed'", "V101": "s <> 'lost'"}), ("j", "p", {"V102": "a = b and c = 1 and id = a and s = 'completed'"})))
 def v99_task_contract(spark, sf_dir):
     pages = evidence_pages(spark, sf_dir)
     tasks = pages.filter("doc_id % 17 <> 0").selectExpr("project_id", "if(doc_id % 22 = 0, 'same', concat('t', doc_id)) task_id", "element_at(array('completed', 'completed', 'queued', 'lost'), cast(doc_id % 4 + 1 as int)) state", "format_string('%04d', if(doc_id % 19 = 0, pos + 1, pos)) page_id")
-    return c.task_rules(_projects(pages), _documents(pages, "concat('t', doc_id) task_id"), _documents(pages, "if(doc_id % 23 = 0, 'x', concat('t', doc_id)) task_id"), tasks).select(*_KEPT)
+    # of the queue's findings, those that the tasks' states give
+    records = tasks.select(*(F.col(k) if k in tasks.columns else F.lit(None).cast(v).alias(k) for k, v in _TASK_COLUMNS))
+    found = task_rules.record_faults(records).filter("fault = 'state_unknown'")
+    return c.task_rules(_projects(pages), _documents(pages, "concat('t', doc_id) task_id"), _documents(pages, "if(doc_id % 23 = 0, 'x', concat('t', doc_id)) task_id"), tasks, found).select(*_KEPT)
 
 
 @registered("v103_rule_uses", _sql(f"""m as (select *, {_OUT} e, 'r' || doc_id % 9 a, 'r' || (doc_id + if(doc_id % 14 = 0, 1, 0)) % 9 b from pg), f as (select *, a = b and doc_id % 16 <> 0 fine from m), u as (select * from f where fine), s as (select distinct project_id, 's' || doc_id % 3 x from pg where lang is null)""",

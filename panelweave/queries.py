@@ -289,4 +289,4 @@ def v_row_violations(spark, sf_dir):
 
 
 # the modules of further queries register themselves
-from panelweave.plans import audits, bundle, catalogue, compiled, dispatch, evidence, migration, migration_plan, packs, store  # noqa: E402, F401
+from panelweave.plans import audits, bundle, catalogue, compiled, dispatch, evidence, migration, migration_plan, packs, store, task_rules  # noqa: E402, F401

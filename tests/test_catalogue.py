@@ -80,7 +80,7 @@ def passing():
         "locks": [{"position": 1, "lock_id": "l1", **lock}], "batches": batches, "report": [{"line_no": 1, "line": c.REPORT_TITLE}, {"line_no": 2, "line": ""}, *({"line_no": n, "line": f"{k}: {v}"} for n, (k, v) in enumerate(values.items(), 3))],
         "clusters": clusters, "tasks": tasks, "rules": [{"rule_id": "r1"}], "packs": packs, "stable": [{"path": "pages/0005.jpg"}, {"path": "pages/0020.jpg"}], "approved": [{"path": r["path"], "sha256": r["sha256"]} for r in {r["path"]: r for p in packs for r in p["references"]}.values()],
         "cluster_qa": [{"position": n, "cluster_id": x["cluster_id"], "member_pages": x["member_pages"], "canary_page": x["canary_page"], "status": "passed", "pass_id": f"cq{n}", "reviewed_by": "other", "reviewed_at": TIME} for n, x in enumerate(clusters, 1)],
-        "registries": [{"document": "scene_clusters", "body": json.dumps(registry | {"registry_hash": sha(json.dumps(registry, sort_keys=True, separators=(",", ":")))})}], "store_faults": [],
+        "registries": [{"document": "scene_clusters", "body": json.dumps(registry | {"registry_hash": sha(json.dumps(registry, sort_keys=True, separators=(",", ":")))})}], "store_faults": [], "task_faults": [],
     }
 
 
@@ -125,7 +125,7 @@ MUTATIONS = [
     (put("repair", 2, visual_mask_sha256="x"), "V79"), (put("repair", 2, changed_region_ratio=0.0), "V80 V81"), (put("repair", 2, changed_region_ratio=0.4), "V81"), (put("repair", 2, style_review__full_size=False), "V82"), (put("repair", 2, style_review__checks={}), "V83"), (put("repair", 2, style_review__comparison_sha256="x"), "V84"), (put("repair", 3, full_page_regeneration_reason=None), "V85"),
     (put("headers", 0, schema_version="9"), "V86"), (put("headers", 0, pipeline_mode=None), "V87"), (put("headers", 0, evidence_files=["x"]), "V88"), (put("manifest", 0, input_name="z.jpg"), "V11 V89"),
     (put("clusters", 0, cluster_id=" "), "V90 V94 V95 V98 V114 V112 V120"), (put("clusters", 1, undersized=True), "V92 V93"), (put("clusters", 1, context_before=[]), "V95"), (put("clusters", 1, canary_page=name(1)), "V96 V121"), (put("clusters", 1, reference_pack_state="open"), "V97"),
-    (add("tasks", page_id="0099"), "V99 V102"), (put("tasks", 0, state="queued"), "V100 V102"), (put("tasks", 0, state="lost"), "V100 V101 V102"), (put("tasks", 0, page_id="0002"), "V102 V118"), (add("store_faults", entity="r1"), "V103"), (put("repair", 0, failure_rule_ids=["r9"]), "V104"),
+    (add("tasks", page_id="0099"), "V99 V102"), (put("tasks", 0, state="queued"), "V100 V102"), (put("tasks", 0, state="lost"), "V100 V102"), (add("task_faults", entity="t1"), "V101"), (put("tasks", 0, page_id="0002"), "V102 V118"), (add("store_faults", entity="r1"), "V103"), (put("repair", 0, failure_rule_ids=["r9"]), "V104"),
     (add("stable"), "V105"), (put("approved", 0, sha256=" "), "V106 V111"), (put("packs", 0, cluster_id="c9"), "V109 V110 V112 V114 V118"), (put("packs", 0, reference_binding_hash="x"), "V110"), (drop("stable", 0), "V108"),
     (put("manifest", 0, cluster_id="c2"), "V113"), (put("repair", 0, generated_by=None), "V115 V118"), (lambda e: [put(t, 5, reviewed_by="maker")(e) for t in ("manifest", "repair")], "V116 V117"), (put("tasks", 0, completed_by="x"), "V118"), (put("repair", 3, style_review__reviewer="maker"), "V119"),
     (drop("cluster_qa", 0), "V120"), (put("cluster_qa", 0, canary_page=name(2)), "V121"), (put("cluster_qa", 0, pass_id="cq2"), "V122"), (put("cluster_qa", 0, reviewed_at="x"), "V123"), (put("cluster_qa", 0, reviewed_by="maker"), "V124"), (put("registries", 0, body='{"registry_hash":"x"}'), "V125"),
