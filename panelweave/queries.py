@@ -176,7 +176,21 @@ def w10_migration_clusters(spark, sf_dir):
     return clusters.migration_clusters(story_pages(spark, sf_dir).withColumn("unresolved", F.coalesce(F.col("risk") < 300, F.lit(True))))
 
 
-@registered("st3_lane_pauses")
+_FAILS = "m.kind = 'fail'"
+_STREAK = "case when l[m.lane].n is not null and l[m.lane].code is not distinct from m.code then l[m.lane].n + 1 else 1 end"
+_PROMPTED = "case when m.prompt is null then 0 else coalesce(p[m.prompt], 0) + 1 end"
+_PAUSES = f"{_FAILS} and not map_contains(z, m.lane) and greatest({_STREAK}, {_PROMPTED}) >= 3"
+_without = lambda held, key: f"map_from_entries(list_filter(map_entries({held}), lambda e: e.key is distinct from {key}))"
+
+
+@registered("st3_lane_pauses", f"""with recursive {EVENTS}, m as (select project_id, lane, event_id, kind, code, cache_key % 7 prompt, row_number() over (partition by project_id order by ts, event_id) n from ev where kind in ('fail', 'complete', 'reopen')),
+    walk as (select distinct project_id, 0::bigint n, map_from_entries(cast([] as struct(k bigint, v struct(code bigint, n bigint))[])) l, map_from_entries(cast([] as struct(k bigint, v bigint)[])) p, map_from_entries(cast([] as struct(k bigint, v bigint)[])) z, null::bigint lane, null::bigint event_id, null::bigint code, null::varchar reason from m
+        union all select m.project_id, m.n, case when {_FAILS} then map_concat(l, map([m.lane], [{{'code': m.code, 'n': ({_STREAK})::bigint}}])) else {_without('l', 'm.lane')} end,
+        case when {_FAILS} then case when m.prompt is null then p else map_concat(p, map([m.prompt], [({_PROMPTED})::bigint])) end when m.kind = 'complete' then {_without('p', 'm.prompt')} when z[m.lane] is not null then {_without('p', 'z[m.lane]')} else p end,
+        case when {_PAUSES} then map_concat(z, map([m.lane], [m.prompt])) when m.kind = 'reopen' then {_without('z', 'm.lane')} else z end,
+        m.lane, m.event_id, m.code, case when {_PAUSES} then case when {_STREAK} >= 3 then 'lane_failure_streak' else 'prompt_failure_streak' end end
+        from walk join m on m.project_id = walk.project_id and m.n = walk.n + 1)
+    select project_id, lane, event_id, code, reason from walk where reason is not null""")
 def st3_lane_pauses(spark, sf_dir):
     return lanes.pauses(task_events(spark, sf_dir))
 
