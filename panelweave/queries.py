@@ -162,7 +162,27 @@ def r10_source_hashes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 256).alias("source_hash"))
 
 
-@registered("w9_scene_clusters")
+_PARTS = ", ".join(f"coalesce(nullif(trim({c}), ''), 'unknown') {c}" for c in clusters.SCENE)
+_ONE = lambda c: f"case when min({c}) = max({c}) then min({c}) else 'mixed' end {c}"
+
+
+@registered("w9_scene_clusters", rf"""with recursive {STORY}, s as (select project_id, page_id, pos, total, risk, {_PARTS} from story),
+    t as (select *, case when (chapter, location, story_time, scene_id) is distinct from lag((chapter, location, story_time, scene_id)) over (partition by project_id order by pos) then 1 else 0 end turn from s),
+    r as (select *, sum(turn) over (partition by project_id order by pos) run from t), a as (select *, row_number() over (partition by project_id, run order by pos) - 1 at_, count(*) over (partition by project_id, run) rn from r), k as (select *, {balanced_sql('at_', 'rn', 20)} chunk from a),
+    ch as (select project_id, run, chunk, chapter, location, count(*) n from k group by all), cs as (select *, case when (chapter, location) is distinct from lag((chapter, location)) over (partition by project_id order by run, chunk) then 1 else 0 end turn from ch),
+    st as (select *, sum(turn) over (partition by project_id order by run, chunk) stretch from cs), li as (select project_id, stretch, min(run) first_run, bool_or(chapter = 'unknown' or location = 'unknown') loose, list(n order by run, chunk) sizes from st group by 1, 2),
+    fold as (select project_id, stretch, cast([] as struct(s bigint, c bigint)[]) done, list_transform(sizes, lambda x: {{'s': x, 'c': 1::bigint}}) ahead from li
+        union all select project_id, stretch, case when big or not (back or on_) then list_append(done, ahead[1]) when back then done[:-2] else done end, case when big or not (back or on_) then ahead[2:] when back then list_prepend({{'s': done[-1].s + ahead[1].s, 'c': done[-1].c + ahead[1].c}}, ahead[2:]) else list_prepend({{'s': ahead[1].s + ahead[2].s, 'c': ahead[1].c + ahead[2].c}}, ahead[3:]) end
+        from (select *, ahead[1].s >= 8 big, len(done) > 0 and done[-1].s + ahead[1].s <= 20 back, len(ahead) > 1 and ahead[1].s + ahead[2].s <= 20 on_ from fold where len(ahead) > 0)),
+    g0 as (select project_id, stretch, generate_subscripts(done, 1) - 1 g, unnest(done).c c from fold where len(ahead) = 0), g1 as (select *, coalesce(sum(c) over (partition by project_id, stretch order by g rows between unbounded preceding and 1 preceding), 0) lo from g0),
+    sn as (select st.*, first_run, loose, row_number() over (partition by st.project_id, st.stretch order by run, chunk) - 1 place from st join li on li.project_id = st.project_id and li.stretch = st.stretch),
+    gr as (select sn.project_id, run, chunk, first_run, case when loose then place else g end g from sn join g1 on g1.project_id = sn.project_id and g1.stretch = sn.stretch and place >= lo and place < lo + c),
+    nm as (select k.*, first_run, g from k join gr on gr.project_id = k.project_id and gr.run = k.run and gr.chunk = k.chunk),
+    f as (select project_id, first_run, g, min(pos) lo, max(pos) hi, any_value(total) total, count(*) size, string_agg(page_id, ',' order by pos) members, list(page_id order by pos)[(count(*) - 1) // 2 + 1] middle, arg_max(page_id, (risk, -pos)) filter (risk is not null) worst, string_agg('"' || page_id || '"', ',' order by pos) quoted,
+        {_ONE('chapter')}, {_ONE('location')}, case when count(distinct (story_time, scene_id)) = 1 then min(story_time) else 'mixed' end story_time, case when count(distinct (story_time, scene_id)) = 1 then min(scene_id) else 'mixed' end scene_id from nm group by 1, 2, 3),
+    x as (select f.*, coalesce((select string_agg(page_id, ',' order by pos) from s where s.project_id = f.project_id and pos between lo - 2 and lo - 1), '') "before", coalesce((select string_agg(page_id, ',' order by pos) from s where s.project_id = f.project_id and pos between hi + 1 and hi + 2), '') "after" from f)
+    select project_id, row_number() over (partition by project_id order by lo) "cluster", size, members, "before", "after", chapter, location, story_time, scene_id, coalesce(worst, middle) canary, 'cluster-' || substr(sha256('{{"member_pages":[' || quoted || '],"scene_key":["' || chapter || '","' || location || '","' || story_time || '","' || scene_id || '"]}}'), 1, 16) cluster_id,
+    case when size < 8 then case when total = size then 'project_total_below_min' else 'scene_fragment_below_min' end end undersized_reason, size < 8 and total <> size blocked from x""")
 def w9_scene_clusters(spark, sf_dir):
     return clusters.scene_clusters(story_pages(spark, sf_dir))
 
