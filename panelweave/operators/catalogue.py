@@ -242,7 +242,7 @@ EXTERNAL_RUNS = ("D:/runs/", r"[a-z][a-z-]*_[0-9]{8}_[0-9]{6}")
 
 
 def external_rules(repair: DataFrame, files: DataFrame, runs: tuple[str, str] = EXTERNAL_RUNS) -> DataFrame:
-    """An external candidate is null where none was used; else it has its six fields, lies in a run folder of the right name, and its hash chain holds."""
+    """An external candidate is null where none was used; else it has its six fields, lies in a run folder of the right name, and its hash chain holds. runs: the fixed place of such folders and the pattern of their names, which the caller gives."""
     c = F.col("external_candidate")
     of = lambda name: F.element_at(c, name)
     root, name = runs
@@ -250,7 +250,7 @@ def external_rules(repair: DataFrame, files: DataFrame, runs: tuple[str, str] =
     inside = F.startswith(F.translate(of("source_path"), "\\", "/"), F.concat(spelled, F.lit("/final/"))) & ~F.translate(of("source_path"), "\\", "/").contains("/../")
     held = files.groupBy(P, F.col("path").alias("external_path")).agg(F.first("sha256").alias("real"))
     rows = repair.withColumn("external_path", of("source_path")).join(held, [P, "external_path"], "left")
-    whole = (F.array_sort(F.map_keys(c)) == F.array(*map(F.lit, EXTERNAL_FIELDS))) & F.startswith(spelled, F.lit(root)) & F.substring(spelled, len(root) + 1, 10_000).rlike(f"^{name}$") & inside
+    whole = (F.array_sort(F.map_keys(c)) == F.array(*map(F.lit, EXTERNAL_FIELDS))) & F.startswith(spelled, F.lit(root)) & F.substring(spelled, F.lit(len(root) + 1), F.length(spelled)).rlike(f"^{name}$") & inside
     chain = (of("source_sha256") == F.col("real")) & (F.col("candidate_sha256") == F.col("real")) & (of("status") == "supervised_import") & told(of("imported_by")) & timed(of("imported_at"))
     return broken(rows, page_name("position"), F.col("position"), V37=F.when(~F.col("used_external"), c.isNull()).when(F.col("used_external"), whole & chain))
 

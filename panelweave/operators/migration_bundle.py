@@ -152,11 +152,13 @@ def document_faults(documents: DataFrame) -> DataFrame:
     """Findings in the seven documents of a bundle; projects whose documents are missing, of another schema or wrongly hashed have those findings only."""
     head = written(head_faults(documents))
     fine = documents.join(head.select(P).distinct(), P, "left_anti")
-    pages, repair, clusters, packs, tasks = (_rows(fine, n) for n in (MANIFEST, REPAIR, SCENE, STYLE, QUEUE))
+    # each document is parsed once; what follows reads typed rows
+    pages, repair, clusters, packs, tasks = (written(_rows(fine, n)) for n in (MANIFEST, REPAIR, SCENE, STYLE, QUEUE))
     # an empty list explodes to no row: the project is still one
     names = _parsed(fine, MANIFEST).select(P).join(pages.groupBy(P).agg(F.count("*").alias("n"), F.countDistinct("output_name").alias("outputs"), F.countDistinct("input_name").alias("inputs"), F.min(F.col("output_name") == page_name(F.col("at") + 1)).alias("ordered")), P, "left")
     bijection = _faults(names, F.lit(MANIFEST), names_no_bijection=F.col("n").isNull() | ((F.col("outputs") == F.col("n")) & (F.col("inputs") == F.col("n")) & F.col("ordered")))
     of_clusters, good, short = _cluster_faults(pages, clusters)
+    good = written(good.drop("outputs"))
     of_packs, held = _pack_faults(_parsed(fine, STYLE), packs, good)
     of_pages = _page_faults(pages, repair, good, short, held, tasks)
     seen = _parsed(fine, QA).select(P, F.transform("d.clusters", lambda x: x["cluster_id"]).alias("seen"))
