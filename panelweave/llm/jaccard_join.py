@@ -24,7 +24,8 @@ Equal sets are one node, named by the digest of the set.
 Only links that connect different roots are made, never all pairs of a group.
 
 Defined results: null text or text without words has the empty set, linked with nothing; a
-text with fewer words than a shingle has one shingle, its word sequence. Rows that share an
+text with fewer words than a shingle has one shingle, its word sequence; very long texts have
+all their shingles. Repeated rows and equal sets are one node of the join. Rows that share an
 id count as one document, which has the links of each of them; rows with a null id have a
 null component and link nothing. Ties do not matter, as components do not depend on pivots.
 Extra columns do not matter; an empty table gives no rows.

@@ -8,7 +8,8 @@ character, merges never cross the start of a space run; the text is then cut the
 distinct unit is encoded once per worker (a bounded memo), which gives the same ids.
 
 Defined results: null or empty text has no piece but the end id; very long texts are
-encoded whole; repeated rows give equal values.
+encoded whole; repeated rows give equal values. Null and repeated ids are carried along as
+they are; extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
