@@ -1,4 +1,10 @@
-"""From raw documents to an encoded training mix, in five stages over the whole table."""
+"""From raw documents to an encoded training mix, in five stages over the whole table.
+
+Defined results, for every stage: ids, languages, sources and lengths may be null and are
+carried along; repeated rows are rows of their own, but for `distinct`; very long texts are
+worked on whole; only the columns of documents go on, so extra columns end in the first
+stage, whatever their names; an empty table gives an empty table with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly trained classifier accepts."""
+    """Documents that the weakly trained classifier accepts; null texts and texts without words stay if most documents are good, as they score the share of good ones."""
     return score(docs, fit(docs), keep=COLUMNS).filter("accepted").select(*COLUMNS)
 
 
@@ -51,13 +57,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as many times as the mix takes it, whatever its id; a part of a document counts as a whole one from its half on."""
+    """Each row as many times as the mix takes it, whatever its id; a part of a document counts as a whole one from its half on. Texts without words have no size, so the mix takes none of them."""
     taken = mix(docs, keep=("text", "lang", "n_chars")).filter("taken > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
     return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's ids, byte spans and decoded text."""
+    """Digests of each document's ids, byte spans and decoded text; a null text is an empty one."""
     return piece_digests(docs, model_file())
 
 
@@ -67,7 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's result written and read again."""
+    """The stages over documents, each one's result written and read again; of an empty table an empty result."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
