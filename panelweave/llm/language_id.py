@@ -8,8 +8,8 @@ The model is fitted on a bounded sample of labelled rows: SAMPLE_BYTES of text a
 the same share of them for each language, and each language has one row at least, so no
 language is lost however rare it is. Rows are drawn by a hash of id and text. All words and
 n-grams of the sample are learned; they are counted in Spark, and workers get them as sorted
-64-bit hashes with a row of log frequencies. The sample bounds the size of the model for any
-input; it has a column for each language, of which there should be few.
+64-bit hashes with a log frequency for each language that has them. The sample bounds the
+size of the model for any input and any number of languages.
 
 Defined results: null text or text without a letter (Unicode category L) is "und" with score 0. Rows with null
 language are not learned from. Ties go to the language first in code-point order. With no
@@ -21,7 +21,6 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 
 import numpy as np
@@ -35,13 +34,19 @@ from ._spark import discard, saved
 SAMPLE_BYTES = 24 << 20
 LONGEST = 4
 FLOOR = 0.5
-MEMO_WORDS = 150_000
+MEMO_CELLS = 4_000_000
 NOWHERE = "und"
 # fixed value: the seed with which Spark's xxhash64 starts
 HASH_SEED = 42
-#: what `re` takes for part of a word though it is neither a letter nor a decimal digit: fractions, raised and enclosed numbers and the like
-_NUMBERS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(sys.maxunicode + 1)))) if not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters, lower-cased. `re` also takes fractions, raised numbers and the like for parts of words; where there are any, they part words."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -56,7 +61,7 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
         for batch in batches:
             tally: Counter = Counter()
             for tongue, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tally.update((tongue, word) for word in _WORD.findall((body or "").lower()))
+                tally.update((tongue, word) for word in words_of(body or ""))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], names=["lang", "item", "count"])
 
     return docs.select(lang, text).mapInArrow(work, "lang string, item string, count bigint").groupBy("lang", "item").agg(F.sum("count").alias("count"))
@@ -85,24 +90,24 @@ def drawn(docs: DataFrame, key: str, lang: str, text: str, most: int = SAMPLE_BY
 
 
 def fit(docs: DataFrame, key: str, lang: str, text: str, most: int = SAMPLE_BYTES) -> dict:
-    """The model: languages, sorted hashes of items (words and n-grams by length), and each item's log frequency in each language."""
+    """The model: languages, sorted hashes of items (words and n-grams by length), for each item the languages that have it with its log frequencies there, and floors for those that do not."""
     words = saved(word_counts(drawn(docs, key, lang, text, most), "lang", "text"))
     items = saved(words.select("lang", F.lit(0).alias("n"), "item", "count").unionAll(gram_counts(words)))
-    sums = items.groupBy("lang", "n").agg(F.sum("count").alias("total"))
-    totals = {(r.lang, r.n): r.total for r in sums.collect()}
+    totals = {(r.lang, r.n): r.total for r in items.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()}
     tongues = sorted({t for t, _ in totals})
-    floors = np.array([[np.log(FLOOR / (totals.get((t, n), 0) + 1)) for t in tongues] for n in range(LONGEST + 1)]).reshape(LONGEST + 1, len(tongues))
+    total = np.array([[totals.get((t, n), 0) for t in tongues] for n in range(LONGEST + 1)], dtype=np.float64).reshape(LONGEST + 1, len(tongues))
     if not tongues:
-        return {"langs": [], "items": np.zeros(0, dtype=np.int64), "logs": np.zeros((0, 1))}
+        return {"langs": [], "items": np.zeros(0, dtype=np.int64), "starts": np.zeros(1, dtype=np.int64), "tongues": np.zeros(0, dtype=np.int32), "logs": np.zeros(0), "floors": np.zeros((LONGEST + 1, 1))}
     place = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(tongues) for x in (t, i))), F.col("lang"))
     hashed = F.xxhash64(F.concat_ws(":", "n", "item"))
-    table = items.join(sums, ["lang", "n"]).select(hashed.alias("item"), "n", place.alias("tongue"), F.log(F.col("count") / F.col("total")).alias("log")).toArrow()
-    known, row = np.unique(np.asarray(table["item"].combine_chunks()), return_inverse=True)
-    logs = np.zeros((len(known), len(tongues)))
-    logs[row] = floors[np.asarray(table["n"].combine_chunks())]
-    logs[row, np.asarray(table["tongue"].combine_chunks())] = np.asarray(table["log"].combine_chunks())
+    table = items.select(hashed.alias("item"), "n", place.alias("tongue"), "count").toArrow()
+    column = lambda name: np.asarray(table[name].combine_chunks())
+    item, tongue = column("item"), column("tongue").astype(np.int32)
+    order = np.lexsort((tongue, item))
+    known, starts = np.unique(item[order], return_index=True)
+    logs = np.log(column("count") / total[column("n"), tongue])
     discard(words, items)
-    return {"langs": tongues, "items": known, "logs": logs}
+    return {"langs": tongues, "items": known, "starts": np.append(starts, len(order)), "tongues": tongue[order], "logs": logs[order], "floors": np.log(FLOOR / (total + 1))}
 
 
 def item_hash(n: int, item: str) -> int:
@@ -111,12 +116,12 @@ def item_hash(n: int, item: str) -> int:
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, self.items, self.logs = model["langs"], model["items"], model["logs"]
+        self.langs, self.items, self.starts, self.tongues, self.logs, self.floors = (model[k] for k in ("langs", "items", "starts", "tongues", "logs", "floors"))
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.matrix = np.zeros((0, self.logs.shape[1]))
+        self.matrix = np.zeros((0, self.floors.shape[1]))
 
     def _rows(self, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Which items the model knows, and the rows of those."""
@@ -125,11 +130,18 @@ class Scorer:
         known = self.items[at] == wanted if len(self.items) else np.zeros(len(wanted), dtype=bool)
         return known, at[known]
 
+    def _add(self, out: np.ndarray, into: np.ndarray, rows: np.ndarray, n: int) -> None:
+        """Add the log frequencies of items of length n to the rows `into` of out."""
+        out += np.bincount(into, minlength=len(out))[:, None] * self.floors[n]
+        size = self.starts[rows + 1] - self.starts[rows]
+        at = np.arange(size.sum()) + np.repeat(self.starts[rows] - np.cumsum(size) + size, size)
+        np.add.at(out, (np.repeat(into, size), self.tongues[at]), self.logs[at] - self.floors[n, self.tongues[at]])
+
     def learn(self, words: list[str]) -> np.ndarray:
         """A row of log frequencies for each word: its own, or the mean over its n-grams of the longest length with a known one."""
-        out = np.zeros((len(words), self.logs.shape[1]))
+        out = np.zeros((len(words), self.floors.shape[1]))
         known, rows = self._rows([item_hash(0, w) for w in words])
-        out[known] = self.logs[rows]
+        self._add(out, np.flatnonzero(known), rows, 0)
         left = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
             parts = [grams(words[i], n) for i in left]
@@ -137,16 +149,16 @@ class Scorer:
             if len(owner):
                 known, rows = self._rows([item_hash(n, g) for p in parts for g in p])
                 count = np.bincount(owner[known], minlength=len(left))
-                total = np.zeros((len(left), self.logs.shape[1]))
-                np.add.at(total, owner[known], self.logs[rows])
+                total = np.zeros((len(left), self.floors.shape[1]))
+                self._add(total, owner[known], rows, n)
                 out[left[count > 0]] = total[count > 0] / count[count > 0, None]
                 left = left[count == 0]
         return out
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Sums of log frequencies by language; None without a letter."""
-        split = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
+        split = [words_of(t) if t else [] for t in texts]
+        if len(self.memo) * len(self.langs) > MEMO_CELLS:
             self._forget()
         new = [w for w in set().union(*split) if w not in self.memo] if split else []
         if new:
