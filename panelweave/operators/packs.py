@@ -29,7 +29,7 @@ def references(pages: DataFrame) -> DataFrame:
     beside = pages.withColumn("near", F.array_remove(near, F.col("cluster_id"))).select("project_id", F.explode("near").alias("cluster_id"), path(F.col("page_id")).alias("path"), F.lit("adjacent_style").alias("role"))
     sheets = pages.filter(F.col("location").isNotNull()).select("project_id", "location").distinct()
     each = pages.select("project_id", "cluster_id").distinct()
-    identity = each.join(sheets, each["project_id"].eqNullSafe(sheets["project_id"])).select(each["project_id"], "cluster_id", F.concat(F.lit("identity/"), F.lower("location"), F.lit(".png")).alias("path"), F.lit("identity").alias("role"))
+    identity = each.join(sheets, each["project_id"].eqNullSafe(sheets["project_id"])).select(each["project_id"], "cluster_id", F.concat(F.lit("identity/"), F.lower("location"), F.lit(".png")).alias("path"), F.lit("identity_only").alias("role"))
     return primary.unionAll(beside).unionAll(identity)
 
 

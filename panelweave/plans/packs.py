@@ -13,7 +13,7 @@ _REFS = f"""{STORY}, dealt as (select *, coalesce(project_id, '') || '#' || {bal
     around as (select *, list_distinct(list_filter([lag(cluster_id) over w, lag(cluster_id, 2) over w, lead(cluster_id) over w, lead(cluster_id, 2) over w], lambda x: x is not null and x <> cluster_id)) near from dealt window w as (partition by project_id order by pos)),
     refs as (select project_id, cluster_id, 'pages/' || first(page_id order by coalesce(risk, -1) desc, pos) || '.jpg' path, 'primary_style' role from dealt group by 1, 2
         union all select project_id, unnest(near), 'pages/' || page_id || '.jpg', 'adjacent_style' from around
-        union all select a.project_id, cluster_id, 'identity/' || lower(location) || '.png', 'identity' from (select distinct project_id, cluster_id from dealt) a join (select distinct project_id, location from story where location is not null) b on a.project_id is not distinct from b.project_id)"""
+        union all select a.project_id, cluster_id, 'identity/' || lower(location) || '.png', 'identity_only' from (select distinct project_id, cluster_id from dealt) a join (select distinct project_id, location from story where location is not null) b on a.project_id is not distinct from b.project_id)"""
 
 
 def _references(spark, sf_dir):
