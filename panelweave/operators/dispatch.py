@@ -40,14 +40,15 @@ def next_tasks(events: DataFrame, workers: int = WORKERS, hours: int = LEASE_HOU
     return queued.join(busy, "project_id", "left").filter(F.col("place") <= workers - F.coalesce("busy", F.lit(0))).select("project_id", "lane", "place")
 
 
-def eligible_tasks(tasks: DataFrame, paused: DataFrame, canaries: DataFrame, workers: int = WORKERS) -> DataFrame:
+def eligible_tasks(tasks: DataFrame, paused: DataFrame, canaries: DataFrame, workers: int = WORKERS, types: tuple[str, ...] | None = None) -> DataFrame:
     """The queued tasks that free workers of each project take next, in queue order: of no paused lane, not waiting for a canary of their cluster, on a page that nobody works on.
 
-    tasks: project_id, task_id, seq, page_id, cluster_id, lane, expensive, state, live (its lease runs). paused: project_id, lane. canaries: project_id, cluster_id, task_id, approved.
+    types: the task types that the workers take, all by default; tasks have task_type then. tasks: project_id, task_id, seq, page_id, cluster_id, lane, expensive, state, live (its lease runs). paused: project_id, lane. canaries: project_id, cluster_id, task_id, approved.
     """
     leased = tasks.filter("state = 'leased' and live")
     busy = leased.groupBy("project_id").agg(F.count("*").alias("busy"))
-    queued = tasks.filter("state = 'queued'").join(paused, ["project_id", "lane"], "left_anti").join(leased.select("project_id", "page_id").distinct(), ["project_id", "page_id"], "left_anti")
+    wanted = tasks.filter("state = 'queued'") if types is None else tasks.filter(F.col("task_type").isin(*types) & (F.col("state") == "queued"))
+    queued = wanted.join(paused, ["project_id", "lane"], "left_anti").join(leased.select("project_id", "page_id").distinct(), ["project_id", "page_id"], "left_anti")
     gates = canaries.select("project_id", "cluster_id", F.col("task_id").alias("canary"), "approved")
     gated = queued.join(gates, ["project_id", "cluster_id"], "left").filter(~F.col("expensive") | F.coalesce("approved", F.lit(False)) | F.col("canary").eqNullSafe(F.col("task_id")))
     # of two tasks on one page the first in the queue goes

@@ -38,7 +38,7 @@ def r1_compiled_requests(spark, sf_dir):
 @registered("r3_tampered_requests", """select cast(doc_id as varchar) page_id, case when doc_id % 7 = 0 then 'header_invalid' when doc_id % 7 = 1 then 'version_unsupported' when doc_id % 7 < 4 then 'fingerprint_differs' end fault from documents where doc_id % 7 < 4""")
 def r3_tampered_requests(spark, sf_dir):
     made = m.redraw_requests(_specs(spark, sf_dir)).withColumn("k", F.col("page_id").cast("bigint") % 7)
-    request = F.when(F.col("k") == 0, F.substring("request", 2, 1_000_000)).when(F.col("k") == 1, F.replace("request", F.lit(m.VERSION), F.lit("other/1"))).when(F.col("k") == 2, F.concat("request", F.lit(" "))).otherwise(F.col("request"))
+    request = F.when(F.col("k") == 0, F.expr("substring(request, 2)")).when(F.col("k") == 1, F.replace("request", F.lit(m.VERSION), F.lit("other/1"))).when(F.col("k") == 2, F.concat("request", F.lit(" "))).otherwise(F.col("request"))
     recorded = made.select("page_id", request.alias("request"), F.when(F.col("k") == 3, "x").otherwise(F.col("fingerprint")).alias("fingerprint"))
     return m.tampered(recorded, m.VERSION, "page_id")
 

@@ -103,3 +103,26 @@ def test_rework_voids_what_was_passed(spark):
         [*start, ("failed", None), ("queued", None), ("leased", None), *again], [*start, ("evidence_blocked", None), ("classified", None)], [*start, ("located", None)], [*start, ("lost", None), ("cluster_qa_passed", None)],
     ])
     assert found == {0: [], 1: [(11, "state_skipped")], 2: [(11, "candidate_shown_again")], 3: [(11, "state_skipped")], 4: [], 5: [], 6: [(10, "moved_back")], 7: [(10, "state_unknown")]}
+
+
+def test_workers_take_tasks_of_their_types(spark):
+    from panelweave.operators.dispatch import eligible_tasks
+
+    rows = [("p", i, i, i, 0, "l", False, "queued", False, "visual" if i % 2 else "text_repair") for i in range(6)]
+    tasks = spark.createDataFrame(rows, "project_id string, task_id long, seq long, page_id long, cluster_id long, lane string, expensive boolean, state string, live boolean, task_type string")
+    none, gates = tasks.limit(0).select("project_id", "lane"), spark.createDataFrame([], "project_id string, cluster_id long, task_id long, approved boolean")
+    took = lambda types: sorted(r.task_id for r in eligible_tasks(tasks, none, gates, types=types).collect())
+    assert took(None) == [0, 1, 2] and took(("visual",)) == [1, 3, 5] and took(()) == []
+
+
+def test_text_requests_open_with_their_own_marker(spark):
+    from pyspark.sql import functions as F
+
+    from panelweave.operators import compiled as m
+
+    made = m.text_requests(spark.createDataFrame([("1", "c", "block", "n", ["a"], 9)], "page_id string, cluster_id string, mode string, novel_hash string, allowed array<string>, budget int"), spark.createDataFrame([("1", 0, "p", "b", "s", "x", "y", 0, 1, None)], "page_id string, position int, panel_id string, balloon_id string, speaker_id string, source_text string, replacement string, start int, end int, reason string"))
+    row = made.first()
+    assert row.request.startswith(f"TEXT_PROMPT_VERSION={m.TEXT_VERSION}\n\n## TASK\n") and row.fingerprint
+    recorded = made.unionByName(made.withColumn("request", F.concat(F.lit("x"), "request")))
+    assert [r.fault for r in m.tampered(recorded, m.TEXT_VERSION, "page_id", marker=m.TEXT_MARKER).collect()] == ["header_invalid"]
+    assert [r.fault for r in m.tampered(made, m.VERSION, "page_id").collect()] == ["header_invalid"]
