@@ -158,9 +158,11 @@ def document_faults(documents: DataFrame) -> DataFrame:
     names = _parsed(fine, MANIFEST).select(P).join(pages.groupBy(P).agg(F.count("*").alias("n"), F.countDistinct("output_name").alias("outputs"), F.countDistinct("input_name").alias("inputs"), F.min(F.col("output_name") == page_name(F.col("at") + 1)).alias("ordered")), P, "left")
     bijection = _faults(names, F.lit(MANIFEST), names_no_bijection=F.col("n").isNull() | ((F.col("outputs") == F.col("n")) & (F.col("inputs") == F.col("n")) & F.col("ordered")))
     of_clusters, good, short = _cluster_faults(pages, clusters)
-    good = written(good.drop("outputs"))
+    # findings are written group by group, as one plan of all groups would be too large for the driver
+    of_clusters, good, short = written(of_clusters), written(good.drop("outputs")), written(short)
     of_packs, held = _pack_faults(_parsed(fine, STYLE), packs, good)
-    of_pages = _page_faults(pages, repair, good, short, held, tasks)
+    of_packs, held = written(of_packs), written(held)
+    of_pages = written(_page_faults(pages, repair, good, short, held, tasks))
     seen = _parsed(fine, QA).select(P, F.transform("d.clusters", lambda x: x["cluster_id"]).alias("seen"))
     wanted = good.groupBy(P).agg(F.array_sort(F.collect_set("cluster_id")).alias("wanted"))
     qa = _faults(seen.join(wanted, P, "left"), F.lit(QA), cluster_qa_no_bijection=F.array_sort("seen") == F.coalesce("wanted", F.array().cast("array<string>")))

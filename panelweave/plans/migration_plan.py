@@ -48,15 +48,16 @@ def m4_whole_plans(spark, sf_dir):
 
 @registered("m5_document_faults", f"""with {_WHOLE} select project_id, o entity, unnest(list_filter([case when doc_id % 11 = 0 then 'page_action_differs' end, case when doc_id % 13 = 0 then 'task_class_differs' end, case when doc_id % 17 = 0 then 'page_task_trace_invalid' end, case when doc_id % 19 = 0 and doc_id % 17 <> 0 then 'task_binding_differs' end, case when doc_id % 7 = 0 and short then 'blocked_page_released' end], lambda f: f is not null)) fault from whole""")
 def m5_document_faults(spark, sf_dir):
-    rows, clusters, packs = _planned(spark, sf_dir)
-    rows = written(rows).withColumn("k", F.regexp_extract("input_name", r"^(\d+)", 1).cast("bigint"))
+    rows, clusters, packs = map(written, _planned(spark, sf_dir))
+    rows = rows.withColumn("k", F.regexp_extract("input_name", r"^(\d+)", 1).cast("bigint"))
     documents = plan.proposed_documents(rows, clusters, packs)
     # the same plan with planted differences gives the documents that are at odds
     odd = rows.withColumn("action", F.expr("if(k % 11 = 0, 'redo', action)"))
     work = rows.withColumn("page_class", F.expr("if(k % 13 = 0, 'x', page_class)")).withColumn("reference_binding_hash", F.expr("if(k % 19 = 0, 'x', reference_binding_hash)")).withColumn("task_id", F.expr("if(k % 17 = 0, 'x', task_id)")).withColumn("task_type", F.expr("if(k % 7 = 0, 'visual', task_type)"))
-    logs = plan.proposed_documents(odd, clusters, packs).filter(F.col("name") == m.REPAIR)
-    queues = plan.proposed_documents(work, clusters, packs).filter(F.col("name") == m.QUEUE)
-    return m.document_faults(written(documents.filter(~F.col("name").isin(m.REPAIR, m.QUEUE)).unionAll(logs).unionAll(queues)))
+    logs = written(plan.proposed_documents(odd, clusters, packs).filter(F.col("name") == m.REPAIR))
+    queues = written(plan.proposed_documents(work, clusters, packs).filter(F.col("name") == m.QUEUE))
+    sound = written(documents.filter(~F.col("name").isin(m.REPAIR, m.QUEUE)))
+    return m.document_faults(sound.unionAll(logs).unionAll(queues))
 
 
 _REGISTRY = "'scene_clusters.json'"
