@@ -108,16 +108,22 @@ def promotion_events(rules: DataFrame) -> DataFrame:
     return made.withColumn("event_id", event_id())
 
 
-def recorded_outcomes(failures: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The failures with the outcomes that were reviewed for them, each with its outcome_id, and (project_id, failure_id, fault) of outcomes that are refused.
+def judged_outcomes(failures: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row a failure, and one an outcome of no failure: the failure as its outcome leaves it, known (whether the failure is there) and fault (why the outcome is refused, else null).
 
-    An outcome is recorded once: given again alike it changes nothing, given otherwise it is
-    refused. failures: failure_id, before_candidate, after_candidate, effective, status,
-    outcome_id, reviewed_by, reviewed_at; outcomes: project_id, failure_id, after_candidate
-    (path, hash), effective, reviewed_by, reviewed_at, one for each failure.
+    Failures and outcomes meet in one grouping by (project_id, failure_id), so tables that are
+    already dealt by project are not dealt again. Columns as in `recorded_outcomes`.
     """
     given = ("after_candidate", "effective", "reviewed_by", "reviewed_at")
-    asked = outcomes.select(P, "failure_id", *(F.col(c).alias(f"new_{c}") for c in given), F.lit(True).alias("asked"))
+    own = [c for c in failures.columns if c not in (P, "failure_id")]
+    as_failure, as_outcome = F.struct(*own), F.struct(*given)
+    kinds = {"f": failures.select(as_failure).schema[0].dataType, "o": outcomes.select(as_outcome).schema[0].dataType}
+    # an id that is not there is no other's: such rows get a key of their own
+    own_key = lambda kind, said: F.when(F.col(P).isNull() | F.col("failure_id").isNull(), F.concat(F.lit(kind), F.xxhash64(said).cast("string")))
+    side = lambda rows, kind, said: rows.select(P, "failure_id", own_key(kind, said).alias("apart"), *((said if k == kind else F.lit(None)).cast(of).alias(k) for k, of in kinds.items()))
+    both = side(failures, "f", as_failure).unionAll(side(outcomes, "o", as_outcome)).groupBy(P, "failure_id", "apart").agg(F.collect_list("f").alias("held"), F.collect_list("o").alias("asked"))
+    met = both.select(P, "failure_id", F.explode_outer("held").alias("f"), "asked").select(P, "failure_id", "f", F.explode_outer("asked").alias("o"))
+    rows = met.select(P, "failure_id", F.col("f").isNotNull().alias("known"), F.col("o").isNotNull().alias("asked"), "f.*", *(F.col(f"o.{c}").alias(f"new_{c}") for c in given))
     told = lambda c: trimmed(c).isNotNull()
     done = F.col("status") == "reviewed"
     other = done & ~reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in given])
@@ -127,14 +133,23 @@ def recorded_outcomes(failures: DataFrame, outcomes: DataFrame) -> tuple[DataFra
         "verdict_missing": F.col("new_effective").isNull(), "review_unsigned": ~told(F.col("new_reviewed_by")) | ~told(F.col("new_reviewed_at")), "already_recorded": other,
     }
     fault = F.coalesce(*(F.when(bad, F.lit(name)) for name, bad in faults.items()))
-    refused = asked.join(failures, [P, "failure_id"], "left").select(P, "failure_id", fault.alias("fault")).filter("fault is not null")
-    held = failures.join(asked, [P, "failure_id"], "left")
-    takes = F.col("asked") & ~done & fault.isNull()
-    made = held.withColumn("takes", F.coalesce(takes, F.lit(False)))
-    for c in given:
-        made = made.withColumn(c, F.when(F.col("takes"), F.col(f"new_{c}")).otherwise(F.col(c)))
+    made = rows.withColumn("fault", F.when(F.col("asked"), fault))
+    made = made.withColumn("takes", F.coalesce(F.col("known") & F.col("asked") & ~done & F.col("fault").isNull(), F.lit(False)))
+    made = made.withColumns({c: F.when(F.col("takes"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in given})
     made = made.withColumn("status", F.when(F.col("takes"), "reviewed").otherwise(F.col("status"))).withColumn("outcome_id", F.when(F.col("takes"), outcome_id()).otherwise(F.col("outcome_id")))
-    return made.select(*failures.columns), refused
+    return made.select(*failures.columns, "known", "fault")
+
+
+def recorded_outcomes(failures: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The failures with the outcomes that were reviewed for them, each with its outcome_id, and (project_id, failure_id, fault) of outcomes that are refused.
+
+    An outcome is recorded once: given again alike it changes nothing, given otherwise it is
+    refused. failures: failure_id, before_candidate, after_candidate, effective, status,
+    outcome_id, reviewed_by, reviewed_at; outcomes: project_id, failure_id, after_candidate
+    (path, hash), effective, reviewed_by, reviewed_at, one for each failure.
+    """
+    judged = judged_outcomes(failures, outcomes)
+    return judged.filter("known").select(*failures.columns), judged.filter("fault is not null").select(P, "failure_id", "fault")
 
 
 def revoked(rules: DataFrame, withdrawals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import audits, store
 from panelweave.registry import registered
-from panelweave.sources.shared import written
+from panelweave.sources.shared import dealt, written
 from panelweave.sources.tables import table
 
 _CODES = [[audits.CODES[i], audits.CODES[i + 2]] for i in range(3)]
@@ -115,10 +115,12 @@ def g2_revocations(spark, sf_dir):
 def _evidence(spark, sf_dir):
     """lineitem rows as recorded failures, and the outcomes that reviewers give for them: every fifth unsigned, every seventh of the same candidate."""
     lists = [f"array('{a}', '{b}')" for a, b in _CODES]
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "cast(floor(l_orderkey / 5000) as string) project_id", "concat(l_orderkey, '-', l_linenumber) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes", "concat('seen ', l_partkey) diagnosis", "concat('redo ', l_returnflag) corrective_action",
-        "named_struct('path', concat('b/', l_orderkey), 'hash', sha2(concat(l_orderkey, ':', l_linenumber), 256)) before_candidate", "cast(null as string) prompt_reference_hash", "'2026-07-01T08:00:00Z' created_at", "l_orderkey k", "l_partkey part", "l_quantity > 25 helped",
-    ).distinct()
+    # what tells rows apart, dealt by project while narrow: no row's texts and hashes are shuffled
+    seen = table(spark, sf_dir, "lineitem").selectExpr("cast(floor(l_orderkey / 5000) as string) project_id", "l_orderkey", "if(l_orderkey is null, null, l_linenumber) l_linenumber", "l_suppkey", "l_linestatus", "l_returnflag", "l_partkey", "l_quantity > 25 helped")
+    rows = dealt(seen).distinct().selectExpr(
+        "project_id", "concat(l_orderkey, '-', l_linenumber) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes", "concat('seen ', l_partkey) diagnosis", "concat('redo ', l_returnflag) corrective_action",
+        "named_struct('path', concat('b/', l_orderkey), 'hash', sha2(concat(l_orderkey, ':', l_linenumber), 256)) before_candidate", "cast(null as string) prompt_reference_hash", "'2026-07-01T08:00:00Z' created_at", "l_orderkey k", "l_partkey part", "helped",
+    )
     failures = rows.withColumn("failure_id", store.failure_id())
     outcomes = failures.selectExpr("project_id", "failure_id", "named_struct('path', concat('a/', k), 'hash', if(part % 7 = 0, before_candidate.hash, sha2(concat('after', failure_id), 256))) after_candidate", "helped effective", "if(part % 5 = 0, ' ', concat('r', part % 3)) reviewed_by", "'2026-07-09T08:00:00Z' reviewed_at")
     empty = failures.selectExpr("project_id", "failure_id", "before_candidate", "cast(null as struct<path:string,hash:string>) after_candidate", "cast(null as boolean) effective", "'open' status", "cast(null as string) outcome_id", "cast(null as string) reviewed_by", "cast(null as string) reviewed_at")
@@ -133,5 +135,4 @@ _SEEN = _json(failure_id=_q("fid"), after_candidate="'{\"hash\":\"' || ah || '\"
     f as (select *, 'failure-' || sha256({_FAILED}) fid from r), o as (select *, case when part % 7 = 0 then bh else sha256('after' || fid) end ah, 'r' || part % 3 by_ from f)
     select project_id, fid failure_id, case when part % 7 = 0 then 'candidate_unchanged' when part % 5 = 0 then 'review_unsigned' end fault, case when part % 7 <> 0 and part % 5 <> 0 then 'reviewed' else 'open' end status, case when part % 7 <> 0 and part % 5 <> 0 then 'outcome-' || sha256({_SEEN}) end outcome_id from o""")
 def p15_recorded_outcomes(spark, sf_dir):
-    made, refused = store.recorded_outcomes(*_evidence(spark, sf_dir))
-    return made.join(refused, ["project_id", "failure_id"], "left").select("project_id", "failure_id", "fault", "status", "outcome_id")
+    return store.judged_outcomes(*_evidence(spark, sf_dir)).filter("known").select("project_id", "failure_id", "fault", "status", "outcome_id")

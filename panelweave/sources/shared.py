@@ -1,4 +1,4 @@
-"""Narrow tables that several branches of a plan read: written once in the folder that the cluster shares."""
+"""Narrow tables that several branches of a plan read: written once in the folder that the cluster shares; and tables dealt alike, so that they meet without another shuffle."""
 
 from __future__ import annotations
 
@@ -20,3 +20,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str = "project_id") -> DataFrame:
+    """df dealt by key into spark.sql.shuffle.partitions partitions.
+
+    Groupings and windows by the key and more, also of a union of tables that are dealt alike,
+    need no other shuffle. The number is fixed, as Spark would merge partitions by the narrow
+    bytes that it deals, not by the wide rows that are made of them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -1,10 +1,13 @@
 """Revocations along recorded sources and outcomes on the store: what changes, what is refused, and that the store stays sound."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelweave.operators import store
 from panelweave.plans.store import _failures, _withdrawals, standing
+from panelweave.queries import QUERIES
 from panelweave.sources.shared import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +89,23 @@ def test_a_request_meets_each_rule_once_however_many_codes_they_share(spark):
     asked = spark.createDataFrame([("x", "q1", "p", "k", "c", ["b", "a", "b"]), ("x", "q2", "o", "k", None, ["b"]), ("x", "q3", "p", None, "d", ["z"])], "project_id string, request string, page_id string, cluster_id string, character string, codes array<string>")
     found = [(r.request, r.rule_id, r.place) for r in store.applicable_rules(rules, asked, "request").orderBy("request", "place").collect()]
     assert found == [("q1", "r3", 1), ("q1", "r1", 2), ("q1", "r2", 3), ("q2", "r1", 1)]
+
+
+def shuffled(df):
+    """The columns by which a plan deals rows, exchange by exchange."""
+    return re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\), ", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_outcomes_are_recorded_where_their_project_lies(spark):
+    # both sides are dealt once, by project, before their texts and hashes are made
+    keys = shuffled(QUERIES["p15_recorded_outcomes"](spark, FOLDER))
+    assert keys and all(re.fullmatch(r"project_id#\d+", k) for k in keys)
+
+
+def test_outcomes_without_ids_meet_nothing(spark):
+    kind = "project_id string, failure_id string, before_candidate struct<path:string,hash:string>, after_candidate struct<path:string,hash:string>, effective boolean, status string, outcome_id string, reviewed_by string, reviewed_at string"
+    failures = spark.createDataFrame([("p", f, ("b", "0" * 64), None, None, "open", None, None, None) for f in (None, None, "f", "f", "g")], kind)
+    asked = spark.createDataFrame([("p", f, ("a", "1" * 64), True, "me", "t") for f in (None, "f", "h")], "project_id string, failure_id string, after_candidate struct<path:string,hash:string>, effective boolean, reviewed_by string, reviewed_at string")
+    made, refused = store.recorded_outcomes(failures, asked)
+    assert sorted((r.failure_id or "", r.status) for r in made.collect()) == [("", "open"), ("", "open"), ("f", "reviewed"), ("f", "reviewed"), ("g", "open")]
+    assert sorted((r.failure_id or "", r.fault) for r in refused.collect()) == [("", "failure_unknown"), ("h", "failure_unknown")]
