@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.text import trimmed
 from panelweave.operators.audits import sorted_codes, unknown_codes
+from panelweave.sources.shared import dealt, written
 
 #: Scopes of rules, each of which rests on the one before.
 SCOPES = ("page", "cluster", "project", "skill_candidate")
@@ -227,14 +228,33 @@ def applicable_rules(rules: DataFrame, requests: DataFrame, key: str) -> DataFra
     return met.withColumn("place", F.row_number().over(Window.partitionBy(P, key).orderBy(rank, "rule_id")))
 
 
-def rule_faults(rules: DataFrame, failures: DataFrame) -> DataFrame:
+def source_facts(rules: DataFrame, failures: DataFrame) -> DataFrame:
+    """project_id, rule_id and what is known of the failures that a rule names as its sources: lost (how many are not there), idle (not effective), outcomes, alike (of its signature and character) and here (of its page and cluster; both null without a source that is there).
+
+    Sources and failures meet in one grouping by (project_id, failure_id), so failures that are `dealt` by project are not dealt again.
+    """
+    own = ("effective", "outcome_id", "signature", "character", "page_id", "cluster_id")
+    told = ("rule_id", "signature", "character", "page_id", "cluster_id")
+    kinds = {"f": failures.select(F.struct(*own)).schema[0].dataType, "s": rules.select(F.struct(*told)).schema[0].dataType}
+    side = lambda rows, kind, said: rows.select(P, "failure_id", *((said if k == kind else F.lit(None)).cast(of).alias(k) for k, of in kinds.items()))
+    sources = dealt(rules.select(P, *told, F.explode("source_failure_ids").alias("failure_id")))
+    there = failures.filter(F.col(P).isNotNull() & F.col("failure_id").isNotNull())
+    both = side(there, "f", F.struct(*own)).unionAll(side(sources, "s", F.struct(*told))).groupBy(P, "failure_id").agg(F.collect_list("f").alias("f"), F.collect_list("s").alias("s"))
+    pairs = both.filter(F.size("s") > 0).select(P, F.explode("s").alias("s"), "f").select(P, "s", F.explode_outer("f").alias("f")).withColumn("rule_id", F.col("s.rule_id"))
+    alike = lambda *names: F.when(F.col("f").isNotNull(), reduce(Column.__and__, [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in names]))
+    return pairs.groupBy(P, "rule_id").agg(
+        F.count_if(F.col("f.effective").isNull()).alias("lost"), F.count_if(~F.col("f.effective")).alias("idle"), F.array_sort(F.collect_list("f.outcome_id")).alias("outcomes"),
+        F.min(alike("signature", "character")).alias("alike"), F.min(alike("page_id", "cluster_id")).alias("here"),
+    )
+
+
+def rule_faults(rules: DataFrame, failures: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(project_id, rule_id, fault) of rule records: unknown scope, codes out of order, a signature, key or id that is not of its content, a place that its scope must or must not have, broken or ineffective sources, and a state at odds with its revocation.
 
-    rules have the columns of promoted_rules, effective, revoked, revocation_reason, revoked_by, revoked_at.
+    rules have the columns of promoted_rules, effective, revoked, revocation_reason, revoked_by, revoked_at. facts: those of `source_facts`, where they are at hand.
     """
     told = lambda c: trimmed(F.col(c)).isNotNull()
-    sources = rules.select(P, "rule_id", F.explode("source_failure_ids").alias("failure_id")).join(failures.select(P, "failure_id", "effective", "outcome_id"), [P, "failure_id"], "left")
-    seen = sources.groupBy(P, "rule_id").agg(F.count_if(F.col("effective").isNull()).alias("lost"), F.count_if(~F.col("effective")).alias("idle"), F.array_sort(F.collect_list("outcome_id")).alias("outcomes"))
+    seen = (facts or source_facts(rules, failures)).select(P, "rule_id", "lost", "idle", "outcomes")
     ids = rules.select(P, F.col("rule_id").alias("source")).distinct().withColumn("there", F.lit(True))
     chain = rules.select(P, "rule_id", F.explode("source_rule_ids").alias("source")).join(ids, [P, "source"], "left").groupBy(P, "rule_id").agg(F.count_if(F.col("there").isNull()).alias("lost_rules"))
     rows = rules.join(seen, [P, "rule_id"], "left").join(chain, [P, "rule_id"], "left")
@@ -251,7 +271,7 @@ def rule_faults(rules: DataFrame, failures: DataFrame) -> DataFrame:
     return rows.select(P, "rule_id", F.explode(faults).alias("fault"))
 
 
-def chain_faults(rules: DataFrame, failures: DataFrame) -> DataFrame:
+def chain_faults(rules: DataFrame, failures: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(project_id, rule_id, fault) of rules that do not rest on the scope before: wrong scope, signature or character of a source, too few places, other failures than their sources', or active on a revoked source."""
     of = F.create_map(*(F.lit(x) for pair in zip(SCOPES[1:], SCOPES) for x in pair))
     base = rules.select(P, "rule_id", "scope", "signature", "character", "page_id", "cluster_id", "revoked", "source_failure_ids", "source_rule_ids")
@@ -262,9 +282,7 @@ def chain_faults(rules: DataFrame, failures: DataFrame) -> DataFrame:
         F.min(F.coalesce((F.col("s_scope") == of[F.col("scope")]) & same("signature") & same("character"), F.lit(False))).alias("fits"), F.min(same("cluster_id")).alias("one_cluster"), F.countDistinct("s_page_id").alias("pages"), F.countDistinct("s_cluster_id").alias("clusters"),
         F.max("s_revoked").alias("fallen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s_source_failure_ids")))).alias("theirs"),
     )
-    direct = base.select(P, "rule_id", "signature", "character", "page_id", "cluster_id", F.explode("source_failure_ids").alias("failure_id")).join(failures.select(P, "failure_id", *(F.col(c).alias(f"f_{c}") for c in ("signature", "character", "page_id", "cluster_id"))), [P, "failure_id"])
-    alike = lambda *names: reduce(Column.__and__, [F.col(f"f_{c}").eqNullSafe(F.col(c)) for c in names])
-    own = direct.groupBy(P, "rule_id").agg(F.min(alike("signature", "character")).alias("alike"), F.min(alike("page_id", "cluster_id")).alias("here"))
+    own = (facts or source_facts(rules, failures)).select(P, "rule_id", "alike", "here")
     rows = base.join(seen, [P, "rule_id"], "left").join(own, [P, "rule_id"], "left")
     page, none = F.col("scope") == "page", F.size("source_rule_ids") == 0
     ok = {
@@ -299,4 +317,5 @@ def store_faults(rules: DataFrame, failures: DataFrame, events: DataFrame) -> Da
     """(project_id, rule_id, fault) of the whole store: of records, of repeated ids and keys, of chains and of the audit log."""
     twice = lambda rows, key, name, entity: rows.groupBy(P, key).agg(F.count("*").alias("n"), F.min(entity).alias("named")).filter("n > 1").select(P, F.col("named").alias("rule_id"), F.lit(name).alias("fault"))
     repeated = [twice(failures, "failure_id", "failure_id_repeated", "failure_id"), twice(failures.filter("outcome_id is not null"), "outcome_id", "outcome_id_repeated", "outcome_id"), twice(rules, "rule_id", "rule_id_repeated", "rule_id"), twice(rules, "semantic_key", "semantic_key_repeated", "semantic_key")]
-    return reduce(DataFrame.unionAll, [rule_faults(rules, failures), chain_faults(rules, failures), event_faults(rules, events), *repeated])
+    facts = written(source_facts(rules, failures))
+    return reduce(DataFrame.unionAll, [rule_faults(rules, failures, facts), chain_faults(rules, failures, facts), event_faults(rules, events), *repeated])

@@ -36,20 +36,27 @@ _RULES = f"""{_FAILURES}, p0 as (select project_id, signature, ch, pg, arg_min(c
 _EVENT = _json(event_type="'\"promoted\"'", rule_id=_q("rule_id"), **{"from": _q("f"), "to": _q('"scope"')}, from_scope=_q("f"), to_scope=_q('"scope"'), evidence_ids=_l("case when len(sr) > 0 then sr else so end"), reviewer=_q("by_"), timestamp=_q("at_"), reason="'null'")
 
 
-def _failures(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
+def _failures(spark, sf_dir, deal=dealt):
+    """lineitem rows as failures, dealt by project. deal: how; what is promoted is few rows, which Spark may put into fewer partitions."""
+    # what tells rows apart, dealt by project while narrow; a row without an id is told by what else is said of its part
+    whole = " and ".join(f"{c} is not null" for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))
+    rows = deal(table(spark, sf_dir, "lineitem").selectExpr("cast(floor(l_orderkey / 5000) as string) project_id", "l_orderkey", "l_linenumber", f"if({whole}, l_partkey, l_partkey % 7) l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity > 48 and l_discount >= 0.09 effective")).distinct()
     lists = [f"array('{a}', '{b}')" for a, b in _CODES]
     made = rows.selectExpr(
-        "cast(floor(l_orderkey / 5000) as string) project_id", "concat('f-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, l_returnflag, l_linestatus, if(l_quantity > 48 and l_discount >= 0.09, '+', '-')) failure_id", "cast(l_orderkey as string) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes",
-        "concat('redo ', l_returnflag) corrective_action", "l_quantity > 48 and l_discount >= 0.09 effective", "'reviewed' status", "concat('o-f-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, l_returnflag, l_linestatus, if(l_quantity > 48 and l_discount >= 0.09, '+', '-')) outcome_id", "concat('r', l_partkey % 7) reviewed_by", "concat('2026-07-', lpad(cast(l_linenumber + 10 as string), 2, '0'), 'T08:00:00Z') reviewed_at",
+        "project_id", "concat('f-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, l_returnflag, l_linestatus, if(effective, '+', '-')) failure_id", "cast(l_orderkey as string) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes",
+        "concat('redo ', l_returnflag) corrective_action", "effective", "'reviewed' status", "concat('o-f-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, l_returnflag, l_linestatus, if(effective, '+', '-')) outcome_id", "concat('r', l_partkey % 7) reviewed_by", "concat('2026-07-', lpad(cast(l_linenumber + 10 as string), 2, '0'), 'T08:00:00Z') reviewed_at",
     )
-    return made.distinct().withColumn("signature", store.signature())
+    return made.withColumn("signature", store.signature())
+
+
+def _promoted(spark, sf_dir):
+    return written(store.promoted_rules(_failures(spark, sf_dir, lambda rows: rows.repartition("project_id"))))
 
 
 @registered("a17_rule_records", f"""with {_RULES}, e as (select *, case "scope" when 'page' then 'observed' when 'cluster' then 'page' when 'project' then 'cluster' else 'project' end f from rl)
     select project_id, rule_id, semantic_key, "scope", signature, page_id, cluster_id, ch "character", array_to_string(sf, ',') source_failures, array_to_string(sr, ',') source_rules, 'event-' || sha256({_EVENT}) event_id from e""")
 def a17_rule_records(spark, sf_dir):
-    rules = written(store.promoted_rules(_failures(spark, sf_dir)))
+    rules = _promoted(spark, sf_dir)
     events = store.promotion_events(rules).select("project_id", "rule_id", "event_id")
     return rules.join(events, ["project_id", "rule_id"]).select("project_id", "rule_id", "semantic_key", "scope", "signature", "page_id", "cluster_id", "character", F.array_join("source_failure_ids", ",").alias("source_failures"), F.array_join("source_rule_ids", ",").alias("source_rules"), "event_id")
 
@@ -61,7 +68,7 @@ def j13_rules_in_order(spark, sf_dir):
     lists = [f"array('{a}', '{b}')" for a, b in _CODES]
     asked = table(spark, sf_dir, "lineitem").selectExpr("cast(floor(l_orderkey / 5000) as string) project_id", "cast(l_orderkey as string) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes").distinct()
     asked = asked.withColumn("request", F.concat_ws("/", "page_id", "cluster_id", "character", F.col("codes")[0]))
-    return store.applicable_rules(written(store.promoted_rules(_failures(spark, sf_dir))).withColumn("revoked", F.lit(False)), asked, "request")
+    return store.applicable_rules(_promoted(spark, sf_dir).withColumn("revoked", F.lit(False)), asked, "request")
 
 
 @registered("g4_rule_record_faults", f"""with {_RULES}, x as (select *, ('0x' || substr(rule_id, 6, 6))::bigint h from rl)
@@ -69,7 +76,7 @@ def j13_rules_in_order(spark, sf_dir):
         case when h % 11 = 0 then 'promotion_unsigned' end, case when h % 5 = 0 or h % 7 = 0 and "scope" = 'page' or h % 11 = 0 then 'rule_id_differs' end, case when h % 3 = 0 then 'state_differs' end], lambda f: f is not null)) fault from x""")
 def g4_rule_record_faults(spark, sf_dir):
     failures = _failures(spark, sf_dir)
-    rules = written(store.promoted_rules(failures)).withColumn("h", F.conv(F.substring("rule_id", 6, 6), 16, 10).cast("bigint"))
+    rules = _promoted(spark, sf_dir).withColumn("h", F.conv(F.substring("rule_id", 6, 6), 16, 10).cast("bigint"))
     rules = rules.withColumn("signature", F.expr("if(h % 5 = 0, 'x', signature)")).withColumn("page_id", F.expr("if(h % 7 = 0, null, page_id)")).withColumn("promoted_by", F.expr("if(h % 11 = 0, ' ', promoted_by)"))
     rules = rules.selectExpr("*", "h % 2 = 0 revoked", "(h % 2 = 1) = (h % 3 <> 0) effective", "if(h % 2 = 0, 'why', null) revocation_reason", "if(h % 2 = 0, 'me', null) revoked_by", "if(h % 2 = 0, '2026-07-20T08:00:00Z', null) revoked_at")
     return store.rule_faults(rules, failures)
@@ -79,7 +86,7 @@ def g4_rule_record_faults(spark, sf_dir):
     select project_id, rule_id, unnest(list_filter([case when fallen then 'active_on_revoked_source' end, case when h % 9 = 0 then 'promotions_not_one' end, case when revoked and h % 8 <> 0 then 'revocations_differ' end, case when h % 13 = 0 and h % 9 <> 0 then 'event_id_differs' end, case when h % 13 = 0 and h % 9 <> 0 then 'event_differs' end], lambda f: f is not null)) fault from y""")
 def g6_store_faults(spark, sf_dir):
     failures = _failures(spark, sf_dir)
-    rules = written(store.promoted_rules(failures)).withColumn("h", F.conv(F.substring("rule_id", 6, 6), 16, 10).cast("bigint")).withColumn("revoked", F.expr("scope = 'page' and h % 4 = 0"))
+    rules = _promoted(spark, sf_dir).withColumn("h", F.conv(F.substring("rule_id", 6, 6), 16, 10).cast("bigint")).withColumn("revoked", F.expr("scope = 'page' and h % 4 = 0"))
     rules = rules.selectExpr("*", "not revoked effective", "if(revoked, 'why', null) revocation_reason", "if(revoked, 'me', null) revoked_by", "if(revoked, '2026-07-20T08:00:00Z', null) revoked_at")
     promotions = store.promotion_events(rules).join(rules.select("project_id", "rule_id", "h"), ["project_id", "rule_id"]).filter("h % 9 <> 0").withColumn("reviewer", F.expr("if(h % 13 = 0, 'x', reviewer)")).drop("h")
     down = rules.filter("revoked and h % 8 = 0").selectExpr("project_id", "rule_id", "'revoked' event_type", "scope `from`", "'revoked' `to`", "scope from_scope", "'revoked' to_scope", "array(rule_id) evidence_ids", "revoked_by reviewer", "revoked_at timestamp", "revocation_reason reason").withColumn("event_id", store.event_id())
@@ -107,7 +114,7 @@ _DOWN = _json(event_type="'\"revoked\"'", rule_id=_q("rule_id"), **{"from": _q('
     d as (select project_id, rule_id, "scope", s.why why, s.by_ by_, s.at_ at_ from hit join (select project_id, rule_id, "scope" from rl) using (project_id, rule_id))
     select project_id, rule_id, "scope", why revocation_reason, by_ revoked_by, at_ revoked_at, 'event-' || sha256({_DOWN}) event_id from d""")
 def g2_revocations(spark, sf_dir):
-    rules = standing(written(store.promoted_rules(_failures(spark, sf_dir))))
+    rules = standing(_promoted(spark, sf_dir))
     changed = written(store.revoked(rules, _withdrawals(rules)))
     return changed.join(store.revocation_events(changed).select("project_id", "rule_id", "event_id"), ["project_id", "rule_id"]).select("project_id", "rule_id", "scope", "revocation_reason", "revoked_by", "revoked_at", "event_id")
 
