@@ -205,27 +205,40 @@ def with_changes(rules: DataFrame, events: DataFrame, changed: DataFrame) -> tup
     return kept.unionByName(changed.select(*rules.columns)), events.unionByName(new.select(*events.columns))
 
 
+def _with_list(requests: DataFrame, lists: DataFrame, *keys: str) -> DataFrame:
+    """The requests with the list of their project and keys, null where none is; null keys are alike. lists: project_id, the keys and one more column, a row for each value of the keys."""
+    (name,) = set(lists.columns) - {P, *keys}
+    both = requests.withColumn("asks", F.lit(True)).unionByName(dealt(lists).withColumn("asks", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(P, *keys).orderBy("asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.first(name, ignorenulls=True).over(before)).filter("asks").drop("asks")
+
+
 def applicable_rules(rules: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """key, rule_id, scope and place of each active rule that a request may use: of its page, its cluster or of all, for its character or all, sharing a code; by scope and then id.
 
-    Rules of all places are found by an inverted index of their codes: requests meet a rule on
-    project and code, so the join grows with the matches. rules: project_id, rule_id, scope,
-    page_id, cluster_id, character, codes, revoked. requests: project_id, key, page_id, cluster_id, character, codes.
+    Rules are listed in order by the place that they hold for. Those of all places are found by
+    an inverted index of their codes, once for all requests of one character and codes, so the
+    work grows with the matches. Requests that are `dealt` by project meet the lists where they
+    lie. rules: project_id, rule_id, scope, page_id, cluster_id, character, codes, revoked.
+    requests: project_id, key (one row each), page_id, cluster_id, character, codes.
     """
-    active = rules.filter("not revoked").select(P, "rule_id", "scope", *(F.col(c).alias(f"of_{c}") for c in ("page_id", "cluster_id", "character", "codes")))
+    active = rules.filter("not revoked and project_id is not null").select(P, "rule_id", "scope", *(F.col(c).alias(f"of_{c}") for c in ("page_id", "cluster_id", "character", "codes")))
     of = lambda *scopes: active.filter(F.col("scope").isin(*scopes))
-    fits = F.col("of_character").isNull() | F.col("of_character").eqNullSafe(F.col("character"))
-    shares = F.arrays_overlap("of_codes", "codes")
-    # equi-joins, one a kind of place, in place of one join on a disjunction
-    here = [requests.join(of("page").withColumnRenamed("of_page_id", "page_id"), [P, "page_id"]), requests.join(of("cluster").withColumnRenamed("of_cluster_id", "cluster_id"), [P, "cluster_id"])]
+    ordered = lambda *fields: F.array_sort(F.collect_list(F.struct(*fields)))
+    here = lambda scope, place: of(scope).filter(F.col(f"of_{place}").isNotNull()).groupBy(P, F.col(f"of_{place}").alias(place)).agg(ordered("rule_id", "scope", "of_character", "of_codes").alias(f"{scope}_rules"))
     whole = of("project", "skill_candidate").select(P, "rule_id", "scope", "of_character", F.explode(F.array_distinct("of_codes")).alias("code"))
-    asked = requests.select(P, key, "character", F.explode(F.array_distinct("codes")).alias("code"))
-    named = asked.join(whole.filter("of_character is not null"), (asked[P] == whole[P]) & (asked["code"] == whole["code"]) & (asked["character"] == whole["of_character"]))
-    any_ = asked.join(whole.filter("of_character is null"), (asked[P] == whole[P]) & (asked["code"] == whole["code"]))
-    by_code = named.unionAll(any_).select(asked[P], key, "rule_id", "scope").distinct()
-    met = reduce(DataFrame.unionByName, [*(x.filter(fits & shares).select(P, key, "rule_id", "scope") for x in here), by_code])
+    classes = requests.filter(F.col(P).isNotNull()).select(P, "character", "codes").distinct().select("*", F.explode(F.array_distinct("codes")).alias("code"))
+    by_code = lambda rows, *more: classes.join(rows, [P, "code", *more]).select(P, "character", "codes", "rule_id", "scope")
+    named = by_code(whole.filter("of_character is not null").withColumnRenamed("of_character", "character"), "character")
+    met = named.unionByName(by_code(whole.filter("of_character is null"))).distinct()
     rank = F.array_position(F.array(*map(F.lit, SCOPES)), F.col("scope"))
-    return met.withColumn("place", F.row_number().over(Window.partitionBy(P, key).orderBy(rank, "rule_id")))
+    of_all = met.groupBy(P, "character", "codes").agg(ordered(rank.alias("rank"), "rule_id", "scope").alias("whole_rules"))
+    rows = _with_list(_with_list(_with_list(requests, here("page", "page_id"), "page_id"), here("cluster", "cluster_id"), "cluster_id"), of_all, "character", "codes")
+    fits = lambda r: (r["of_character"].isNull() | r["of_character"].eqNullSafe(F.col("character"))) & F.arrays_overlap(r["of_codes"], F.col("codes"))
+    none = F.array().cast("array<struct<rule_id:string,scope:string>>")
+    bare = lambda c: F.coalesce(F.transform(c, lambda r: F.struct(r["rule_id"].alias("rule_id"), r["scope"].alias("scope"))), none)
+    found = F.concat(bare(F.filter("page_rules", fits)), bare(F.filter("cluster_rules", fits)), bare("whole_rules"))
+    return rows.select(P, key, F.posexplode(found).alias("at", "r")).select(P, key, "r.rule_id", "r.scope", (F.col("at") + 1).alias("place"))
 
 
 def source_facts(rules: DataFrame, failures: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def a17_rule_records(spark, sf_dir):
     select project_id, pg || '/' || cl || '/' || ch || '/' || codes[1] request, rule_id, "scope", cast(row_number() over (partition by project_id, pg, cl, ch, codes order by k, rule_id) as int) place from m""")
 def j13_rules_in_order(spark, sf_dir):
     lists = [f"array('{a}', '{b}')" for a, b in _CODES]
-    asked = table(spark, sf_dir, "lineitem").selectExpr("cast(floor(l_orderkey / 5000) as string) project_id", "cast(l_orderkey as string) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"case l_returnflag when 'A' then {lists[0]} when 'N' then {lists[1]} else {lists[2]} end codes").distinct()
+    told = dealt(table(spark, sf_dir, "lineitem").selectExpr("cast(floor(l_orderkey / 5000) as string) project_id", "l_orderkey", "l_suppkey", "l_linestatus", "case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end kind")).distinct()
+    asked = told.selectExpr("project_id", "cast(l_orderkey as string) page_id", "concat('c', l_suppkey) cluster_id", "l_linestatus character", f"array({', '.join(lists)})[kind] codes")
     asked = asked.withColumn("request", F.concat_ws("/", "page_id", "cluster_id", "character", F.col("codes")[0]))
     return store.applicable_rules(_promoted(spark, sf_dir).withColumn("revoked", F.lit(False)), asked, "request")
 
