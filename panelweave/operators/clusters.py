@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.columns import balanced_group
 from panelweave.functions.text import nfkc, trimmed
 from panelweave.operators.sequence import CHUNK, RADIUS, placed, scene_runs, with_context
-from panelweave.sources.shared import written
+from panelweave.sources.shared import dealt, written
 
 LEAST = 8
 UNKNOWN = "unknown"
@@ -56,22 +56,34 @@ def merged_groups(sizes: list[int], least: int, most: int) -> list[int]:
     return [group for group, (_, chunks) in enumerate(done) for _ in range(chunks)]
 
 
+#: rows that a frame of groups holds at least, but for the last
+FRAME = 8192
+
+
 def _fold(least: int, most: int):
-    def stretch(rows: list[tuple]) -> pd.DataFrame:
+    def stretch(rows: list[tuple]) -> list[tuple]:
         loose = UNKNOWN in rows[0][3:5]
         groups = range(len(rows)) if loose else merged_groups([r[5] for r in rows], least, most)
-        return pd.DataFrame({"project_id": [r[0] for r in rows], "run": [r[1] for r in rows], "chunk": [r[2] for r in rows], "first_run": rows[0][1], "group": list(groups)})
+        return [(*r[:3], rows[0][1], group) for r, group in zip(rows, groups)]
 
     def work(frames):
+        frame = lambda made: pd.DataFrame(made, columns=["project_id", "run", "chunk", "first_run", "group"])
         held: list[tuple] = []
-        for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
+        made: list[tuple] = []
+        for rows in frames:
+            for row in rows.itertuples(index=False, name=None):
                 if held and (held[-1][0], *held[-1][3:5]) != (row[0], *row[3:5]):
-                    yield stretch(held)
+                    made += stretch(held)
                     held = []
                 held.append(row)
+            # stretches are short: a frame each would cost more than the merging
+            if len(made) >= FRAME:
+                yield frame(made)
+                made = []
         if held:
-            yield stretch(held)
+            made += stretch(held)
+        if made:
+            yield frame(made)
 
     return work
 
@@ -87,7 +99,7 @@ def scene_clusters(pages: DataFrame, least: int = LEAST, most: int = CHUNK, radi
     paged = scene_runs(scene_keyed(pages)).withColumn("at", F.row_number().over(run.orderBy("pos")) - 1).withColumn("n", F.count("*").over(run))
     paged = paged.withColumn("chunk", balanced_group(F.col("at"), F.col("n"), most)).withColumn("project_id", F.expr(project))
     chunks = paged.groupBy("project_id", "run", "chunk", "chapter", "location").agg(F.count("*").alias("n"))
-    told = chunks.repartition("project_id").sortWithinPartitions("project_id", "run", "chunk")
+    told = dealt(chunks).sortWithinPartitions("project_id", "run", "chunk")
     groups = told.mapInPandas(_fold(least, most), "project_id string, run bigint, chunk bigint, first_run bigint, group bigint")
     # both the context and the facts of a cluster read these narrow rows
     named = written(paged.join(groups, ["project_id", "run", "chunk"]).withColumn("cluster", F.struct("first_run", "group")))

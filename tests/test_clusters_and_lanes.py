@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from panelweave.operators import clusters, lanes, rules
@@ -53,6 +54,15 @@ def test_merged_groups_keep_order_and_size():
         assert all(a + b > 20 for a, b in zip(totals, totals[1:]) if min(a, b) < 8)
 
 
+def test_short_stretches_share_frames():
+    rows = pd.DataFrame([(f"p{i}", 0, c, "c", "l", 5) for i in range(3000) for c in range(2)], columns=["project_id", "run", "chunk", "chapter", "location", "n"])
+    frames = list(clusters._fold(8, 20)([rows[:1001], rows[1001:1500], rows[1500:]]))
+    assert len(frames) == 1
+    made = pd.concat(frames)
+    assert list(made["project_id"]) == list(rows["project_id"]) and list(made["chunk"]) == list(rows["chunk"]) and set(made["group"]) == {0}
+    assert sum(map(len, clusters._fold(8, 20)([rows] * 5))) == 5 * len(rows)
+
+
 def pause_rows(spark, rows):
     events = spark.createDataFrame([(1, lane, i, i, kind, code, prompt) for i, (lane, kind, code, prompt) in enumerate(rows)], "project_id long, lane long, event_id long, ts long, kind string, code long, prompt long")
     return [(r.lane, r.reason) for r in lanes.pauses(events).orderBy("event_id").collect()]
