@@ -35,7 +35,8 @@ GATES = "project_id string, task_id string, cluster_id string, approved boolean,
 
 
 def _told(c) -> Column:
-    return trimmed(F.col(c) if isinstance(c, str) else c).isNotNull()
+    """Whether there is a character other than white space; as `trimmed`, without making the trimmed text."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).rlike(r"(?U)\S"), F.lit(False))
 
 
 def _blank(c: str) -> Column:
@@ -55,12 +56,11 @@ def _faults(rows: DataFrame, entity: str, **ok: Column) -> DataFrame:
 def matrix_faults(tasks: DataFrame) -> DataFrame:
     """(project_id, entity, fault) of fields that a task lacks or keeps in its state, by the table."""
     flat = tasks.withColumns({"failure_timestamp": F.col("failure.timestamp"), "failure_cluster": F.col("failure.cluster_id"), "failure_prompt": F.col("failure.prompt_reference_hash")})
-    fields = sorted({f for must, none in MATRIX.values() for f in (*must, *none)})
-    rules = [F.struct(F.lit(s).alias("state"), F.lit(f).alias("field"), F.lit(must).alias("must")) for s, pair in MATRIX.items() for must, names in zip((True, False), pair) for f in names]
-    held = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.col(f) for f in fields)))
-    broken = F.filter(F.array(*rules), lambda r: (r["state"] == F.col("state")) & F.when(r["must"], trimmed(held[r["field"]]).isNull()).otherwise(held[r["field"]].isNotNull()))
-    named = F.transform(broken, lambda r: F.concat_ws("_", r["state"], F.when(r["must"], "lacks").otherwise("keeps"), r["field"]))
-    return flat.select(P, F.col("task_id").alias("entity"), F.explode(named).alias("fault"))
+    # the constraints of a task's own state alone are looked at
+    lacks = lambda s, f: F.when(~_told(f), F.lit(f"{s}_lacks_{f}"))
+    keeps = lambda s, f: F.when(F.col(f).isNotNull(), F.lit(f"{s}_keeps_{f}"))
+    by_state = [F.when(F.col("state") == s, F.array(*(lacks(s, f) for f in must), *(keeps(s, f) for f in none))) for s, (must, none) in MATRIX.items()]
+    return flat.select(P, F.col("task_id").alias("entity"), F.explode(F.array_compact(F.coalesce(*by_state))).alias("fault"))
 
 
 def record_faults(tasks: DataFrame) -> DataFrame:

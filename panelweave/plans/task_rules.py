@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.operators import task_rules as t
 from panelweave.registry import EVENTS, registered
+from panelweave.sources.shared import dealt
 from panelweave.sources.tables import table, task_events
 
 _TIME = "2026-07-13T08:00:00Z"
@@ -23,7 +24,9 @@ _CASES = ", ".join(f"case when r = {r}{f" and state = '{s}'" if s else ''} then
 
 @registered("st6_task_faults", f"""with {_ROWS} select project_id, task_id entity, unnest(list_filter([{_CASES}], lambda f: f is not null)) fault from ids""")
 def st6_task_faults(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.min("o_custkey").alias("c")).selectExpr("cast(floor(o_orderkey / 1000) as string) project_id", "o_orderkey k", "element_at(array('queued', 'leased', 'completed', 'failed'), cast(c % 4 + 1 as int)) state", "o_orderkey % 23 r")
+    # dealt while narrow: what Spark merges by these few bytes would be too few tasks for the rules
+    held = dealt(table(spark, sf_dir, "orders").selectExpr("cast(floor(o_orderkey / 1000) as string) project_id", "o_orderkey", "o_custkey"))
+    rows = held.groupBy("project_id", "o_orderkey").agg(F.min("o_custkey").alias("c")).selectExpr("project_id", "o_orderkey k", "element_at(array('queued', 'leased', 'completed', 'failed'), cast(c % 4 + 1 as int)) state", "o_orderkey % 23 r")
     rows = rows.selectExpr("*", "cast(k as string) page_id", "if(r = 21, 'visual', 'text_repair') task_type", "sha2(cast(k as string), 256) payload_hash", "'c' cluster_id", "cast(null as string) prompt_reference_hash", "1L attempt_count", "false is_canary", "cast(null as string) canary_task_id", "cast(null as string) idempotency_key")
     rows = rows.withColumn("task_id", t.content_hash("page_id", "task_type", "payload_hash"))
     of = lambda state, value: F.when(F.col("state") == state, F.lit(value))

@@ -3,10 +3,12 @@
 import copy
 import hashlib
 import json
+import re
 
 import pytest
 
 from panelweave.operators import task_rules as t
+from panelweave.queries import QUERIES
 
 TIME, OTHER = "2026-07-13T08:00:00Z", "2026-07-14T08:00:00+02:00"
 MORE = {"queued": {}, "leased": {"lease_owner": "w", "lease_expires_at": OTHER, "leased_at": TIME}, "completed": {"completed_by": "w", "candidate_path": "p", "candidate_hash": "h", "completed_at": OTHER, "leased_at": TIME}, "failed": {"failure_code": "style_drift", "failure_record_id": "f", "failed_at": OTHER, "leased_at": TIME}}
@@ -126,3 +128,16 @@ def test_text_requests_open_with_their_own_marker(spark):
     recorded = made.unionByName(made.withColumn("request", F.concat(F.lit("x"), "request")))
     assert [r.fault for r in m.tampered(recorded, m.TEXT_VERSION, "page_id", marker=m.TEXT_MARKER).collect()] == ["header_invalid"]
     assert [r.fault for r in m.tampered(made, m.VERSION, "page_id").collect()] == ["header_invalid"]
+
+
+def test_tasks_are_dealt_once_by_project_into_a_fixed_number(spark):
+    plan = QUERIES["st6_task_faults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(o_orderkey#", plan)
+    # copies within a queue are counted where its project lies
+    assert not re.search(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange", plan)
+
+
+def test_blank_in_any_script_is_not_told(spark):
+    rows = [task(f"000{i}", "completed", completed_by=by) for i, by in enumerate((" \t\n", "　 ", " ", "", None, " w　"))]
+    found = {r.entity for r in t.matrix_faults(spark.createDataFrame([{"project_id": "p", **r} for r in rows], t.TASKS)).collect() if r.fault == "completed_lacks_completed_by"}
+    assert found == {r["task_id"] for r in rows[:5]}
