@@ -109,3 +109,11 @@ def test_outcomes_without_ids_meet_nothing(spark):
     made, refused = store.recorded_outcomes(failures, asked)
     assert sorted((r.failure_id or "", r.status) for r in made.collect()) == [("", "open"), ("", "open"), ("f", "reviewed"), ("f", "reviewed"), ("g", "open")]
     assert sorted((r.failure_id or "", r.fault) for r in refused.collect()) == [("", "failure_unknown"), ("h", "failure_unknown")]
+
+
+@pytest.mark.parametrize("name, narrow", [("g6_store_faults", "l_orderkey"), ("j13_rules_in_order", "l_orderkey")])
+def test_failures_and_requests_are_dealt_once_by_project(spark, name, narrow):
+    # no text made of a row's columns (ids, requests) is a key by which lineitem's rows are dealt
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().split("\n")
+    above = [re.search(r"hashpartitioning\(([^\n]*?), \d+\)", line)[1] for line, below in zip(plan, plan[1:]) if "hashpartitioning" in line and f"{narrow}#" in below]
+    assert above and all(re.fullmatch(r"project_id#\d+", k) for k in above)
