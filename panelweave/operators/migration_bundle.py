@@ -20,7 +20,7 @@ from panelweave.functions.text import _canonical, edited_json, json_hash, normal
 from panelweave.operators.bundle import DIGEST, INTEGRITY, alignment_blockers, blocker, gate, report_faults
 from panelweave.operators.migration import ACTIONS
 from panelweave.operators.catalogue import CLUSTER_LEAST, CLUSTER_MOST, EVIDENCE_FILES, MODE, SCHEMA, pack_ids, page_name, sound_references
-from panelweave.sources.shared import written
+from panelweave.sources.shared import dealt, written
 
 P = "project_id"
 MANIFEST, REPAIR, METRICS, REPORT = "comic_run_manifest.json", "repair_log.json", "pipeline_metrics.json", "pipeline_migration_report.json"
@@ -62,6 +62,12 @@ def _all(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _found(entity: Column, **ok: Column) -> Column:
+    """The (entity, fault) of a row as an array, for each condition that it does not meet; null does not meet one."""
+    wrong = (F.when(~F.coalesce(good, F.lit(False)), F.struct(entity.cast("string").alias("entity"), F.lit(name).alias("fault"))) for name, good in ok.items())
+    return F.array_compact(F.array(*wrong))
+
+
 def _last(rows: DataFrame, key: str, *fields: str) -> DataFrame:
     """One row for each key of a project, the last in the document."""
     return rows.filter(F.col(key).isNotNull()).groupBy(P, key).agg(F.max_by(F.struct(*fields), "at").alias("r")).select(P, key, "r.*")
@@ -71,102 +77,144 @@ def head_faults(documents: DataFrame) -> DataFrame:
     """Documents that a bundle lacks, registries whose recorded hash is not theirs, declarations of another schema, and collections that are no lists."""
     held = documents.groupBy(P).agg(F.collect_set("name").alias("names"))
     missing = held.select(P, F.explode(F.array_except(F.array(*map(F.lit, NEEDED)), F.col("names"))).alias("entity"), F.lit("document_missing").alias("fault"))
+    name, parsed = F.col("name"), {n: F.from_json("body", SCHEMAS[n]) for n in LISTS}
     recorded = F.get_json_object("body", "$.registry_hash")
-    hashes = _faults(documents.filter(F.col("name").isin(*REGISTRIES)), "name", registry_hash_differs=recorded == json_hash(F.col("body"), "registry_hash"))
-    declared = [_faults(_parsed(documents, n), F.lit(n), declaration_invalid=(F.col("d.schema_version") == SCHEMA) & (F.col("d.pipeline_mode") == MODE) & (F.col("d.evidence_files") == F.array(*map(F.lit, EVIDENCE_FILES)))) for n in (MANIFEST, REPAIR)]
-    lists = [_faults(_parsed(documents, n), F.lit(n), collection_missing=F.col(f"d.{field}").isNotNull()) for n, field in LISTS.items()]
-    return _all(missing, hashes, *declared, *lists)
-
-
-def _cluster_faults(pages: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Findings, the clusters that count (one of each id), and the members of short clusters that are no exception (project_id, output_name)."""
+    hashed = ~name.isin(*REGISTRIES) | (recorded == json_hash(F.when(name.isin(*REGISTRIES), F.col("body")), "registry_hash"))
+    # all conditions in one pass over the documents
+    declared, listed = F.lit(True), F.lit(True)
+    for n in (MANIFEST, REPAIR):
+        d = parsed[n]
+        declared = F.when(name == n, (d["schema_version"] == SCHEMA) & (d["pipeline_mode"] == MODE) & (d["evidence_files"] == F.array(*map(F.lit, EVIDENCE_FILES)))).otherwise(declared)
+    for n, field in LISTS.items():
+        listed = F.when(name == n, parsed[n][field].isNotNull()).otherwise(listed)
+    return missing.unionByName(_faults(documents, "name", registry_hash_differs=hashed, declaration_invalid=declared, collection_missing=listed))
+
+
+def _name_faults(manifest: DataFrame) -> DataFrame:
+    """Manifests whose pages are not named once each, and in order. An empty list has no fault."""
+    pages = F.col("d.pages")
+    distinct = lambda field: F.size(F.array_distinct(F.array_compact(F.transform(pages, lambda r: r[field]))))
+    ordered = F.forall(F.transform(pages, lambda r, i: r["output_name"] == page_name(i + 1)), lambda x: x)
+    n = F.size(pages)
+    return _faults(manifest, F.lit(MANIFEST), names_no_bijection=(n == 0) | ((distinct("output_name") == n) & (distinct("input_name") == n) & ordered))
+
+
+def _cluster_faults(story: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The clusters with what is found in each (found), whether they count (good: one of each id) and whether they are short and no exception. story: project_id, outputs."""
+    # only a project that is too short for a cluster is compared with one as a whole
+    whole_story = story.select(P, F.size("outputs").alias("total"), F.when(F.size("outputs") < CLUSTER_LEAST, F.col("outputs")).alias("outputs"))
     first = F.row_number().over(Window.partitionBy(P, "cluster_id").orderBy("at")) == 1
-    rows = clusters.withColumn("fits", F.col("cluster_id").isNotNull() & F.col("member_pages").isNotNull() & F.col("source_pages").isNotNull() & first)
-    identity = _faults(rows, "at", cluster_identity_invalid=F.col("cluster_id").isNotNull(), cluster_membership_invalid=F.col("cluster_id").isNull() | F.col("fits"))
-    story = pages.groupBy(P).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "output_name"))), lambda x: x["output_name"]).alias("outputs"))
-    good = rows.filter("fits").join(story, P).withColumn("n", F.size("member_pages"))
+    rows = dealt(clusters).withColumn("fits", F.col("cluster_id").isNotNull() & F.col("member_pages").isNotNull() & F.col("source_pages").isNotNull() & first)
+    rows = rows.join(dealt(whole_story), P, "left").withColumn("good", F.col("fits") & F.col("total").isNotNull()).withColumn("n", F.size("member_pages"))
+    identity = _found(F.col("at"), cluster_identity_invalid=F.col("cluster_id").isNotNull(), cluster_membership_invalid=F.col("cluster_id").isNull() | F.col("fits"))
     small, exception = F.col("undersized"), F.coalesce(F.col("boundary_exception"), F.lit(False))
     sized = small.isNotNull() & (small == (F.col("n") < CLUSTER_LEAST)) & (F.col("n") <= CLUSTER_MOST)
     sized = F.coalesce(sized, F.lit(False))
-    whole = (F.size("outputs") < CLUSTER_LEAST) & (F.col("member_pages") == F.col("outputs")) & F.col("undersized_reason").eqNullSafe("project_total_below_min")
+    whole = (F.col("total") < CLUSTER_LEAST) & (F.col("member_pages") == F.col("outputs")) & F.col("undersized_reason").eqNullSafe("project_total_below_min")
     held = F.col("boundary_exception").eqNullSafe(F.lit(False)) & F.col("blocked").eqNullSafe(F.lit(True)) & F.col("undersized_reason").eqNullSafe("scene_fragment_below_min") & F.coalesce(F.array_contains("blocker_codes", "UNDERSIZED_CLUSTER"), F.lit(False))
     plain = F.col("boundary_exception").eqNullSafe(F.lit(False)) & F.col("undersized_reason").isNull()
-    states = _faults(good, "cluster_id", cluster_size_invalid=sized, boundary_exception_invalid=~sized | ~(small & exception) | whole, short_cluster_not_blocked=~sized | ~(small & ~exception) | held, full_cluster_marked=~sized | small | plain)
-    members = good.select(P, "cluster_id", "at", F.posexplode("member_pages").alias("place", "output_name"))
-    again = members.withColumn("copy", F.row_number().over(Window.partitionBy(P, "output_name").orderBy("at", "place"))).filter("copy > 1")
-    walked = good.groupBy(P).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_pages"))), lambda x: x["member_pages"])).alias("walked"))
-    order = _faults(story.join(walked, P, "left"), F.lit(SCENE), clusters_no_bijection=F.col("walked") == F.col("outputs"))
-    short = good.filter(sized & small & ~exception).select(P, F.explode("member_pages").alias("output_name")).distinct()
-    return _all(identity, states, again.select(P, F.col("output_name").alias("entity"), F.lit("cluster_page_repeated").alias("fault")), order), good, short
+    states = _found(F.col("cluster_id"), cluster_size_invalid=sized, boundary_exception_invalid=~sized | ~(small & exception) | whole, short_cluster_not_blocked=~sized | ~(small & ~exception) | held, full_cluster_marked=~sized | small | plain)
+    found = F.concat(identity, F.when(F.col("good"), states).otherwise(F.slice(states, 1, 0)))
+    return rows.select(P, "at", "cluster_id", "member_pages", "reference_pack_id", "reference_pack_state", found.alias("found"), "good", F.coalesce(F.col("good") & sized & small & ~exception, F.lit(False)).alias("short"))
 
 
-def _pack_faults(style: DataFrame, packs: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Findings, and the sound packs (project_id, reference_pack_id, owner, binding)."""
-    none = F.array().cast("array<string>")
-    registry = style.select(P, F.col("d.stable_pages").alias("stable"), F.col("d.approved_hashes").alias("approved"))
-    of_registry = _faults(registry, F.lit(STYLE), style_registry_invalid=F.col("stable").isNotNull() & F.col("approved").isNotNull())
-    stable = registry.select(P, normal_paths(F.coalesce("stable", none)).alias("stable_paths"), F.coalesce("approved", F.create_map().cast("map<string,string>")).alias("approved"))
+def _pack_faults(style: DataFrame, packs: DataFrame) -> DataFrame:
+    """The packs with what is found in each (found), and whether they are sound.
+
+    What a pack asks of its registry (is a path stable, which hash is approved) and what the
+    registry says meet in one window of the project and path.
+    """
+    none = F.lit(None)
     whole = F.col("reference_pack_id").isNotNull() & F.col("cluster_id").isNotNull() & F.col("references").isNotNull()
-    identity = _faults(packs, "at", pack_identity_invalid=whole)
-    rows = pack_ids(packs.filter(whole)).join(stable, P)
+    rows = pack_ids(packs).withColumn("whole", whole)
     hashed = F.forall("references", lambda r: r["sha256"].isNull() | r["sha256"].rlike("^[0-9a-fA-F]{64}$"))
-    sound = F.coalesce(hashed & sound_references(F.col("stable_paths")), F.lit(False))
-    rows = rows.withColumn("sound", sound)
+    fit = F.col("whole") & hashed & sound_references(F.transform("canonical", lambda r: r["path"]))
     same = (F.col("reference_pack_id") == F.col("content_id")) & (F.col("references") == F.col("canonical")) & (F.col("reference_binding_hash") == F.col("content_binding"))
-    approved = F.forall("references", lambda r: F.element_at("approved", r["path"]).eqNullSafe(r["sha256"]))
-    content = _faults(rows, "reference_pack_id", pack_invalid=F.col("sound"), pack_content_differs=~F.col("sound") | same, pack_hash_not_approved=~F.col("sound") | approved)
-    held = _last(rows.filter("sound"), "reference_pack_id", F.col("cluster_id").alias("owner"), F.col("content_binding").alias("binding"))
-    bound = _faults(clusters.join(held, [P, "reference_pack_id"], "left"), "cluster_id", cluster_pack_unbound=(F.col("owner") == F.col("cluster_id")) & (F.col("reference_pack_state") == "bound"))
-    return _all(of_registry, identity, content, bound), held
-
-
-def _page_faults(pages: DataFrame, repair: DataFrame, clusters: DataFrame, short: DataFrame, packs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """What the pages of manifest and repair log say of their cluster, pack, task, class and action."""
-    copies = tasks.withColumn("copy", F.row_number().over(Window.partitionBy(P, "page_id").orderBy("at")))
-    named = _faults(copies, "at", task_identity_invalid=F.col("page_id").isNotNull(), task_page_repeated=F.col("page_id").isNull() | (F.col("copy") == 1))
-    task = _last(tasks, "page_id", F.col("task_id").alias("t_id"), F.col("task_type").alias("t_type"), F.col("cluster_id").alias("t_cluster"), F.col("prompt_reference_hash").alias("t_binding"), F.col("page_class").alias("t_class"))
-    told = pages.withColumn("page_id", page_id(F.col("output_name")))
-    both = told.select(P, "page_id").distinct().withColumn("a", F.lit(1)).join(task.select(P, "page_id", F.lit(1).alias("b")), [P, "page_id"], "full_outer")
-    bijection = _faults(both.groupBy(P).agg(F.min(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("exact")), F.lit(QUEUE), tasks_no_bijection=F.col("exact"))
-    log = _last(repair, "output_name", *(F.col(c).alias(f"r_{c}") for c in ("cluster_id", "reference_pack_id", "task_id", "page_class", "action")), F.lit(True).alias("logged"))
-    member = clusters.select(P, "at", F.col("cluster_id").alias("of_cluster"), F.col("reference_pack_id").alias("of_pack"), F.explode("member_pages").alias("output_name")).groupBy(P, "output_name").agg(F.max_by(F.struct("of_cluster", "of_pack"), "at").alias("m"))
-    rows = told.join(log, [P, "output_name"], "left").join(member, [P, "output_name"], "left").join(task.withColumn("tasked", F.lit(True)), [P, "page_id"], "left").join(short.withColumn("short", F.lit(True)), [P, "output_name"], "left")
-    rows = rows.join(packs.select(P, F.col("reference_pack_id").alias("bound_pack"), "binding"), (rows[P] == packs[P]) & (F.col("m.of_pack") == F.col("bound_pack")), "left").select(rows["*"], "binding")
-    there = F.col("output_name").isNotNull() & F.coalesce("logged", F.lit(False))
-    mapped = rows.filter(there)
+    pack = F.struct("reference_pack_id", "cluster_id", "content_binding", "whole", F.coalesce(fit, F.lit(False)).alias("fit"), F.coalesce(same, F.lit(False)).alias("same"))
+    ask = lambda kind, path, sha, pack: F.struct(F.lit(kind).alias("kind"), path.cast("string").alias("path"), sha.cast("string").alias("sha256"), pack.alias("pack"))
+    nothing = F.when(F.lit(False), pack)
+    itself = F.array(ask("pack", none, none, pack))
+    asks = F.concat(itself, F.transform("references", lambda r: ask("approved", r["path"], r["sha256"], nothing)), F.transform(F.filter("canonical", lambda r: r["role"] == "primary_style"), lambda r: ask("stable", r["path"], none, nothing)))
+    asked = rows.select(P, "at", F.inline(F.when(F.col("whole"), asks).otherwise(itself)), none.cast("int").alias("place"))
+    says = lambda kind, rows: rows.select(P, none.cast("int").alias("at"), F.lit(kind).alias("kind"), "path", F.col("sha256").cast("string").alias("sha256"), none.cast(asked.schema["pack"].dataType).alias("pack"), "place")
+    approved = says("approved", style.select(P, F.posexplode("d.approved_hashes").alias("place", "path", "sha256")))
+    stable = says("stable", style.select(P, none.alias("sha256"), F.posexplode(normal_paths("d.stable_pages")).alias("place", "path")))
+    met = dealt(_all(asked, approved, stable)).withColumn("said", F.min(F.when(F.col("place").isNotNull(), F.struct("place", "sha256"))).over(Window.partitionBy(P, "kind", "path")))
+    right = F.when(F.col("kind") == "approved", F.col("sha256").eqNullSafe(F.col("said.sha256"))).when(F.col("kind") == "stable", F.col("said").isNotNull())
+    of = lambda kind: F.coalesce(F.min(F.when(F.col("kind") == kind, right)), F.lit(True)).alias(kind)
+    rows = met.filter(F.col("at").isNotNull()).groupBy(P, "at").agg(F.max(F.when(F.col("kind") == "pack", F.col("pack"))).alias("pack"), of("stable"), of("approved")).select(P, "at", "pack.*", "stable", "approved")
+    rows = rows.withColumn("sound", F.col("fit") & F.col("stable"))
+    content = _found(F.col("reference_pack_id"), pack_invalid=F.col("sound"), pack_content_differs=~F.col("sound") | F.col("same"), pack_hash_not_approved=~F.col("sound") | F.col("approved"))
+    found = F.concat(_found(F.col("at"), pack_identity_invalid=F.col("whole")), F.when(F.col("whole"), content).otherwise(F.slice(content, 1, 0)))
+    return rows.select(P, "at", "reference_pack_id", F.col("cluster_id").alias("owner"), F.col("content_binding").alias("binding"), "sound", found.alias("found"))
+
+
+def _page_faults(pages: DataFrame, repair: DataFrame, clusters: DataFrame, tasks: DataFrame) -> DataFrame:
+    """What the pages of manifest and repair log say of their cluster, pack, task, class and action, and members of clusters and tasks that repeat.
+
+    Pages, log, members and tasks are dealt by project once; those of one name meet in a window
+    of the project and name, those of one page id in a window of the project and page id.
+    """
+    page = ("cluster_id", "reference_pack_id", "task_id", "page_class")
+    kind = lambda k: F.lit(k).alias("kind")
+    told = pages.select(P, kind("page"), "at", "output_name", page_id(F.col("output_name")).alias("page_id"), *page)
+    log = repair.filter(F.col("output_name").isNotNull()).select(P, kind("log"), "at", "output_name", *page, "action")
+    member = clusters.select(P, kind("member"), "at", "cluster_id", "reference_pack_id", "binding", "short", F.posexplode("member_pages").alias("place", "output_name"))
+    task = tasks.select(P, kind("task"), "at", "page_id", "task_id", "task_type", "cluster_id", F.col("prompt_reference_hash").alias("binding"), "page_class")
+    more = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    rows = dealt(reduce(more, (told, log, member, task)))
+    of = lambda k, *fields: F.when(F.col("kind") == k, F.struct(*fields))
+    by_name, by_page = Window.partitionBy(P, "output_name"), Window.partitionBy(P, "page_id")
+    known = lambda key, found: F.when(F.col(key).isNotNull(), found)
+    rows = rows.withColumn("r", known("output_name", F.max(of("log", "at", *page, "action")).over(by_name))).withColumn("m", known("output_name", F.max(of("member", "at", "cluster_id", "reference_pack_id", "binding")).over(by_name)))
+    rows = rows.withColumn("in_short", F.coalesce(known("output_name", F.max(F.when(F.col("kind") == "member", F.col("short"))).over(by_name)), F.lit(False))).withColumn("first_member", F.min(of("member", "at", "place")).over(by_name))
+    # log and members have done their part; only members that repeat go on
+    rows = rows.filter(F.col("kind").isin("page", "task") | ((F.col("kind") == "member") & (F.struct("at", "place") != F.col("first_member")))).drop("first_member")
+    rows = rows.withColumn("t", known("page_id", F.max(of("task", "at", "task_id", "task_type", "cluster_id", "binding", "page_class")).over(by_page))).withColumn("paged", F.max(F.col("kind") == "page").over(by_page)).withColumn("first_task", F.min(F.when(F.col("kind") == "task", F.col("at"))).over(by_page))
+    there = F.col("output_name").isNotNull() & F.col("r").isNotNull()
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    traces = [_faults(mapped, F.concat_ws(" ", "output_name", F.lit(f)), trace_differs=same(f, f"r_{f}")) for f in ("cluster_id", "reference_pack_id", "task_id")]
-    tasked = F.coalesce("tasked", F.lit(False)) & same("t_id", "task_id")
+    tasked = F.col("t").isNotNull() & same("t.task_id", "task_id")
     actions = F.create_map(*(F.lit(x) for pair in ACTIONS.items() for x in pair))
-    classed = F.col("page_class").isin(*ACTIONS) & same("page_class", "r_page_class")
-    classed = F.coalesce(classed, F.lit(False))
-    blocked = (F.col("page_class") == "evidence_blocked") & (F.col("t_type") == "evidence_resolution")
-    each = _faults(
-        mapped, "output_name", page_cluster_trace_invalid=same("cluster_id", "m.of_cluster") & same("reference_pack_id", "m.of_pack"), page_task_trace_invalid=tasked, task_binding_differs=~tasked | (same("t_cluster", "m.of_cluster") & same("t_binding", "binding")),
-        page_class_differs=classed, page_action_differs=~classed | F.col("r_action").eqNullSafe(actions[F.col("page_class")]), task_class_differs=F.col("tasked").isNull() | same("t_class", "page_class"), blocked_page_released=F.col("short").isNull() | blocked,
+    classed = F.coalesce(F.col("page_class").isin(*ACTIONS) & same("page_class", "r.page_class"), F.lit(False))
+    blocked = (F.col("page_class") == "evidence_blocked") & (F.col("t.task_type") == "evidence_resolution")
+    traces = [_found(F.concat_ws(" ", "output_name", F.lit(f)), trace_differs=same(f, f"r.{f}")) for f in ("cluster_id", "reference_pack_id", "task_id")]
+    each = _found(
+        F.col("output_name"), page_cluster_trace_invalid=same("cluster_id", "m.cluster_id") & same("reference_pack_id", "m.reference_pack_id"), page_task_trace_invalid=tasked, task_binding_differs=~tasked | (same("t.cluster_id", "m.cluster_id") & same("t.binding", "m.binding")),
+        page_class_differs=classed, page_action_differs=~classed | F.col("r.action").eqNullSafe(actions[F.col("page_class")]), task_class_differs=F.col("t").isNull() | same("t.page_class", "page_class"), blocked_page_released=~F.col("in_short") | blocked,
     )
-    return _all(named, bijection, _faults(rows, "at", page_mapping_invalid=there), *traces, each)
+    of_page = F.when(there, F.concat(*traces, each)).otherwise(_found(F.col("at"), page_mapping_invalid=there))
+    of_page = F.concat(of_page, _found(F.lit(QUEUE), tasks_no_bijection=F.col("t").isNotNull()))
+    of_task = F.concat(_found(F.col("at"), task_identity_invalid=F.col("page_id").isNotNull(), task_page_repeated=F.col("page_id").isNull() | (F.col("at") == F.col("first_task"))), _found(F.lit(QUEUE), tasks_no_bijection=F.col("page_id").isNull() | F.col("paged")))
+    again = _found(F.col("output_name"), cluster_page_repeated=F.lit(False))
+    return rows.select(P, F.inline(F.when(F.col("kind") == "page", of_page).when(F.col("kind") == "task", of_task).otherwise(again)))
 
 
 def document_faults(documents: DataFrame) -> DataFrame:
     """Findings in the seven documents of a bundle; projects whose documents are missing, of another schema or wrongly hashed have those findings only."""
     head = written(head_faults(documents))
     fine = documents.join(head.select(P).distinct(), P, "left_anti")
-    # each document is parsed once; what follows reads typed rows
-    pages, repair, clusters, packs, tasks = (written(_rows(fine, n)) for n in (MANIFEST, REPAIR, SCENE, STYLE, QUEUE))
-    # an empty list explodes to no row: the project is still one
-    names = _parsed(fine, MANIFEST).select(P).join(pages.groupBy(P).agg(F.count("*").alias("n"), F.countDistinct("output_name").alias("outputs"), F.countDistinct("input_name").alias("inputs"), F.min(F.col("output_name") == page_name(F.col("at") + 1)).alias("ordered")), P, "left")
-    bijection = _faults(names, F.lit(MANIFEST), names_no_bijection=F.col("n").isNull() | ((F.col("outputs") == F.col("n")) & (F.col("inputs") == F.col("n")) & F.col("ordered")))
-    of_clusters, good, short = _cluster_faults(pages, clusters)
-    # findings are written group by group, as one plan of all groups would be too large for the driver
-    of_clusters, good, short = written(of_clusters), written(good.drop("outputs")), written(short)
-    of_packs, held = _pack_faults(_parsed(fine, STYLE), packs, good)
-    of_packs, held = written(of_packs), written(held)
-    of_pages = written(_page_faults(pages, repair, good, short, held, tasks))
+    found = lambda rows: rows.select(P, F.inline("found"))
+    # the manifest and the clusters are read by several groups: parsed once; findings are written group by group, as one plan of all groups would be too large for the driver
+    manifest = written(_parsed(fine, MANIFEST))
+    story = manifest.select(P, F.transform("d.pages", lambda r: r["output_name"]).alias("outputs")).filter(F.size("outputs") > 0)
+    clusters = written(_cluster_faults(story, _rows(fine, SCENE)))
+    good = clusters.filter("good")
+    walked = good.groupBy(P).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "member_pages"))), lambda x: x["member_pages"])).alias("walked"))
+    order = _faults(story.join(walked, P, "left"), F.lit(SCENE), clusters_no_bijection=F.col("walked") == F.col("outputs"))
+    style = _parsed(fine, STYLE)
+    packs = written(_pack_faults(style, _rows(fine, STYLE)))
+    of_registry = _faults(style, F.lit(STYLE), style_registry_invalid=F.col("d.stable_pages").isNotNull() & F.col("d.approved_hashes").isNotNull())
+    held = _last(packs.filter("sound"), "reference_pack_id", "owner", "binding")
+    bound = written(good.join(held, [P, "reference_pack_id"], "left"))
+    of_bound = _faults(bound, "cluster_id", cluster_pack_unbound=(F.col("owner") == F.col("cluster_id")) & (F.col("reference_pack_state") == "bound"))
+    pages = manifest.select(P, F.posexplode("d.pages").alias("at", "r")).select(P, "at", "r.*")
+    of_pages = written(_page_faults(pages, _rows(fine, REPAIR), bound, _rows(fine, QUEUE)))
+    # every page or task that stands alone tells of the same missing bijection
+    once = F.col("fault") == "tasks_no_bijection"
     seen = _parsed(fine, QA).select(P, F.transform("d.clusters", lambda x: x["cluster_id"]).alias("seen"))
     wanted = good.groupBy(P).agg(F.array_sort(F.collect_set("cluster_id")).alias("wanted"))
     qa = _faults(seen.join(wanted, P, "left"), F.lit(QA), cluster_qa_no_bijection=F.array_sort("seen") == F.coalesce("wanted", F.array().cast("array<string>")))
-    return _all(head, bijection, of_clusters, of_packs, of_pages, qa)
+    return _all(head, _name_faults(manifest), found(clusters), order, of_registry, found(packs), of_bound, of_pages.filter(~once), of_pages.filter(once).distinct(), qa)
 
 
 def live_gate(documents: DataFrame, faults: DataFrame, alignment: DataFrame, blockers: list[DataFrame]) -> DataFrame:

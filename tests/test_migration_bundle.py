@@ -128,6 +128,7 @@ MUTATIONS = {
     "order": (at(*C, 0, member_pages=[name(i) for i in (2, 1, *range(3, 21))]), {"clusters_no_bijection"}),
     "no stable list": (at(m.STYLE, stable_pages="x"), {"style_registry_invalid", "pack_invalid", "cluster_pack_unbound", "task_binding_differs"}),
     "pack without id": (at(*S, 0, reference_pack_id=None), {"pack_identity_invalid", "cluster_pack_unbound", "task_binding_differs"}),
+    "pack without references": (at(*S, 0, references=None), {"pack_identity_invalid", "cluster_pack_unbound", "task_binding_differs"}),
     "unstable": (at(m.STYLE, stable_pages=["pages/0001.jpg"]), {"pack_invalid", "cluster_pack_unbound", "task_binding_differs"}),
     "role": (at(*S, 0, "references", 0, role="style"), {"pack_invalid", "cluster_pack_unbound", "task_binding_differs"}),
     "binding": (at(*S, 0, reference_binding_hash="x"), {"pack_content_differs"}),
