@@ -79,12 +79,22 @@ def normal_path(path: pd.Series) -> pd.Series:
     return _by_value(path, _normal)
 
 
+#: paths that are normal as they are: ASCII in lower case, single slashes between parts that begin with no dot
+PLAIN = r"^[a-z0-9_-][a-z0-9_.-]*+(?:/[a-z0-9_-][a-z0-9_.-]*+)*+$"
+
+
 @F.pandas_udf(ArrayType(StringType()))
-def normal_paths(paths: pd.Series) -> pd.Series:
-    """The normal path of each member of a list."""
+def _normal_paths(paths: pd.Series) -> pd.Series:
     return pd.Series([None if row is None else [None if x is None else _normal(x) for x in row] for row in paths], dtype=object)
 
 
+def normal_paths(paths: Column | str) -> Column:
+    """The normal path of each member of a list. Lists of plain paths do not go to Python."""
+    paths = F.col(paths) if isinstance(paths, str) else paths
+    plain = F.forall(paths, lambda x: x.isNull() | (x.rlike(PLAIN) & ~x.endswith("\n")))
+    return F.coalesce(_normal_paths(F.when(~plain, paths)), paths)
+
+
 def _canonical(document) -> str:
     return json.dumps(document, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
@@ -102,6 +112,23 @@ def edited_json(document: pd.Series, fields: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else spell(x, y) for x, y in zip(document, fields)], dtype=object)
 
 
+def sealed_json(document: Column, field: str) -> Column:
+    """The JSON object, spelled canonically, with the hash of all its other members as a member; null if it is none."""
+
+    def spell(x: str) -> str | None:
+        try:
+            held = {k: v for k, v in json.loads(x).items() if k != field}
+            return _canonical({**held, field: hashlib.sha256(_canonical(held).encode()).hexdigest()})
+        except (ValueError, AttributeError):
+            return None
+
+    @F.pandas_udf(StringType())
+    def sealed(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else spell(x) for x in column], dtype=object)
+
+    return sealed(document)
+
+
 def json_hash(document: Column, *dropped: str) -> Column:
     """SHA-256 of the JSON object without the dropped fields, spelled compactly with sorted keys; null if it is no such object or holds a number that is not finite."""
 

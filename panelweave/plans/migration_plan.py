@@ -30,7 +30,8 @@ _WHOLE = f"""{PAGES}, t as (select project_id, doc_id, pos, n, printf('%04d', po
 
 
 def _planned(spark, sf_dir):
-    pages = evidence_pages(spark, sf_dir).withColumn("pos", F.col("pos").cast("int"))
+    # narrow, and read by several branches
+    pages = written(evidence_pages(spark, sf_dir).select("project_id", "doc_id", "lang", "n_chars", F.col("pos").cast("int").alias("pos")))
     name = "format_string('%04d.jpg', pos)"
     inputs = pages.selectExpr("project_id", "pos `index`", "concat(doc_id, '.jpg') input_name", "concat('in/', doc_id, '.jpg') input_path", "sha2(cast(doc_id as string), 256) input_sha256", "doc_id")
     # a third of the rows is found by input name, a third by output name, a third by index
@@ -48,8 +49,8 @@ def m4_whole_plans(spark, sf_dir):
 
 @registered("m5_document_faults", f"""with {_WHOLE} select project_id, o entity, unnest(list_filter([case when doc_id % 11 = 0 then 'page_action_differs' end, case when doc_id % 13 = 0 then 'task_class_differs' end, case when doc_id % 17 = 0 then 'page_task_trace_invalid' end, case when doc_id % 19 = 0 and doc_id % 17 <> 0 then 'task_binding_differs' end, case when doc_id % 7 = 0 and short then 'blocked_page_released' end], lambda f: f is not null)) fault from whole""")
 def m5_document_faults(spark, sf_dir):
-    rows, clusters, packs = map(written, _planned(spark, sf_dir))
-    rows = rows.withColumn("k", F.regexp_extract("input_name", r"^(\d+)", 1).cast("bigint"))
+    rows, clusters, packs = _planned(spark, sf_dir)
+    rows = written(rows).withColumn("k", F.regexp_extract("input_name", r"^(\d+)", 1).cast("bigint"))
     documents = plan.proposed_documents(rows, clusters, packs)
     # the same plan with planted differences gives the documents that are at odds
     odd = rows.withColumn("action", F.expr("if(k % 11 = 0, 'redo', action)"))
